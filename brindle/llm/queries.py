@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.decontaminate import op10_decontamination
+from brindle.llm.fingerprints import op5_fingerprints
 from brindle.llm.jaccard_join import op4_jaccard_join
 from brindle.llm.language import op7_language
 from brindle.llm.licenses import op6_licenses
@@ -18,7 +19,7 @@ from brindle.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality, op3_token_files, op4_jaccard_join, op6_licenses, op7_language, op8_packing, op9_warc, op10_decontamination]
+    found = [op1_token_counts, op2_quality, op3_token_files, op4_jaccard_join, op5_fingerprints, op6_licenses, op7_language, op8_packing, op9_warc, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
