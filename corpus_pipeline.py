@@ -1,8 +1,71 @@
-"""Corpus pipeline (being built)."""
+"""The corpus pipeline: language, quality, near duplicates, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last
+return the columns that they were given. Stages don't depend on each other's columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate, jaccard_join, language, packing, quality
+from brindle.llm.shared import table, written
+
+#: A document stays if so much of its letters is in the language that it is labelled with.
+LANGUAGE_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without letters or of which no language has half go."""
+    found = language.labeller(spark, language.learn(docs))
+    marked = docs.withColumn("_found", found)
+    kept = (F.col("_found.lang_pred") != language.UNDETERMINED) & (F.col("_found.score") >= LANGUAGE_SHARE)
+    return marked.where(kept).drop("_found")
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("_score", quality.scorer(spark, model)).where(F.col("_score") >= quality.ACCEPT).drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group; rows without an id: one of each text."""
+    found = jaccard_join.near_duplicates(docs)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", classify_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
+
+#: SQL has neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage-{name}")
+    return docs
