@@ -1 +1,128 @@
-QUERIES = {}
+"""Queries over answers, options, questions and records' scalar measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.functions import answers as A
+from brindle.functions.numbers import clip, null_skipping_sum, r6
+from brindle.sources.adapters import view, with_views
+
+#: Fixed values for DuckDB: the white space that Unicode knows.
+_SPACE = "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def _squash(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'))"
+
+
+def _normal(x: str) -> str:
+    bare = _squash(f"translate(lower({x}), '.,;', '')")
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.ALIASES.items())
+    return f"CASE {bare} {cases} ELSE {bare} END"
+
+
+_A, _S, _R = with_views("answers"), with_views("samples"), with_views("eval_records")
+
+#: A small table of answers with options, in both engines.
+_CASES = [
+    (1, "A", "red|blue"), (2, "a: red", "red|blue"), (3, "The answer is B.", "red|blue"), (4, "Blue car", "red|blue"), (5, "I think it is blue", "red|blue"),
+    (6, "red or blue", "red|blue"), (7, "Yes, it is", "left|right"), (8, "No.", "left|right"), (9, "yes and no", "left|right"), (10, "  maybe ", "left|right"),
+    (11, "choice: b", "red|blue"), (12, "A red thing", "green|blue"), (13, "option is A", "x|y"), (14, "y", "up|down"),
+]
+_CASES_SQL = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{o}')" for i, a, o in _CASES) + ") AS t(id, answer, options))"
+
+
+def _canonical(s, sf):
+    rows = s.createDataFrame(_CASES, "id int, answer string, options string")
+    options = F.split("options", r"\|")
+    letters = F.zip_with(F.slice(F.array(*[F.lit(c) for c in "ABCDE"]), F.lit(1), F.size(options)), options, lambda a, b: F.struct(a.alias("letter"), b.alias("text")))
+    return rows.withColumns({"o": options, "l": letters}).select("id", A.canonicalize_answer(F.col("answer"), F.col("o"), F.col("l")).alias("canonical"))
+
+
+def _canonical_sql() -> str:
+    n = _normal("answer")
+    letter = "lower(chr(64 + i::INT))"
+    named = f"regexp_matches(n, '\\b(?:answer|option|choice)\\s*(?:is\\s*)?[:\\-]?\\s*' || {letter} || '\\b')"
+    return f"""WITH {_CASES_SQL}, c AS (SELECT id, answer, {n} AS n, string_split(options, '|') AS o FROM cases),
+      x AS (SELECT c.*, i, o[i] AS opt, {_normal("o[i]")} AS m FROM c, unnest(range(1, len(o) + 1)) AS u(i)),
+      p AS (SELECT id, any_value(answer) AS answer, any_value(n) AS n,
+            arg_min(opt, i) FILTER (n = {letter} OR starts_with(n, {letter} || ':') OR starts_with(n, {letter} || ' ') OR {named}) AS s1,
+            arg_min(opt, i) FILTER (starts_with(n, m)) AS s2, CASE WHEN count(*) FILTER (contains(n, m)) = 1 THEN arg_min(opt, i) FILTER (contains(n, m)) END AS s3 FROM x GROUP BY id)
+      SELECT id, coalesce(s1, s2, s3, CASE WHEN contains(' ' || n || ' ', ' yes ') AND NOT contains(' ' || n || ' ', ' no ') THEN 'yes'
+             WHEN contains(' ' || n || ' ', ' no ') AND NOT contains(' ' || n || ' ', ' yes ') THEN 'no' END, trim(answer)) AS canonical FROM p"""
+
+
+_QUESTIONS = [
+    (1, "Pick.\nChoices:\n(A) red,\n(B) dark  blue\n(C) green"), (2, "Which?\nOptions: A: up, B: down, C: left"), (3, "No options here (A)"),
+    (4, "Options:\nA: one\nB: two"), (5, "Choices: (A) (B) see (B) again"), (6, "Is (C) or (A) or (C) right?"),
+]
+
+
+def _options(s, sf):
+    rows = s.createDataFrame(_QUESTIONS, "id int, question string")
+    found = A.lettered_options(F.col("question"))
+    shown = F.array_join(F.transform(found, lambda o: F.concat(o["letter"], F.lit("="), o["text"])), "|")
+    return rows.select("id", shown.alias("options"), F.array_join(A.option_letters(F.col("question")), "").alias("letters"))
+
+
+_OPTIONS_SQL = "SELECT * FROM (VALUES (1, 'A=red|B=dark blue|C=green', 'ABC'), (2, 'A=up|B=down|C=left', ''), (3, NULL, 'A'), (4, 'A=one|B=two', ''), (5, 'A=(B) see (B) again', 'AB'), (6, NULL, 'CA')) AS t(id, options, letters)"
+
+
+def _repaired(s, sf):
+    """Letter answers of one benchmark become full texts."""
+    rows = s.createDataFrame([(1, "mmstar", ["A", "B"], "Options: A: up, B: down"), (2, "other", ["A", "B"], "Options: A: up, B: down"), (3, "mmstar", ["x"], "Options: A: up")], "id int, dataset string, options array<string>, question string")
+    fixed = F.when(F.col("dataset") == "mmstar", A.repaired_options(F.col("options"), A.lettered_options(F.col("question")))).otherwise(F.col("options"))
+    return rows.select("id", F.array_join(fixed, "|").alias("options"))
+
+
+def _features(s, sf):
+    rows = view(s, sf, "samples")
+    f = A.question_features(F.col("question"), F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit("mmstar"))
+    return rows.withColumn("f", f).select("sample_id", *(r6(F.element_at("f", i)).alias(f"f{i}") for i in range(1, 18)))
+
+
+def _features_sql() -> str:
+    q = "question"
+    words = f"len(list_filter(string_split({_squash(q)}, ' '), lambda w: w <> ''))"
+    base = [f"least({words} / 50.0::DOUBLE, 2)", f"least(length({q}) / 300.0::DOUBLE, 2)", "0.75::DOUBLE", "1::DOUBLE", "1::DOUBLE", *["0::DOUBLE"] * 5]
+    keys = ["(" + " OR ".join(f"contains(lower({q}), '{w}')" for w in ws) + ")::INT::DOUBLE" for ws in A.KEYWORDS.values()]
+    return f"{_S} SELECT sample_id, " + ", ".join(f"round({x} + 1e-9, 6) AS f{i}" for i, x in enumerate(base + keys, 1)) + " FROM samples"
+
+
+def _lit(s, sf):
+    rows = s.createDataFrame([(1, "['red', 'blue']"), (2, '"big"'), (3, "plain"), (4, '["one"]'), (5, " 'x' ")], "id int, raw string")
+    return rows.select("id", A.literal_first(F.col("raw")).alias("value"))
+
+
+QUERIES = {
+    "answer_normalize": (
+        lambda s, sf: view(s, sf, "answers").select("conv_id", "turn", F.sha2(A.normalize_answer(F.col("raw_answer")), 256).alias("normal")),
+        f"{_A} SELECT conv_id, turn, sha256({_normal('raw_answer')}) AS normal FROM answers",
+    ),
+    "answer_keys": (
+        lambda s, sf: view(s, sf, "answers").select("conv_id", "turn", F.sha2(A.alnum_key(F.col("raw_answer")), 256).alias("alnum"), F.sha2(A.question_key(F.col("raw_answer")), 256).alias("question")),
+        f"{_A} SELECT conv_id, turn, sha256(trim(regexp_replace(lower(raw_answer), '[^a-z0-9]+', ' ', 'g'))) AS alnum, sha256({_squash('lower(raw_answer)')}) AS question FROM answers",
+    ),
+    "answer_canonicalize": (_canonical, _canonical_sql()),
+    "exact_match_rate": (
+        lambda s, sf: view(s, sf, "eval_records").groupBy("method", "dataset").agg(F.count("*").alias("n"), r6(F.avg(A.exact_match(F.col("answer"), F.col("gold_answer")).cast("int"))).alias("rate")),
+        f"{_R} SELECT method, dataset, count(*) AS n, round(avg((answer = gold_answer)::INT) + 1e-9, 6) AS rate FROM eval_records GROUP BY ALL",
+    ),
+    "option_extract": (_options, _OPTIONS_SQL),
+    "option_repair": (_repaired, "SELECT * FROM (VALUES (1, 'up|down'), (2, 'A|B'), (3, 'x')) AS t(id, options)"),
+    "literal_answer": (_lit, "SELECT * FROM (VALUES (1, 'red'), (2, 'big'), (3, 'plain'), (4, 'one'), (5, 'x')) AS t(id, value)"),
+    "controller_features": (_features, _features_sql()),
+    "evidence_and_cost": (
+        lambda s, sf: view(s, sf, "eval_records").groupBy("method").agg(
+            r6(F.sum(null_skipping_sum(F.col("measured_energy_joule"), F.col("energy_joule")))).alias("energy"),
+            r6(F.avg(clip(F.col("reliance_retention"), 0.0, 2.0))).alias("clipped"),
+            r6(F.sum(F.col("latency_ms") / 1000 * 0.5)).alias("latency_cost"),
+            r6(F.avg(F.when(F.col("answer") != F.col("gold_answer"), 1.0).otherwise(0.0))).alias("flip_support"),
+            r6(F.sum(F.coalesce(F.col("measured_energy_joule"), F.col("latency_ms") * 0.2))).alias("measured_or_proxy"),
+        ),
+        f"""{_R} SELECT method, round(sum(coalesce(measured_energy_joule, 0) + energy_joule) + 1e-9, 6) AS energy,
+            round(avg(CASE WHEN reliance_retention IS NOT NULL THEN least(greatest(reliance_retention, 0), 2) END) + 1e-9, 6) AS clipped, round(sum(latency_ms / 1000 * 0.5) + 1e-9, 6) AS latency_cost,
+            round(avg((answer <> gold_answer)::INT) + 1e-9, 6) AS flip_support, round(sum(coalesce(measured_energy_joule, latency_ms * 0.2)) + 1e-9, 6) AS measured_or_proxy FROM eval_records GROUP BY method""",
+    ),
+}
