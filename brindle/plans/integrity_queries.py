@@ -1 +1,89 @@
-QUERIES = {}
+"""Queries that check completeness and consistency, and queries over inference grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.functions.numbers import r6
+from brindle.operators import integrity, selection
+from brindle.sources.adapters import view, with_views
+
+_R, _S, _C = with_views("eval_records"), with_views("samples"), with_views("calls")
+GRID = {"dense": ["full"], "topk": ["64", "128"], "cover": ["64", "128"]}
+
+
+def _plan(s, sf):
+    planned = view(s, sf, "calls").select(F.col("call_id").alias("sample_id"), "method", "budget").where("sample_id % 10 <> 0")
+    executed = view(s, sf, "calls").select(F.col("call_id").alias("sample_id"), "method", F.when(F.col("call_id") % 7 == 0, "432").otherwise(F.col("budget")).alias("budget"), F.when(F.col("call_id") % 11 == 0, 2).otherwise(1).alias("backend_invocation_count"))
+    return integrity.plan_mismatches(planned, executed, ("method", "budget"))
+
+
+def _grid(s, sf):
+    samples = view(s, sf, "samples").select("sample_id", "dataset")
+    interventions = s.createDataFrame([("gray", None), ("blur", None), ("swap", ["fr", "de"])], "intervention string, applies_to array<string>")
+    cells = s.createDataFrame([(m, b) for m, bs in GRID.items() for b in bs], "method string, budget string")
+    return selection.run_grid(samples, interventions, cells).groupBy("dataset", "intervention", "method").agg(F.count("*").alias("n"))
+
+
+def _centers(s, sf):
+    rows = s.createDataFrame([(16, 4), (16, 1), (576, 64), (10, 4), (9, 9)], "n int, keep int")
+    return rows.select("n", "keep", F.array_join(F.transform(selection.center_indices(F.col("n"), F.col("keep")), lambda i: i.cast("string")), ",").alias("kept"))
+
+
+_CENTERS_SQL = """WITH t AS (SELECT * FROM (VALUES (16, 4), (16, 1), (576, 64), (10, 4), (9, 9)) AS v(n, keep)),
+  c AS (SELECT n, keep, i, round(sqrt(n))::INT AS g FROM t, unnest(range(n)) AS u(i)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY n, keep ORDER BY CASE WHEN g * g = n THEN pow(i // g - (g - 1) / 2, 2) + pow(i % g - (g - 1) / 2, 2)
+        ELSE CASE WHEN i >= (n - keep) // 2 THEN i ELSE i + n END END, i) AS k FROM c)
+  SELECT n, keep, string_agg(i, ',' ORDER BY i) AS kept FROM r WHERE k <= keep GROUP BY n, keep"""
+
+
+def _scores(s, sf):
+    rows = view(s, sf, "samples").select("sample_id", F.array(F.lit("yes"), F.lit("no")).alias("options"), F.when(F.col("sample_id") % 2 == 0, "yes").otherwise("no").alias("answer"), F.lit("topk").alias("method"), F.lit("64").alias("budget"), F.lit("blur").alias("intervention"), (F.col("sample_id") % 10 / 40.0).alias("signal"))
+    return selection.synthetic_scores(rows).select("sample_id", "answer_given", r6("logprob").alias("logprob"), r6("confidence").alias("confidence"), r6("latency_ms").alias("latency_ms"))
+
+
+_SCORES_SQL = f"""{_S}, x AS (SELECT sample_id, o.i AS i, o.t AS t, CASE WHEN sample_id % 2 = 0 THEN 0 ELSE 1 END AS g, sample_id % 10 / 40.0::DOUBLE AS sg FROM samples CROSS JOIN (VALUES (0, 'yes'), (1, 'no')) AS o(i, t)),
+  y AS (SELECT *, CASE WHEN i = g THEN 1.5::DOUBLE ELSE 0.2::DOUBLE + 0.55 * 0.9 + (1 - 64 / 576.0::DOUBLE) * 0.15 END + sg * 2.5 - (1 - least(sg * 4, 1)) * 0.8 - (1 - 64 / 576.0::DOUBLE) * 0.3 - 0.55
+        + ((('0x' || substr(sha256(concat_ws('|', '0', sample_id, t, 'topk', '64')), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE - 0.5) * 0.08 AS s FROM x),
+  z AS (SELECT sample_id, arg_max(t, s) AS answer_given, max(s) AS m FROM y GROUP BY sample_id), l AS (SELECT y.sample_id, any_value(answer_given) AS answer_given, -ln(sum(exp(s - m))) AS lp FROM y JOIN z USING (sample_id) GROUP BY y.sample_id)
+  SELECT sample_id, answer_given, round(lp + 1e-9, 6) AS logprob, round(exp(lp) + 1e-9, 6) AS confidence, round(2.0 + 0.08 * 64 + 1e-9, 6) AS latency_ms FROM l"""
+
+QUERIES = {
+    "grid_completeness": (
+        lambda s, sf: integrity.grid_gaps(view(s, sf, "eval_records"), GRID),
+        f"""{_R} SELECT sample_id, count(DISTINCT intervention) AS interventions, count(DISTINCT (method, budget, intervention)) AS present, count(DISTINCT intervention) * 5 AS expected FROM eval_records
+            WHERE (method = 'dense' AND budget = 'full') OR (method <> 'dense' AND budget IN ('64', '128')) GROUP BY sample_id HAVING count(DISTINCT (method, budget, intervention)) <> count(DISTINCT intervention) * 5""",
+    ),
+    "record_key_unique": (
+        lambda s, sf: integrity.duplicates(view(s, sf, "eval_records"), "sample_id", "method", "budget", "intervention"),
+        f"{_R} SELECT sample_id, method, budget, intervention, count(*) AS n FROM eval_records GROUP BY ALL HAVING count(*) > 1",
+    ),
+    "raw_key_duplicates": (
+        lambda s, sf: integrity.duplicates(view(s, sf, "lineitem"), "l_orderkey", "l_linenumber"),
+        "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    ),
+    "cell_coverage": (
+        lambda s, sf: integrity.coverage(view(s, sf, "eval_records"), "method", "budget", "split"),
+        f"{_R} SELECT method, budget, split, count(*) AS rows, count(DISTINCT sample_id) AS samples FROM eval_records GROUP BY ALL",
+    ),
+    "resume_missing": (
+        lambda s, sf: integrity.missing(view(s, sf, "calls").select("call_id", "method"), view(s, sf, "calls").where("call_id % 3 = 0").select("call_id"), "call_id"),
+        f"{_C} SELECT call_id, method FROM calls WHERE call_id % 3 <> 0",
+    ),
+    "plan_vs_executed_anti": (
+        _plan,
+        f"""{_C} SELECT call_id AS sample_id, CASE WHEN call_id % 10 = 0 THEN 'unplanned' WHEN call_id % 11 = 0 THEN 'invocations' ELSE 'differs' END AS problem FROM calls
+            WHERE call_id % 10 = 0 OR call_id % 11 = 0 OR (call_id % 7 = 0 AND budget <> '432')""",
+    ),
+    "id_set_difference": (
+        lambda s, sf: integrity.set_difference(view(s, sf, "documents").select("doc_id"), view(s, sf, "labels").select("doc_id"), "doc_id"),
+        "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'second' ELSE 'first' END AS only_in FROM (SELECT DISTINCT doc_id FROM documents) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    ),
+    "run_grid": (
+        _grid,
+        f"""{_S} SELECT dataset, intervention, method, count(*) AS n FROM samples CROSS JOIN (VALUES ('gray'), ('blur'), ('swap')) AS i(intervention) CROSS JOIN (VALUES ('dense'), ('topk'), ('topk'), ('cover'), ('cover')) AS m(method)
+            WHERE intervention <> 'swap' OR dataset IN ('fr', 'de') GROUP BY ALL""",
+    ),
+    "center_selection": (_centers, _CENTERS_SQL),
+    "synthetic_scorer": (_scores, _SCORES_SQL),
+}
