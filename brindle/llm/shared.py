@@ -1,13 +1,14 @@
-"""Helpers that the training-data operators share: tables, the shared folder, folds."""
+"""What the training-data operators share: driver tables and the training fold."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.folders import fresh_folder, shared_folder, written
+
+__all__ = ["fresh_folder", "held_out", "shared_folder", "table", "written"]
+
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo 4 are held out of every training set.
 HELD_OUT_REMAINDER = 2
 
@@ -17,38 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset a folder is chosen: a temporary one under a plain local master (one
-    machine, as in tests), else one in the warehouse.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local["):
-            folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brindle"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """The URI of a new folder of this name in the shared folder."""
-    folder = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex[:12]}"
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{fresh_folder(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for rows kept out of training; a null id is never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
