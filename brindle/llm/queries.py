@@ -13,6 +13,7 @@ from brindle.llm.language import op7_language
 from brindle.llm.licenses import op6_licenses
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op2_quality
+from brindle.llm.sql import SQL
 from brindle.llm.token_counts import op1_token_counts
 from brindle.llm.token_files import op3_token_files
 from brindle.llm.warc import op9_warc
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -43,7 +43,7 @@ _ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], pa.schema(fields))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], schema=pa.schema(fields))
 
 
 def sha1_base32(payload: bytes) -> str:
