@@ -36,7 +36,7 @@ def ranking_quality(rows: DataFrame, label: str, score: str, *by: str) -> DataFr
     before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = ties.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
     ranks = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("k")).alias("ranks"))
-    both = loss.join(ranks, list(by))
+    both = loss.join(ranks, list(by)) if by else loss.crossJoin(F.broadcast(ranks))  # one row each
     k, m = F.col("ones"), F.col("n") - F.col("ones")
     return both.withColumn("auroc", r6(ratio(F.col("ranks") - k * (k + 1) / 2, k * m))).drop("ranks", "ones")
 
