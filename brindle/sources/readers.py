@@ -146,7 +146,7 @@ def beside(runs: DataFrame, trackers: DataFrame) -> DataFrame:
 
 def log_values(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """One row per log file with what each pattern's first group finds, as numbers; null where it finds nothing."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), *(F.regexp_extract("value", p, 1).try_cast("double").alias(n) for n, p in patterns.items()))
 
 
