@@ -122,3 +122,36 @@ def models_to_artifact(rows: Iterator, threshold: float) -> dict:
 def select_features(features: Column, places: list[int]) -> Column:
     """Some of the features, by place from 0."""
     return F.transform(F.array(*[F.lit(p) for p in places]), lambda i: F.get(features, i))
+
+
+def out_of_fold(rows: DataFrame, steps: int = STEPS, penalty: float = PENALTY, places: list[int] | None = None) -> DataFrame:
+    """(key, fold, budget, safe, score): each row scored by the model of its budget that was fitted without its fold.
+
+    ``rows``: key, fold, budget, features, safe. ``places``: the features to use, by place, for ablations of feature groups.
+    """
+    if places is not None:
+        rows = rows.withColumn("features", select_features(F.col("features"), places))
+    folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
+    train = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds]))).where("without <> fold")
+    models = fit_cells(train, "budget", "without", steps=steps, penalty=penalty).drop("n").withColumnRenamed("without", "fold")
+    scored = rows.join(models, ["budget", "fold"])
+    z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
+    return scored.select("key", "fold", "budget", "safe", sigmoid(F.element_at("weights", 1) + z).alias("score"))
+
+
+def scored_rows(scores: DataFrame) -> DataFrame:
+    """(key, fold, scores, safe): arrays over budgets in order, as threshold searches take them."""
+    got = scores.groupBy("key", "fold").agg(F.array_sort(F.collect_list(F.struct("budget", "score", "safe"))).alias("x"))
+    return got.select("key", "fold", F.transform("x", lambda e: e["score"]).alias("scores"), F.transform("x", lambda e: e["safe"].cast("boolean")).alias("safe"))
+
+
+def replay(rows: DataFrame, threshold: float, budgets: tuple[int, ...], dense_tokens: int = 576) -> DataFrame:
+    """Per fold what a threshold's policy does: rows, unsafe choices, avoidance of dense, tokens; and what the oracle could do."""
+    names = F.array(*[F.lit(b) for b in budgets])
+    pick = F.try_element_at(F.filter(F.arrays_zip(names.alias("b"), F.col("scores"), F.col("safe")), lambda e: e["scores"] >= threshold), F.lit(1))
+    best = F.try_element_at(F.filter(F.arrays_zip(names.alias("b"), F.col("safe")), lambda e: e["safe"]), F.lit(1))
+    rows = rows.withColumns({"_pick": pick, "_best": best})
+    return rows.groupBy("fold").agg(
+        F.count("*").alias("n"), F.count_if(F.col("_pick").isNotNull() & ~F.col("_pick.safe")).alias("unsafe"), F.count("_pick").alias("avoided"),
+        F.avg(F.coalesce("_pick.b", F.lit(dense_tokens))).alias("mean_tokens"), F.count("_best").alias("oracle_avoided"), F.avg(F.coalesce("_best.b", F.lit(dense_tokens))).alias("oracle_tokens"),
+    )

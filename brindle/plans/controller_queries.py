@@ -92,6 +92,22 @@ def _fit(s, sf):
     return models.select("budget", "fold", "n", *(r6(F.element_at("weights", i)).alias(f"w{i}") for i in (1, 2, 3)))
 
 
+def _folds(s, sf):
+    labels = view(s, sf, "labels_by_budget").select("sample_id", "budget", F.col("reference_safe").alias("safe"))
+    rows = _featured(s, sf).join(labels, "sample_id").select(F.col("sample_id").alias("key"), (F.col("sample_id") % 5).cast("int").alias("fold"), "budget", "features", "safe")
+    return controller.scored_rows(controller.out_of_fold(rows, steps=100, places=[0, 1, 10, 11, 12]))
+
+
+def _cross_fit(s, sf):
+    """Out-of-fold scores and what the policy of one threshold does with them, per fold."""
+    got = controller.replay(_folds(s, sf), 0.6, BUDGETS)
+    return got.select("fold", "n", "unsafe", "avoided", "oracle_avoided", r6("mean_tokens").alias("mean_tokens"), r6("oracle_tokens").alias("oracle_tokens"))
+
+
+def _cross_fit_threshold(s, sf):
+    return stats.risk_bounded_threshold(_folds(s, sf), BUDGETS, risk=0.35)
+
+
 def _standardizer(s, sf):
     rows = _featured(s, sf).select("sample_id", F.posexplode("features").alias("place", "value"))
     scale = F.greatest(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), F.lit(1e-8))
@@ -192,6 +208,8 @@ QUERIES = {
         f"{_S} SELECT 'dense' AS selected_budget, count(*) AS n FROM samples",
     ),
     "controller_fit": (_fit, None),
+    "controller_cross_fit": (_cross_fit, None),
+    "controller_cross_fit_threshold": (_cross_fit_threshold, None),
     "standardizer_fit": (
         _standardizer,
         _decide_sql().split(", p AS (")[0] + f" SELECT 0 AS place, {_r('avg(x0)')} AS mean, {_r('greatest(stddev_samp(x0), 1e-8)')} AS scale FROM f UNION ALL SELECT 1, {_r('avg(x1)')}, {_r('greatest(stddev_samp(x1), 1e-8)')} FROM f",
