@@ -21,13 +21,14 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.graph import components
-from brindle.llm.shared import table, written
+from brindle.llm.shared import table
 from brindle.llm.words import chunks, mix, shingle_sets
+from brindle.operators.graph import components
+from brindle.sources.folders import written
 
 WORDS, THRESHOLD = 5, Fraction(3, 4)
 BANDS, ROWS = 12, 3
@@ -36,7 +37,7 @@ SAMPLED = Fraction(1, 2)
 #: Tokens that a mapper gathers before it sends them, and that a reducer holds at once.
 FLUSH_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: Members that are compared with one centre in one task.
-SALT_ROWS = 256
+SALT_ROWS = 64
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -108,19 +109,29 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
 
     ``rows`` has text and, where an owner isn't its own group, owner and grp; else an owner is named by
     the first half of its signature. ``tokens``: about how many there are; it sets bits and buckets. Tokens are cut
-    to bits enough that few collide (a collision only raises a count). A mapper sends, sorted, a posting for
-    each token and owner, but one that it has seen in two groups it counts itself and sends once: so a token that
-    many documents have costs a posting per flush. A reducer holds one bucket of the token space. Owners that
-    come in several flushes may be counted more than once: the result is an upper bound.
+    to bits enough that few collide (a collision only raises a count). A mapper sends, in flushes and sorted, a
+    posting for each token and owner, but one that it has seen in two groups it counts itself and sends once: so a
+    token that many documents have costs a posting per flush. A reducer holds one bucket of the token space and
+    answers each flush with counts, which are added up by flush. Owners that come in several flushes may be
+    counted more than once: the result is an upper bound.
     """
     bits = min(64, max(40, ceil(log2(max(2, tokens))) + 13))
     buckets = max(1, ceil(tokens * part / BUCKET_TOKENS))
     top = int((1 << 64) * part)
     width = min(-(-top // buckets), (1 << 64) - 1)
     named = "owner" in rows.columns
-    out = "bucket int, tokens binary, at binary, owners binary, groups binary, done bigint, shared bigint"
-
-    def flush(toks: list[np.ndarray], owners: list[int], groups: list[int]) -> Iterator[pa.RecordBatch]:
+    # bucket >= 0: postings (tokens, places of owners in the flush, groups of places); -1: the flush's owners and own counts
+    sent = "flush bigint, bucket int, tokens binary, places binary, groups binary"
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in sent.split(", ")]
+    marked = np.uint32(0xFFFFFFFF)
+
+    def batches_of(found: list[tuple], types: list, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(found), 500):
+            cols = zip(*found[s : s + 500], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], columns)
+
+    def flush(number: int, toks: list[np.ndarray], owners: list[int], groups: list[int]) -> Iterator[pa.RecordBatch]:
         if not toks:
             return
         own = np.repeat(np.arange(len(toks), dtype=np.uint32), [len(t) for t in toks])
@@ -128,33 +139,26 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
         order = np.argsort(tok, kind="stable")
         tok, own = tok[order], own[order]
         owner, grp = np.array(owners, np.int64), np.array(groups, np.int64)
-        first = np.concatenate(([True], tok[1:] != tok[:-1]))[: len(tok)]
-        run = np.flatnonzero(first)
-        g = grp[own]
+        local, found = np.zeros(len(owner), np.int64), []
         if len(tok):
+            first = np.concatenate(([True], tok[1:] != tok[:-1]))
+            run = np.flatnonzero(first)
+            g = grp[own]
             several = np.repeat(np.minimum.reduceat(g, run) != np.maximum.reduceat(g, run), np.diff(np.append(run, len(tok))))
             local = np.bincount(own[several], minlength=len(owner))
             keep = ~several | first
-            tok, several = tok[keep], several[keep]
-            own = np.where(several, np.uint32(0xFFFFFFFF), own[keep])
+            own = np.where(several, marked, own)[keep]
+            tok = tok[keep]
             of = np.minimum((tok << np.uint64(64 - bits)) // np.uint64(width), np.uint64(buckets - 1)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-        else:
-            local, cuts = np.zeros(len(owner), np.int64), np.array([0])
-        send: list[tuple] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            here, at = np.unique(own[a:b], return_inverse=True)
-            marked = bool(len(here)) and here[-1] == 0xFFFFFFFF
-            whose = here[:-1] if marked else here
-            at = at.astype(np.uint16 if len(here) < 65_536 else np.uint32)
-            send.append((int(of[a]), tok[a:b].astype("<u8").tobytes(), at.tobytes(), owner[whose].tobytes(), grp[whose].tobytes(), 0, 0))
-        rows_out = send + [(-1, None, None, None, None, int(o), int(n)) for o, n in zip(owner, local, strict=True)]
-        for s in range(0, len(rows_out), 2000):
-            cols = list(zip(*rows_out[s : s + 2000], strict=True))
-            kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                g = np.where(own[a:b] == marked, 0, grp[np.minimum(own[a:b], len(grp) - 1)])
+                found.append((number, int(of[a]), tok[a:b].astype("<u8").tobytes(), own[a:b].astype("<u4").tobytes(), _packed(g)))
+        found.append((number, -1, owner.tobytes(), local.astype("<i8").tobytes(), None))
+        yield from batches_of(found, kinds, names)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         toks: list[np.ndarray] = []
         owners: list[int] = []
         groups: list[int] = []
@@ -164,75 +168,102 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
         for batch in batches:
             ids = batch.column("owner").to_pylist() if named else None
             grp = batch.column("grp").to_pylist() if named else None
-            for i, tokens_ in _sets(batch, "text", k):
-                if not len(tokens_):
+            for i, found in _sets(batch, "text", k):
+                if not len(found):
                     continue
-                o = ids[i] if ids else signature(tokens_)[0]
+                o = ids[i] if ids else signature(found)[0]
                 if o in seen:
                     continue
                 seen.add(o)
-                t = tokens_[: np.searchsorted(tokens_, limit, "right")]
+                t = found[: np.searchsorted(found, limit, "right")]
                 toks.append(t)
                 owners.append(o)
                 groups.append(grp[i] if grp else o)
                 size += len(t)
                 if size >= FLUSH_TOKENS:
-                    yield from flush(toks, owners, groups)
+                    yield from flush(number, toks, owners, groups)
+                    number += 1
                     toks, owners, groups, seen, size = [], [], [], set(), 0
-        yield from flush(toks, owners, groups)
+        yield from flush(number, toks, owners, groups)
+
+    answer = "flush bigint, kind int, places binary, counts binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-            tok = [np.frombuffer(b["tokens"], "<u8") for b in blobs]
-            owners, groups, base = [np.array([0])], [np.array([0])], 1
-            own = []
-            for b in blobs:
-                o = np.frombuffer(b["owners"], np.int64)
-                at = np.frombuffer(b["at"], np.uint16 if len(b["at"]) == 2 * (len(b["tokens"]) // 8) else np.uint32).astype(np.int64)
-                own.append(np.where(at < len(o), at + base, 0))  # 0: a mapper saw it in two groups
-                owners.append(o)
-                groups.append(np.frombuffer(b["groups"], np.int64))
-                base += len(o)
-            tok, own = np.concatenate(tok), np.concatenate(own)
-            owner, grp = np.concatenate(owners), np.concatenate(groups)
+        def result(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
+            if not blobs:
+                return
+            tok = np.concatenate([np.frombuffer(b["tokens"], "<u8") for b in blobs])
+            own = np.concatenate([np.frombuffer(b["places"], "<u4") for b in blobs])
+            grp = np.concatenate([_unpacked(b["groups"]) for b in blobs])
+            of = np.repeat(np.arange(len(blobs)), [len(b["tokens"]) // 8 for b in blobs])
             order = np.argsort(tok, kind="stable")
-            tok, own = tok[order], own[order]
+            tok, own, grp, of = tok[order], own[order], grp[order], of[order]
             run = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-            size = np.diff(np.append(run, len(tok)))
-            g, known = grp[own], own == 0
-            big = np.where(known, np.iinfo(np.int64).min, g)
-            small = np.where(known, np.iinfo(np.int64).max, g)
-            several = np.logical_or.reduceat(known, run) | (np.minimum.reduceat(small, run) != np.maximum.reduceat(big, run))
-            pick = np.repeat(several, size) & ~known
-            n = np.bincount(own[pick], minlength=len(owner))
-            spots = np.flatnonzero(n)
-            return owner[spots], n[spots]
-
-        def result(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
-            if blobs:
-                o, n = count(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(n, pa.int64())], ["owner", "shared"])
+            known = own == marked
+            low = np.where(known, np.iinfo(np.int64).max, grp)
+            high = np.where(known, np.iinfo(np.int64).min, grp)
+            several = np.logical_or.reduceat(known, run) | (np.minimum.reduceat(low, run) != np.maximum.reduceat(high, run))
+            pick = np.repeat(several, np.diff(np.append(run, len(tok)))) & ~known
+            found = []
+            of, own = of[pick], own[pick]
+            order = np.argsort(of, kind="stable")
+            of, own = of[order], own[order]
+            cuts = np.searchsorted(of, np.arange(len(blobs) + 1))
+            for i, b in enumerate(blobs):
+                place, n = np.unique(own[cuts[i] : cuts[i + 1]], return_counts=True)
+                if len(place):
+                    found.append((b["flush"], 1, place.astype("<u4").tobytes(), n.astype("<i8").tobytes()))
+            yield from batches_of(found, [pa.int64(), pa.int32(), pa.binary(), pa.binary()], ["flush", "kind", "places", "counts"])
 
         blobs: list[dict] = []
         for batch in batches:
-            own = batch.filter(pc.less(batch.column("bucket"), 0))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("done"), own.column("shared")], ["owner", "shared"])
-            for b in batch.filter(pc.greater_equal(batch.column("bucket"), 0)).to_pylist():
+            for b in batch.to_pylist():
+                if b["bucket"] < 0:
+                    yield from batches_of([(b["flush"], 0, b["tokens"], b["places"])], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], ["flush", "kind", "places", "counts"])
+                    continue
                 if blobs and blobs[-1]["bucket"] != b["bucket"]:
                     yield from result(blobs)
                     blobs = []
                 blobs.append(b)
         yield from result(blobs)
 
-    sent = rows.mapInArrow(scatter, out)
-    # what a mapper has counted itself is dealt out by owner
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("done"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    dealt = sent.withColumn("to", spread).repartition(buckets, "to").sortWithinPartitions("bucket")
-    counts = dealt.drop("to").mapInArrow(gather, "owner bigint, shared bigint")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(owner, total) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(total, pa.int64())], ["owner", "shared"])
+
+        now = owner = total = None
+        for batch in batches:
+            for b in batch.to_pylist():
+                if b["kind"] == 0:  # a flush begins with its owners
+                    if owner is not None:
+                        yield result(owner, total)
+                    now, owner, total = b["flush"], np.frombuffer(b["places"], np.int64), np.frombuffer(b["counts"], "<i8").copy()
+                elif b["flush"] != now:
+                    raise ValueError("counts of a flush without its owners")
+                else:
+                    total[np.frombuffer(b["places"], "<u4")] += np.frombuffer(b["counts"], "<i8")
+        if owner is not None:
+            yield result(owner, total)
+
+    # a flush's owners go to any bucket, so that they don't all meet in one task
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("flush"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    dealt = rows.mapInArrow(scatter, sent).withColumn("to", spread).repartition(buckets, "to").sortWithinPartitions("bucket").drop("to")
+    answers = dealt.mapInArrow(gather, answer).repartition("flush").sortWithinPartitions("flush", "kind")
+    counts = answers.mapInArrow(add_up, "owner bigint, shared bigint")
     return counts.groupBy("owner").agg(F.sum("shared").alias("shared"))
 
 
+def _packed(groups: np.ndarray) -> bytes:
+    """Groups of postings: the distinct ones, then each posting's place among them."""
+    distinct, at = np.unique(groups, return_inverse=True)
+    return np.array([len(distinct)], "<i8").tobytes() + distinct.astype("<i8").tobytes() + at.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.frombuffer(raw, "<i8", n, 8)[np.frombuffer(raw, "<u2" if n <= 1 << 16 else "<u4", offset=8 + 8 * n)]
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
     """The linked ones of ``pairs`` (a, b); ``texts`` has (rep, text), each rep once.
 
@@ -281,7 +312,9 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
     """Pairs (a, b) of classes in different groups that may be linked; ``open_``: (rep, grp, n, text).
 
     Tokens are ordered by the number of groups that have them, so a class and a partner of at least the
-    threshold share one of its first n - ceil(t n) + 1; tokens of one group come first and need no row.
+    threshold share one of its first n - ceil(t n) + 1; tokens of one group come first and need no row. At the first
+    token that two share, neither has more left than its size less the token's place: pairs that can't
+    reach the overlap that the threshold asks of their sizes are left out there.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +333,14 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
         shared.withColumn("rank", F.row_number().over(order))
         .withColumn("alone", F.col("n") - F.count("*").over(all_))
         .where(F.col("rank") <= most - F.col("alone"))
-        .select("token", "rep", "grp", "n")
+        .select("token", "rep", "grp", "n", (F.col("n") - F.col("alone") - F.col("rank") + 1).alias("left"))
     )
     prefix = written(prefix, "open-prefixes")
-    x = prefix.select("token", F.col("rep").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"))
-    y = prefix.select("token", F.col("rep").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"))
+    x = prefix.select("token", F.col("rep").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("left").alias("la"))
+    y = prefix.select("token", F.col("rep").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
     met = x.join(y, "token").where("a < b and ga != gb")
     met = met.where(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator)
+    met = met.where(F.least("la", "lb") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator)
     return met.select("a", "b").distinct()
 
 
@@ -346,7 +380,8 @@ def at_least_sql(n: str):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """Per row of ``df``: key, n_shingles, component_id (the smallest key that links reach, its own included).
 
-    Null and empty texts, and texts without words: 0, linked with nothing. Rows of one key are one document.
+    Null and empty texts, and texts without words: 0, linked with nothing. Rows of one key are one document, and
+    where they have several texts, links other than to equal sets are those of the longest.
     A null key: linked only with rows of an equal set, its component null if they have no key either. An
     empty table: no rows. Columns other than key and text are ignored.
     """
