@@ -14,6 +14,8 @@ import re
 import numpy as np
 import public_tokenizers
 
+from brindle.llm.shared import remembers, working_on
+
 MODEL = "byte_bpe_50k.json"
 #: Most pieces that a worker remembers, and the longest it remembers.
 MEMO_ENTRIES, MEMO_CHARS = 600_000, 40
@@ -98,8 +100,10 @@ _loaded: dict[str, ByteIds] = {}
 
 def byte_ids(path: str) -> ByteIds:
     """The worker's encoder for this tokenizer file."""
+    working_on("byte_ids")
     if path not in _loaded:
         _loaded[path] = ByteIds(path)
+        remembers("byte_ids", _loaded.clear)
     return _loaded[path]
 
 

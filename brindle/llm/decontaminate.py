@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import table
+from brindle.llm.shared import table, working_on
 from brindle.llm.words import chunks, hash_words, mix
 
 #: Least words of a tile, first length that is searched for, and the coverage from which an item counts as leaked.
@@ -185,6 +185,7 @@ def leaks(spark: SparkSession, benchmark: DataFrame, text: str = "text", coverag
 
         @F.arrow_udf(HITS)
         def hits(texts: pa.Array) -> pa.Array:
+            working_on("decontaminate")
             return pa.array(sent.value.hits([t.encode() for t in texts.to_pylist()], coverage), _HIT)
 
         return hits(F.coalesce(F.col(text), F.lit("")))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import table
+from brindle.llm.shared import release, table, working_on
 from brindle.llm.words import chunks, mix, shingle_sets
 from brindle.operators.graph import components
 from brindle.sources.folders import written
@@ -64,6 +64,7 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    working_on("jaccard_join")
     texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
     for s in chunks(texts):
         yield from enumerate(shingle_sets(texts[s], k), s.start)
@@ -185,6 +186,7 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
                     number += 1
                     toks, owners, groups, seen, size = [], [], [], set(), 0
         yield from flush(number, toks, owners, groups)
+        release()
 
     answer = "flush bigint, kind int, places binary, counts binary"
 
@@ -226,6 +228,7 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
                     blobs = []
                 blobs.append(b)
         yield from result(blobs)
+        release()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(owner, total) -> pa.RecordBatch:

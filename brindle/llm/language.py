@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import held_out, table
+from brindle.llm.shared import held_out, table, working_on
 from brindle.llm.words import chunks
 
 #: Labelled rows of each language that the model may learn from, about; and the longest text among them.
@@ -28,6 +28,14 @@ SCRIPT_SHARE = 0.05
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (not a numeral that words may hold)."""
+    found = LETTER.search(text)
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
+
 #: First and last code point of common scripts; what is in none of them counts as Latin.
 SCRIPT_RANGES = (
     ("greek", 0x0370, 0x03FF),
@@ -118,7 +126,7 @@ class LanguageModel:
         """
         out: list = [(UNDETERMINED, 0.0, [])] * len(texts)
         k = len(self.languages)
-        use = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if k else []
+        use = [i for i, t in enumerate(texts) if t and has_letter(t)] if k else []
         coded = [texts[i].encode() for i in use]
         later: list[tuple[int, np.ndarray, np.ndarray]] = []
         for s in chunks(coded, 1 << 20):
@@ -212,7 +220,7 @@ def fit(samples: dict[str, list[str]]) -> LanguageModel:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from text and language of rows that aren't held out.
 
-    The sample is bounded: of each language about ``PER_LANGUAGE`` rows, those of the smallest id hashes, of at most ``SAMPLE_CHARS`` characters.
+    The sample is bounded: of each language about ``PER_LANGUAGE`` rows, chosen by hash, of at most ``SAMPLE_CHARS`` characters.
     """
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & (F.length(text) <= SAMPLE_CHARS)
     known = docs.where(usable).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -223,7 +231,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # hashed with the text, so that rows of one id don't all come or stay away
     chosen = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     samples: dict[str, list[str]] = {k: [] for k in there}
-    for r in known.where(chosen).select("lang", "text").collect():
+    # a row that is repeated counts once, so that copies don't crowd the sample or the driver
+    for r in known.where(chosen).distinct().limit(4 * PER_LANGUAGE * len(there)).collect():
         samples[r["lang"]].append(r["text"])
     return fit(samples)
 
@@ -234,6 +243,7 @@ def labeller(spark: SparkSession, model: LanguageModel, text: str = "text") -> C
 
     @F.arrow_udf("struct<lang_pred: string, score: double, spans: array<struct<lang: string, first_word: int, words: int>>>")
     def label(texts: pa.Array) -> pa.Array:
+        working_on("language")
         found = sent.value.label(texts.to_pylist())
         span = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())])
         spans = pa.array([[dict(zip(("lang", "first_word", "words"), s, strict=True)) for s in f[2]] for f in found], pa.list_(span))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import held_out, table
+from brindle.llm.shared import held_out, table, working_on
 from brindle.llm.words import chunks, hash_words
 
 #: Labelled rows of each label that the model may learn from; those of the smallest id hashes.
@@ -147,6 +147,7 @@ def scorer(spark: SparkSession, model: QualityModel, text: str = "text") -> Colu
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        working_on("quality")
         return pa.array(sent.value.score([t.encode() for t in texts.to_pylist()]))
 
     return score(F.coalesce(F.col(text), F.lit("")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import table
+from brindle.llm.shared import remembers, table, working_on
 
 MODEL = "piece_bpe_32k.model"
 OVER_LIMIT = 4096
@@ -97,8 +97,10 @@ _loaded: dict[str, WholeTokenCounter] = {}
 
 def counter(model_file: str) -> WholeTokenCounter:
     """The worker's counter of this model."""
+    working_on("token_counts")
     if model_file not in _loaded:
         _loaded[model_file] = WholeTokenCounter(model_file)
+        remembers("token_counts", _loaded.clear)
     return _loaded[model_file]
 
 

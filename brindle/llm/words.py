@@ -15,7 +15,7 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = 0xD6E8FEB86659FD93 | 1
 #: Most bytes that are hashed at once; a longer text is hashed alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Byte -> lower-case byte, and byte -> is part of a word: all but ASCII white space.

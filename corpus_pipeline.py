@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, jaccard_join, language, packing, quality
-from brindle.llm.shared import table, written
+from brindle.llm.shared import bounded_batches, table, written
 
 #: A document stays if so much of its letters is in the language that it is labelled with.
 LANGUAGE_SHARE = 0.5
@@ -19,7 +19,7 @@ LANGUAGE_SHARE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without letters or of which no language has half go."""
     found = language.labeller(spark, language.learn(docs))
-    marked = docs.withColumn("_found", found)
+    marked = bounded_batches(docs).withColumn("_found", found)
     kept = (F.col("_found.lang_pred") != language.UNDETERMINED) & (F.col("_found.score") >= LANGUAGE_SHARE)
     return marked.where(kept).drop("_found")
 
@@ -32,7 +32,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; rows without an id: one of each text."""
-    found = jaccard_join.near_duplicates(docs)
+    found = jaccard_join.near_duplicates(bounded_batches(docs))
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(stay, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in training sequences."""
-    return packing.packed(docs)
+    return packing.packed(bounded_batches(docs))
 
 
 STAGES = [
