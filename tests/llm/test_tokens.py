@@ -122,3 +122,25 @@ def test_pack_by_counts():
     assert packing.pack({60: 2, 40: 2, 55: 1, 45: 1}, 100)[1] == 3
     with pytest.raises(ValueError):
         packing.pack({101: 1}, 100)
+
+
+def test_a_worker_forgets_what_other_operators_remember(spark):
+    from brindle.llm import shared
+
+    forgotten = []
+    shared.remembers("test", lambda: forgotten.append(1))
+    shared.working_on("test")
+    assert not forgotten
+    shared.working_on("another")
+    shared.working_on("another")
+    assert forgotten == [1]
+    del shared._remembered["test"]
+    assert spark.conf.get(shared.BATCH) != "67108864b" or not shared.bounded_batches(spark.range(1)).isEmpty()
+
+
+def test_words_of_letters_go_to_the_model_at_once(tokenizer):
+    encoder = byte_ids.ByteIds(byte_ids.model_path())
+    for word in ("hello", "Übermäßig", "naïve", "x", "straße" * 9):
+        assert encoder.merge(" " + word) == np.array(tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
+    ts = ["a ßtraße Ⅷ ½x ª x² ʰa", "ɐ ɐb", "\x1fword  xª"]
+    assert [encoder.encode(t) for t in ts] == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ts]
