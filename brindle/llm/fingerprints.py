@@ -14,7 +14,7 @@ Section and paragraph hashes are listed by their first 16 digits, the root whole
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.shared import table, written
@@ -72,15 +72,25 @@ def phrase_set(fp: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fp, F.lit(r"(?<=[~.])[0-9a-f]{%d}" % LEAF), F.lit(0)))
 
 
-def likeness(a: Column, b: Column, of_a: Column | None = None, of_b: Column | None = None) -> Column:
-    """Twice the phrases in common over all of both; 1 for equal roots, 0 if only one has phrases or neither has.
+def packed_phrases(fp: Column) -> Column:
+    """The phrase set as binary, 4 bytes a phrase: half of what its text takes on the way to another task."""
+    return F.unhex(F.array_join(phrase_set(fp), ""))
+
+
+def unpacked_phrases(packed: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(packed)), F.lit(".{%d}" % LEAF), F.lit(0))
+
+
+def set_likeness(root_a: Column, a: Column, root_b: Column, b: Column) -> Column:
+    """Likeness of two fingerprints of which the roots and the phrase sets are at hand."""
+    total = F.size(a) + F.size(b)
+    share = F.when(total > 0, 2.0 * F.size(F.array_intersect(a, b)) / F.greatest(total, F.lit(1))).otherwise(F.lit(0.0))
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(share)
 
-    ``of_a``, ``of_b``: their phrase sets where these are at hand.
-    """
-    x, y = of_a if of_a is not None else phrase_set(a), of_b if of_b is not None else phrase_set(b)
-    total = F.size(x) + F.size(y)
-    share = F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(total, F.lit(1))).otherwise(F.lit(0.0))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(share)
+
+def likeness(a: Column, b: Column) -> Column:
+    """Twice the phrases in common over all of both; 1 for equal roots, 0 if only one has phrases or neither has."""
+    return set_likeness(root(a), phrase_set(a), root(b), phrase_set(b))
 
 
 def edits(a: Column, b: Column) -> Column:
@@ -109,35 +119,32 @@ def next_in_order(ids: DataFrame) -> DataFrame:
 
     Ids are dealt out by ranges, so a window holds one range; the ends of ranges (one row each) are then tied together.
     """
-    from pyspark.sql import Window
-
     ranged = ids.repartitionByRange(F.desc("id")).withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "ordered-ids")
     inside = ranged.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy(F.desc("id"))))
     ends = ranged.groupBy("part").agg(F.max("id").alias("first"), F.min("id").alias("last"))
     after = F.lead("first").over(Window.orderBy("part"))
-    top = ends.agg(F.max("first").alias("top"))
-    ties = ends.select(F.col("last").alias("id"), after.alias("tied")).crossJoin(F.broadcast(top))  # top: one row
-    ties = ties.select("id", F.coalesce("tied", "top").alias("tied"))
+    top = F.lit(ranged.agg(F.max("id")).first()[0]).cast(ids.schema["id"].dataType)  # the one that follows the smallest
+    ties = ends.select(F.col("last").alias("id"), F.coalesce(after, top).alias("tied"))
     return inside.where("next is not null").select("id", "next").unionByName(ties.select("id", F.col("tied").alias("next")))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, text, next.start (the next document's text, as much as half of this one's length), next.fp (its fingerprint).
+    """Per row: key, text, and of the next document next.start (its text, as much as half of this one's length), next.root, next.phrases.
 
-    Two shuffles: whole texts by their key, once for both uses, and starts and fingerprints to the documents before them.
+    Two shuffles: whole texts by their key, once for both uses, and what the documents before them need of them.
     """
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = written(whole.groupBy("key").agg(F.max(F.length("text")).alias("most")), "fingerprint-sizes")
-    order = next_in_order(sizes.where("key is not null").select(F.col("key").alias("id")))
+    keyed = whole.where("key is not null")
+    sizes = written(keyed.groupBy("key").agg(F.max(F.length("text")).alias("most")), "fingerprint-sizes")
+    order = next_in_order(sizes.select(F.col("key").alias("id")))
     asked = order.join(sizes.withColumnRenamed("key", "id"), "id")
     asked = asked.select(F.col("id").alias("before"), F.col("next").alias("key"), F.floor(F.col("most") / 2).cast("int").alias("n"))
-    given = whole.join(asked.hint("merge"), "key").select(
-        F.col("before").alias("key"),
-        F.struct(F.substring(F.col("text"), F.lit(1), F.col("n")).alias("start"), fingerprint(F.col("text")).alias("fp")).alias("next"),
-    )
+    given = keyed.join(asked.hint("merge"), "key").select("before", F.substring(F.col("text"), F.lit(1), F.col("n")).alias("start"), fingerprint(F.col("text")).alias("fp"))
+    given = given.select(F.col("before").alias("key"), F.struct("start", root(F.col("fp")).alias("root"), packed_phrases(F.col("fp")).alias("phrases")).alias("next"))
     given = given.groupBy("key").agg(F.min("next").alias("next"))
-    return whole.join(given.hint("merge"), "key", "left")
+    alone = whole.where("key is null").withColumn("next", F.lit(None).cast(given.schema["next"].dataType))
+    return keyed.join(given.hint("merge"), "key").select("key", "text", "next").unionByName(alone)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,16 +166,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 F.coalesce(F.substring(F.col("next.start"), F.lit(1), half), F.lit("")),
             ),
         )
-        .select(
-            "key", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"),
-            fingerprint(F.col("edited")).alias("edited_fp"), F.coalesce("next.fp", fingerprint(F.lit(""))).alias("next_fp"),
-        )
+        .select("key", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), fingerprint(F.col("text")).alias("a"), fingerprint(F.col("edited")).alias("b"), "next")
     )
-    a, b, c = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    a, b = F.col("a"), F.col("b")
     rows = rows.withColumn("own", phrase_set(a))
+    empty = root(fingerprint(F.lit("")))
+    near_next = set_likeness(root(a), F.col("own"), F.coalesce("next.root", empty), F.coalesce(unpacked_phrases(F.col("next.phrases")), F.array().cast("array<string>")))
     return rows.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", a.alias("fingerprint"), b.alias("edited_fingerprint"),
-        likeness(a, b, F.col("own")).alias("near_edited"), likeness(a, c, F.col("own")).alias("near_next"),
+        set_likeness(root(a), F.col("own"), root(b), phrase_set(b)).alias("near_edited"), near_next.alias("near_next"),
     )
 
 
