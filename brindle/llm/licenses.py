@@ -6,7 +6,8 @@ many documents of the corpus have them, the rarest first. A block that holds at
 must hold one of T's first |T| - ceil(t |T|) + 1 words (prefix filter), have at least ceil(t |T|) words (length
 filter), and, from the first common word on, still have enough of T before it (positional filter). Blocks that pass are
 counted exactly. Of each block only the best template counts, so a license isn't taken for a shorter one that
-it contains. Templates are a fixed list of a few kilobytes; all tasks have them, and no text is shuffled.
+it contains; with ``every``, all templates count but those whose words at their places belong to others.
+Templates are a fixed list of a few kilobytes; all tasks have them, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -77,9 +78,10 @@ class Found:
 
 
 class LicenseScan:
-    """Templates and phrases in the order of the corpus. ``df``: word hash -> documents with it."""
+    """Templates and phrases in the order of the corpus. ``df``: word hash -> documents with it. ``every``: not only a block's best template."""
 
-    def __init__(self, df: dict[int, int], templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT):
+    def __init__(self, df: dict[int, int], templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT, every: bool = False):
+        self.every = every
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.labels = [label for _, label in templates] + [label for _, label in phrases]
         sets = [np.unique(words_of(t)) for t, _ in templates] + [np.unique(p) for p, _ in self.phrases]
@@ -89,6 +91,8 @@ class LicenseScan:
         self.known = np.sort(np.array(vocabulary, np.uint64))
         self.rank = np.array([self.order[int(h)] for h in self.known], np.int64)  # of the sorted hashes
         self.sets = [np.sort([self.order[int(h)] for h in s]) for s in sets]
+        #: words that follow one another in a template
+        self.follow = [{(self.order[int(x)], self.order[int(y)]) for x, y in zip(w[:-1], w[1:], strict=True)} for w in (words_of(t) for t, _ in templates)]
         self.need = [ceil(containment * len(s) - 1e-9) if i < self.n_templates else len(s) for i, s in enumerate(self.sets)]
         #: word -> (template, place in it), for the words of prefixes
         self.prefix: dict[int, list[tuple[int, int]]] = {}
@@ -114,6 +118,47 @@ class LicenseScan:
                 shares[t] = n / len(self.sets[t])
         return shares
 
+    def places(self, at: np.ndarray, rank: np.ndarray, t: int) -> tuple[int, list[set[int]]]:
+        """Where template t stands in a block: the shortest runs that hold all the words of it that the block has, none over another.
+
+        Of runs of one length those come first in which more words follow one another as in the template. Returned with the
+        number of such words in the best run; a place is the positions of t's words.
+        """
+        mine = np.isin(rank, self.sets[t])
+        spots, words = at[mine].tolist(), rank[mine].tolist()
+        n, a, count, runs = len(set(words)), 0, {}, []
+        for b, w in enumerate(words):
+            count[w] = count.get(w, 0) + 1
+            while count[words[a]] > 1:
+                count[words[a]] -= 1
+                a += 1
+            if len(count) == n:
+                follow = sum((words[i], words[i + 1]) in self.follow[t] and spots[i + 1] == spots[i] + 1 for i in range(a, b))
+                runs.append((spots[b] - spots[a], -follow, a, b))
+        chosen: list[set[int]] = []
+        taken = np.zeros(len(words), bool)
+        for _, _, a, b in sorted(runs):
+            if not taken[a] and not taken[b] and not taken[a : b + 1].any():
+                taken[a : b + 1] = True
+                chosen.append(set(spots[a : b + 1]))
+        return -min(runs)[1], chosen
+
+    def standing(self, at: np.ndarray, rank: np.ndarray, shares: dict[int, float]) -> list[int]:
+        """The templates of ``shares`` but those of which the words at each place belong to others that match better or are larger."""
+        found = {t: self.places(at, rank, t) for t in shares}
+        hits = {t: round(shares[t] * len(self.sets[t])) for t in shares}
+        kept: list[int] = []
+        claimed: set[int] = set()
+        for t in sorted(shares, key=lambda t: (-shares[t], -len(self.sets[t]), -found[t][0], t)):
+            if not all(p <= claimed for p in found[t][1]):
+                kept.append(t)
+                claimed.update(*found[t][1])
+        for t in sorted(kept, key=lambda t: hits[t]):
+            larger = set().union(*(p for u in kept if hits[u] > hits[t] for p in found[u][1]))
+            if all(p <= larger for p in found[t][1]):
+                kept.remove(t)
+        return kept
+
     def scan(self, texts: list[bytes]) -> list[Found]:
         out: list[Found] = []
         for s in chunks(texts):
@@ -148,12 +193,13 @@ class LicenseScan:
             blocks.add((int(same[0]), int(same[-1]) + 1))
         for x, y in blocks:
             w0, w1 = bounds[x], bounds[y]
-            here = np.unique(rank[np.searchsorted(at, w0) : np.searchsorted(at, w1)])
-            shares = self.candidates(here, int(w1 - w0), False)
-            if shares:
-                t = max(shares, key=lambda t: (shares[t], len(self.sets[t]), -t))
-                labels.add(self.labels[t])
-                score = max(score, shares[t])
+            i, j = np.searchsorted(at, (w0, w1))
+            shares = self.candidates(np.unique(rank[i:j]), int(w1 - w0), False)
+            if shares and self.every:
+                labels.update(self.labels[t] for t in self.standing(at[i:j], rank[i:j], shares))
+            elif shares:
+                labels.add(self.labels[max(shares, key=lambda t: (shares[t], len(self.sets[t]), -t))])
+            score = max(score, *shares.values(), 0.0)
         # phrases: the document is the block, then the places one by one
         starts: list[np.ndarray] = []
         base: set[str] = set()
@@ -213,14 +259,15 @@ def scanner(spark: SparkSession, scan: LicenseScan, text: str = "text") -> Colum
     return found(F.coalesce(F.col(text), F.lit("")))
 
 
-def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a template).
 
     Two narrow passes over the text: the words' frequencies, then the join. Null, empty and wordless texts: no words, no
     places, empty labels, 0. Null keys and repeated rows: each row on its own. Ties of templates in a block: the longest, then the
-    first of the list. An empty table: no rows. Columns other than key and text are ignored.
+    first of the list; with ``every`` all that stand in it (:meth:`LicenseScan.standing`). An empty table: no rows. Columns
+    other than key and text are ignored.
     """
-    scan = LicenseScan(document_frequencies(docs, text))
+    scan = LicenseScan(document_frequencies(docs, text), every=every)
     found = docs.select(F.col(key), scanner(docs.sparkSession, scan, text).alias("_found"))
     return found.select(key, "_found.*")
 

@@ -176,6 +176,23 @@ def test_license_join_equals_brute_force():
         assert set(found.labels) == expected | set(found.base_labels), block
 
 
+GPL3, GPL2, LGPL3 = (f"This work is licensed under the GNU {n} Public License, version {v}." for n, v in (("General", 3), ("General", 2), ("Lesser General", 3)))
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+BY, SA = "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0."
+
+
+def test_every_notice_of_a_block(spark):
+    cases = [
+        (f"{GPL3} {MPL}", "gpl-3,mpl-2"), (f"{MPL} {GPL3}", "gpl-3,mpl-2"), (f"{BY} {SA}", "cc-by,cc-by-sa"), (f"{SA} {BY} {SA}", "cc-by,cc-by-sa"),
+        (f"{GPL2} {LGPL3}", "gpl-2,lgpl-3"), (f"{LGPL3}\n{GPL2}", "gpl-2,lgpl-3"), (f"{LGPL3} {GPL2}", "gpl-2,lgpl-3"),
+        # one notice stays one: what it contains belongs to it
+        (SA, "cc-by-sa"), (LGPL3, "lgpl-3"), (GPL2, "gpl-2"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-nc-sa"), (f"{SA} {SA}", "cc-by-sa"), ("zz " * 5000, ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(df, every=True).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 ITEM = " ".join(f"word{i}" for i in range(20))
