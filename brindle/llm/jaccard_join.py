@@ -1,14 +1,14 @@
-"""Exact n-gram Jaccard join with a token-group matrix.
+"""Exact n-gram Jaccard join: counts of tokens by group, then a prefix-filter join.
 
 A document is its set of distinct word shingles. Documents of equal sets are one class from the start. A link
 needs three quarters of both sets in common, so a class can only be linked if so many of its tokens (shingle
 hashes) occur in another class at all; counting that once over all tokens removes most of a corpus. What is
 left is partitioned into groups of similar documents (min-hash buckets; a member is tied to a bucket's smallest
-or largest class where the exact Jaccard says so). The matrix has the groups as columns and, as the entries of
-one, the union of its members' tokens. A query's tokens in the unions of all other groups bound its overlap
-with any of them: below three quarters no group can hold a partner and none is opened. For queries above,
-the rarest tokens, by how many groups have them, tell which groups can qualify; those are opened and
-their members compared exactly. Components come from links, never from pairs within a group of copies.
+or largest class where the exact Jaccard says so). How many of a class's tokens occur in any other group, all
+taken together, bounds its overlap with each of them: below three quarters no group can hold a partner. Classes
+above are met by the rarest tokens, by how many groups have them, with length and positional filters, and
+compared exactly; there is no union per group, no bound against a single group, and no group is opened as a
+whole. Components come from links, never from pairs within a group of copies.
 
 Min-hashes only choose the groups. Wherever they err, the bounds still find each link between two groups.
 """
