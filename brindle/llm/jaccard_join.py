@@ -22,7 +22,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.shared import release, table, working_on
@@ -71,7 +71,7 @@ def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[tuple[int, np.
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """Per row: key, n (set size), sampled (tokens in the sampled part), s1 and s2 (signature), bands."""
+    """Per row: key, at (:func:`place` of its text), n (set size), sampled (tokens in the sampled part), s1 and s2 (signature), bands."""
     kind = df.schema[key].dataType.simpleString()
     limit = np.uint64(int((1 << 64) * SAMPLED) - 1)
 
@@ -92,17 +92,28 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WO
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(sampled, pa.int64()),
                     pa.array([s[0] for s in sigs], pa.int64()),
                     pa.array([s[1] for s in sigs], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                ["key", "n", "sampled", "s1", "s2", "bands"],
+                ["key", "at", "n", "sampled", "s1", "s2", "bands"],
             )
 
-    schema = f"key {kind}, n bigint, sampled bigint, s1 bigint, s2 bigint, bands array<bigint>"
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(of, schema)
+    schema = f"key {kind}, at bigint, n bigint, sampled bigint, s1 bigint, s2 bigint, bands array<bigint>"
+    return df.select(F.col(key).alias("key"), place(text).alias("at"), F.col(text).alias("text")).mapInArrow(of, schema)
+
+
+def place(text: str) -> Column:
+    """64 bits of a text, by which it is found again among those of its key."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def least(key: str = "key") -> Column:
+    """The smallest key of a group and a text of it; rows without a key come last."""
+    return F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("at")))
 
 
 def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k: int = WORDS) -> DataFrame:
@@ -298,17 +309,18 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = WORDS, t: Fraction = THR
 
 
 def centres(classes: DataFrame) -> DataFrame:
-    """(a, b): for each class b of ``classes`` (rep, bands) the two centres a that share most min-hash buckets with it.
+    """(a, b): for each class b of ``classes`` (rep, none, key, at, bands) the two centres a that share most min-hash buckets with it.
 
-    A bucket's centres are its smallest and its largest class.
+    A bucket's centres are the classes of its smallest and of its largest key: originals tend to come before their copies, so that
+    many copies are near one centre.
     """
-    in_bands = classes.select("rep", F.explode("bands").alias("band"))
-    ends = in_bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    in_bands = classes.select("rep", F.struct("none", "key", "at", "rep").alias("by"), F.explode("bands").alias("band"))
+    ends = in_bands.groupBy("band").agg(F.min("by").alias("lo"), F.max("by").alias("hi")).where("lo < hi")
     near = in_bands.join(ends, "band")
-    near = near.select("rep", F.explode(F.array("lo", "hi")).alias("centre")).where("rep != centre")
+    near = near.select("rep", F.explode(F.array("lo", "hi")).alias("centre")).where("rep != centre.rep")
     near = near.groupBy("rep", "centre").agg(F.count("*").alias("bands"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("bands"), "centre"))
-    return near.withColumn("best", best).where("best <= 2").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    return near.withColumn("best", best).where("best <= 2").select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
 
 
 def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
@@ -348,20 +360,20 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
 
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, edges): per row its features; per (s1, s2) its rep, the smallest key; links between reps."""
+    """(rows, classes, edges): per row its features; per (s1, s2) its rep, 64 bits of the set; links between reps."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = written(features(docs, "key", "text", k), "jaccard-rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    whole = rows.where("n > 0 and key is not null")
-    classes = whole.groupBy("s1", "s2", "n", "sampled").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    whole = rows.where("n > 0").groupBy("s1", "s2", "n", "sampled").agg(least().alias("of"), F.first("bands").alias("bands"))
+    classes = whole.withColumn("rep", F.col("s1"))
     # 1. classes of which enough tokens occur elsewhere
     shared = shared_tokens(docs.select("text"), total, SAMPLED, k).withColumnRenamed("owner", "s1")
     slack = F.col("n") - at_least_sql("n")
-    alive = classes.join(shared, "s1").where(F.col("shared") >= F.col("sampled") - slack).groupBy("rep").agg(F.max("n").alias("n"), F.max("bands").alias("bands"))
+    alive = classes.join(shared, "s1").where(F.col("shared") >= F.col("sampled") - slack).select("rep", "n", "bands", "of.none", "of.key", "of.at")
     alive = written(alive, "jaccard-alive")
-    # a key with several texts is one document; its longest set stands for it below, so only one text is taken
-    texts = docs.join(alive.select(F.col("rep").alias("key"), "n"), "key").groupBy("key").agg(F.max_by("text", F.length("text")).alias("text"))
-    texts = written(texts.withColumnRenamed("key", "rep"), "jaccard-texts")
+    # one text of each class, by its smallest key and its place there
+    found = docs.withColumn("at", place("text")).alias("d").join(alive.alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")) & (F.col("d.at") == F.col("c.at")))
+    texts = written(found.groupBy("rep").agg(F.first("text").alias("text")), "jaccard-texts")
     # 2. groups
     first = written(verify(centres(alive), texts, k), "jaccard-edges")
     groups = written(components(first), "jaccard-groups").withColumnRenamed("node", "rep").withColumnRenamed("root", "grp")
@@ -383,20 +395,34 @@ def at_least_sql(n: str):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """Per row of ``df``: key, n_shingles, component_id (the smallest key that links reach, its own included).
 
-    Null and empty texts, and texts without words: 0, linked with nothing. Rows of one key are one document, and
-    where they have several texts, links other than to equal sets are those of the longest.
-    A null key: linked only with rows of an equal set, its component null if they have no key either. An
-    empty table: no rows. Columns other than key and text are ignored.
+    Null and empty texts, and texts without words: 0, linked with nothing. Rows of one key are one document: the
+    links of all its texts are its own. A null key: its row is linked by its text, its component null if no
+    row that it reaches has a key. An empty table: no rows. Columns other than key and text are ignored.
     """
-    rows, classes, edges = links(df, key, text, k)
-    roots = components(edges)
-    of = classes.select("s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("s1", "s2", F.coalesce("root", "rep").alias("root"))
-    kept = rows.join(of, ["s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("key"))
+    rows = grouped(df, key, text, k)
+    # a key whose texts lie in several groups ties them
+    ends = rows.where("root is not null and key is not null").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    ties = rows.join(ends.select("key", "a"), "key").where("root != a").select("a", F.col("root").alias("b"))
+    tied = components(ties).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    names = rows.join(tied, "root").groupBy("whole").agg(F.min("name").alias("tied_name"))
+    kept = rows.join(tied.join(names, "whole").select("root", "tied_name"), "root", "left")
+    own = F.when(F.col("n") > 0, F.coalesce("tied_name", "name")).otherwise(F.col("key"))
     return kept.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def grouped(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """Per row of ``df``: key, at (:func:`place` of its text), n (set size), and of the linked sets: root (one number), name (the smallest key).
+
+    Rows without words are in no group: root and name are null.
+    """
+    rows, classes, edges = links(df, key, text, k)
+    linked_ = components(edges).withColumnRenamed("node", "rep")
+    of = written(classes.select("s1", "s2", "rep", "of.key").join(linked_, "rep", "left"), "jaccard-classes")
+    names = of.where("root is not null").groupBy("root").agg(F.min("key").alias("name"))
+    of = of.join(names, "root", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"), F.coalesce("name", "key").alias("name"))
+    return written(rows.join(of, ["s1", "s2"], "left").select("key", "at", "n", "root", "name"), "jaccard-grouped")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents``: 5-word shingles, Jaccard 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -74,6 +74,15 @@ def test_edges_of_the_table(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (2, 1, 2)]
 
 
+def test_all_texts_of_a_key_are_linked(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    near = [t + " end" for t in text]
+    # the shorter text of 5 is near that of 3, the longer one near that of 9; without a key: near copies of 7 and of each other
+    rows = [(5, text[0]), (5, text[1] + " and more"), (3, near[0]), (9, text[1]), (7, text[2]), (None, near[2]), (None, text[3]), (None, near[3])]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 7), (3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
 def test_threshold_is_exact():
     import numpy as np
 
