@@ -27,6 +27,21 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "4", "None"] and got.columns == df.columns
 
 
+def kept_texts(spark, rows):
+    df = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect())
+
+
+def long_text(c, end=""):
+    return " ".join(f"{c}{i}" for i in range(40)) + end
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    # two texts of 5, both without a copy; of 6 the longest goes to 2, the other stays
+    rows = [(5, long_text("a")), (5, long_text("b")), (6, long_text("c", " and more")), (6, long_text("d")), (2, long_text("c"))]
+    assert kept_texts(spark, rows) == sorted(r for r in rows if r[1] != long_text("c", " and more"))
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
