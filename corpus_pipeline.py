@@ -31,8 +31,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked texts, of texts without words one of each; rows without an id: one of each text."""
-    rows = jaccard_join.grouped(bounded_batches(docs)).where("key is not null")
+    """The document of the smallest id of each group of linked texts, of texts without words one of each; those with an id come first."""
+    rows = jaccard_join.grouped(bounded_batches(docs))
     one = rows.where("root is not null").groupBy("root").agg(jaccard_join.least().alias("of")).select("of.none", "of.key", "of.at")
     stay = one.unionByName(rows.where("root is null").select(F.col("key").isNull().alias("none"), "key", "at").distinct())
     # a row's place: whether it has no id, the id, and its text
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     by = [f"_{c}" for c in place]
     first = F.row_number().over(Window.partitionBy(*by).orderBy("text"))
     kept = docs.withColumns({f"_{c}": v for c, v in place.items()}).join(stay, by, "left_semi").withColumn("_first", first)
-    return kept.where("_first = 1").select(docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return kept.where("_first = 1").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

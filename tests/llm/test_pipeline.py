@@ -42,6 +42,12 @@ def test_near_duplicates_keep_other_texts_of_an_id(spark):
     assert kept_texts(spark, rows) == sorted(r for r in rows if r[1] != long_text("c", " and more"))
 
 
+def test_near_duplicates_without_an_id(spark):
+    rows = [(7, long_text("a")), (None, long_text("a")), (None, long_text("a", " end")), (None, long_text("b")), (None, long_text("b", " end")), (None, long_text("c"))]
+    got = kept_texts(spark, rows)
+    assert [(i, t[:2]) for i, t in got] == [(0, "b0"), (0, "c0"), (7, "a0")]
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
