@@ -103,14 +103,14 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST, first: int = FI
 class Benchmark:
     """Items as word hashes, and their seeds: sorted run hashes of each seed length with where they come from."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> hashes, item, place
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]]) -> Benchmark:
+    def of(cls, items: list[tuple[int | None, str | None]]) -> Benchmark:
         """Items without words can't leak and are left out; shorter ones than a tile are one seed."""
-        items = sorted((i, t) for i, t in items if i is not None and t)
+        items = sorted(((i, t) for i, t in items if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         got = hash_words([t.encode() for _, t in items], WORD) if items else None
         words = [got.hashes[a:b] for a, b in zip(got.at[:-1], got.at[1:], strict=True)] if got else []
         kept = [(i, w) for (i, _), w in zip(items, words, strict=True) if len(w)]
@@ -170,17 +170,18 @@ def lookup(sorted_hashes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     return lo[same], spots[same]
 
 
-def leaks(spark: SparkSession, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> Column:
-    """The array of leaked items of a column of whole texts.
+def leaks(spark: SparkSession, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE, nameless: bool = False) -> Column:
+    """The array of leaked items of a column of whole texts; ``nameless``: also of those without an id.
 
     The benchmark goes to the tasks in blocks of bounded size, one after the other; a small one is one block.
     """
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    items = items if nameless else items.where("item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, ceil(size / BLOCK_BYTES))
 
     def block(b: int) -> Column:
-        here = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct()
+        here = items.where(F.pmod(F.xxhash64("item_id", *["text"] * nameless), F.lit(blocks)) == b).distinct()
         sent = spark.sparkContext.broadcast(Benchmark.of([tuple(r) for r in here.collect()]))
 
         @F.arrow_udf(HITS)
@@ -205,8 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without those that leak an item; all columns stay."""
-    marked = docs.withColumn("_leaked", leaks(docs.sparkSession, benchmark, text, coverage))
+    """``docs`` without those that leak an item, one without an id too; all columns stay."""
+    marked = docs.withColumn("_leaked", leaks(docs.sparkSession, benchmark, text, coverage, nameless=True))
     return marked.where(F.size("_leaked") == 0).drop("_leaked")
 
 

@@ -210,6 +210,12 @@ def test_leaks_whole_reordered_and_partial(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_cleaned(spark):
+    docs = spark.createDataFrame([(1, f"x {ITEM} y"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, ITEM), (None, "other item"), (3, "a b c")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     rng = random.Random(1)
     items = [(i, " ".join(f"w{rng.randint(0, 200)}" for _ in range(rng.randint(3, 30)))) for i in range(40)]
