@@ -1,12 +1,12 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a document and its paragraphs (lines up to a blank one); for phrases, which may run over
-lines, the block is the whole document. A template is a set of words. The templates' words are put in one order by how
-many documents of the corpus have them, the rarest first. A block that holds at least the threshold t of a template T
-must hold one of T's first |T| - ceil(t |T|) + 1 words (prefix filter), have at least ceil(t |T|) words (length
-filter), and, from the first common word on, still have enough of T before it (positional filter). Blocks that pass are
-counted exactly. Of each block only the best template counts, so a license isn't taken for a shorter one that
-it contains; with ``every``, all templates count but those whose words at their places belong to others.
+A template is a set of words; its blocks are all windows of the whole text that are half as long again as the template,
+wherever lines and paragraphs end. The templates' words are put in one order by how many documents of the corpus have
+them, the rarest first. A block that holds at least the threshold t of a template T must hold one of T's first
+|T| - ceil(t |T|) + 1 words (prefix filter), have at least ceil(t |T|) words (length filter), and, from the first common
+word on, still have enough of T before it (positional filter). Windows that pass are counted exactly, so every block that
+reaches the threshold is found. Where found places overlap, the better one stands (:meth:`LicenseScan.standing`), so
+that a license isn't taken for a shorter one that it contains, and two notices in one line are two.
 Templates are a fixed list of a few kilobytes; all tasks have them, and no text is shuffled.
 """
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from brindle.llm.shared import table
 from brindle.llm.words import LOWER, chunks, hash_words
 
-#: Share of a template's words that a block must hold.
-CONTAINMENT = 0.8
+#: Share of a template's words that a block must hold, and words of a block for each of the template.
+CONTAINMENT, WINDOW = 0.8, 1.5
+#: Cells of windows, or words of places, that are looked at at once.
+CELLS = 1 << 21
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -51,6 +53,75 @@ TEMPLATES = (
     ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
     ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "cc0"),
+    # whole licenses and the headers that the others ask for
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+        "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
+        "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+        "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "bsd",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+        "zlib",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+        "laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the "
+        "benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of "
+        "all present and future rights to this software under copyright law.",
+        "unlicense",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the "
+        "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+        "apache-2",
+    ),
+    *(
+        (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software "
+            f"Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+            f"WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details.",
+            label,
+        )
+        for name, version, label in (("General", "3", "gpl-3"), ("General", "2", "gpl-2"), ("Lesser General", "3", "lgpl-3"), ("Lesser General", "2.1", "lgpl-2"), ("Affero General", "3", "agpl-3"))
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+        "mpl-2",
+    ),
 )
 
 #: Words are runs of ASCII letters and digits and of all beyond ASCII.
@@ -78,142 +149,152 @@ class Found:
 
 
 class LicenseScan:
-    """Templates and phrases in the order of the corpus. ``df``: word hash -> documents with it. ``every``: not only a block's best template."""
+    """Templates and phrases in the order of the corpus. ``df``: word hash -> documents with it."""
 
-    def __init__(self, df: dict[int, int], templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT, every: bool = False):
-        self.every = every
+    def __init__(self, df: dict[int, int], templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT):
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.labels = [label for _, label in templates] + [label for _, label in phrases]
-        sets = [np.unique(words_of(t)) for t, _ in templates] + [np.unique(p) for p, _ in self.phrases]
+        texts = [words_of(t) for t, _ in templates]
+        sets = [np.unique(t) for t in texts] + [np.unique(p) for p, _ in self.phrases]
         self.n_templates = len(templates)
         vocabulary = sorted({int(h) for s in sets for h in s}, key=lambda h: (df.get(h, 0), h))
-        self.order = {h: i for i, h in enumerate(vocabulary)}
+        order = {h: i for i, h in enumerate(vocabulary)}
         self.known = np.sort(np.array(vocabulary, np.uint64))
-        self.rank = np.array([self.order[int(h)] for h in self.known], np.int64)  # of the sorted hashes
-        self.sets = [np.sort([self.order[int(h)] for h in s]) for s in sets]
-        #: words that follow one another in a template
-        self.follow = [{(self.order[int(x)], self.order[int(y)]) for x, y in zip(w[:-1], w[1:], strict=True)} for w in (words_of(t) for t, _ in templates)]
+        self.rank = np.array([order[int(h)] for h in self.known], np.int64)  # of the sorted hashes
+        self.sets = [np.sort([order[int(h)] for h in s]) for s in sets]
         self.need = [ceil(containment * len(s) - 1e-9) if i < self.n_templates else len(s) for i, s in enumerate(self.sets)]
+        self.window = [ceil(WINDOW * len(t)) for t in texts]
+        #: words that follow one another in a template
+        self.steps = [np.unique([order[int(x)] * len(vocabulary) + order[int(y)] for x, y in zip(t[:-1], t[1:], strict=True)]) for t in texts]
         #: word -> (template, place in it), for the words of prefixes
         self.prefix: dict[int, list[tuple[int, int]]] = {}
+        #: templates x words: 1 for a template's word, 2 for one of its prefix
+        self.member = np.zeros((len(sets), len(vocabulary)), np.int8)
         for t, s in enumerate(self.sets):
+            self.member[t, s] = 1
             for place, w in enumerate(s[: len(s) - self.need[t] + 1]):
                 self.prefix.setdefault(int(w), []).append((t, place))
+                self.member[t, w] = 2
         self.rare = np.zeros(len(vocabulary), bool)
         self.rare[list(self.prefix)] = True
 
-    def candidates(self, block: np.ndarray, size: int, phrases: bool) -> dict[int, float]:
-        """Template -> share of it in a block; ``block``: the sorted distinct known words, ``size``: all its words."""
+    def candidates(self, block: np.ndarray, size: int) -> list[int]:
+        """Templates and phrases that a block may hold; ``block``: the sorted distinct known words, ``size``: all its words."""
         passed: dict[int, bool] = {}
         for w in block[self.rare[block]]:
             for t, place in self.prefix[int(w)]:
-                if t in passed or (t >= self.n_templates) != phrases:
-                    continue
-                # the first common word: from here on T has no more than these words left to share
-                left = min(len(self.sets[t]) - place, len(block) - int(np.searchsorted(block, w)))
-                passed[t] = size >= self.need[t] and left >= self.need[t]
-        shares = {}
-        for t, ok in passed.items():
-            if ok and (n := len(np.intersect1d(block, self.sets[t], assume_unique=True))) >= self.need[t]:
-                shares[t] = n / len(self.sets[t])
-        return shares
-
-    def places(self, at: np.ndarray, rank: np.ndarray, t: int) -> tuple[int, list[set[int]]]:
-        """Where template t stands in a block: the shortest runs that hold all the words of it that the block has, none over another.
-
-        Of runs of one length those come first in which more words follow one another as in the template. Returned with the
-        number of such words in the best run; a place is the positions of t's words.
+                if t not in passed:
+                    # the first common word: from here on T has no more than these words left to share
+                    left = min(len(self.sets[t]) - place, len(block) - int(np.searchsorted(block, w)))
+                    passed[t] = size >= self.need[t] and left >= self.need[t]
+        return [t for t, ok in passed.items() if ok and np.isin(self.sets[t], block, assume_unique=True).sum() >= self.need[t]]
+
+    def places(self, t: int, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Rows (first word, last word, hits, breaks): each block that ends at a word of template t and holds enough of it, cut to the words it needs.
+
+        Breaks: its steps from word to word that aren't the template's.
+        """
+        kind = self.member[t, rank]
+        at, rank, kind = at[kind > 0], rank[kind > 0], kind[kind > 0]
+        spot = np.arange(len(at))
+        low = np.searchsorted(at, at - self.window[t] + 1)
+        rare = np.maximum.accumulate(np.where(kind == 2, spot, -1))
+        ends = np.flatnonzero((spot - low + 1 >= self.need[t]) & (rare >= low))
+        order = np.lexsort((spot, rank))
+        again = np.full(len(at), len(at))  # where a word comes again
+        same = rank[order][1:] == rank[order][:-1]
+        again[order[:-1][same]] = order[1:][same]
+        step = (at[1:] == at[:-1] + 1) & np.isin(rank[:-1] * self.member.shape[1] + rank[1:], self.steps[t])
+        steps = np.concatenate(([0, 0], np.cumsum(step)))[1:] if len(at) else at
+        found = [np.zeros((0, 4), np.int64)]
+        while len(ends):
+            n = max(1, CELLS // int((ends - low[ends]).max() + 1))
+            now, ends = ends[:n], ends[n:]
+            back = now[:, None] - np.arange(int((now - low[now]).max()) + 1)
+            last = (back >= low[now][:, None]) & (again[np.maximum(back, 0)] > now[:, None])
+            hits = last.sum(axis=1)
+            first = back[np.arange(len(now)), last.shape[1] - 1 - last[:, ::-1].argmax(axis=1)]
+            breaks = at[now] - at[first] - (steps[now] - steps[first])
+            found.append(np.stack((at[first], at[now], hits, breaks), axis=1)[hits >= self.need[t]])
+        return np.concatenate(found)
+
+    def standing(self, at: np.ndarray, rank: np.ndarray, templates: list[int]) -> list[tuple[int, float]]:
+        """(template, share) of the places that no better one overlaps.
+
+        Better is a larger share of its template, then fewer steps that aren't the template's, then a larger template,
+        then one that comes first in the list, then one that ends first. A template's own places are compared first, and those that stand with all
+        others'.
         """
-        mine = np.isin(rank, self.sets[t])
-        spots, words = at[mine].tolist(), rank[mine].tolist()
-        n, a, count, runs = len(set(words)), 0, {}, []
-        for b, w in enumerate(words):
-            count[w] = count.get(w, 0) + 1
-            while count[words[a]] > 1:
-                count[words[a]] -= 1
-                a += 1
-            if len(count) == n:
-                follow = sum((words[i], words[i + 1]) in self.follow[t] and spots[i + 1] == spots[i] + 1 for i in range(a, b))
-                runs.append((spots[b] - spots[a], -follow, a, b))
-        chosen: list[set[int]] = []
-        taken = np.zeros(len(words), bool)
-        for _, _, a, b in sorted(runs):
-            if not taken[a] and not taken[b] and not taken[a : b + 1].any():
-                taken[a : b + 1] = True
-                chosen.append(set(spots[a : b + 1]))
-        return -min(runs)[1], chosen
-
-    def standing(self, at: np.ndarray, rank: np.ndarray, shares: dict[int, float]) -> list[int]:
-        """The templates of ``shares`` but those of which the words at each place belong to others that match better or are larger."""
-        found = {t: self.places(at, rank, t) for t in shares}
-        hits = {t: round(shares[t] * len(self.sets[t])) for t in shares}
-        kept: list[int] = []
-        claimed: set[int] = set()
-        for t in sorted(shares, key=lambda t: (-shares[t], -len(self.sets[t]), -found[t][0], t)):
-            if not all(p <= claimed for p in found[t][1]):
-                kept.append(t)
-                claimed.update(*found[t][1])
-        for t in sorted(kept, key=lambda t: hits[t]):
-            larger = set().union(*(p for u in kept if hits[u] > hits[t] for p in found[u][1]))
-            if all(p <= larger for p in found[t][1]):
-                kept.remove(t)
-        return kept
+        rows = [np.zeros((0, 6))]
+        for t in templates:
+            p = self.places(t, at, rank)
+            size = len(self.sets[t])
+            mine = np.column_stack((p[:, 0], p[:, 1], -p[:, 2] / size, p[:, 3], np.full(len(p), -size), np.full(len(p), t)))
+            rows.append(mine[_unbeaten(mine)])
+        all_ = np.concatenate(rows)
+        return [(int(r[5]), -float(r[2])) for r in all_[_unbeaten(all_)]]
 
     def scan(self, texts: list[bytes]) -> list[Found]:
         out: list[Found] = []
         for s in chunks(texts):
-            lines = [t.split(b"\n") for t in texts[s]]
-            words = hash_words([line for ls in lines for line in ls], WORD, LOWER)
-            ends = np.cumsum([len(ls) for ls in lines])
+            words = hash_words(texts[s], WORD, LOWER)
             spots = np.searchsorted(self.known, words.hashes)
             spots[spots == len(self.known)] = 0
-            there = self.known[spots] == words.hashes if len(self.known) else np.zeros(len(spots), bool)
-            at, rank = np.flatnonzero(there), self.rank[spots[there]] if len(self.known) else np.zeros(0, np.int64)
-            for d, end in enumerate(ends):
-                out.append(self._document(words, lines[d], end - len(lines[d]), at, rank))
+            there = self.known[spots] == words.hashes
+            at, rank = np.flatnonzero(there), self.rank[spots[there]]
+            cuts = np.searchsorted(at, words.at)
+            for a, b, lo, hi in zip(words.at[:-1], words.at[1:], cuts[:-1], cuts[1:], strict=True):
+                out.append(self._document(words.hashes[a:b], at[lo:hi] - a, rank[lo:hi]))
         return out
 
-    def _document(self, words, lines: list[bytes], line: int, at: np.ndarray, rank: np.ndarray) -> Found:
-        bounds = words.at[line : line + len(lines) + 1]
-        a, b = int(bounds[0]), int(bounds[-1])
-        lo, hi = np.searchsorted(at, (a, b))
-        at, rank = at[lo:hi], rank[lo:hi]
+    def _document(self, words: np.ndarray, at: np.ndarray, rank: np.ndarray) -> Found:
         if not self.rare[rank].any():
-            return Found(b - a, 0, None, None, [], [], 0.0)
-        labels: set[str] = set()
-        score = 0.0
-        # lines and paragraphs that have a prefix word
-        rare = at[self.rare[rank]]
-        blank = np.array([not x.strip() for x in lines])
-        of = np.cumsum(blank)
-        blocks = set()
-        for i in np.unique(np.searchsorted(bounds, rare, "right") - 1):
-            blocks.add((int(i), int(i) + 1))
-            same = np.flatnonzero((of == of[i]) & ~blank)
-            blocks.add((int(same[0]), int(same[-1]) + 1))
-        for x, y in blocks:
-            w0, w1 = bounds[x], bounds[y]
-            i, j = np.searchsorted(at, (w0, w1))
-            shares = self.candidates(np.unique(rank[i:j]), int(w1 - w0), False)
-            if shares and self.every:
-                labels.update(self.labels[t] for t in self.standing(at[i:j], rank[i:j], shares))
-            elif shares:
-                labels.add(self.labels[max(shares, key=lambda t: (shares[t], len(self.sets[t]), -t))])
-            score = max(score, *shares.values(), 0.0)
+            return Found(len(words), 0, None, None, [], [], 0.0)
+        may = self.candidates(np.unique(rank), len(words))
+        stand = self.standing(at, rank, sorted(t for t in may if t < self.n_templates))
+        labels = {self.labels[t] for t, _ in stand}
+        score = max((share for _, share in stand), default=0.0)
         # phrases: the document is the block, then the places one by one
         starts: list[np.ndarray] = []
         base: set[str] = set()
-        for t in self.candidates(np.unique(rank), b - a, True):
-            phrase, label = self.phrases[t - self.n_templates]
-            h = words.hashes[a:b]
-            n = len(h) - len(phrase) + 1
-            if n > 0 and len(places := np.flatnonzero(np.logical_and.reduce([h[j : j + n] == p for j, p in enumerate(phrase)]))):
-                starts.append(places)
-                base.add(label)
-                score = 1.0
-        places = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        ends = (int(places.min()), int(places.max())) if len(places) else (None, None)
-        return Found(b - a, len(places), *ends, sorted(base), sorted(base | labels), score)
+        for t in may:
+            if t >= self.n_templates:
+                phrase, label = self.phrases[t - self.n_templates]
+                n = len(words) - len(phrase) + 1
+                if n > 0 and len(found := np.flatnonzero(np.logical_and.reduce([words[j : j + n] == p for j, p in enumerate(phrase)]))):
+                    starts.append(found)
+                    base.add(label)
+                    score = 1.0
+        found = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        ends = (int(found.min()), int(found.max())) if len(found) else (None, None)
+        return Found(len(words), len(found), *ends, sorted(base), sorted(base | labels), score)
+
+
+def _unbeaten(rows: np.ndarray) -> np.ndarray:
+    """Which (first, last, ...) places no better one overlaps; the columns after the first two, then last, are the order, least first."""
+    keep = np.zeros(len(rows), bool)
+    place = np.empty(len(rows), np.int64)
+    place[np.lexsort((rows[:, 1], *rows[:, :1:-1].T))] = np.arange(len(rows))
+    by = np.argsort(rows[:, 0], kind="stable")
+    first, last = rows[by, 0].astype(np.int64), rows[by, 1].astype(np.int64)
+    reach = np.maximum.accumulate(last) if len(by) else last
+    apart = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1]))) if len(by) else by  # stretches that don't overlap
+    size = np.concatenate(([0], np.cumsum(last - first + 1)))
+    a = 0
+    while a < len(by):
+        b = int(np.searchsorted(size, size[a] + CELLS))
+        later = apart[(apart > a) & (apart <= b)]
+        more = apart[apart > a]
+        b = int(later[-1]) if len(later) else int(more[0]) if len(more) else len(by)
+        b = len(by) if size[-1] - size[a] <= CELLS else b
+        order = a + np.argsort(-place[by[a:b]], kind="stable")  # the best comes last, and its number stays
+        start, n, base = first[order], last[order] - first[order] + 1, int(first[a])
+        cells = np.repeat(start - base - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        best = np.full(int(reach[b - 1]) - base + 1, len(rows), np.int64)
+        best[cells] = np.repeat(place[by[order]], n)
+        keep[by[order]] = np.minimum.reduceat(best[cells], np.concatenate(([0], np.cumsum(n)[:-1]))) == place[by[order]]
+        a = b
+    return keep
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[int, int]:
@@ -259,15 +340,15 @@ def scanner(spark: SparkSession, scan: LicenseScan, text: str = "text") -> Colum
     return found(F.coalesce(F.col(text), F.lit("")))
 
 
-def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a template).
+def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a template that stands).
 
     Two narrow passes over the text: the words' frequencies, then the join. Null, empty and wordless texts: no words, no
-    places, empty labels, 0. Null keys and repeated rows: each row on its own. Ties of templates in a block: the longest, then the
-    first of the list; with ``every`` all that stand in it (:meth:`LicenseScan.standing`). An empty table: no rows. Columns
-    other than key and text are ignored.
+    places, empty labels, 0. Very long texts: scanned whole, in time linear in their words. Null keys and repeated rows: each
+    row on its own. Ties of places: see :meth:`LicenseScan.standing`. An empty table: no rows. Columns other than key and text
+    are ignored.
     """
-    scan = LicenseScan(document_frequencies(docs, text), every=every)
+    scan = LicenseScan(document_frequencies(docs, text))
     found = docs.select(F.col(key), scanner(docs.sparkSession, scan, text).alias("_found"))
     return found.select(key, "_found.*")
 

@@ -81,24 +81,42 @@ def _templates() -> str:
 
     rows = []
     for i, (text, label) in enumerate(licenses.TEMPLATES):
-        words = sorted(set(re.findall("[0-9a-z]+", text.lower())))
-        rows.append(f"({i}, '{label}', {_list(words)}, {ceil(licenses.CONTAINMENT * len(words) - 1e-9)})")
+        words = re.findall("[0-9a-z]+", text.lower())
+        distinct = sorted(set(words))
+        rows.append(f"({i}, '{label}', {_list(distinct)}, {ceil(licenses.CONTAINMENT * len(distinct) - 1e-9)}, {ceil(licenses.WINDOW * len(words))})")
     return ", ".join(rows)
 
 
+def _steps() -> str:
+    import re
+
+    texts = [re.findall("[0-9a-z]+", text.lower()) for text, _ in licenses.TEMPLATES]
+    return ", ".join(f"({i}, '{x}', '{y}')" for i, w in enumerate(texts) for x, y in sorted(set(zip(w[:-1], w[1:], strict=True))))
+
+
+def _unbeaten(table: str, same: str) -> str:
+    better = "(y.share, -y.breaks, y.size, -y.k, -y.e) > (x.share, -x.breaks, x.size, -x.k, -x.e)"
+    return f"SELECT * FROM {table} x WHERE NOT EXISTS (SELECT 1 FROM {table} y WHERE y.doc_id = x.doc_id{same} AND y.s <= x.e AND y.e >= x.s AND {better})"
+
+
 LICENSES = f"""WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS (SELECT doc_id, t, {_WORDS.format(x="t")} AS w FROM d),
   ph AS (SELECT * FROM (VALUES {", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES)}) AS v(p, label)),
   b AS (SELECT doc_id, label, i - 1 AS place FROM w, ph, unnest(range(1, len(w) + 1)) AS u(i) WHERE list_contains(w, p[2]) AND w[i:i + len(p) - 1] = p),
   bs AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM b GROUP BY doc_id),
-  ln AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) AS u(i)),
-  pg AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' AS blank FROM ln),
-  pn AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM pg),
-  bl AS (SELECT doc_id, 'l' || i AS block, line AS x FROM pn UNION ALL SELECT doc_id, 'p' || g, string_agg(line, chr(10) ORDER BY i) FROM pn WHERE NOT blank GROUP BY doc_id, g),
-  bw AS (SELECT doc_id, block, list_distinct({_WORDS.format(x="x")}) AS s FROM bl),
-  te AS (SELECT * FROM (VALUES {_templates()}) AS v(k, label, ws, need)),
-  m AS (SELECT doc_id, block, k, label, len(ws) AS size, len(list_intersect(s, ws)) AS hits, need FROM bw, te WHERE len(s) >= need),
-  be AS (SELECT doc_id, block, arg_max(label, (hits / size, size, -k)) AS label, max(hits / size) AS share FROM m WHERE hits >= need GROUP BY doc_id, block),
-  ms AS (SELECT doc_id, list(label) AS ls, max(share) AS share FROM be GROUP BY doc_id)
+  te AS (SELECT * FROM (VALUES {_templates()}) AS v(k, label, ws, need, win)),
+  tw AS (SELECT k, need, unnest(ws) AS word FROM te),
+  ts AS (SELECT * FROM (VALUES {_steps()}) AS v(k, word, after)),
+  dw AS (SELECT doc_id, unnest(w) AS word, unnest(list_append(w[2:], NULL)) AS after, unnest(range(0, len(w))) AS pos FROM w),
+  oc AS (SELECT doc_id, k, need, word, after, pos FROM dw JOIN tw USING (word)),
+  en AS MATERIALIZED (SELECT * FROM oc JOIN (SELECT doc_id, k FROM oc GROUP BY doc_id, k, need HAVING count(DISTINCT word) >= need) USING (doc_id, k)),
+  la AS (SELECT x.doc_id, x.k, x.pos AS e, y.word, max(y.pos) AS p FROM en x JOIN te USING (k) JOIN en y ON y.doc_id = x.doc_id AND y.k = x.k AND y.pos BETWEEN x.pos - win + 1 AND x.pos GROUP BY ALL),
+  wi AS (SELECT doc_id, k, e, min(p) AS s, count(*) AS h FROM la GROUP BY ALL),
+  fo AS (SELECT doc_id, k, pos FROM en JOIN ts USING (k, word, after)),
+  fs AS (SELECT wi.doc_id, wi.k, e, count(fo.pos) AS steps FROM wi JOIN te USING (k) LEFT JOIN fo ON fo.doc_id = wi.doc_id AND fo.k = wi.k AND fo.pos BETWEEN s AND e - 1 WHERE h >= need GROUP BY ALL),
+  m AS MATERIALIZED (SELECT doc_id, k, e, s, label, h / len(ws) AS share, e - s - steps AS breaks, len(ws) AS size FROM wi JOIN te USING (k) JOIN fs USING (doc_id, k, e)),
+  own AS MATERIALIZED ({_unbeaten("m", " AND y.k = x.k")}),
+  st AS ({_unbeaten("own", "")}),
+  ms AS (SELECT doc_id, list(label) AS ls, max(share) AS share FROM st GROUP BY doc_id)
   SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(bs.n_base, 0) AS n_base, bs.first_word, bs.last_word, coalesce(bs.base_labels, '') AS base_labels,
          array_to_string(list_sort(list_distinct(list_concat(coalesce(ms.ls, []), CASE WHEN bs.base_labels IS NULL THEN [] ELSE string_split(bs.base_labels, ',') END))), ',') AS labels,
          CASE WHEN bs.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(ms.share, 0.0::DOUBLE) END AS score

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -158,22 +160,58 @@ def test_license_scan(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
-def test_license_join_equals_brute_force():
+def brute_labels(text):
+    """Labels and largest share by the definition: all windows, then those that no better one overlaps."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = []
+    for k, (t, _) in enumerate(licenses.TEMPLATES):
+        needed = re.findall(r"[0-9a-z]+", t.lower())
+        size, window, mine = len(set(needed)), math.ceil(licenses.WINDOW * len(needed)), []
+        steps = set(zip(needed, needed[1:], strict=False))
+        for e, w in enumerate(words):
+            if w in needed:
+                last = {v: i for i, v in enumerate(words[: e + 1]) if i > e - window and v in needed}
+                if len(last) / size >= licenses.CONTAINMENT - 1e-12:
+                    s = min(last.values())
+                    breaks = sum((words[i], words[i + 1]) not in steps for i in range(s, e))
+                    mine.append((s, e, (len(last) / size, -breaks, size, -k, -e)))
+        found += unbeaten(mine)
+    stand = unbeaten(found)
+    return {licenses.TEMPLATES[-x[2][3]][1] for x in stand}, max((x[2][0] for x in stand), default=0.0)
+
+
+def unbeaten(places):
+    return [x for x in places if not any(y[0] <= x[1] and y[1] >= x[0] and y[2] > x[2] for y in places)]
+
+
+def test_license_join_equals_brute_force(monkeypatch):
     rng = random.Random(4)
     pool = ["licensed", "under", "the", "license", "mit", "apache", "version", "2", "0", "gnu", "public", "general", "cc", "by", "nc", "4", "zz", "yy"]
-    blocks = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    blocks = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(700)]
+    short = [t for t, _ in licenses.TEMPLATES if len(t) < 100]
+    for _ in range(300):  # notices one after the other, some of their words changed, over lines and paragraphs
+        text = rng.choice([" ", "\n", "\n\n"]).join(rng.choice(short) for _ in range(rng.randint(1, 4))).split(" ")
+        blocks.append(" ".join(rng.choice(pool) if rng.random() < 0.06 else w for w in text))
     df = {int(w): rng.randint(0, 50) for b in pool for w in licenses.words_of(b)}
-    scan = licenses.LicenseScan(df)
-    for block, found in zip(blocks, scan.scan([b.encode() for b in blocks]), strict=True):
-        words = set(block.split())
-        shares = {}
-        for i, (t, label) in enumerate(licenses.TEMPLATES):
-            need = set(re.findall(r"[0-9a-z]+", t.lower()))
-            share = len(words & need) / len(need)
-            if share >= licenses.CONTAINMENT - 1e-12:
-                shares[(share, len(need), -i)] = label
-        expected = {shares[max(shares)]} if shares else set()
-        assert set(found.labels) == expected | set(found.base_labels), block
+    for cells in (licenses.CELLS, 40):
+        monkeypatch.setattr(licenses, "CELLS", cells)
+        scan = licenses.LicenseScan(df)
+        for block, found in zip(blocks, scan.scan([b.encode() for b in blocks]), strict=True):
+            labels, share = brute_labels(block)
+            assert set(found.labels) == labels | set(found.base_labels), block
+            assert found.score == pytest.approx(1.0 if found.n_base else share), block
+
+
+def test_whole_licenses_and_long_texts():
+    scan = licenses.LicenseScan({})
+    for text, label in licenses.TEMPLATES:
+        (found,) = scan.scan([f"zz yy.\n\n{text}\n\nxx".encode()])
+        assert label in found.labels and found.score == 1.0
+    split = "Released\n\nunder the\n\nMIT License."
+    began = time.time()
+    (found,) = scan.scan([("some line of text\n" * 50 + f"{split} x x x x x {MPL}\n" + "mit license\n").encode() * 2000])
+    assert found.labels == ["mit", "mpl-2"] and found.n_base == 2000
+    assert time.time() - began < 10  # linear in the lines
 
 
 GPL3, GPL2, LGPL3 = (f"This work is licensed under the GNU {n} Public License, version {v}." for n, v in (("General", 3), ("General", 2), ("Lesser General", 3)))
@@ -189,7 +227,7 @@ def test_every_notice_of_a_block(spark):
         (SA, "cc-by-sa"), (LGPL3, "lgpl-3"), (GPL2, "gpl-2"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-nc-sa"), (f"{SA} {SA}", "cc-by-sa"), ("zz " * 5000, ""), (None, ""),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
-    got = {r.doc_id: r.labels for r in licenses.license_scan(df, every=True).collect()}
+    got = {r.doc_id: r.labels for r in licenses.license_scan(df).collect()}
     assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
 
 
