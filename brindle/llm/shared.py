@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.sources.folders import fresh_folder, shared_folder, written
 
-__all__ = ["bounded_batches", "fresh_folder", "held_out", "release", "remembers", "shared_folder", "table", "working_on", "written"]
+__all__ = ["bounded_batches", "free_name", "fresh_folder", "held_out", "release", "remembers", "salted_totals", "shared_folder", "table", "working_on", "written"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; one row more than that is a batch of its own.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -66,6 +66,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of its letters."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = "_" + name
+    return name
+
+
+def salted_totals(df: DataFrame, keys: list[str], salt: str, partial: list[Column], final: list[Column]) -> DataFrame:
+    """Aggregates by ``keys``, a row for each (keys, salt) of ``df``: joined by keys and salt, a hot key's rows don't meet in one task.
+
+    ``partial``: the aggregates by keys and salt; ``final``: of those, by keys. Salts must be few.
+    """
+    whole = df.groupBy(*keys, salt).agg(*partial).groupBy(*keys).agg(*final, F.collect_set(salt).alias("_salts"))
+    return whole.withColumn(salt, F.explode("_salts")).drop("_salts")
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for rows kept out of training; a null id is never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,9 +6,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, fingerprints, language, licenses, quality, warc
 from brindle.llm.shared import fresh_folder, held_out
@@ -265,8 +268,8 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
 
 
 def naive_tiles(a, b, least):
-    """Greedy string tiling as it is defined: the longest match of unmarked words again and again."""
-    fa, fb, tiles = [True] * len(a), [True] * len(b), 0
+    """Greedy string tiling as it is defined: the longest match of unmarked words again and again, ties to the earliest."""
+    fa, fb, tiles = [True] * len(a), [True] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -281,22 +284,75 @@ def naive_tiles(a, b, least):
             return tiles
         for x in range(k):
             fa[i + x] = fb[j + x] = False
-        tiles += k
+        tiles.append((i, j, k))
 
 
-def test_tiling_equals_the_definition():
-    import numpy as np
-
+def test_tiling_equals_the_definition(monkeypatch):
     rng = random.Random(8)
-    for _ in range(150):
-        a = np.array([rng.randint(0, 3) for _ in range(rng.randint(1, 25))], np.uint64)
-        b = np.array([rng.randint(0, 3) for _ in range(rng.randint(1, 40))], np.uint64)
-        tiles = decontaminate.tile(a, b, least=3, first=6)
-        for i, j, k in tiles:
-            assert (a[i : i + k] == b[j : j + k]).all() and k >= 3
-        marked = [x for i, _, k in tiles for x in range(i, i + k)]
-        assert len(marked) == len(set(marked))
-        assert abs(len(marked) - naive_tiles(list(a), list(b), 3)) <= 3  # ties may go another way
+    for n in range(300):
+        monkeypatch.setattr(decontaminate, "CELLS", 1 << 20 if n % 2 else 3)
+        letters = rng.choice([1, 2, 4])
+        a = np.array([rng.randint(10, 9 + letters) for _ in range(rng.randint(1, 25))], np.uint64)
+        b = np.array([rng.randint(10, 9 + letters) for _ in range(rng.randint(1, 40))], np.uint64)
+        assert decontaminate.tile(a, b, least=3, first=6) == naive_tiles(list(a), list(b), 3)
+
+
+def test_repeated_words_are_tiled_in_little_memory():
+    began = time.time()
+    tracemalloc.start()
+    assert decontaminate.tile(np.full(100, 7, np.uint64), np.full(16_000, 7, np.uint64)) == [(0, 0, 100)]
+    phrase = np.arange(10, 30, dtype=np.uint64)
+    assert sum(t[2] for t in decontaminate.tile(np.tile(phrase, 5), np.tile(phrase, 1000))) == 100
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20 and time.time() - began < 5
+    tracemalloc.stop()
+
+
+def leaking_corpus(seed):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    common = [word() for _ in range(9)]  # a phrase that all items have
+    items = [(i, " ".join([*common, *(word() for _ in range(rng.randint(2, 30)))] if i % 3 else [word() for _ in range(rng.randint(1, 8))])) for i in range(60)]
+    items += [(i + 100, items[i][1]) for i in range(5)] + [(None, "nameless item of words"), (7, "a second text of seven")]
+    docs = []
+    for i in range(80):
+        parts = [word() for _ in range(rng.randint(0, 30))] + common * rng.randint(0, 2)
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(w))
+            parts += [*w[cut:], word(), *w[:cut]]  # moved around
+        docs.append((i, " ".join(parts)))
+    return docs + [(500, docs[3][1]), (501, None), (502, "")], items
+
+
+def brute_leaks(docs, items):
+    found = set()
+    for i, t in docs:
+        b = re.findall(r"\w+", (t or "").lower())
+        for k, u in items:
+            a = re.findall(r"\w+", u.lower())
+            tiles = naive_tiles(a, b, min(decontaminate.LEAST, len(a)))
+            n = sum(x[2] for x in tiles)
+            if k is not None and n >= decontaminate.COVERAGE * len(a):
+                found.add((i, k, n, len(tiles)))
+    return found
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    docs, items = leaking_corpus(3)
+    expected = brute_leaks(docs, items)
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, t1 string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(expected) > 60
+    for limit in (decontaminate.BLOCK_BYTES, 100):  # sent to the tasks, and partitioned
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "SALT_ROWS", 3)
+        got = {(r.doc_id, r.item_id, r.words, r.tiles) for r in decontaminate.contaminated(df, bench).collect()}
+        assert got == expected
+        kept = decontaminate.clean(df, bench)
+        assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {x[0] for x in expected} and kept.columns == df.columns
+        text_ids = bench.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+        assert {(r.doc_id, int(r.item_id[5:])) for r in decontaminate.contaminated(df, text_ids).collect()} == {x[:2] for x in expected}
+        assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.clean(df.limit(0), bench).count() == 0
 
 
 # ---- language and quality ---------------------------------------------------------------------
