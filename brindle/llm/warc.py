@@ -1,7 +1,7 @@
 """WARC archives: written with an index, read by coalesced byte ranges.
 
-Writing: records of equal payloads are found on digests alone (a narrow aggregation; equal payloads
-meet as one row per task, so a hot payload is no hot task). Then pages and the narrow list of revisits go through
+Writing: records of equal payloads are found on digests alone. A payload's pages are dealt to 64 parts by page, which are
+added up before they meet and joined part by part, so a hot payload is no hot task. Then pages and the narrow list of revisits go through
 one shuffle together, and each task streams its part into one archive of gzip members and lists offset,
 length, URL and digest of each record: the index. Reading starts from index rows: sorted by file and
 offset, neighbouring ranges are read at once, and each member is unpacked and checked.
@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import fresh_folder, table, written
+from brindle.llm.shared import fresh_folder, salted_totals, table, written
 
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
 #: Ranges at most so far apart are read together, up to so many bytes at once.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 LEVEL = 4
+#: Parts to which the pages of one payload are dealt.
+SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -104,8 +106,10 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, k, refers_to) for pages whose payload an earlier page has; k: the payload's SHA-256."""
     keyed = pages.select("page_id", F.sha2("html", 256).alias("k"), F.octet_length("html").alias("n"))
     keyed = keyed.where(F.col("n") >= min_bytes).groupBy("page_id", "k").agg(F.count("*").alias("rows"))
-    first = keyed.groupBy("k").agg(F.min("page_id").alias("refers_to"), F.sum("rows").alias("rows")).where("rows > 1")
-    return keyed.join(first.drop("rows"), "k").select("page_id", "k", "refers_to")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    least, total = F.min("page_id").alias("refers_to"), F.sum("rows").alias("total")
+    first = salted_totals(keyed, ["k"], "salt", [least, total], [F.min("refers_to").alias("refers_to"), F.sum("total").alias("total")]).where("total > 1")
+    return keyed.join(first.drop("total"), ["k", "salt"]).select("page_id", "k", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -113,8 +117,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the smallest page_id is a response and
     the others revisit it. Rows equal in page_id and payload: the first is the response. Null html:
-    an empty payload. A null page_id counts as the largest; a null url: no header for it. An empty
-    table: no archive. Other columns are ignored.
+    an empty payload. Very long ones: one record, held once. A null page_id counts as the largest; a null url: no header for
+    it. An empty table: no archive. Other columns are ignored.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = pages.select(

@@ -55,6 +55,17 @@ def test_warc_least_size_and_empty_table(spark):
     assert warc.read_records(index, folder).count() == 0
 
 
+def test_pages_of_a_hot_payload_are_spread(spark):
+    rows = spark.range(40_000).selectExpr("id as page_id", "if(id % 3 = 0, 'same', concat('p', id)) as html")
+    got = warc.revisits(rows)
+    assert got.count() == 13_334 and got.where("refers_to <> 0").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(?:Join|JoinExec) \[(.*?)\]", plan)
+    assert joins and all("salt" in j for j in joins)  # never by the payload alone
+    sizes = got.join(rows, "page_id").groupBy(F.pmod(F.xxhash64("page_id"), F.lit(warc.SALTS))).count().collect()
+    assert len(sizes) == warc.SALTS and max(r["count"] for r in sizes) < 13_334 / 32
+
+
 def test_ranges_are_coalesced():
     assert list(warc.coalesced([(0, 10), (10, 5), (100, 5), (105, 1)], gap=8, most=50)) == [[(0, 10), (10, 5)], [(100, 5), (105, 1)]]
     assert list(warc.coalesced([(0, 30), (30, 30)], gap=8, most=50)) == [[(0, 30)], [(30, 30)]]
