@@ -448,6 +448,54 @@ def test_quality(spark):
     assert only.where("score < 0.99").count() == 0
 
 
+def junk(rng, lang):
+    return " ".join(w.upper() + rng.choice(["!!", "$$$", "| x"]) for w in prose(rng, lang, rng.randint(1, 30)).split())
+
+
+def test_votes_equal_brute_force():
+    rng = random.Random(11)
+    known = [(junk(rng, rng.choice(list(LANGS))) if i % 3 == 0 else prose(rng, rng.choice(list(LANGS)), rng.randint(1, 40)), int(i % 3 > 0)) for i in range(160)]
+    known += known[:20]  # ties
+    counts = np.concatenate([quality.term_counts([t.encode()]) for t, _ in known])
+    labels = np.array([x for _, x in known])
+    model = quality.fit(counts, labels, 0.8)
+    texts = [t for t, _ in known[:30]] + [prose(rng, "xx", 20), junk(rng, "yy"), "ß", "one", "!!", "a " * 3000]
+    got = model.score([t.encode() for t in texts])
+    for t, score in zip(texts, got, strict=True):
+        v = model.vectorise(quality.term_counts([t.encode()]))[0]
+        near = sorted(((round(float(np.float32(sum(float(a) * float(b) for a, b in zip(v, u, strict=True)))), quality.DIGITS), i) for i, u in enumerate(model.vectors)), reverse=True)
+        voters = [(c, i) for c, i in near if c >= near[quality.NEIGHBOURS - 1][0] and c > 0]
+        weights = [c**quality.SHARPNESS * model.votes[i] for c, i in voters]
+        expected = sum(w * labels[i] for w, (_, i) in zip(weights, voters, strict=True)) / sum(weights) if voters else 0.8
+        assert score == pytest.approx(expected, abs=0.02)  # a cosine may be rounded up or down
+    assert [model.score([t.encode()])[0] for t in texts] == pytest.approx(list(got), abs=1e-3)  # whatever stands beside it
+
+
+def test_axes_are_the_main_ones():
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((80, 6)) * [9, 7, 5, 3, 2, 1]) @ rng.standard_normal((6, 50))
+    axes = quality.main_axes(x.astype(np.float32), 3)
+    _, _, v = np.linalg.svd(x, full_matrices=False)
+    assert np.abs(np.linalg.det(v[:3] @ axes)) == pytest.approx(1, abs=1e-3)  # the same space
+
+
+def test_many_tiny_texts_take_little_memory():
+    model = quality.fit(quality.term_counts([b"a b", b"A!! B!!"] * 40), np.array([1, 0] * 40), 0.5)
+    texts = [b"some short text"] * 10_000
+    tracemalloc.start()
+    assert len(model.score(texts)) == len(texts)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_blank_texts_are_refused_and_samples_are_one_row_an_id(spark):
+    rows = [(i % 40, "A word, then more." if i % 40 % 2 else "JUNK!! $$$ ||", "l", "s", 1) for i in range(400)] + [(900, "  ", "l", "s", 0), (901, None, "l", "s", 0)]
+    df = spark.createDataFrame(rows, DOC).repartition(7)
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert len(quality.learn(df, lab).labels) == len([i for i in range(40) if not held(i)])
+    assert {r.score for r in quality.with_quality(df, lab).where("doc_id >= 900").collect()} == {0.0}
+
+
 def test_held_out_labels_are_never_learnt(spark):
     rows = [(i, "a b c " * (i % 5 + 1), "l", "s", 1) for i in range(200)]
     df = spark.createDataFrame(rows, DOC)
