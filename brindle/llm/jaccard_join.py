@@ -1,14 +1,15 @@
-"""Exact n-gram Jaccard join: counts of tokens by group, then a prefix-filter join.
+"""Exact n-gram Jaccard join by a token-group matrix.
 
 A document is its set of distinct word shingles. Documents of equal sets are one class from the start. A link
 needs three quarters of both sets in common, so a class can only be linked if so many of its tokens (shingle
 hashes) occur in another class at all; counting that once over all tokens removes most of a corpus. What is
 left is partitioned into groups of similar documents (min-hash buckets; a member is tied to a bucket's smallest
 or largest class where the exact Jaccard says so). How many of a class's tokens occur in any other group, all
-taken together, bounds its overlap with each of them: below three quarters no group can hold a partner. Classes
-above are met by the rarest tokens, by how many groups have them, with length and positional filters, and
-compared exactly; there is no union per group, no bound against a single group, and no group is opened as a
-whole. Components come from links, never from pairs within a group of copies.
+taken together, says whether a single group can hold a partner. For the classes left, the token-group matrix stores the
+union of tokens of each of their groups; a class meets a group by one of its rarest tokens, its overlap with the group's
+union bounds that with each member, and only groups that reach three quarters are opened: their members are met by rare
+tokens, with length and positional filters, and compared exactly. Components come from links, never from pairs within a
+group of copies.
 
 Min-hashes only choose the groups. Wherever they err, the bounds still find each link between two groups.
 """
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import release, table, working_on
+from brindle.llm.shared import release, salted_totals, table, working_on
 from brindle.llm.words import chunks, mix, shingle_sets
 from brindle.operators.graph import components
 from brindle.sources.folders import written
@@ -36,8 +37,8 @@ BANDS, ROWS = 12, 3
 SAMPLED = Fraction(1, 2)
 #: Tokens that a mapper gathers before it sends them, and that a reducer holds at once.
 FLUSH_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
-#: Members that are compared with one centre in one task.
-SALT_ROWS = 64
+#: Members that are compared with one centre in one task, and parts to which the classes of one bucket or centre are dealt first.
+SALT_ROWS, SALTS = 64, 64
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -261,7 +262,8 @@ def shared_tokens(rows: DataFrame, tokens: int, part: Fraction = Fraction(1), k:
 
     # a flush's owners go to any bucket, so that they don't all meet in one task
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("flush"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    dealt = rows.mapInArrow(scatter, sent).withColumn("to", spread).repartition(buckets, "to").sortWithinPartitions("bucket").drop("to")
+    # a partition for each bucket: hashed, several would land on one
+    dealt = rows.mapInArrow(scatter, sent).withColumn("to", spread).repartitionById(buckets, F.col("to")).sortWithinPartitions("bucket").drop("to")
     answers = dealt.mapInArrow(gather, answer).repartition("flush").sortWithinPartitions("flush", "kind")
     counts = answers.mapInArrow(add_up, "owner bigint, shared bigint")
     return counts.groupBy("owner").agg(F.sum("shared").alias("shared"))
@@ -281,15 +283,17 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def verify(pairs: DataFrame, texts: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
     """The linked ones of ``pairs`` (a, b); ``texts`` has (rep, text), each rep once.
 
-    Each centre a meets its partners b in tasks of a few hundred; a task holds the centre's set and streams them.
+    Each centre a meets its partners b in tasks of a few hundred; a task holds the centre's set and streams them. A centre's pairs
+    are dealt to parts before they are counted, so that those of a hot one never meet.
     """
-    salted = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    partner = pairs.join(salted, "a").select(
-        F.col("b").alias("rep"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")
-    )
-    centre = salted.select(
-        F.col("a").alias("rep"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    salted = pairs.groupBy("a", "part").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    numbered = lambda salt: (salt * SALTS + F.col("part")).alias("salt")
+    partner = pairs.join(salted, ["a", "part"]).select(
+        F.col("b").alias("rep"), F.col("a").alias("centre"), numbered(F.pmod(F.xxhash64("b", F.lit(1)), F.col("salts"))), F.lit(1).alias("role")
     )
+    each = salted.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    centre = each.select(F.col("a").alias("rep"), F.col("a").alias("centre"), numbered(F.col("s").cast("bigint")), F.lit(0).alias("role"))
     rows = texts.join(centre.unionByName(partner), "rep")
     met = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
 
@@ -314,9 +318,9 @@ def centres(classes: DataFrame) -> DataFrame:
     A bucket's centres are the classes of its smallest and of its largest key: originals tend to come before their copies, so that
     many copies are near one centre.
     """
-    in_bands = classes.select("rep", F.struct("none", "key", "at", "rep").alias("by"), F.explode("bands").alias("band"))
-    ends = in_bands.groupBy("band").agg(F.min("by").alias("lo"), F.max("by").alias("hi")).where("lo < hi")
-    near = in_bands.join(ends, "band")
+    in_bands = classes.select("rep", F.struct("none", "key", "at", "rep").alias("by"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("part"), F.explode("bands").alias("band"))
+    ends = salted_totals(in_bands, ["band"], "part", [F.min("by").alias("lo"), F.max("by").alias("hi")], [F.min("lo").alias("lo"), F.max("hi").alias("hi")]).where("lo < hi")
+    near = in_bands.join(ends, ["band", "part"])
     near = near.select("rep", F.explode(F.array("lo", "hi")).alias("centre")).where("rep != centre.rep")
     near = near.groupBy("rep", "centre").agg(F.count("*").alias("bands"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("bands"), "centre"))
@@ -326,10 +330,12 @@ def centres(classes: DataFrame) -> DataFrame:
 def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of classes in different groups that may be linked; ``open_``: (rep, grp, n, text).
 
-    Tokens are ordered by the number of groups that have them, so a class and a partner of at least the
-    threshold share one of its first n - ceil(t n) + 1; tokens of one group come first and need no row. At the first
-    token that two share, neither has more left than its size less the token's place: pairs that can't
-    reach the overlap that the threshold asks of their sizes are left out there.
+    The token-group matrix has a row for each token of a group's union, of tokens that several groups have. Tokens are ordered by
+    the number of groups that have them. A class and a group whose union holds at least the threshold of it share one of the class's
+    first n - ceil(t n) + 1 tokens; those pairs are counted against the matrix, and groups that hold enough are opened for the class. A
+    partner in an opened group shares one of the first tokens too. At the first token that two share, neither
+    has more left than its size less the token's place: pairs that can't reach the overlap that the threshold asks of
+    their sizes are left out there. A token's pairs meet by token and group, so a token of many groups is many keys.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,24 +345,29 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(tokens.astype(np.int64))], ["rep", "grp", "n", "token"])
 
     rows = written(open_.mapInArrow(explode, "rep bigint, grp bigint, n bigint, token bigint"), "open-tokens")
-    wide = rows.groupBy("token", "grp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    shared = rows.join(wide, "token")
+    # the matrix: each group's union, with the number of groups of a token; a token's groups are dealt to parts
+    union = rows.select("token", "grp").distinct().withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(SALTS)))
+    wide = salted_totals(union, ["token"], "part", [F.count("*").alias("groups")], [F.sum("groups").alias("groups")]).where("groups > 1")
+    matrix = written(union.join(wide, ["token", "part"]).select("token", "grp", "groups"), "open-matrix")
+    shared = rows.join(matrix, ["token", "grp"])
     order = Window.partitionBy("rep").orderBy("groups", "token")
     all_ = Window.partitionBy("rep")
     most = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator) + 1
-    prefix = (
-        shared.withColumn("rank", F.row_number().over(order))
-        .withColumn("alone", F.col("n") - F.count("*").over(all_))
-        .where(F.col("rank") <= most - F.col("alone"))
-        .select("token", "rep", "grp", "n", (F.col("n") - F.col("alone") - F.col("rank") + 1).alias("left"))
-    )
-    prefix = written(prefix, "open-prefixes")
-    x = prefix.select("token", F.col("rep").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("left").alias("la"))
-    y = prefix.select("token", F.col("rep").alias("b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
-    met = x.join(y, "token").where("a < b and ga != gb")
-    met = met.where(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator)
-    met = met.where(F.least("la", "lb") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator)
-    return met.select("a", "b").distinct()
+    ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("alone", F.col("n") - F.count("*").over(all_))
+    left = (F.col("n") - F.col("alone") - F.col("rank") + 1).alias("left")
+    ranked = written(ranked.select("token", "rep", "grp", "n", left, (F.col("rank") <= most - F.col("alone")).alias("first")), "open-ranked")
+    prefix = ranked.where("first")
+    groups = matrix.select("token", F.col("grp").alias("of"))
+    met = prefix.join(groups, "token").where("of != grp").select("rep", "of").distinct()
+    # the bound: what of a class a group's union holds
+    held = ranked.join(met, "rep").join(groups, ["token", "of"]).groupBy("rep", "of", "n").agg(F.count("*").alias("held"))
+    opened = written(held.where(F.col("held") >= F.ceil(F.col("n") * t.numerator / t.denominator)).select("rep", "of"), "open-groups")
+    x = prefix.join(opened, "rep").select("token", F.col("of").alias("gb"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+    y = prefix.select("token", F.col("grp").alias("gb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    pairs = x.join(y, ["token", "gb"]).where("a < b")
+    pairs = pairs.where(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator)
+    pairs = pairs.where(F.least("la", "lb") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator)
+    return pairs.select("a", "b").distinct()
 
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -395,7 +406,8 @@ def at_least_sql(n: str):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """Per row of ``df``: key, n_shingles, component_id (the smallest key that links reach, its own included).
 
-    Null and empty texts, and texts without words: 0, linked with nothing. Rows of one key are one document: the
+    Null and empty texts, and texts without words: 0, linked with nothing. Very long texts: their whole sets; a set is held once at
+    a time. Ties: a pair at the threshold is linked; which class stands for a bucket decides no link. Rows of one key are one document: the
     links of all its texts are its own. A null key: its row is linked by its text, its component null if no
     row that it reaches has a key. An empty table: no rows. Columns other than key and text are ignored.
     """

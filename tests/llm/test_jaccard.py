@@ -89,3 +89,32 @@ def test_threshold_is_exact():
     x = np.arange(100, dtype=np.uint64)
     assert jaccard_join.linked(x, x[:75]) and not jaccard_join.linked(x, x[:74])
     assert not jaccard_join.linked(x[:0], x[:0])
+
+
+def test_a_repeated_key_loses_no_link_of_others(spark):
+    a, b = ([f"{c}{i}" for i in range(n)] for c, n in (("a", 300), ("b", 100)))
+    near = " ".join([*b[:50], "x", "y", "z", *b[53:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b)), (3, near)]
+    for some in (rows, rows[2:], rows[1:], rows[:1] + rows[2:]):
+        got = {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got == {(k, 1 if (1, rows[1][1]) in some or k == 1 else 2) for k, _ in some}
+
+
+def test_groups_are_opened_by_their_union(spark):
+    # two groups that hold much of each other's words, and members that link them
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(i % 6):
+            t[rng.randrange(60)] = f"v{rng.randrange(6)}"
+        rows.append((i, " ".join(t[i % 7 :])))
+    texts = spark.createDataFrame([(i, 1000 + i % 4, len(shingles(t)), t) for i, t in rows], "rep long, grp long, n long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and a % 4 != b % 4 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in jaccard_join.across_groups(texts).collect()}
+    assert linked and linked <= got
+    # no pair of a class with a group whose union holds less than three quarters of it
+    union = {g: set().union(*(sets[i] for i in sets if i % 4 == g)) for g in range(4)}
+    assert all(4 * len(sets[a] & union[b % 4]) >= 3 * len(sets[a]) for a, b in got)
