@@ -332,10 +332,9 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
 
     The token-group matrix has a row for each token of a group's union, of tokens that several groups have. Tokens are ordered by
     the number of groups that have them. A class and a group whose union holds at least the threshold of it share one of the class's
-    first n - ceil(t n) + 1 tokens; those pairs are counted against the matrix, and groups that hold enough are opened for the class. A
-    partner in an opened group shares one of the first tokens too. At the first token that two share, neither
-    has more left than its size less the token's place: pairs that can't reach the overlap that the threshold asks of
-    their sizes are left out there. A token's pairs meet by token and group, so a token of many groups is many keys.
+    first n - ceil(t n) + 1 tokens, which is also among a linked member's first. At the first token that two share, neither has more left
+    than its size less the token's place: groups and later members that can't reach the overlap that the threshold asks of
+    their sizes are left out there. What is left is counted against the matrix, and groups that hold enough are opened for the class.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +356,15 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
     left = (F.col("n") - F.col("alone") - F.col("rank") + 1).alias("left")
     ranked = written(ranked.select("token", "rep", "grp", "n", left, (F.col("rank") <= most - F.col("alone")).alias("first")), "open-ranked")
     prefix = ranked.where("first")
+    x = prefix.select("token", "grp", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+    # of a group's members with the token among their first: the range of sizes, and the most that one has left there
+    y = prefix.groupBy("token", F.col("grp").alias("of")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("lb"))
+    smallest = F.greatest(F.col("least") * t.denominator, F.col("na") * t.numerator)  # times the denominator, of members that na can be linked with
+    met = x.join(y, "token").where("of != grp")
+    met = met.where((F.col("least") * t.numerator <= F.col("na") * t.denominator) & (F.col("most") * t.denominator >= F.col("na") * t.numerator))
+    met = met.where(F.least("la", "lb") * (t.numerator + t.denominator) * t.denominator >= (F.col("na") * t.denominator + smallest) * t.numerator)
+    met = met.select(F.col("a").alias("rep"), "of").distinct()
     groups = matrix.select("token", F.col("grp").alias("of"))
-    met = prefix.join(groups, "token").where("of != grp").select("rep", "of").distinct()
     # the bound: what of a class a group's union holds
     held = ranked.join(met, "rep").join(groups, ["token", "of"]).groupBy("rep", "of", "n").agg(F.count("*").alias("held"))
     opened = written(held.where(F.col("held") >= F.ceil(F.col("n") * t.numerator / t.denominator)).select("rep", "of"), "open-groups")
