@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from brindle.llm.shared import free_name, salted_totals, table, working_on, written
+from brindle.llm.shared import bounded_batches, free_name, salted_totals, table, working_on, written
 from brindle.llm.words import chunks, hash_words, mix
 
 #: Least words of a tile, first length that is searched for, and the coverage from which an item counts as leaked.
@@ -400,6 +400,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     items count once, items of one id and several texts each. Ties of matches: see :func:`tile`. Empty tables: no rows. Ids may be of any
     type; other columns are ignored.
     """
+    docs = bounded_batches(docs)
     items, few = items_of(benchmark, nameless=False)
     if few:
         found = docs.select(F.col(key), leaks(docs.sparkSession, items, text, coverage).alias("_hits"))
@@ -413,6 +414,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without those that leak an item, one without an id too; all columns and repeated rows stay, whatever their names."""
+    docs = bounded_batches(docs)
     items, few = items_of(benchmark, nameless=True)
     if few:
         name = free_name(docs, "leaked")

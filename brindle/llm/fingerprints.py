@@ -1,10 +1,10 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, in SQL functions only.
 
 A text is cut at blank lines into sections and at line feeds into paragraphs; nothing is dropped, so the
-tree stands for the whole text. A paragraph's hash is the SHA-256 of it, a section's that of its paragraphs' hashes, the
-root that of its sections': equal roots are equal texts, and where trees differ, differing sections and
-then paragraphs locate the edit. Under each paragraph the fingerprint also lists short hashes of its
-phrases (a few words each), by which the likeness of two documents is the share of phrases in common.
+tree stands for the whole text. The leaves are short hashes of phrases (a few words each). A paragraph's hash is the SHA-256 of its
+leaves and its text, a section's that of its paragraphs' hashes, the root that of its sections': equal roots are equal
+texts, and where trees differ, differing sections and then paragraphs locate the edit. The likeness of two documents is
+the share of leaves in common.
 
     root ; section ; section ...      section: hash = paragraph , paragraph ...
                                       paragraph: hash ~ phrase . phrase ...
@@ -39,7 +39,8 @@ def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty."""
 
     def paragraph(p: Column) -> Column:
-        return F.struct(_sha(p).alias("h"), F.array_join(_phrases(p), ".").alias("phrases"))
+        leaves = F.transform(F.array(F.array_join(_phrases(p), ".")), lambda x: F.struct(_sha(F.concat(x, F.lit("~"), p)).alias("h"), x.alias("phrases")))
+        return leaves[0]
 
     def section(s: Column) -> Column:
         tree = F.transform(F.split(s, "\n"), paragraph)
@@ -114,6 +115,14 @@ def edits(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(found)
 
 
+def changed(a: Column, b: Column) -> Column:
+    """The distinct paragraphs of the first document that the second doesn't have, by hash; only differing sections are looked into. Linear in both."""
+    of = lambda s: F.transform(F.split(F.substring_index(s, "=", -1), ","), lambda p: F.substring(p, 1, NODE))
+    sections = lambda fp: F.slice(F.split(fp, ";"), 2, F.lit(1 << 30))
+    differing = F.transform(F.array_except(sections(a), sections(b)), of)
+    return F.array_except(F.flatten(differing), F.flatten(F.transform(sections(b), of)))
+
+
 def next_in_order(ids: DataFrame) -> DataFrame:
     """(id, next): the next smaller id of distinct ``ids`` (id), after the smallest the largest.
 
@@ -148,12 +157,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed (paragraphs that the edit took).
 
     The edited text is the text with its last half (rounded down) replaced by the start of the next document's, by descending key.
     Null texts are empty. Rows of one key: each is edited with the same next document; where that key has several
     texts, with the one whose start is smallest. A null key has no next document: its half is cut off and
-    near_next compares with an empty text. Ties don't arise. An empty table: no rows. Other columns are ignored.
+    near_next compares with an empty text. Very long texts: hashed whole. Ties don't arise. An empty table: no rows. Other columns are ignored.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
@@ -175,6 +184,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", a.alias("fingerprint"), b.alias("edited_fingerprint"),
         set_likeness(root(a), F.col("own"), root(b), phrase_set(b)).alias("near_edited"), near_next.alias("near_next"),
+        F.when(root(a) == root(b), F.lit(0)).otherwise(F.size(changed(a, b))).cast("bigint").alias("n_changed"),
     )
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import release, salted_totals, table, working_on
+from brindle.llm.shared import bounded_batches, release, salted_totals, table, working_on
 from brindle.llm.words import chunks, mix, shingle_sets
 from brindle.operators.graph import components
 from brindle.sources.folders import written
@@ -378,7 +378,7 @@ def across_groups(open_: DataFrame, k: int = WORDS, t: Fraction = THRESHOLD) ->
 
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, edges): per row its features; per (s1, s2) its rep, 64 bits of the set; links between reps."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = bounded_batches(df).select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = written(features(docs, "key", "text", k), "jaccard-rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
     whole = rows.where("n > 0").groupBy("s1", "s2", "n", "sampled").agg(least().alias("of"), F.first("bands").alias("bands"))

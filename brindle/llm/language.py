@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import held_out, table, working_on
+from brindle.llm.shared import bounded_batches, free_name, held_out, table, working_on
 from brindle.llm.words import chunks
 
-#: Labelled rows of each language that the model may learn from, about; and the longest text among them.
+#: Labelled rows of each language that the model may learn from, about; and the characters of a row that it learns from.
 PER_LANGUAGE, SAMPLE_CHARS = 1500, 100_000
 SWITCH_PENALTY = 12.0
+#: Words that are followed one after the other; longer texts are followed in several places at once.
+STRETCH = 2048
 TABLE_BITS = 16
 #: A script counts as a language's if so much of its letters are of it.
 SCRIPT_SHARE = 0.05
@@ -171,31 +173,73 @@ class LanguageModel:
         return self.languages[lang], min(max(score, 0.0), 1.0), [(self.languages[a], int(b), int(c)) for a, b, c in zip(langs, starts, sizes, strict=True)]
 
     def _search(self, todo: list[tuple[int, np.ndarray, np.ndarray]], out: list) -> None:
-        """Best paths of many texts, word by word over all that are as long."""
-        todo = sorted(todo, key=lambda x: -len(x[1]))
+        """Best paths of many texts, word by word over all stretches that are as long.
+
+        A text is cut into stretches of :data:`STRETCH` words, and each stretch is followed from every language that the word before may
+        have at once; then the texts' stretches are tied together, the best last word is taken, and paths are read backwards. So
+        a step serves all texts and stretches, and there are no more steps than a stretch has words and a text has stretches.
+        """
         if not todo:
             return
-        k, size = len(self.languages), np.array([len(x[1]) for x in todo])
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        k = len(self.languages)
+        size = np.array([len(x[1]) for x in todo])
+        cuts = [np.arange(0, n, STRETCH) for n in size]
+        base = np.concatenate(([0], np.cumsum(size)[:-1]))
+        begin = np.concatenate([c + b for c, b in zip(cuts, base, strict=True)])
+        long = np.diff(np.append(begin, size.sum()))
+        first_of = np.concatenate(([0], np.cumsum([len(c) for c in cuts])[:-1]))  # the first stretch of each text
         w = np.concatenate([x[1] for x in todo])
-        came = np.empty((len(w), k), np.int16)  # the language of the word before
-        v = np.array([x[1][0] for x in todo])
+        order = np.argsort(-long, kind="stable")
+        begin_o, long_o = begin[order], long[order]
+        penalty = np.where(np.eye(k, dtype=bool), 0.0, -SWITCH_PENALTY)
+        # v[s, i, j]: the best path of stretch s that comes from language i and ends in j
+        v = penalty[None] + w[begin_o][:, None, :]
+        came = np.zeros((len(w), k, k), np.uint8 if k < 256 else np.int16)
         own = np.arange(k)
-        for t in range(1, size[0]):
-            m = int(np.searchsorted(-size, -t, "left"))  # texts of more than t words
-            top = v[:m].argmax(axis=1)
-            switch = v[np.arange(m), top] - SWITCH_PENALTY
-            stay = v[:m] >= switch[:, None]
-            came[begin[:m] + t] = np.where(stay, own, top[:, None])
-            v[:m] = np.where(stay, v[:m], switch[:, None]) + w[begin[:m] + t]
+        for t in range(1, int(long_o[0])):
+            m = int(np.searchsorted(-long_o, -t, "left"))
+            top = v[:m].argmax(axis=2)
+            switch = np.take_along_axis(v[:m], top[:, :, None], 2) - SWITCH_PENALTY
+            stay = v[:m] >= switch
+            came[begin_o[:m] + t] = np.where(stay, own, top[:, :, None])
+            v[:m] = np.where(stay, v[:m], switch) + w[begin_o[:m] + t][:, None, :]
+        through = np.empty_like(v)
+        through[order] = v
+        # from text to text: the best total up to the end of each stretch, and the language before it
+        before = np.zeros((len(begin), k), np.int64)
+        best = np.empty((len(begin), k))
+        many = np.array([len(c) for c in cuts])
+        texts = np.argsort(-many, kind="stable")
+        now = np.full((len(todo), k), 0.0)
+        for j in range(int(many.max())):
+            m = int(np.searchsorted(-many[texts], -j, "left"))
+            s = first_of[texts[:m]] + j
+            if j == 0:
+                # a text's first word has nothing before it: the path from its own language has no switch
+                total = through[s].max(axis=1)
+                before[s] = through[s].argmax(axis=1)
+            else:
+                total = (now[:m, :, None] + through[s]).max(axis=1)
+                before[s] = (now[:m, :, None] + through[s]).argmax(axis=1)
+            now[:m] = total
+            best[s] = total
+        last = np.zeros(len(begin), np.int64)  # the language of each stretch's last word
+        entry = np.zeros(len(begin), np.int64)  # and of the word before it
+        for j in range(int(many.max()) - 1, -1, -1):
+            m = int(np.searchsorted(-many[texts], -j, "left"))
+            s = first_of[texts[:m]] + j
+            ends = many[texts[:m]] == j + 1
+            last[s[ends]] = best[s[ends]].argmax(axis=1)
+            last[s[~ends]] = entry[s[~ends] + 1]
+            entry[s] = before[s, last[s]]
         path = np.empty(len(w), np.int16)
-        now = v.argmax(axis=1)
-        for t in range(size[0] - 1, -1, -1):
-            m = int(np.searchsorted(-size, -t, "left"))
-            path[begin[:m] + t] = now[:m]
+        lang, enter = last[order], entry[order]
+        for t in range(int(long_o[0]) - 1, -1, -1):
+            m = int(np.searchsorted(-long_o, -t, "left"))
+            path[begin_o[:m] + t] = lang[:m]
             if t:
-                now[:m] = came[begin[:m] + t, now[:m]]
-        for (i, scores, letters), a, n in zip(todo, begin, size, strict=True):
+                lang[:m] = came[begin_o[:m] + t, enter[:m], lang[:m]]
+        for (i, scores, letters), a, n in zip(todo, base, size, strict=True):
             p = path[a : a + n]
             starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
             out[i] = self._result(scores.sum(axis=0), p[starts], starts, np.diff(np.append(starts, n)), letters)
@@ -220,19 +264,23 @@ def fit(samples: dict[str, list[str]]) -> LanguageModel:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from text and language of rows that aren't held out.
 
-    The sample is bounded: of each language about ``PER_LANGUAGE`` rows, chosen by hash, of at most ``SAMPLE_CHARS`` characters.
+    The sample is bounded: of each language about ``PER_LANGUAGE`` rows, chosen by hash, and of a longer text ``SAMPLE_CHARS`` characters
+    from a place chosen by hash.
     """
-    usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key) & (F.length(text) <= SAMPLE_CHARS)
-    known = docs.where(usable).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)
+    over = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1
+    some = F.substring(F.col(text), (F.pmod(F.xxhash64(text), over) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    known = docs.where(usable).select(F.col(key).alias("key"), some.alias("text"), F.col(lang).alias("lang"))
     there = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
         return fit({})
     share = F.create_map(*[F.lit(v) for k, n in there.items() for v in (k, min(1.0, PER_LANGUAGE / n))])
     # hashed with the text, so that rows of one id don't all come or stay away
-    chosen = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    place = F.xxhash64("key", "text")
+    chosen = F.pmod(place, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
     samples: dict[str, list[str]] = {k: [] for k in there}
     # a row that is repeated counts once, so that copies don't crowd the sample or the driver
-    for r in known.where(chosen).distinct().limit(4 * PER_LANGUAGE * len(there)).collect():
+    for r in known.where(chosen).distinct().orderBy(place, "key", "lang", "text").limit(4 * PER_LANGUAGE * len(there)).collect():
         samples[r["lang"]].append(r["text"])
     return fit(samples)
 
@@ -258,12 +306,13 @@ def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     """``docs`` with held_out, lang_pred, score (0 to 1) and spans.
 
     Narrow: one pass, no shuffle. ``und`` and 0 if a text is null, empty or has no letter, or if
-    nothing was learnt. Null ids: not held out. Ties: the language first by name. Repeated rows: each on its
+    nothing was learnt. Very long texts: labelled whole, in stretches. Null ids: not held out. Ties: the language first by name. Repeated rows: each on its
     own. An empty table: no rows. Other columns stay; those of the four names are replaced.
     """
-    found = labeller(docs.sparkSession, learn(docs, key, text, lang), text)
-    marked = docs.withColumns({"held_out": held_out(key), "_language": found})
-    return marked.withColumns({c: F.col(f"_language.{c}") for c in ("lang_pred", "score", "spans")}).drop("_language")
+    docs = bounded_batches(docs)
+    name = free_name(docs, "language")
+    marked = docs.withColumns({"held_out": held_out(key), name: labeller(docs.sparkSession, learn(docs, key, text, lang), text)})
+    return marked.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "spans")}).drop(name)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import table
+from brindle.llm.shared import bounded_batches, table
 from brindle.llm.words import LOWER, chunks, hash_words
 
 #: Share of a template's words that a block must hold, and words of a block for each of the template.
@@ -348,6 +348,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     row on its own. Ties of places: see :meth:`LicenseScan.standing`. An empty table: no rows. Columns other than key and text
     are ignored.
     """
+    docs = bounded_batches(docs)
     scan = LicenseScan(document_frequencies(docs, text))
     found = docs.select(F.col(key), scanner(docs.sparkSession, scan, text).alias("_found"))
     return found.select(key, "_found.*")

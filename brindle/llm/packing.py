@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.byte_ids import END_ID, byte_ids, model_path
-from brindle.llm.shared import table, written
+from brindle.llm.shared import bounded_batches, table, written
 
 CAPACITY = 2048
+#: Capacities stay below: a length and a rank (below 2**44) share 64 bits.
+MOST_CAPACITY = 1 << 19
 
 #: length, rank of the first piece, rank after the last, pieces side by side in a sequence, first sequence, offset.
 Run = tuple[int, int, int, int, int, int]
@@ -115,6 +117,8 @@ def pieces_of(
     capacity; what is over stands first, as a shorter piece.
     """
     path = model or model_path()
+    if not 1 <= capacity < MOST_CAPACITY:
+        raise ValueError(f"the capacity must be from 1 to {MOST_CAPACITY - 1}")
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +158,7 @@ def pieces_of(
             )
 
     schema = f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
-    return df.select(F.col(key), F.col(text)).mapInArrow(cut, schema)
+    return bounded_batches(df).select(F.col(key), F.col(text)).mapInArrow(cut, schema)
 
 
 def packed(
@@ -162,7 +166,7 @@ def packed(
 ) -> DataFrame:
     """Every piece with sequence_id and offset, gapless from 0 in each sequence.
 
-    The text is read once and never shuffled. Null and empty texts: one piece, the end id alone. Null
+    The text is read once and never shuffled. Null and empty texts: one piece, the end id alone. Very long texts: as many pieces as they need. Null
     and repeated keys: each row is a document. Ties of length: by task and place in it. An empty table: no
     rows. Columns other than key and text are ignored.
     """

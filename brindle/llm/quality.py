@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import held_out, table, working_on
+from brindle.llm.shared import bounded_batches, held_out, table, working_on
 from brindle.llm.words import LOWER, chunks, hash_words
 
 #: Labelled rows of each label that the model may learn from; those of the smallest id hashes.
@@ -203,6 +203,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     label 0 was learnt). Very long texts: counted whole. Null ids: not held out. Repeated rows: each row on its own. Ties of
     nearness: all vote. An empty table: no rows. Other columns stay; those of the three names are replaced.
     """
+    docs = bounded_batches(docs)
     score = scorer(docs.sparkSession, learn(docs, labels, key, text), text)
     return (
         docs.withColumns({"held_out": held_out(key), "score": score})

@@ -39,9 +39,10 @@ WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(
 def _fingerprint(text: str) -> str:
     phrases = f"array_to_string(list_transform(regexp_extract_all(p, '{fingerprints.PHRASE}'), lambda x: substr(md5(x), 1, {fingerprints.LEAF})), '.')"
     node = fingerprints.NODE
-    hashes = "list_transform(string_split(s, chr(10)), lambda p: sha256(p))"
+    paragraph_hash = f"sha256({phrases} || '~' || p)"
+    hashes = f"list_transform(string_split(s, chr(10)), lambda p: {paragraph_hash})"
     section_hash = f"sha256(array_to_string({hashes}, ''))"
-    shown = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: substr(sha256(p), 1, {node}) || '~' || {phrases}), ',')"
+    shown = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: substr({paragraph_hash}, 1, {node}) || '~' || {phrases}), ',')"
     sections = f"string_split({text}, chr(10) || chr(10))"
     return (
         f"sha256(array_to_string(list_transform({sections}, lambda s: {section_hash}), '')) || ';' || "
@@ -56,6 +57,15 @@ def _set(text: str) -> str:
     )
 
 
+def _changed() -> str:
+    """From fingerprints ft and fe."""
+    sections = "string_split({x}, ';')[2:]"
+    of = "list_transform(string_split(split_part(s, '=', 2), ','), lambda p: substr(p, 1, %d))" % fingerprints.NODE
+    there = f"flatten(list_transform({sections.format(x='fe')}, lambda s: {of}))"
+    differing = f"list_filter({sections.format(x='ft')}, lambda s: NOT list_contains({sections.format(x='fe')}, s))"
+    return f"len(list_distinct(list_filter(flatten(list_transform({differing}, lambda s: {of})), lambda q: NOT list_contains({there}, q))))::BIGINT"
+
+
 def _like(a: str, b: str, same: str) -> str:
     return f"CASE WHEN {same} THEN 1.0::DOUBLE WHEN len({a}) + len({b}) > 0 THEN 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) ELSE 0.0::DOUBLE END"
 
@@ -65,7 +75,7 @@ FINGERPRINTS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM docume
   e AS (SELECT doc_id, t, n, x, substr(t, 1, n - n // 2) || substr(x, 1, n // 2) AS e FROM o),
   f AS (SELECT doc_id, n, t, e, x, {_fingerprint("t")} AS ft, {_fingerprint("e")} AS fe, {_set("t")} AS st, {_set("e")} AS se, {_set("x")} AS sx FROM e)
   SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, ft AS fingerprint, fe AS edited_fingerprint,
-         {_like("st", "se", "t = e")} AS near_edited, {_like("st", "sx", "t = x")} AS near_next FROM f"""
+         {_like("st", "se", "t = e")} AS near_edited, {_like("st", "sx", "t = x")} AS near_next, {_changed()} AS n_changed FROM f"""
 
 
 _WORDS = "regexp_extract_all({x}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.byte_ids import END_ID, byte_ids, model_path
-from brindle.llm.shared import fresh_folder, table, written
+from brindle.llm.shared import bounded_batches, fresh_folder, table, written
 
 MANIFEST = "part int, dtype string, n_docs bigint, n_ids bigint"
 
@@ -36,7 +36,7 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
 
     Returns the manifest, one row per part, with ``base``: the ids of all parts before it. One shuffle
     of key and text by ranges of the key; a task streams its range in order and holds one batch.
-    Null and empty texts: the end id alone. Null keys come first. Rows of equal keys: by text. Other
+    Null and empty texts: the end id alone. Very long texts: whole. Null keys come first. Rows of equal keys: by text. Other
     columns are ignored. An empty table: no part.
     """
     path = model or model_path()
@@ -80,7 +80,7 @@ def write_token_files(df: DataFrame, folder: str, key: str = "doc_id", text: str
             )
 
     ordered = (
-        df.select(F.col(key), F.col(text))
+        bounded_batches(df).select(F.col(key), F.col(text))
         .repartitionByRange(F.col(key).asc_nulls_first())
         .sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
     )
@@ -94,8 +94,8 @@ def docs_schema(batch: pa.RecordBatch) -> pa.Schema:
     return pa.schema([batch.schema.field(0)])
 
 
-def read_token_files(manifest: DataFrame, folder: str, key_type: str = "bigint") -> DataFrame:
-    """Per document, from the files: key, start (ids of all documents before it), n_tokens, ids_crc32
+def read_token_files(manifest: DataFrame, folder: str, key_type: str = "bigint", key: str = "doc_id") -> DataFrame:
+    """Per document, from the files: its id, named ``key``, start (ids of all documents before it), n_tokens, ids_crc32
     (over the ids as little-endian unsigned 32-bit integers). Files are memory-mapped where local."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +119,12 @@ def read_token_files(manifest: DataFrame, folder: str, key_type: str = "bigint")
                     crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [keys, pa.array(cut[:-1] + row["base"]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        [key, "start", "n_tokens", "ids_crc32"],
                     )
                     at += len(keys)
 
     spread = manifest.repartition(max(1, manifest.count()))
-    return spread.mapInArrow(read, f"doc_id {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(read, f"`{key}` {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import fresh_folder, salted_totals, table, written
+from brindle.llm.shared import bounded_batches, fresh_folder, salted_totals, table, written
 
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     an empty payload. Very long ones: one record, held once. A null page_id counts as the largest; a null url: no header for
     it. An empty table: no archive. Other columns are ignored.
     """
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = pages.select(
         "page_id", F.sha2("html", 256).alias("k"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("bigint").alias("refers_to")
     )

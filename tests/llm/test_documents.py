@@ -136,6 +136,27 @@ def fingerprint_b():
     return fingerprints.fingerprint(F.col("b"))
 
 
+def test_changed_paragraphs_are_counted(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(["one ", "two. ", "three", "\n", "\n", "\n\n"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        half = len(t) // 2
+        edited = t[: len(t) - half] + rows[(i - 1) % len(rows)][1][:half]
+        there = {p for s in edited.split("\n\n") for p in s.split("\n")}
+        expected = {p for s in t.split("\n\n") if s not in edited.split("\n\n") for p in s.split("\n")} - there
+        assert got[i].n_changed == len(expected)
+
+
+def test_leaves_are_under_their_paragraph(spark):
+    from pyspark.sql import functions as F
+
+    p = "one two three four five, six"
+    fp = spark.range(1).select(fingerprints.fingerprint(F.lit(p)).alias("f")).first().f
+    leaves = re.search("~(.*)$", fp)[1]
+    assert fp.split(";")[1].split("=")[1][: fingerprints.NODE] == hashlib.sha256(f"{leaves}~{p}".encode()).hexdigest()[: fingerprints.NODE]
+
+
 def test_fingerprints_run_no_python(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     plan = fingerprints.fingerprints(df)._jdf.queryExecution().executedPlan().toString()
@@ -396,6 +417,15 @@ def test_language(spark):
     assert (untaught.lang_pred, untaught.score) == ("und", 0.0)
 
 
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, "xx", 40), "xx", "s", 1) for i in range(30)] + [(100 + i, prose(rng, "zz", 30_000), "zz", "s", 1) for i in range(3)]
+    rows += [(900, prose(rng, "zz", 30), None, "s", 1)]
+    df = spark.createDataFrame(rows, DOC).withColumn("_language", F.lit("stays"))
+    got = language.with_language(df)
+    assert got.where("doc_id = 900").first().lang_pred == "zz" and got.where("_language = 'stays'").count() == len(rows)
+
+
 def best_path(w, penalty):
     """The best total over all paths, word by word in plain Python."""
     v = list(w[0])
@@ -405,12 +435,11 @@ def best_path(w, penalty):
     return max(v)
 
 
-def test_spans_are_a_best_path():
-    import numpy as np
-
+def test_spans_are_a_best_path(monkeypatch):
     rng = random.Random(7)
     model = language.fit({k: [prose(rng, k, 400)] for k in LANGS})
-    for _ in range(60):
+    for n in range(60):
+        monkeypatch.setattr(language, "STRETCH", (2048, 5, 1)[n % 3])
         parts = [(rng.choice(list(LANGS)), rng.randint(1, 12)) for _ in range(rng.randint(1, 5))]
         text = " ".join(prose(rng, k, n) for k, n in parts)
         w = model.word_scores(language.lettered([text.encode()])).astype(float)
@@ -420,6 +449,18 @@ def test_spans_are_a_best_path():
         assert total == pytest.approx(best_path(w, language.SWITCH_PENALTY), abs=1e-3)
 
 
+def test_many_texts_are_searched_at_once(monkeypatch):
+    rng = random.Random(12)
+    model = language.fit({k: [prose(rng, k, 400)] for k in LANGS})
+    texts = [" ".join(prose(rng, rng.choice(list(LANGS)), rng.randint(1, 15)) for _ in range(rng.randint(1, 8))) for _ in range(80)]
+    whole = model.label(texts)
+    monkeypatch.setattr(language, "STRETCH", 4)
+    assert model.label(texts) == whole
+    began = time.time()
+    model.label([prose(rng, "xx", 200_000) + " " + prose(rng, "yy", 200_000)])
+    assert time.time() - began < 20
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = lambda: ". ".join(prose(rng, "xx", 12).capitalize() for _ in range(rng.randint(1, 8)))

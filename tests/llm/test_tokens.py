@@ -37,6 +37,17 @@ def test_counts_equal_the_library():
     assert len(counter.singles) > 10_000  # proved shortcuts
 
 
+def test_normalisation_is_read_from_the_model():
+    counter = token_counts.WholeTokenCounter(public_tokenizers.path(token_counts.MODEL))
+    fields = dict(token_counts.proto_fields(counter.model.serialized_model_proto()))
+    spec = dict(token_counts.proto_fields(fields[3]))
+    assert not spec.get(2) and spec[4] == 0
+    # as the specification says, each character stays as it is
+    for c in range(0x20, 0x30000, 7):
+        if not 0xD800 <= c <= 0xDFFF and chr(c) != token_counts.SPACE:
+            assert counter.model.decode(counter.model.encode(f"a{chr(c)}b")) == f"a{chr(c)}b", hex(c)
+
+
 def test_count_operator_keeps_rows_and_replaces_clashing_names(spark):
     df, rows = docs(spark)
     got = token_counts.with_token_counts(df).collect()
@@ -67,6 +78,8 @@ def test_token_files_round_trip(spark, tokenizer):
         start += len(ids)
     key = lambda r: r[1]
     assert sorted(got, key=key) == want
+    named = token_files.read_token_files(token_files.write_token_files(df.withColumnRenamed("doc_id", "name"), again := fresh_folder(spark, "t"), key="name"), again, key="name")
+    assert named.columns[0] == "name" and sorted(map(tuple, named.collect()), key=key) == want
     empty = fresh_folder(spark, "t")
     assert token_files.read_token_files(token_files.write_token_files(df.limit(0), empty), empty).count() == 0
 
@@ -98,6 +111,37 @@ def test_packing_is_gapless_whole_and_tight(spark, tokenizer):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def naive_pack(sizes, capacity):
+    """Sequences that matching and best fit take, piece by piece."""
+    gaps, large = [], sorted(s for s in sizes if 3 * s > capacity)
+    while large:
+        a = large.pop()
+        fits = [i for i, s in enumerate(large) if s <= capacity - a]
+        gaps.append(capacity - a - (large.pop(fits[-1]) if fits else 0))
+    for s in sorted((s for s in sizes if 3 * s <= capacity), reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - s)
+    return len(gaps)
+
+
+def test_pack_equals_the_steps_piece_by_piece():
+    rng = random.Random(5)
+    for _ in range(200):
+        capacity = rng.choice([7, 30, 100, 257])
+        sizes = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, 1 + capacity // 4) for _ in range(rng.randint(0, 120))]
+        counts = {s: sizes.count(s) for s in set(sizes)}
+        assert packing.pack(counts, capacity)[1] == naive_pack(sizes, capacity)
+
+
+def test_capacity_is_checked(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for bad in (0, packing.MOST_CAPACITY):
+        with pytest.raises(ValueError):
+            packing.packed(df, capacity=bad)
+
+
 def test_pack_by_counts():
     rng = random.Random(3)
     for _ in range(60):
@@ -135,7 +179,9 @@ def test_a_worker_forgets_what_other_operators_remember(spark):
     shared.working_on("another")
     assert forgotten == [1]
     del shared._remembered["test"]
-    assert spark.conf.get(shared.BATCH) != "67108864b" or not shared.bounded_batches(spark.range(1)).isEmpty()
+    spark.conf.unset(shared.BATCH)
+    token_counts.with_token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert spark.conf.get(shared.BATCH) == shared.BATCH_BYTES  # operators bound their batches, whoever read the table
 
 
 def test_words_of_letters_go_to_the_model_at_once(tokenizer):
