@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.answers import exact_match
+
 
 def r6(c: Column | str) -> Column:
     """Rounded to 6 places; the nudge puts values on a tie to one side whatever order a sum was made in."""
@@ -22,6 +24,41 @@ def null_skipping_sum(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
 
 
+def first_known(a: Column, b: Column) -> Column:
+    """What was measured, else what stands in for it."""
+    return F.coalesce(a, b)
+
+
+def visual_evidence_margin(original: Column, intervened: Column) -> Column:
+    """Log probability lost when the input is changed."""
+    return original - intervened
+
+
+def answer_flip(original: Column, intervened: Column) -> Column:
+    """Whether another answer is given when the input is changed."""
+    return ~exact_match(original, intervened)
+
+
+def reliance_retention(vem: Column, dense_vem: Column, least: float = 1e-6) -> Column:
+    """Part of the dense margin that is kept; null where that is unknown or too small to divide by."""
+    return F.when(F.abs(dense_vem) >= least, vem / dense_vem)
+
+
+def cost_from_latency(ms: Column, usd_per_1k_ms: float) -> Column:
+    return ms / 1000.0 * usd_per_1k_ms
+
+
+def budget_order(budget: Column, dense_tokens: Column | None = None) -> Column:
+    """Where a budget stands among others: its tokens, ``full`` at the dense count or, where that is unknown, last."""
+    full = F.coalesce(dense_tokens, F.lit(1_000_000_000)) if dense_tokens is not None else F.lit(1_000_000_000)
+    return F.when(budget == "full", full).otherwise(budget.try_cast("int"))
+
+
+def energy_budget_order(budget: Column) -> Column:
+    """The same for energy tables: ``full`` last, what is no number just before it."""
+    return F.when(budget == "full", 1_000_000_000).otherwise(F.coalesce(budget.try_cast("int"), F.lit(100_000_000)))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """Null stays null (``least`` alone would skip it)."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
