@@ -19,6 +19,10 @@ SETTING = (
     "setting string, tau double, rho double, dense_vem_min double, require_reliance boolean, methods array<string>, "
     "interventions array<string>, fixed_method string, fixed_budget string"
 )
+#: What a budget spends, and columns that records need not have.
+SPENT = ("cost", "latency_ms", "energy_joule", "measured_energy_joule", "proxy_energy_joule")
+OPTIONAL = {"measured_energy_joule": "double", "proxy_energy_joule": "double", "api_cost_usd": "double", "support_metric": "string"}
+ONLINE = {"cost": "online_cumulative_cost", "latency_ms": "online_cumulative_latency_ms", "energy_joule": "online_cumulative_energy_joule"}
 #: Most rows of a table of settings: it is sent to all tasks.
 MOST_SETTINGS = 10_000
 
@@ -62,6 +66,8 @@ def eligible_interventions(records: DataFrame, table: DataFrame) -> DataFrame:
 
 def candidates(records: DataFrame, table: DataFrame) -> DataFrame:
     """A row per sample, method and budget over its eligible interventions; covers: it has all of them."""
+    for c, kind in OPTIONAL.items():
+        records = records if c in records.columns else records.withColumn(c, F.lit(None).cast(kind))
     rows = with_eligible(records, table).where(F.array_contains("eligible", F.col("intervention")))
     first = lambda c: F.min_by(c, "intervention").alias(c)  # noqa: E731  the order is by intervention
     return rows.groupBy(*KEY, "method", "budget").agg(
@@ -70,7 +76,9 @@ def candidates(records: DataFrame, table: DataFrame) -> DataFrame:
         F.every(passes(F.col("vem"), F.col("reliance_retention"), F.col("tau"), F.col("rho"))).alias("passes"),
         F.every("is_correct").alias("is_correct"),
         *(F.min(c).alias(c) for c in ("vem", "dense_vem", "reliance_retention")),
-        *(F.sum(c).alias(c) for c in ("cost", "latency_ms", "energy_joule", "measured_energy_joule")),
+        *(F.sum(c).alias(c) for c in SPENT),
+        F.sum("api_cost_usd").alias("api_cost_usd"),
+        first("support_metric"),
         first("answer"),
         first("gold_answer"),
         first("token_count"),
@@ -109,6 +117,10 @@ def _decisions(rows: DataFrame) -> DataFrame:
         "latency_ms",
         "energy_joule",
         "measured_energy_joule",
+        "proxy_energy_joule",
+        "api_cost_usd",
+        *ONLINE.values(),
+        F.coalesce("support_metric", F.lit("score_vem")).alias("support_metric"),
         "token_count",
         F.size("eligible").cast("long").alias("n_eligible"),
         F.when(F.col("passes"), "supported").otherwise("unsupported").alias("support_status"),
@@ -133,7 +145,7 @@ def cheapest_supported(records: DataFrame, table: DataFrame, cascade: bool = Fal
     candidate = F.col("candidate")
     accepted = candidate & F.col("passes")
     so_far = tried.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = {c: F.sum(F.when(candidate, F.col(c))) for c in ("cost", "latency_ms", "energy_joule", "measured_energy_joule")}
+    total = {c: F.sum(F.when(candidate, F.col(c))) for c in (SPENT if cascade else ())}
     rows = rows.withColumns(
         {
             "place": F.row_number().over(tried),
@@ -157,7 +169,33 @@ def cheapest_supported(records: DataFrame, table: DataFrame, cascade: bool = Fal
             )
             rows = rows.withColumn(f"spent_{c}", spent)
         rows = rows.withColumns({c: F.col(f"spent_{c}") for c in total})
-    return _decisions(rows)
+    return _decisions(_online(rows, cascade))
+
+
+def _online(rows: DataFrame, cascade: bool) -> DataFrame:
+    """What a cascade has spent stands in columns of its own, too; null for other policies."""
+    return rows.withColumns({name: F.col(c) if cascade else F.lit(None).cast("double") for c, name in ONLINE.items()})
+
+
+def decision_sets(records: DataFrame, methods: Iterable[str], schedule: list[str], tau: float, rho: float | None = None, dense_vem_min: float = 0.0, tolerance: float = 0.0) -> DataFrame:
+    """Every policy that is compared over the test split, by name in ``setting``.
+
+    All methods together and each alone, plain (``supported``) and as a cascade (``online``); dense alone; and of each method the fixed smallest budget
+    (``fixed_aggressive``, which ``cost_only`` also takes), the middle one (``fixed_medium``), and the smallest that is as accurate as the best on
+    the validation split (``accuracy_only``; a row per method comes to the driver for it).
+    """
+    spark, methods = records.sparkSession, list(methods)
+    base = {"tau": tau, "rho": rho, "dense_vem_min": dense_vem_min}
+    accurate = {r["method"]: r["budget"] for r in accuracy_only_budget(records, tolerance).collect()}
+    fixed = [{**base, "setting": "dense_only", "fixed_method": "dense", "fixed_budget": "full"}]
+    for m in methods:
+        kinds = {"fixed_aggressive": schedule[0], "fixed_medium": schedule[len(schedule) // 2], "cost_only": schedule[0], "accuracy_only": accurate.get(m)}
+        fixed += [{**base, "setting": f"{m}_{k}", "fixed_method": m, "fixed_budget": b} for k, b in kinds.items() if b]
+    of = lambda kind: [{**base, "setting": kind}] + [{**base, "setting": f"{m}_{kind}", "methods": [m]} for m in methods]
+    test = records.where(F.col("split") == "test")
+    plain = cheapest_supported(test, settings(spark, of("supported")))
+    online = cheapest_supported(test, settings(spark, of("online")), cascade=True)
+    return plain.unionByName(online).unionByName(fixed_budget(test, settings(spark, fixed)))
 
 
 def fixed_budget(records: DataFrame, table: DataFrame) -> DataFrame:
@@ -165,7 +203,7 @@ def fixed_budget(records: DataFrame, table: DataFrame) -> DataFrame:
     rows = _with_dense(candidates(records, table)).where(
         F.col("covers") & (F.col("method") == F.col("fixed_method")) & (F.col("budget") == F.col("fixed_budget"))
     )
-    return _decisions(rows.withColumns({"escalations": F.lit(0), "reason": F.lit("fixed_budget")}))
+    return _decisions(_online(rows.withColumns({"escalations": F.lit(0), "reason": F.lit("fixed_budget")}), cascade=False))
 
 
 def calibration(records: DataFrame, table: DataFrame) -> DataFrame:

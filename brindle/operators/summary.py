@@ -30,12 +30,24 @@ def record_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def _measures() -> dict[str, Column]:
+#: Budgets and methods whose choices are told apart in a distribution; others are counted together.
+BUDGETS, METHODS = ("128", "256", "432", "64", "full"), ("cover", "dense", "topk")
+
+
+def distribution(c: Column, values: tuple[str, ...]) -> Column:
+    """How often each value occurs, as a JSON object by value; values that aren't listed count as ``other``."""
+    counts = [F.count_if(c == v) for v in values] + [F.count_if(~F.coalesce(c.isin(*values), F.lit(False)))]
+    names = F.array(*[F.lit(v) for v in (*values, "other")])
+    return F.to_json(F.map_filter(F.map_from_arrays(names, F.array(*counts)), lambda _, n: n > 0))
+
+
+def _measures(budgets: tuple[str, ...] = BUDGETS, methods: tuple[str, ...] = METHODS) -> dict[str, Column]:
     """Measure -> aggregate over decisions."""
     right, accepted = F.greatest(F.count_if("is_correct"), F.lit(1)), F.greatest(F.count_if("accepted"), F.lit(1))
     energy = F.sum("measured_energy_joule")
     return {
         "n": F.count("*"),
+        "accepted_rate": _rate(F.col("accepted")),
         "accuracy": _rate(F.col("is_correct")),
         "visually_supported_rate": _rate(F.col("accepted")),
         "mean_vem": r6(F.avg("vem")),
@@ -54,14 +66,23 @@ def _measures() -> dict[str, Column]:
         "total_measured_energy_joule": r6(energy),
         "measured_energy_per_accurate_answer_joule": r6(energy / right),
         "measured_energy_per_visually_supported_answer_joule": r6(energy / accepted),
+        "mean_api_cost_usd": r6(F.avg("api_cost_usd")),
+        "total_api_cost_usd": r6(F.sum("api_cost_usd")),
+        "mean_proxy_energy_joule": r6(F.avg("proxy_energy_joule")),
+        "total_proxy_energy_joule": r6(F.sum("proxy_energy_joule")),
+        "proxy_energy_per_visually_supported_answer_joule": r6(F.sum("proxy_energy_joule") / accepted),
+        "mean_online_cumulative_cost": r6(F.avg("online_cumulative_cost")),
+        "mean_online_cumulative_latency_ms": r6(F.avg("online_cumulative_latency_ms")),
+        "selected_budget_distribution": distribution(F.col("selected_budget"), budgets),
+        "selected_method_distribution": distribution(F.col("selected_method"), methods),
         "dense_avoidance_rate": _rate((F.col("selected_method") != "dense") & (F.col("selected_budget") != "full")),
         "fallback_full_rate": _rate(F.col("reason") == "fallback_full"),
     }
 
 
-def decision_summary(decisions: DataFrame, *by: str) -> DataFrame:
+def decision_summary(decisions: DataFrame, *by: str, budgets: tuple[str, ...] = BUDGETS, methods: tuple[str, ...] = METHODS) -> DataFrame:
     """All measures of decisions, by the given columns; optional values skip nulls and are null without any."""
-    return decisions.groupBy(*by).agg(*(c.alias(n) for n, c in _measures().items()))
+    return decisions.groupBy(*by).agg(*(c.alias(n) for n, c in _measures(budgets, methods).items()))
 
 
 def selection_histogram(decisions: DataFrame, *by: str) -> DataFrame:

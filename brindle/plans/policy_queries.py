@@ -20,10 +20,16 @@ def _records(spark: SparkSession, sf: str, split: str | None = "test") -> DataFr
 
 # ---- SQL of the policies, in relational form -------------------------------------------------
 
+class _Sql(str):
+    """A value that is an expression."""
+
+
 _VALUES = {None: "NULL", True: "true", False: "false"}
 
 
 def _literal(v: object) -> str:
+    if isinstance(v, _Sql):
+        return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(_literal(x) for x in v) + "]"
     return _VALUES[v] if v is None or isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
@@ -40,19 +46,19 @@ def _settings_sql(rows: list[dict]) -> str:
 def _candidates_sql(rows: list[dict], where: str) -> str:
     """CTEs up to ``ag``: a row per setting, sample, method and budget over eligible interventions."""
     return f"""{with_views("eval_records")}, settings AS ({_settings_sql(rows)}),
-    e AS (SELECT s.*, r.* FROM eval_records r CROSS JOIN settings s
+    e AS MATERIALIZED (SELECT s.*, r.* FROM eval_records r CROSS JOIN settings s
           WHERE ({where}) AND (s.interventions IS NULL OR list_contains(s.interventions, r.intervention))),
     hd AS (SELECT setting, sample_id, split, bool_or(method = 'dense') AS has_dense FROM e GROUP BY ALL),
-    el AS (SELECT DISTINCT setting, sample_id, split, intervention FROM e JOIN hd USING (setting, sample_id, split)
+    el AS MATERIALIZED (SELECT DISTINCT setting, sample_id, split, intervention FROM e JOIN hd USING (setting, sample_id, split)
            WHERE CASE WHEN has_dense THEN method = 'dense' AND (NOT require_reliance OR (is_correct AND vem >= greatest(dense_vem_min, tau)))
                       ELSE dense_vem IS NULL OR dense_vem >= greatest(dense_vem_min, tau) END),
     ne AS (SELECT setting, sample_id, split, count(*) AS n_eligible FROM el GROUP BY ALL),
-    ag AS (SELECT setting, sample_id, split, method, budget, any_value(methods) AS methods, any_value(fixed_method) AS fixed_method,
+    ag AS MATERIALIZED (SELECT setting, sample_id, split, method, budget, any_value(methods) AS methods, any_value(fixed_method) AS fixed_method,
                   any_value(fixed_budget) AS fixed_budget, min(dataset) AS dataset, min(budget_ord) AS budget_ord, min(n_eligible) AS n_eligible,
                   count(DISTINCT intervention) = min(n_eligible) AS covers,
                   bool_and(vem >= tau AND (rho IS NULL OR coalesce(reliance_retention >= rho, false))) AS passes,
                   bool_and(is_correct) AS is_correct, min(vem) AS vem, min(dense_vem) AS dense_vem, min(reliance_retention) AS reliance_retention,
-                  sum(cost) AS cost, sum(latency_ms) AS latency_ms, sum(energy_joule) AS energy_joule, sum(measured_energy_joule) AS measured_energy_joule,
+                  {", ".join(f"sum({c}) AS {c}" for c in (*policy.SPENT, "api_cost_usd"))},
                   arg_min(answer, intervention) AS answer, arg_min(gold_answer, intervention) AS gold_answer, arg_min(token_count, intervention) AS token_count
            FROM e JOIN el USING (setting, sample_id, split, intervention) JOIN ne USING (setting, sample_id, split)
            GROUP BY setting, sample_id, split, method, budget),
@@ -62,7 +68,7 @@ def _candidates_sql(rows: list[dict], where: str) -> str:
 
 _SELECT_DECISION = """SELECT c.setting, c.sample_id, c.split, c.dataset, c.method AS selected_method, c.budget AS selected_budget, c.passes AS accepted,
         c.escalations, c.reason, c.answer, c.gold_answer, c.is_correct, c.vem, c.dense_vem, c.reliance_retention, c.cost, c.latency_ms, c.energy_joule,
-        c.measured_energy_joule, c.token_count, c.n_eligible, CASE WHEN c.passes THEN 'supported' ELSE 'unsupported' END AS support_status,
+        c.measured_energy_joule, c.proxy_energy_joule, c.api_cost_usd, {online}, 'score_vem' AS support_metric, c.token_count, c.n_eligible, CASE WHEN c.passes THEN 'supported' ELSE 'unsupported' END AS support_status,
         d.latency_ms AS dense_latency_ms, d.cost AS dense_cost, d.token_count AS dense_token_count,
         CASE WHEN d.latency_ms <> 0 AND c.latency_ms <> 0 THEN d.latency_ms / c.latency_ms END AS speedup_vs_dense,
         CASE WHEN d.token_count <> 0 THEN c.token_count::DOUBLE / d.token_count END AS retained_token_ratio,
@@ -73,10 +79,12 @@ _SELECT_DECISION = """SELECT c.setting, c.sample_id, c.split, c.dataset, c.metho
 def _decisions_sql(rows: list[dict], kind: str = "cheapest", where: str = "r.split = 'test'") -> str:
     """CTEs up to ``dec``, the decisions."""
     head = _candidates_sql(rows, where)
-    names = "setting, sample_id, split, dataset, method, budget, passes, escalations, reason, answer, gold_answer, is_correct, vem, dense_vem, reliance_retention, cost, latency_ms, energy_joule, measured_energy_joule, token_count, n_eligible"
+    names = "setting, sample_id, split, dataset, method, budget, passes, escalations, reason, answer, gold_answer, is_correct, vem, dense_vem, reliance_retention, cost, latency_ms, energy_joule, measured_energy_joule, proxy_energy_joule, api_cost_usd, token_count, n_eligible"
+    ends = {c: f"c.{c}" if kind == "cascade" else "NULL::DOUBLE" for c in policy.ONLINE}
+    decision = _SELECT_DECISION.format(online=", ".join(f"{x} AS {policy.ONLINE[c]}" for c, x in ends.items()))
     if kind == "fixed":
         chosen = f"SELECT {names} FROM (SELECT *, 0::BIGINT AS escalations, 'fixed_budget' AS reason FROM ag WHERE covers AND method = fixed_method AND budget = fixed_budget)"
-        return f"{head}, chosen AS ({chosen}), dec AS ({_SELECT_DECISION})"
+        return f"{head}, chosen AS ({chosen}), dec AS ({decision})"
     key = "c.setting = o.setting AND c.sample_id = o.sample_id AND c.split = o.split"
     if kind == "cheapest":
         head += f""", acc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, sample_id, split ORDER BY budget_ord, cost, method) AS rn
@@ -85,28 +93,34 @@ def _decisions_sql(rows: list[dict], kind: str = "cheapest", where: str = "r.spl
         fall AS (SELECT c.*, (SELECT count(DISTINCT o.budget) FROM cand o WHERE {key}) AS escalations FROM dn c
                  WHERE NOT EXISTS (SELECT 1 FROM acc o WHERE {key}))"""
     else:
-        spent = ", ".join(f"sum({c}) OVER w AS {c}" for c in ("cost", "latency_ms", "energy_joule", "measured_energy_joule"))
-        total = ", ".join(f"sum({c}) AS {c}" for c in ("cost", "latency_ms", "energy_joule", "measured_energy_joule"))
-        add = ", ".join(f"CASE WHEN t.{c} IS NULL THEN d.{c} ELSE t.{c} + coalesce(d.{c}, 0) END AS {c}" for c in ("cost", "latency_ms", "energy_joule", "measured_energy_joule"))
-        head += f""", run AS (SELECT * EXCLUDE (cost, latency_ms, energy_joule, measured_energy_joule), {spent}, row_number() OVER w AS place
+        spent = ", ".join(f"sum({c}) OVER w AS {c}" for c in policy.SPENT)
+        total = ", ".join(f"sum({c}) AS {c}" for c in policy.SPENT)
+        add = ", ".join(f"CASE WHEN t.{c} IS NULL THEN d.{c} ELSE t.{c} + coalesce(d.{c}, 0) END AS {c}" for c in policy.SPENT)
+        head += f""", run AS (SELECT * EXCLUDE ({", ".join(policy.SPENT)}), {spent}, row_number() OVER w AS place
                    FROM cand WINDOW w AS (PARTITION BY setting, sample_id, split ORDER BY budget_ord, cost, method ROWS UNBOUNDED PRECEDING)),
         acc2 AS (SELECT *, place - 1 AS escalations FROM (SELECT *, row_number() OVER (PARTITION BY setting, sample_id, split ORDER BY place) AS rn
                                                           FROM run WHERE passes) WHERE rn = 1),
         tot AS (SELECT setting, sample_id, split, count(*) AS escalations, {total} FROM cand GROUP BY ALL),
-        fall AS (SELECT d.* EXCLUDE (cost, latency_ms, energy_joule, measured_energy_joule), {add}, coalesce(t.escalations, 0) AS escalations
+        fall AS (SELECT d.* EXCLUDE ({", ".join(policy.SPENT)}), {add}, coalesce(t.escalations, 0) AS escalations
                  FROM dn d LEFT JOIN tot t USING (setting, sample_id, split) WHERE NOT EXISTS (SELECT 1 FROM acc2 o WHERE d.setting = o.setting AND d.sample_id = o.sample_id AND d.split = o.split))"""
     chosen = f"""SELECT {names} FROM (SELECT *, CASE WHEN escalations = 0 THEN 'accepted_visual_support' ELSE 'accepted_after_escalation' END AS reason FROM acc2)
                  UNION ALL SELECT {names} FROM (SELECT *, 'fallback_full' AS reason FROM fall)"""
-    return f"{head}, chosen AS ({chosen}), dec AS ({_SELECT_DECISION})"
+    return f"{head}, chosen AS ({chosen}), dec AS ({decision})"
 
 
 def _r(x: str) -> str:
     return f"round({x} + 1e-9, 6)"
 
 
+def _distribution(c: str, values: tuple[str, ...]) -> str:
+    parts = ", ".join(f"CASE WHEN count(*) FILTER ({c} = '{v}') > 0 THEN '\"{v}\":' || count(*) FILTER ({c} = '{v}') END" for v in values)
+    return "'{' || array_to_string(list_filter([" + parts + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
 _RIGHT, _ACC = "greatest(count(*) FILTER (is_correct), 1)", "greatest(count(*) FILTER (accepted), 1)"
 _MEASURES_SQL = {
     "n": "count(*)",
+    "accepted_rate": _r("avg(accepted::INT)"),
     "accuracy": _r("avg(is_correct::INT)"),
     "visually_supported_rate": _r("avg(accepted::INT)"),
     **{f"mean_{c}": _r(f"avg({c})") for c in ("vem", "latency_ms", "token_count", "escalations", "speedup_vs_dense", "retained_token_ratio", "token_reduction", "measured_energy_joule")},
@@ -120,6 +134,15 @@ _MEASURES_SQL = {
     "measured_energy_per_visually_supported_answer_joule": _r(f"sum(measured_energy_joule) / {_ACC}"),
     "dense_avoidance_rate": _r("avg((selected_method <> 'dense' AND selected_budget <> 'full')::INT)"),
     "fallback_full_rate": _r("avg((reason = 'fallback_full')::INT)"),
+    "mean_api_cost_usd": _r("avg(api_cost_usd)"),
+    "total_api_cost_usd": _r("sum(api_cost_usd)"),
+    "mean_proxy_energy_joule": _r("avg(proxy_energy_joule)"),
+    "total_proxy_energy_joule": _r("sum(proxy_energy_joule)"),
+    "proxy_energy_per_visually_supported_answer_joule": _r(f"sum(proxy_energy_joule) / {_ACC}"),
+    "mean_online_cumulative_cost": _r("avg(online_cumulative_cost)"),
+    "mean_online_cumulative_latency_ms": _r("avg(online_cumulative_latency_ms)"),
+    "selected_budget_distribution": _distribution("selected_budget", ("128", "256", "432", "64", "full")),
+    "selected_method_distribution": _distribution("selected_method", ("cover", "dense", "topk")),
 }
 _SUM_SQL = ", ".join(f"{x} AS {n}" for n, x in _MEASURES_SQL.items())
 
@@ -150,10 +173,23 @@ def _decide(rows: list[dict], kind: str = "cheapest"):
 
 def _all_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Every policy's decisions over the test split, tagged by its name."""
-    records = _records(spark, sf)
-    cheap = policy.cheapest_supported(records, policy.settings(spark, _ONE + _BY_METHOD))
-    online = policy.cheapest_supported(records, policy.settings(spark, [{**_ONE[0], "setting": "online"}]), cascade=True)
-    return cheap.unionByName(online).unionByName(policy.fixed_budget(records, policy.settings(spark, _FIXED)))
+    return policy.decision_sets(_records(spark, sf, None), METHODS, list(BUDGETS), TAU, dense_vem_min=DENSE_MIN)
+
+
+_ACCURATE_SQL = """(SELECT arg_min(budget, budget_ord) FROM (SELECT budget, budget_ord, accuracy, max(accuracy) OVER () AS best FROM (SELECT budget, budget_ord, avg(ok::INT) AS accuracy FROM
+    (SELECT budget, budget_ord, sample_id, bool_and(is_correct) AS ok FROM eval_records WHERE split = 'validation' AND method = '{m}' GROUP BY ALL) GROUP BY ALL)) WHERE accuracy >= best)"""
+
+
+def _all_sql() -> str:
+    """A subquery of all policies' decisions."""
+    base = {"tau": TAU, "dense_vem_min": DENSE_MIN}
+    of = lambda kind: [{**base, "setting": kind}] + [{**base, "setting": f"{m}_{kind}", "methods": [m]} for m in METHODS]
+    fixed = [{**base, "setting": "dense_only", "fixed_method": "dense", "fixed_budget": "full"}]
+    for m in METHODS:
+        budgets = {"fixed_aggressive": "64", "fixed_medium": "256", "cost_only": "64", "accuracy_only": _Sql(_ACCURATE_SQL.format(m=m))}
+        fixed += [{**base, "setting": f"{m}_{k}", "fixed_method": m, "fixed_budget": b} for k, b in budgets.items()]
+    kinds = ((of("supported"), "cheapest"), (of("online"), "cascade"), (fixed, "fixed"))
+    return " UNION ALL BY NAME ".join(f"SELECT * FROM ({_decisions_sql(rows, kind)} SELECT * FROM dec)" for rows, kind in kinds)
 
 
 def _accuracy_only(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +296,7 @@ QUERIES = {
         lambda s, sf: summary.selection_histogram(_decide(_ONE + _BY_METHOD)(s, sf), "setting"),
         f"{_decisions_sql(_ONE + _BY_METHOD)} SELECT setting, selected_method, selected_budget, count(*) AS n FROM dec GROUP BY ALL",
     ),
-    "policy_comparison": (lambda s, sf: summary.decision_summary(_all_decisions(s, sf), "setting"), None),
+    "policy_comparison": (lambda s, sf: summary.decision_summary(_all_decisions(s, sf), "setting"), f"WITH every AS ({_all_sql()}) SELECT setting, {_SUM_SQL} FROM every GROUP BY setting"),
     "record_summary": (
         lambda s, sf: summary.record_summary(_records(s, sf, None)),
         f"""{with_views("eval_records")} SELECT method, budget, intervention, count(*) AS n, {_r("avg(is_correct::INT)")} AS accuracy, {_r("avg(vem)")} AS mean_vem,
