@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.answers import DATASETS, KEYWORDS
 from brindle.functions.numbers import dot, sigmoid, standardize
+from brindle.operators.stats import grid_threshold, ranking_quality
 
 #: Names of the features, in order, and the rule of choice.
 FEATURE_NAMES = (
@@ -22,7 +23,10 @@ FEATURE_NAMES = (
 RULE = "smallest_budget_above_global_threshold_else_dense"
 #: Columns that a controller must never see.
 FORBIDDEN = frozenset(
-    {"answer", "gold_answer", "dense_answer", "dense_correct", "dense_vem", "dense_reliant", "eligible_interventions", "intervention_pass", "intervention_answer_fidelity"}
+    {
+        "answer", "gold_answer", "dense_answer", "dense_correct", "dense_vem", "dense_reliant", "eligible_interventions", "intervention_pass", "intervention_answer_fidelity",
+        "reference_safe", "combined_gold_safe", "minimum_observed_safe_budget",
+    }
 )
 STEPS, RATE, PENALTY, FLOOR = 1600, 0.08, 0.03, 1e-8
 #: Most training rows of a cell: a fit holds its cell in one task.
@@ -65,7 +69,11 @@ def probability(features: Column, model: dict) -> Column:
 
 
 def decide(df: DataFrame, artifact: dict, features: str = "features") -> DataFrame:
-    """``df`` with probabilities (map by budget) and selected_budget: the smallest whose probability reaches the global threshold, else dense."""
+    """``df`` with probabilities (map by budget) and selected_budget: the smallest whose probability reaches the global threshold, else dense.
+
+    A table with a column that a controller must not see is refused before anything runs.
+    """
+    check_columns(df, (features,))
     budgets = sorted(artifact["models"], key=int)
     rows = df.withColumn("_p", F.array(*[probability(F.col(features), artifact["models"][b]) for b in budgets]))
     names = F.array(*[F.lit(b) for b in budgets])
@@ -75,14 +83,18 @@ def decide(df: DataFrame, artifact: dict, features: str = "features") -> DataFra
     ).drop("_p")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> np.ndarray:
-    """Weights, the intercept first, after so many steps of full-batch descent from zero; the intercept isn't penalised."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the intercept first, after so many steps of full-batch descent from zero; the intercept isn't penalised.
+
+    ``times``: how often each row occurs.
+    """
     w = np.zeros(x.shape[1] + 1)
+    times = np.full(len(x), 1 / len(x)) if times is None else times / times.sum()
     for _ in range(steps):
         z = w[0] + x @ w[1:]
         e = np.exp(-np.abs(z))
-        error = np.where(z >= 0, 1 / (1 + e), e / (1 + e)) - y
-        gradient = np.concatenate(([error.mean()], x.T @ error / len(x) + penalty * w[1:]))
+        error = (np.where(z >= 0, 1 / (1 + e), e / (1 + e)) - y) * times
+        gradient = np.concatenate(([error.sum()], x.T @ error + penalty * w[1:]))
         w -= rate * gradient
     return w
 
@@ -90,27 +102,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float =
 def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY) -> DataFrame:
     """Per cell: weights, means, scales (sample deviation, at least 1e-8) of a logistic model of ``safe`` by ``features``.
 
-    One label alone gives the smoothed prior as the intercept. A cell is one task's work and is bounded: above
-    ``MOST_ROWS`` the fit stops with an error instead of dropping rows.
+    One label alone gives the smoothed prior as the intercept. Rows of equal features and label are counted before they move, so
+    a cell's task holds its distinct rows only: features are counts and flags, of which there are few. Above
+    ``MOST_ROWS`` distinct rows the fit stops with an error instead of dropping any.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_ROWS:
-            raise ValueError(f"a cell of {len(pdf)} rows; at most {MOST_ROWS} are fitted at once")
-        x, y = np.stack(pdf["features"].to_numpy()).astype(float), pdf["safe"].to_numpy().astype(float)
-        means = x.mean(axis=0)
-        scales = np.maximum(np.sqrt(((x - means) ** 2).sum(axis=0) / max(1, len(x) - 1)), FLOOR)
+            raise ValueError(f"a cell of {len(pdf)} distinct rows; at most {MOST_ROWS} are fitted at once")
+        x, y, times = np.array([list(f) for f in pdf["features"]], float).reshape(len(pdf), -1), pdf["safe"].to_numpy().astype(float), pdf["times"].to_numpy().astype(float)
+        # the order of rows must not decide the last digits
+        order = np.lexsort((y, *x.T))
+        x, y, times = x[order], y[order], times[order]
+        n = times.sum()
+        means = (x * times[:, None]).sum(axis=0) / n
+        scales = np.maximum(np.sqrt(((x - means) ** 2 * times[:, None]).sum(axis=0) / max(1.0, n - 1)), FLOOR)
         if y.min() == y.max():
-            prior = (y.sum() + 1) / (len(y) + 2)
+            prior = ((y * times).sum() + 1) / (n + 2)
             w = np.concatenate(([np.log(prior / (1 - prior))], np.zeros(x.shape[1])))
         else:
-            w = fit_logistic((x - means) / scales, y, steps, penalty=penalty)
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [len(x)], "weights": [w], "means": [means], "scales": [scales]})
+            w = fit_logistic((x - means) / scales, y, steps, penalty=penalty, times=times)
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [int(n)], "weights": [w], "means": [means], "scales": [scales]})
 
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n bigint, weights array<double>, means array<double>, scales array<double>"
-    # the order of rows must not decide the last digits
-    return rows.select(*by, "features", F.col("safe").cast("int").alias("safe"), "key").groupBy(*by).applyInPandas(lambda pdf: fit(pdf.sort_values("key")), schema)
+    counted = rows.groupBy(*by, "features", F.col("safe").cast("int").alias("safe")).agg(F.count("*").alias("times"))
+    return counted.groupBy(*by).applyInPandas(fit, schema)
 
 
 def models_to_artifact(rows: Iterator, threshold: float) -> dict:
@@ -124,8 +141,8 @@ def select_features(features: Column, places: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(p) for p in places]), lambda i: F.get(features, i))
 
 
-def out_of_fold(rows: DataFrame, steps: int = STEPS, penalty: float = PENALTY, places: list[int] | None = None) -> DataFrame:
-    """(key, fold, budget, safe, score): each row scored by the model of its budget that was fitted without its fold.
+def out_of_fold(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY, places: list[int] | None = None) -> DataFrame:
+    """(by, key, fold, budget, safe, score): each row scored by the model of its group and budget that was fitted without its fold.
 
     ``rows``: key, fold, budget, features, safe. ``places``: the features to use, by place, for ablations of feature groups.
     """
@@ -133,10 +150,10 @@ def out_of_fold(rows: DataFrame, steps: int = STEPS, penalty: float = PENALTY, p
         rows = rows.withColumn("features", select_features(F.col("features"), places))
     folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
     train = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds]))).where("without <> fold")
-    models = fit_cells(train, "budget", "without", steps=steps, penalty=penalty).drop("n").withColumnRenamed("without", "fold")
-    scored = rows.join(models, ["budget", "fold"])
+    models = fit_cells(train, *by, "budget", "without", steps=steps, penalty=penalty).drop("n").withColumnRenamed("without", "fold")
+    scored = rows.join(models, [*by, "budget", "fold"])
     z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
-    return scored.select("key", "fold", "budget", "safe", sigmoid(F.element_at("weights", 1) + z).alias("score"))
+    return scored.select(*by, "key", "fold", "budget", "safe", sigmoid(F.element_at("weights", 1) + z).alias("score"))
 
 
 def scored_rows(scores: DataFrame) -> DataFrame:
@@ -155,3 +172,90 @@ def replay(rows: DataFrame, threshold: float, budgets: tuple[int, ...], dense_to
         F.count("*").alias("n"), F.count_if(F.col("_pick").isNotNull() & ~F.col("_pick.safe")).alias("unsafe"), F.count("_pick").alias("avoided"),
         F.avg(F.coalesce("_pick.b", F.lit(dense_tokens))).alias("mean_tokens"), F.count("_best").alias("oracle_avoided"), F.avg(F.coalesce("_best.b", F.lit(dense_tokens))).alias("oracle_tokens"),
     )
+
+
+#: The groups of features, by place, and the configurations of an ablation.
+FEATURE_GROUPS = {"question_structure": tuple(range(4)), "task_source": tuple(range(4, 10)), "semantic_keywords": tuple(range(10, 17))}
+CONFIGURATIONS = {
+    "A0_full": ("question_structure", "task_source", "semantic_keywords"),
+    "A1_structure_only": ("question_structure",),
+    "A2_task_only": ("task_source",),
+    "A3_keywords_only": ("semantic_keywords",),
+    "A4_full_minus_task": ("question_structure", "semantic_keywords"),
+    "A5_full_minus_keywords": ("question_structure", "task_source"),
+    "A6_intercept_only": (),
+}
+
+
+def ablation(rows: DataFrame, cell: str = "cell", steps: int = STEPS, configurations: dict[str, tuple[str, ...]] = CONFIGURATIONS) -> DataFrame:
+    """(configuration, cell, budget, n, brier, log_loss, auroc): every configuration of feature groups in every cell, scored out of fold."""
+    out = None
+    for name, groups in configurations.items():
+        places = [p for g in groups for p in FEATURE_GROUPS[g]]
+        scored = out_of_fold(rows, cell, steps=steps, places=places).withColumn("y", F.col("safe").cast("int"))
+        got = ranking_quality(scored, "y", "score", cell, "budget").withColumn("configuration", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _arrays(scored: DataFrame, budgets: tuple[int, ...], *by: str) -> DataFrame:
+    """(by, scores, safe, energy): arrays over the budgets; energy has dense's as one more."""
+    got = scored.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("budget", F.struct("score", F.col("safe").cast("boolean").alias("safe"), "energy_joule")))).alias("_m"), F.max("dense_energy_joule").alias("_d"))
+    at = lambda name: [F.try_element_at("_m", F.lit(b))[name] for b in budgets]  # noqa: E731  a handful of budgets a row
+    missing = lambda xs, v: F.array(*[F.coalesce(x, F.lit(v)) for x in xs])
+    return got.select(*by, missing(at("score"), -1.0).alias("scores"), missing(at("safe"), False).alias("safe"), F.array(*at("energy_joule"), "_d").alias("energy"))
+
+
+def picked(scores: Column, threshold: Column, budgets: tuple[int, ...]) -> Column:
+    """The smallest budget whose score reaches the threshold, as text, else dense."""
+    names = F.array(*[F.lit(str(b)) for b in budgets])
+    place = F.array_position(F.transform(scores, lambda x: x >= threshold), F.lit(True)).cast("int")
+    return F.coalesce(F.get(names, place - 1), F.lit("dense"))
+
+
+def replay_policies(scored: DataFrame, budgets: tuple[int, ...], risks: tuple[float, ...], *by: str) -> DataFrame:
+    """(by, policy, key, selected_budget) over the test split of ``scored`` (by, key, split, budget, score, safe, energy_joule, dense_energy_joule).
+
+    Policies: dense; each fixed budget; the offline oracle (the smallest safe budget, else dense); for each risk the smallest fixed budget whose unsafe rate on
+    the validation split is within it, else dense; and for each risk the scores' threshold that spends least on the validation split within it.
+    """
+    rows = _arrays(scored, budgets, *by, "key", "split")
+    test = rows.where("split = 'test'")
+    validation = rows.where("split = 'validation'")
+    named = lambda df, policy, chosen: df.select(*by, F.lit(policy).alias("policy"), "key", chosen.alias("selected_budget"))
+    out = [named(test, "dense", F.lit("dense"))]
+    out += [named(test, f"fixed_{b}", F.lit(str(b))) for b in budgets]
+    out.append(named(test, "offline_oracle", picked(F.transform("safe", lambda s: s.cast("double")), F.lit(1.0), budgets)))
+    known = scored.where("split = 'validation'").groupBy(*by, "budget").agg(F.avg((~F.col("safe").cast("boolean")).cast("int")).alias("unsafe"))
+    for risk in risks:
+        fixed = known.where(F.col("unsafe") <= risk).groupBy(*by).agg(F.min("budget").cast("string").alias("_b"))
+        out.append(named(test.join(fixed, list(by), "left") if by else test.crossJoin(F.broadcast(fixed)), f"validation_fixed_risk_{risk:.2f}", F.coalesce("_b", F.lit("dense"))))
+        threshold = grid_threshold(validation, risk, *by, budgets=budgets)
+        joined = test.join(threshold, list(by)) if by else test.crossJoin(F.broadcast(threshold))  # a row per group
+        out.append(named(joined, f"metadata_logistic_risk_{risk:.2f}", picked(F.col("scores"), F.col("threshold"), budgets)))
+    all_ = out[0]
+    for df in out[1:]:
+        all_ = all_.unionByName(df)
+    return all_
+
+
+def cross_fit_replay(rows: DataFrame, budgets: tuple[int, ...], risks: tuple[float, ...], steps: int = 500, penalty: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """(decisions (risk, key, fold, selected_budget), thresholds (risk, fold, threshold)): for each fold and risk a threshold from the other folds alone.
+
+    ``rows``: key, fold, budget, features, safe, energy_joule, dense_energy_joule. The models of a fold are fitted without it and score the other folds, on
+    which the threshold is chosen, and the fold itself, which it decides.
+    """
+    folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
+    every = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds])))
+    models = fit_cells(every.where("without <> fold"), "budget", "without", steps=steps, penalty=penalty).drop("n")
+    scored = every.join(models, ["budget", "without"])
+    z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
+    scored = _arrays(scored.withColumn("score", sigmoid(F.element_at("weights", 1) + z)), budgets, "key", "fold", "without")
+    decisions = thresholds = None
+    for risk in risks:
+        at = grid_threshold(scored.where("without <> fold"), risk, "without", budgets=budgets).select(F.lit(risk).alias("risk"), F.col("without").alias("fold"), "threshold")
+        held = scored.where("without = fold").join(at, "fold")
+        chosen = held.select("risk", "key", "fold", picked(F.col("scores"), F.col("threshold"), budgets).alias("selected_budget"))
+        decisions = chosen if decisions is None else decisions.unionByName(chosen)
+        thresholds = at if thresholds is None else thresholds.unionByName(at)
+    return decisions, thresholds

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.answers import alnum_key
+from brindle.functions.numbers import r6
 
 RELIANT = 1.0
 
@@ -17,25 +18,31 @@ def strict_labels(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
     fidelity hold trivially. gold_safe is null unless dense is right and something is eligible. Samples without
     dense records have no row. The first record of a sample is that of its first intervention.
     """
-    dense = records.where("method = 'dense'").groupBy("sample_id", "intervention").agg(
-        F.min("vem").alias("dense_margin"), F.min("answer").alias("dense_intervened"), F.min("is_correct").alias("dense_right")
+    dense = F.col("method") == "dense"
+    here, sample = Window.partitionBy("sample_id", "intervention"), Window.partitionBy("sample_id")
+    # one partitioning by sample serves dense's values, eligibility and the aggregates
+    rows = records.withColumns(
+        {
+            "dense_margin": F.min(F.when(dense, F.col("vem"))).over(here),
+            "dense_intervened": F.min(F.when(dense, F.col("answer"))).over(here),
+            "_first": F.min(F.when(dense, F.struct("intervention", "answer", "is_correct"))).over(sample),
+        }
     )
-    first = dense.groupBy("sample_id").agg(
-        F.min_by("dense_intervened", "intervention").alias("dense_answer"),
-        F.min_by("dense_right", "intervention").alias("dense_correct"),
-        F.count_if(F.col("dense_margin") >= threshold).alias("n_eligible"),
-    )
-    rows = records.join(dense, ["sample_id", "intervention"], "left").withColumn("eligible", F.coalesce(F.col("dense_margin") >= threshold, F.lit(False)))
+    eligible = F.coalesce(F.col("dense_margin") >= threshold, F.lit(False))
+    rows = rows.where("_first is not null").withColumns({"eligible": eligible, "n_eligible": F.size(F.collect_set(F.when(dense & eligible, F.col("intervention"))).over(sample)).cast("bigint")})
     same = alnum_key(F.col("answer")) == alnum_key(F.col("dense_intervened"))
     eligible = F.col("eligible")
     actions = rows.groupBy("sample_id", "split", "dataset", "method", "budget", "budget_ord").agg(
+        F.first("_first.answer").alias("dense_answer"),
+        F.first("_first.is_correct").alias("dense_correct"),
+        F.first("n_eligible").alias("n_eligible"),
         F.min_by("answer", "intervention").alias("answer"),
         F.min_by("is_correct", "intervention").alias("is_correct"),
         F.count_distinct(F.when(eligible, F.col("intervention"))).alias("n_covered"),
         F.coalesce(F.every(F.when(eligible, same)), F.lit(True)).alias("same_changes"),
         F.coalesce(F.every(F.when(eligible, F.col("vem") >= threshold)), F.lit(True)).alias("all_pass"),
     )
-    actions = actions.join(first, "sample_id").withColumn("covers", F.col("n_covered") == F.col("n_eligible"))
+    actions = actions.withColumn("covers", F.col("n_covered") == F.col("n_eligible"))
     fidelity = F.col("covers") & F.col("same_changes")
     answer = alnum_key(F.col("answer")) == alnum_key(F.col("dense_answer"))
     return actions.select(
@@ -92,3 +99,63 @@ def later_wins(sources: list[DataFrame], *key: str) -> DataFrame:
 def label_map(labels: DataFrame, key: str, budget: Column, safe: Column) -> DataFrame:
     """Per key a map from budget to whether it is safe."""
     return labels.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(budget, safe)))).alias("safe"))
+
+
+def first_wins(sources: list[DataFrame], *key: str) -> DataFrame:
+    """Rows of several tables, of which the first that has a key counts."""
+    return later_wins(sources[::-1], *key)
+
+
+def dense_states(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
+    """Per sample with dense records: split, dataset, answer and is_correct of the first intervention, and the eligible interventions."""
+    dense = records.where("method = 'dense'")
+    return dense.groupBy("sample_id").agg(
+        *(F.min_by(c, "intervention").alias(c) for c in ("split", "dataset", "answer", "is_correct")),
+        F.array_sort(F.collect_set(F.when(F.col("vem") >= threshold, F.col("intervention")))).alias("eligible"),
+    )
+
+
+def dense_agreement(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Per sample of both (:func:`dense_states`): whether answers, rightness and eligible interventions agree, and whether both are right and rely on the input."""
+    b = other.select("sample_id", *(F.col(c).alias(f"_{c}") for c in ("answer", "is_correct", "eligible")))
+    both = one.join(b, "sample_id")
+    return both.select(
+        "sample_id", "split", "dataset",
+        (alnum_key(F.col("answer")) == alnum_key(F.col("_answer"))).alias("answer_agree"),
+        (F.col("is_correct") == F.col("_is_correct")).alias("correctness_agree"),
+        (F.col("eligible") == F.col("_eligible")).alias("eligible_interventions_agree"),
+        (F.col("is_correct") & F.col("_is_correct") & (F.size("eligible") > 0) & (F.size("_eligible") > 0)).alias("common_reliant"),
+    )
+
+
+def agreement_rates(agreement: DataFrame) -> DataFrame:
+    """One row: shared samples, rates of agreement, disagreements of any kind, and common reliant samples of the test split."""
+    agree = ("answer_agree", "correctness_agree", "eligible_interventions_agree")
+    every = F.col(agree[0]) & F.col(agree[1]) & F.col(agree[2])
+    return agreement.agg(
+        F.count("*").alias("n_shared_samples"), *(r6(F.avg(F.col(c).cast("int"))).alias(f"{c}ment_rate") for c in agree),
+        F.count_if(~every).alias("n_any_disagreement"), F.count_if(F.col("common_reliant") & (F.col("split") == "test")).alias("n_common_dense_correct_reliant_test"),
+    )
+
+
+def outcomes(actions: DataFrame, calls: DataFrame, labels: DataFrame, dense_tokens: int = 576) -> DataFrame:
+    """``actions`` (sample_id, method, selected_budget, ...) with what they cost and whether they were right to take.
+
+    ``calls``: one original call per sample, method and budget; ``labels``: strict labels. ``dense`` as a budget stands for the full call. Given: task_correct,
+    unsafe_acceptance (dense avoided though it wasn't safe), supported_correct, selected_tokens, energy_joule, latency_ms, dense_energy_joule, dense_latency_ms.
+    """
+    avoided = F.col("selected_budget") != "dense"
+    keyed = actions.withColumns({"_m": F.when(avoided, F.col("method")).otherwise("dense"), "_b": F.when(avoided, F.col("selected_budget")).otherwise("full")})
+    call = calls.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), F.col("is_correct").alias("task_correct"), "energy_joule", "latency_ms", "token_count")
+    full = calls.where("method = 'dense'").select("sample_id", F.col("energy_joule").alias("dense_energy_joule"), F.col("latency_ms").alias("dense_latency_ms"))
+    label = labels.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), "reference_safe", "gold_safe", "dense_correct", "n_eligible", "answer_fidelity", "intervention_fidelity", "intervention_pass")
+    rows = keyed.join(call, ["sample_id", "_m", "_b"]).join(full, "sample_id").join(label, ["sample_id", "_m", "_b"])
+    right_dense = F.col("dense_correct") & (F.col("n_eligible") > 0)
+    return rows.withColumns(
+        {
+            "avoided": avoided,
+            "unsafe_acceptance": avoided & ~F.col("reference_safe"),
+            "supported_correct": F.when(avoided, F.coalesce("gold_safe", F.lit(False))).otherwise(right_dense),
+            "selected_tokens": F.when(avoided, F.col("token_count")).otherwise(dense_tokens),
+        }
+    ).drop("_m", "_b", "token_count")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.numbers import clip, r6, ratio
+from brindle.functions.numbers import clip, r6, ratio, wilson_interval
+from brindle.operators.stats import reduction_bootstrap
 
 
 def _rate(c: Column) -> Column:
@@ -161,9 +162,10 @@ def first_calls(records: DataFrame) -> DataFrame:
 
 
 def cost_boundary(records: DataFrame, budgets: tuple[str, ...] = ("64", "128", "256", "432", "full")) -> DataFrame:
-    """Per method the mean energy of an original call at each budget, side by side."""
-    mean = first_calls(records).groupBy("method").pivot("budget", list(budgets)).agg(r6(F.avg("energy_joule")))
-    return mean.select("method", *(F.col(f"`{b}`").alias(f"mean_energy_{b}") for b in budgets))
+    """Per method, at each budget side by side: mean energy and latency of an original call, and how many calls have energy."""
+    measures = {"mean_energy": r6(F.avg("energy_joule")), "mean_latency": r6(F.avg("latency_ms")), "calls_with_energy": F.count("energy_joule")}
+    mean = first_calls(records).groupBy("method").pivot("budget", list(budgets)).agg(*(c.alias(n) for n, c in measures.items()))
+    return mean.select("method", *(F.col(f"`{b}_{n}`").alias(f"{n}_{b}") for n in measures for b in budgets))
 
 
 def reduction_against_dense(records: DataFrame) -> DataFrame:
@@ -172,3 +174,135 @@ def reduction_against_dense(records: DataFrame) -> DataFrame:
     dense = mean.where("method = 'dense'").agg(F.max("e").alias("de"), F.max("l").alias("dl"))
     rows = mean.where("method <> 'dense'").crossJoin(F.broadcast(dense))  # one row
     return rows.select("method", "budget", "n", r6(1 - ratio(F.col("e"), F.col("de"))).alias("energy_reduction"), r6(1 - ratio(F.col("l"), F.col("dl"))).alias("latency_reduction"))
+
+
+JOULE_PER_KWH = 3_600_000
+CHOICES = ("128", "256", "432", "448", "64", "dense")
+
+
+def _bounds(rows: DataFrame, count: str, n: str, name: str) -> DataFrame:
+    low, high = wilson_interval(F.col(count), F.col(n))
+    return rows.withColumns({f"{name}_low": r6(low), f"{name}_high": r6(high)})
+
+
+def controller_summary(outcomes: DataFrame, *by: str, risk: float = 0.05, draws: int = 5000, seed: int = 13, dense_tokens: int = 576, runs: DataFrame | None = None) -> DataFrame:
+    """What a controller's actions cost and risked (:func:`brindle.operators.safety.outcomes`), by the given columns.
+
+    Rates have 95 per cent Wilson bounds, the energy reduction a bootstrapped interval by sample. ``runs``: a row per group with what
+    only a run knows (energy of the whole block a query, where it was resumed, the controller's own latency).
+    """
+    rate = lambda c: F.avg(F.col(c).cast("int"))
+    got = outcomes.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        r6(rate("avoided")).alias("dense_avoidance_rate"),
+        distribution(F.col("selected_budget"), CHOICES).alias("selected_budget_distribution"),
+        r6(F.avg("selected_tokens")).alias("mean_selected_visual_tokens"),
+        r6(1 - F.avg("selected_tokens") / dense_tokens).alias("token_reduction_vs_dense"),
+        F.count_if("unsafe_acceptance").alias("unsafe_acceptance_count"),
+        F.count_if("task_correct").alias("_correct"),
+        F.count_if("supported_correct").alias("_supported"),
+        *(F.avg(a).alias(b) for a, b in (("energy_joule", "_energy"), ("dense_energy_joule", "_dense_energy"), ("latency_ms", "_latency"), ("dense_latency_ms", "_dense_latency"))),
+    )
+    n = F.col("n")
+    got = got.withColumns(
+        {
+            "unsafe_acceptance_rate_full": r6(ratio(F.col("unsafe_acceptance_count"), n)),
+            "unconditional_accuracy": r6(ratio(F.col("_correct"), n)),
+            "supported_correct_rate_full": r6(ratio(F.col("_supported"), n)),
+            "mean_call_window_gpu_energy_joule": r6("_energy"),
+            "mean_dense_call_window_gpu_energy_joule": r6("_dense_energy"),
+            "mean_model_latency_ms": r6("_latency"),
+            "mean_dense_latency_ms": r6("_dense_latency"),
+            "correct_answers_per_kwh": r6(ratio(F.col("_correct") / n * JOULE_PER_KWH, F.col("_energy"))),
+            "supported_correct_answers_per_kwh": r6(ratio(F.col("_supported") / n * JOULE_PER_KWH, F.col("_energy"))),
+        }
+    )
+    for count, name in (("unsafe_acceptance_count", "unsafe_acceptance"), ("_correct", "unconditional_accuracy"), ("_supported", "supported_correct")):
+        got = _bounds(got, count, "n", name)
+    got = got.withColumns(
+        {
+            "prospective_risk_limit_met_point_estimate": F.col("unsafe_acceptance_count") / n <= risk,
+            "prospective_risk_limit_met_95pct_upper": F.col("unsafe_acceptance_high") <= risk,
+        }
+    ).drop("_correct", "_supported", "_energy", "_dense_energy", "_latency", "_dense_latency")
+    saved = reduction_bootstrap(outcomes, "energy_joule", "dense_energy_joule", "sample_id", draws, seed, *by)
+    saved = saved.select(*by, F.col("reduction").alias("energy_reduction_vs_dense"), F.col("ci_low").alias("energy_reduction_low"), F.col("ci_high").alias("energy_reduction_high"))
+    got = got.join(saved, list(by))
+    return got.join(runs, list(by), "left") if runs is not None else got
+
+
+def deployable(summary: DataFrame, risk: float = 0.05) -> DataFrame:
+    """``summary`` with deployable: the upper bound of unsafe choices is within ``risk`` and the lower bound of the energy reduction above 0."""
+    return summary.withColumn("deployable", (F.col("unsafe_acceptance_high") <= risk) & (F.col("energy_reduction_low") > 0))
+
+
+def fixed_budget_summary(labels: DataFrame, calls: DataFrame, *by: str) -> DataFrame:
+    """Per group, method and budget: what always taking that budget would cost and keep. ``labels``: strict labels; ``calls``: one original call each."""
+    call = calls.select("sample_id", "method", "budget", F.col("is_correct").alias("_right"), "energy_joule", "latency_ms")
+    rows = labels.where("method <> 'dense'").join(call, ["sample_id", "method", "budget"])
+    reliant = F.col("n_eligible") > 0
+    supported = F.count_if(reliant & F.coalesce("gold_safe", F.lit(False)))
+    return rows.groupBy(*by, "method", "budget").agg(
+        F.count("*").alias("n"),
+        r6(F.avg(F.col("_right").cast("int"))).alias("unconditional_accuracy"),
+        F.count_if(reliant).alias("dense_reliant_n"),
+        r6(F.avg(F.when(reliant, F.col("reference_safe").cast("int")))).alias("strict_reference_safe_rate_dense_reliant"),
+        r6(supported / F.count("*")).alias("supported_correct_rate_full"),
+        r6(F.avg("energy_joule")).alias("mean_call_window_gpu_energy_joule"),
+        r6(F.avg("latency_ms")).alias("mean_latency_ms"),
+        r6(ratio(supported / F.count("*") * JOULE_PER_KWH, F.avg("energy_joule"))).alias("supported_correct_answers_per_kwh"),
+    )
+
+
+def policy_outcomes(outcomes: DataFrame, *by: str) -> DataFrame:
+    """The full summary of chosen actions, by policy or whatever is given: all rows, rows where dense is right, and those that also rely on the input."""
+    rate = lambda c, where=None: r6(F.avg(F.when(where, F.col(c).cast("int")) if where is not None else F.col(c).cast("int")))
+    right = F.col("dense_correct")
+    reliant = right & (F.col("n_eligible") > 0)
+    supported = F.count_if(reliant & F.col("task_correct") & F.col("intervention_pass"))
+    return outcomes.groupBy(*by).agg(
+        F.count("*").alias("n_full"),
+        rate("task_correct").alias("unconditional_accuracy"),
+        rate("reference_safe").alias("dense_behavior_safe_rate"),
+        rate("unsafe_acceptance").alias("unsafe_acceptance_rate"),
+        rate("avoided").alias("dense_avoidance_rate"),
+        r6(F.avg("selected_tokens")).alias("mean_token_count"),
+        r6(F.avg("latency_ms")).alias("mean_original_call_latency_ms"),
+        r6(F.avg("energy_joule")).alias("mean_original_call_energy_joule"),
+        F.count_if(right).alias("n_dense_correct"),
+        rate("answer_fidelity", right).alias("dense_correct_answer_preservation"),
+        F.count_if(reliant).alias("n_dense_correct_reliant"),
+        rate("intervention_pass", reliant).alias("reliant_intervention_preservation"),
+        rate("intervention_fidelity", reliant).alias("reliant_intervention_trajectory_fidelity"),
+        r6(F.avg(F.when(reliant, F.coalesce("gold_safe", F.lit(False)).cast("int")))).alias("reliant_combined_safe_rate"),
+        r6(ratio(supported, F.sum("energy_joule") / JOULE_PER_KWH)).alias("supported_correct_answers_per_kwh_full_denominator"),
+        distribution(F.col("selected_budget"), CHOICES).alias("selected_budget_distribution"),
+        F.lit("original model call only; evaluator-only interventions excluded").alias("accounting_boundary"),
+    )
+
+
+def strict_coverage(labels: DataFrame, *by: str) -> DataFrame:
+    """Per group, method and budget: how many samples are reliant and right, safe rates over all and over reliant ones, with Wilson bounds."""
+    reliant = F.col("n_eligible") > 0
+    got = labels.where("method <> 'dense'").groupBy(*by, "method", "budget").agg(
+        F.count("*").alias("n"),
+        F.count_if(reliant).alias("n_reliant"),
+        F.count_if("dense_correct").alias("n_dense_correct"),
+        F.count_if("covers").alias("n_covered"),
+        F.count_if("reference_safe").alias("n_safe"),
+        F.count_if(reliant & F.col("reference_safe")).alias("n_safe_reliant"),
+    )
+    got = got.withColumns({"reliant_rate": r6(ratio(F.col("n_reliant"), F.col("n"))), "coverage_rate": r6(ratio(F.col("n_covered"), F.col("n"))), "safe_rate": r6(ratio(F.col("n_safe"), F.col("n"))), "safe_rate_reliant": r6(ratio(F.col("n_safe_reliant"), F.col("n_reliant")))})
+    return _bounds(_bounds(got, "n_safe", "n", "safe"), "n_safe_reliant", "n_reliant", "safe_reliant")
+
+
+def dense_audit(records: DataFrame, *by: str, expected: int | None = None) -> DataFrame:
+    """Of dense records the first call of each sample: counts and means. ``expected``: so many samples must be there in each group."""
+    got = first_calls(records.where("method = 'dense'")).groupBy(*by).agg(
+        F.count("*").alias("n"), r6(F.avg(F.col("is_correct").cast("int"))).alias("accuracy"), r6(F.avg("energy_joule")).alias("mean_energy_joule"),
+        r6(F.avg("latency_ms")).alias("mean_latency_ms"), r6(F.avg(F.col("token_count"))).alias("mean_token_count"),
+    )
+    if expected is None:
+        return got
+    wrong = F.raise_error(F.concat(F.lit(f"{expected} samples are expected, there are "), F.col("n").cast("string"))).cast("bigint")
+    return got.withColumn("n", F.when(F.col("n") == expected, F.col("n")).otherwise(wrong))

@@ -166,7 +166,7 @@ def _pareto(s, sf):
 
 
 def _quantiles(s, sf):
-    return view(s, sf, "eval_records").groupBy("method", "budget").agg(r6(F.percentile("cost", 0.9)).alias("linear"), r6(stats.lower_quantile(F.col("cost"), 0.9)).alias("lower"), r6(F.median("cost")).alias("middle"))
+    return view(s, sf, "eval_records").groupBy("method", "budget").agg(r6(F.percentile("cost", 0.9)).alias("linear"), r6(F.median("cost")).alias("middle")).join(stats.lower_quantile(view(s, sf, "eval_records"), "cost", 0.9, "method", "budget").withColumn("lower", r6("lower")), ["method", "budget"])
 
 
 QUERIES = {
@@ -219,7 +219,8 @@ QUERIES = {
     "cohen_kappa": (
         _kappa,
         f"""{_L}, p AS (SELECT sample_id, arg_max(reference_safe, budget) AS a, arg_min(reference_safe, budget) AS b FROM labels_by_budget GROUP BY sample_id),
-            o AS (SELECT count(*) AS n, avg((a = b)::INT) AS o, avg(a::INT) * avg(b::INT) + (1 - avg(a::INT)) * (1 - avg(b::INT)) AS e FROM p) SELECT n, {_r("o")} AS agreement, {_r("(o - e) / (1 - e)")} AS kappa FROM o""",
+            o AS (SELECT count(*) AS n, avg((a = b)::INT) AS o, avg(a::INT) * avg(b::INT) + (1 - avg(a::INT)) * (1 - avg(b::INT)) AS e, count(*) FILTER (a) AS a1, count(*) FILTER (NOT a) AS a0, count(*) FILTER (b) AS b1, count(*) FILTER (NOT b) AS b0 FROM p)
+            SELECT n, {_r("o")} AS agreement, {_r("(o - e) / (1 - e)")} AS kappa, '{{"false":' || a0 || ',"true":' || a1 || '}}' AS a_distribution, '{{"false":' || b0 || ',"true":' || b1 || '}}' AS b_distribution FROM o""",
     ),
     "bootstrap_ci": (_bootstrap, _bootstrap_sql()),
     "pareto_front": (

@@ -62,6 +62,10 @@ QUERIES = {
         lambda s, sf: integrity.duplicates(view(s, sf, "lineitem"), "l_orderkey", "l_linenumber"),
         "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     ),
+    "repeated_record_keys": (
+        lambda s, sf: integrity.duplicates(view(s, sf, "call_pairs"), "sample_id", "method", "intervention"),
+        f"{with_views('call_pairs')} SELECT sample_id, method, intervention, count(*) AS n FROM call_pairs GROUP BY ALL HAVING count(*) > 1",
+    ),
     "cell_coverage": (
         lambda s, sf: integrity.coverage(view(s, sf, "eval_records"), "method", "budget", "split"),
         f"{_R} SELECT method, budget, split, count(*) AS rows, count(DISTINCT sample_id) AS samples FROM eval_records GROUP BY ALL",

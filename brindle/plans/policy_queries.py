@@ -344,7 +344,7 @@ QUERIES = {
     ),
     "cost_boundary_pivot": (
         lambda s, sf: summary.cost_boundary(_records(s, sf)),
-        f"{_CALLS_SQL} SELECT method, " + ", ".join(f"{_r(f'avg(energy_joule) FILTER (budget = {b!r})')} AS mean_energy_{b}" for b in (*BUDGETS, "full")) + " FROM calls1 GROUP BY method",
+        f"{_CALLS_SQL} SELECT method, " + ", ".join(f"{_r(f'avg(energy_joule) FILTER (budget = {b!r})')} AS mean_energy_{b}, {_r(f'avg(latency_ms) FILTER (budget = {b!r})')} AS mean_latency_{b}, nullif(count(energy_joule) FILTER (budget = {b!r}), 0) AS calls_with_energy_{b}" for b in (*BUDGETS, "full")) + " FROM calls1 GROUP BY method",
     ),
     "reduction_against_dense": (
         lambda s, sf: summary.reduction_against_dense(_records(s, sf)),
