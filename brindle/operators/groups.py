@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.answers import stable_hash
-from brindle.operators.graph import components
+from brindle.operators.graph import SALTS, components, salted_totals
+from brindle.sources.folders import written
 
 
 def connected_groups(rows: DataFrame, key: str, *shared: str) -> DataFrame:
@@ -19,9 +20,10 @@ def connected_groups(rows: DataFrame, key: str, *shared: str) -> DataFrame:
     """
     edges = None
     for c in shared:
-        known = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("b"), F.xxhash64(c).alias("h"), F.col(c).alias("value"))
-        least = known.groupBy("h", "value").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
-        tied = known.join(least, ["h", "value"]).select("a", "b").where("a <> b")
+        known = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("b"), F.col(c).alias("value"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
+        # the rows of a hot value are dealt to parts, which are added up before they meet and joined part by part
+        least, n = [F.min("b").alias("a"), F.count("*").alias("n")], [F.min("a").alias("a"), F.sum("n").alias("n")]
+        tied = known.join(salted_totals(known, ["value"], "salt", least, n).where("n > 1"), ["value", "salt"]).select("a", "b").where("a <> b")
         edges = tied if edges is None else edges.unionByName(tied)
     found = components(edges)
     named = rows.select(key).distinct().join(found.withColumnRenamed("node", key), key, "left")
@@ -58,7 +60,8 @@ def take_by_hash(rows: DataFrame, n: int, seed: int, key: str, *within: str) ->
 def round_robin(rows: DataFrame, n: int, seed: int, key: str, stratum: str) -> DataFrame:
     """n rows, one of each stratum in turn, each stratum in hash order; strata that run out are passed over."""
     w = Window.partitionBy(stratum).orderBy(stable_hash(F.lit(seed), F.col(stratum), F.col(key)), key)
-    return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", stratum).limit(n)
+    turns = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)  # tasks keep n rows of a stratum at most
+    return turns.orderBy("turn", stratum).limit(n)
 
 
 def balanced_allocation(capacity: dict[str, int], target: int) -> dict[str, int]:
@@ -99,6 +102,48 @@ def fold_packing(sizes: dict[str, int], folds: int = 5) -> dict[str, int]:
     return placed
 
 
+def fold_runs(counts: dict[int, int], folds: int = 5) -> list[tuple[int, int, list[int]]]:
+    """(size, rank of the first group, folds in turn): where groups of each size go, as :func:`fold_packing` puts them, from counts by size alone.
+
+    Of a size, the folds that are less than one group above the least loaded take turns until the next fold is as near; so there are at most
+    as many runs of a size as folds, however many groups there are.
+    """
+    loads, runs = [0] * folds, []
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            low = min(loads)
+            turn = sorted((i for i in range(folds) if loads[i] < low + size), key=lambda i: (loads[i], i))
+            others = [loads[i] for i in range(folds) if i not in turn]
+            rounds = (min(others) - low) // size if others else left
+            taken = min(left, rounds * len(turn))
+            runs.append((size, rank, turn))
+            for k, i in enumerate(turn):
+                loads[i] += size * (taken // len(turn) + (k < taken % len(turn)))
+            rank, left = rank + taken, left - taken
+    return runs
+
+
+def assign_folds(sizes: DataFrame, group: str, n: str, folds: int = 5) -> DataFrame:
+    """``sizes`` (a row per group) with fold: the largest groups first, then by hash of their names, each to the least loaded fold.
+
+    Only counts by size come to the driver. A group finds its fold by its rank among groups of its size; ranks come from counts by
+    hash range and prefix sums over the ranges, so groups of one size are many tasks' work.
+    """
+    named = sizes.withColumns({"_h": F.sha2(F.col(group).cast("string"), 256)}).withColumn("_part", F.substring("_h", 1, 3))
+    named = written(named, "fold-groups")
+    parts = named.groupBy(n, "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(n).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(n, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    counts = {r[0]: r[1] for r in parts.groupBy(n).agg(F.sum("_c")).collect()}  # a row per size
+    runs = named.sparkSession.createDataFrame(fold_runs(counts, folds) or [(0, 0, [0])], "_size long, _from long, _turn array<int>")
+    ends = runs.withColumn("_to", F.lead("_from").over(Window.partitionBy("_size").orderBy("_from")))
+    rank = F.row_number().over(Window.partitionBy(n, "_part").orderBy("_h", group)) - 1
+    ranked = named.join(bases, [n, "_part"]).withColumn("_rank", rank + F.col("_base"))
+    met = ranked.join(ends, (F.col(n) == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_rank") < F.col("_to"))))
+    return met.select(*sizes.columns, F.get("_turn", ((F.col("_rank") - F.col("_from")) % F.size("_turn")).cast("int")).alias("fold"))
+
+
 def quota_draws(pool: DataFrame, quotas: dict[str, int], seeds: Iterable[int], key: str, stratum: str, group: str) -> DataFrame:
     """Draws that share no group: per seed and stratum so many rows of different groups, in hash order.
 

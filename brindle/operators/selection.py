@@ -105,11 +105,50 @@ def synthetic_scores(df: DataFrame, seed: int = 0, dense: int = 576) -> DataFram
     ).drop("_scores")
 
 
+#: Most interventions and most cells of a run.
+MOST_CELLS = 10_000
+
+
+def intervention_specs(config: list[dict]) -> list[dict]:
+    """A run's interventions in full: kind by default the name, a blur's radius by default 8, no restriction to datasets unless it is stated."""
+    return [{"type": s["name"], "applies_to": None, **({"radius": 8.0} if s.get("type", s["name"]) == "blur" else {}), **s} for s in config]
+
+
+def prompt(question: Column, options: Column) -> Column:
+    """What a scorer is asked: the question, and its options one a line where there are any."""
+    lines = F.array_join(F.transform(options, lambda o: F.concat(F.lit("- "), o)), "\n")
+    choose = "\n\nChoose the best answer from the options below. Return exactly one option text and nothing else.\n"
+    return F.when(F.size(options) > 0, F.concat(question, F.lit(choose), lines)).otherwise(F.concat(question, F.lit("\n\nAnswer with a short phrase and no explanation.")))
+
+
+#: Media types by the end of a file's name; others count as PNG.
+MEDIA = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "png": "image/png"}
+
+
+def data_url(path: Column, content: Column) -> Column:
+    """An image's bytes as a data URL."""
+    known = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])
+    media = F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))), F.lit("image/png"))
+    return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.base64(content))
+
+
+def generated(sequence: Column, prompt_ids: Column) -> Column:
+    """struct(ids, kind): a model's output without the prompt where it begins with it, else as it is."""
+    n = F.size(prompt_ids)
+    same = (F.size(sequence) >= n) & (F.slice(sequence, F.lit(1), n) == prompt_ids)
+    cut = F.slice(sequence, n + 1, F.greatest(F.size(sequence) - n, F.lit(0)))
+    return F.struct(F.when(same, cut).otherwise(sequence).alias("ids"), F.when(same, "prompt_prefix_sliced").otherwise("sequence_only").alias("kind"))
+
+
 def run_grid(samples: DataFrame, interventions: DataFrame, cells: DataFrame) -> DataFrame:
     """Samples times applicable interventions times (method, budget) cells; the two small tables are a run's configuration.
 
-    An intervention with ``applies_to`` (array of datasets) is left out for others; null applies to all.
+    An intervention with ``applies_to`` (array of datasets) is left out for others; null applies to all. Tables of more than
+    ``MOST_CELLS`` rows are an error: they are sent to all tasks.
     """
+    for small in (interventions, cells):
+        if small.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+            raise ValueError(f"a run's configuration has at most {MOST_CELLS} interventions and cells")
     grid = samples.crossJoin(F.broadcast(interventions)).where(F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("dataset")))
     return grid.drop("applies_to").crossJoin(F.broadcast(cells))
 

@@ -272,6 +272,7 @@ def pareto_front(points: DataFrame, gain: str, cost: str, *by: str) -> DataFrame
 
     By order of cost with a running maximum, instead of a join of all with all.
     """
+    # a row per distinct cost of a group, whatever the table's size
     best = points.groupBy(*by, cost).agg(F.max(gain).alias("_best"))
     cheaper = Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("_before", F.max("_best").over(cheaper))

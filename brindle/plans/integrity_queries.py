@@ -88,6 +88,23 @@ QUERIES = {
         f"""{_S} SELECT dataset, intervention, method, count(*) AS n FROM samples CROSS JOIN (VALUES ('gray'), ('blur'), ('swap')) AS i(intervention) CROSS JOIN (VALUES ('dense'), ('topk'), ('topk'), ('cover'), ('cover')) AS m(method)
             WHERE intervention <> 'swap' OR dataset IN ('fr', 'de') GROUP BY ALL""",
     ),
+    "scorer_prompts": (
+        lambda s, sf: view(s, sf, "part").select(
+            "p_partkey",
+            F.sha2(selection.prompt(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand", "p_type"))), 256).alias("prompt"),
+            selection.data_url(F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, ".JPG").otherwise(".dat")), F.encode("p_type", "UTF-8")).alias("url"),
+        ),
+        """SELECT p_partkey, sha256(CASE WHEN p_partkey % 3 = 0 THEN p_name || chr(10) || chr(10) || 'Answer with a short phrase and no explanation.'
+             ELSE p_name || chr(10) || chr(10) || 'Choose the best answer from the options below. Return exactly one option text and nothing else.' || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_type END) AS prompt,
+             'data:image/' || CASE WHEN p_partkey % 2 = 0 THEN 'jpeg' ELSE 'png' END || ';base64,' || base64(encode(p_type)) AS url FROM part""",
+    ),
+    "generated_tokens": (
+        lambda s, sf: view(s, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("seq")).withColumn(
+            "g", selection.generated(F.col("seq"), F.when(F.col("l_orderkey") % 2 == 0, F.slice("seq", 1, 2)).otherwise(F.array(F.lit(9), F.lit(9))))
+        ).select("l_orderkey", F.array_join(F.transform("g.ids", lambda x: x.cast("string")), ",").alias("ids"), F.col("g.kind").alias("kind")),
+        """WITH q AS (SELECT l_orderkey, list_sort(list(l_linenumber)) AS seq FROM lineitem GROUP BY l_orderkey)
+           SELECT l_orderkey, array_to_string(CASE WHEN l_orderkey % 2 = 0 THEN seq[3:] ELSE seq END, ',') AS ids, CASE WHEN l_orderkey % 2 = 0 THEN 'prompt_prefix_sliced' ELSE 'sequence_only' END AS kind FROM q""",
+    ),
     "center_selection": (_centers, _CENTERS_SQL),
     "synthetic_scorer": (_scores, _SCORES_SQL),
 }

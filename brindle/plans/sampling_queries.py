@@ -49,8 +49,21 @@ def _alloc(s, sf):
 
 
 def _folds(s, sf):
-    sizes = {r[0]: r[1] for r in _samples(s, sf).groupBy("category").agg(F.count("*")).collect()}  # a row per category
-    return s.createDataFrame(sorted(groups.fold_packing(sizes).items()), "category string, fold int")
+    return groups.assign_folds(_samples(s, sf).groupBy("category").agg(F.count("*").alias("n")), "category", "n").select("category", "fold")
+
+
+def _group_folds(s, sf):
+    sizes = _samples(s, sf).groupBy(F.substring(F.sha2("question", 256), 1, 2).alias("grp")).agg(F.count("*").alias("n"))
+    return groups.assign_folds(sizes, "grp", "n")
+
+
+def _folds_sql(sizes: str, name: str, more: str = "") -> str:
+    """The greedy steps one after the other, by recursion."""
+    least = "list_position(loads, list_min(loads))"
+    return f"""{_S.replace("WITH ", "WITH RECURSIVE ", 1)}, z AS ({sizes}), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256(name), name) AS i FROM z),
+      r AS (SELECT 0::BIGINT AS i, '' AS name, 0::BIGINT AS n, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+            UNION ALL SELECT o.i, o.name, o.n, ({least} - 1)::INT, list_transform(range(1, 6), lambda k: loads[k] + CASE WHEN k = {least} THEN o.n ELSE 0 END) FROM r JOIN o ON o.i = r.i + 1)
+      SELECT name AS {name}{more}, fold FROM r WHERE i > 0"""
 
 
 QUERIES = {
@@ -99,8 +112,14 @@ QUERIES = {
         lambda s, sf: summary.split_leakage(_samples(s, sf).select(F.sha2("question", 256).alias("hash"), F.when(F.col("sample_id") % 5 == 0, "validation").otherwise("test").alias("split")), "hash"),
         f"{_S} SELECT sha256(question) AS hash, count(*) AS n, count(DISTINCT split) AS splits, min(split) AS first_split FROM (SELECT question, CASE WHEN sample_id % 5 = 0 THEN 'validation' ELSE 'test' END AS split FROM samples) GROUP BY question HAVING count(DISTINCT split) > 1",
     ),
-    "balanced_allocation": (_alloc, None),
-    "fold_packing": (_folds, None),
+    "balanced_allocation": (
+        _alloc,
+        f"""{_S}, c AS (SELECT category, count(*) AS cap FROM samples GROUP BY category), l AS (SELECT max(lv) AS lv FROM (SELECT lv, sum(least(cap, lv)) AS t FROM c CROSS JOIN range(0, 301) AS r(lv) GROUP BY lv) WHERE t <= 300),
+            o AS (SELECT category, cap, lv, row_number() OVER (PARTITION BY cap > lv ORDER BY category) AS r, sum(least(cap, lv)) OVER () AS t FROM c CROSS JOIN l)
+            SELECT category, least(cap, lv) + (cap > lv AND r <= 300 - t)::INT AS n FROM o""",
+    ),
+    "fold_packing": (_folds, _folds_sql("SELECT category AS name, count(*) AS n FROM samples GROUP BY category", "category")),
+    "group_folds": (_group_folds, _folds_sql("SELECT substr(sha256(question), 1, 2) AS name, count(*) AS n FROM samples GROUP BY 1", "grp", ", n")),
     "purposive_sample": (
         lambda s, sf: groups.purposive_sample(_samples(s, sf), 4, "sample_id", "category", "dataset").select("sample_id", "category", "place"),
         f"""{_S}, t AS (SELECT *, row_number() OVER (PARTITION BY category, dataset ORDER BY {_hash('category', 'sample_id')}, sample_id) AS turn FROM samples)
