@@ -48,27 +48,32 @@ _EVALUATED_SQL = f"""{_P}, n AS (SELECT *, {_normal("original_answer")} AS o, {_
     CASE WHEN only_answers THEN 'answer_flip_support' ELSE 'score_vem' END AS support_metric, CASE WHEN only_answers THEN o <> i END AS answer_flip_support, o = i AS shortcut_persistence,
     {", ".join(f"({_both(f'api_{t}_tokens')})::BIGINT AS api_{t}_tokens" for t in ("prompt", "completion", "total"))} FROM j"""
 
-#: A small table of answers with options, in both engines.
-_CASES = [
-    (1, "A", "red|blue"), (2, "a: red", "red|blue"), (3, "The answer is B.", "red|blue"), (4, "Blue car", "red|blue"), (5, "I think it is blue", "red|blue"),
-    (6, "red or blue", "red|blue"), (7, "Yes, it is", "left|right"), (8, "No.", "left|right"), (9, "yes and no", "left|right"), (10, "  maybe ", "left|right"),
-    (11, "choice: b", "red|blue"), (12, "A red thing", "green|blue"), (13, "option is A", "x|y"), (14, "y", "up|down"),
-]
-_CASES_SQL = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{o}')" for i, a, o in _CASES) + ") AS t(id, answer, options))"
+#: How an answer is written around a part's brand, by the part's number, in both engines.
+_WRITTEN = ("A", "a: {b}", "The answer is B.", "{b} it is", "I think it is {b}", "{b} or {t}", "Yes, it is", "No.", "yes and no", "  maybe ", "choice: b", "B {b}", "option is A", "answers b")
+
+
+def _answers_sql(engine: str) -> str:
+    parts = {"spark": "concat({})", "duckdb": "concat({})"}[engine]
+    cases = []
+    for i, w in enumerate(_WRITTEN):
+        pieces = [x for x in w.replace("{b}", "|p_brand|").replace("{t}", "|p_type|").split("|") if x]
+        cases.append(f"WHEN {i} THEN " + parts.format(", ".join(x if x in ("p_brand", "p_type") else f"'{x}'" for x in pieces)))
+    return f"CASE p_partkey % {len(_WRITTEN)} {' '.join(cases)} END"
 
 
 def _canonical(s, sf):
-    rows = s.createDataFrame(_CASES, "id int, answer string, options string")
-    options = F.split("options", r"\|")
-    letters = F.zip_with(F.slice(F.array(*[F.lit(c) for c in "ABCDE"]), F.lit(1), F.size(options)), options, lambda a, b: F.struct(a.alias("letter"), b.alias("text")))
-    return rows.withColumns({"o": options, "l": letters}).select("id", A.canonicalize_answer(F.col("answer"), F.col("o"), F.col("l")).alias("canonical"))
+    rows = view(s, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(_answers_sql("spark")).alias("answer"), F.array("p_brand", "p_type").alias("o"))
+    letters = F.zip_with(F.array(F.lit("A"), F.lit("B")), "o", lambda a, b: F.struct(a.alias("letter"), b.alias("text")))
+    return rows.withColumn("l", letters).select("id", A.canonicalize_answer(F.col("answer"), F.col("o"), F.col("l")).alias("canonical"))
 
 
 def _canonical_sql() -> str:
     n = _normal("answer")
     letter = "lower(chr(64 + i::INT))"
-    named = f"regexp_matches(n, '\\b(?:answer|option|choice)\\s*(?:is\\s*)?[:\\-]?\\s*' || {letter} || '\\b')"
-    return f"""WITH {_CASES_SQL}, c AS (SELECT id, answer, {n} AS n, string_split(options, '|') AS o FROM cases),
+    tokens, word = "regexp_split_to_array(n, '[\\s:\\-]+')", lambda i: f"regexp_extract(coalesce({tokens}[{i}], ''), '^\\w+')"
+    named = f"""len(list_filter(range(1, len({tokens}) + 1), lambda k: regexp_extract({tokens}[k], '\\w+$') IN ('answer', 'option', 'choice')
+        AND ({word('k + 1')} = {letter} OR ({tokens}[k + 1] = 'is' AND {word('k + 2')} = {letter})))) > 0"""
+    return f"""WITH c AS (SELECT *, {n} AS n FROM (SELECT p_partkey AS id, {_answers_sql('duckdb')} AS answer, [p_brand, p_type] AS o FROM part)),
       x AS (SELECT c.*, i, o[i] AS opt, {_normal("o[i]")} AS m FROM c, unnest(range(1, len(o) + 1)) AS u(i)),
       p AS (SELECT id, any_value(answer) AS answer, any_value(n) AS n,
             arg_min(opt, i) FILTER (n = {letter} OR starts_with(n, {letter} || ':') OR starts_with(n, {letter} || ' ') OR {named}) AS s1,

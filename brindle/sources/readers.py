@@ -6,11 +6,14 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from brindle.functions.answers import first_text, hash_split, lettered_options, literal_first, option_letters, repaired_options
+from brindle.operators.controller import FORBIDDEN
 from brindle.operators.integrity import demand_empty, duplicates
+from brindle.sources.writers import write_jsonl
 
 SAMPLE = "sample_id string, id string, split string, dataset string, image_path string, question string, answer string, options array<string>, counterfactual_image_path string, metadata string"
 RECORD = (
@@ -22,20 +25,60 @@ RECORD = (
 POWER = "epoch string, timestamp string, power_w string, utilization_gpu_pct string, memory_used_mb string, memory_total_mb string"
 RECORD_KEY = ("sample_id", "method", "budget", "intervention")
 
-#: Fields that a label-free sample must have, and those it must not have.
+#: Fields that a label-free sample must have; those it must not have are those a controller must not see, and labels.
 REQUIRED = ("sample_id", "dataset", "image_path", "question", "options")
-HIDDEN = ("answer", "gold_answer", "label", "labels")
+HIDDEN = (*sorted(FORBIDDEN), "label", "labels")
+
+#: Benchmarks that can be prepared: where they are published, their configuration and split.
+REGISTRY = {
+    "visual_counterfact": ("mgolov/Visual-Counterfact", "default", "color"),
+    "visual_counterfact_size": ("mgolov/Visual-Counterfact", "default", "size"),
+    "mmstar": ("Lin-Chen/MMStar", "val", "val"),
+    "pope": ("lmms-lab/POPE", "Full", "adversarial"),
+}
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): text lines with their number in their file, from 1, blank ones counted.
+
+    Splits of a file are counted apart, and the lines of those before are added.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(splits, ["file", "_block"]).select("value", "file", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("line"))
+
+
+def _beside_file(image: str, file: str) -> Column:
+    """A relative image path from the folder of the file that names it."""
+    folder = F.regexp_replace(F.regexp_replace(file, "^file:/+", "/"), "/[^/]*$", "")
+    return F.when(F.col(image).startswith("/") | F.contains(image, F.lit("://")), F.col(image)).otherwise(F.concat(folder, F.lit("/"), F.col(image)))
 
 
 def samples(spark: SparkSession, path: str, dataset: str | None = None, limit: int | None = None) -> DataFrame:
-    """Samples from JSON lines; blank lines don't count. Defaults: sample_id from id, split ``test``, the given dataset.
+    """Samples from JSON lines; blank lines don't count, a malformed one is an error.
 
-    ``limit``: that many, by order of id. Rows without any id get one from their file's name and place in it.
+    Defaults: sample_id from id, else ``row-`` and the number of the line in its file; split ``test``; the given dataset; no options. Image paths
+    are from the file's folder. ``limit``: the first so many lines; the scan stops there.
     """
-    rows = spark.read.schema(SAMPLE).json(path).where("question is not null or sample_id is not null or id is not null")
-    made = F.concat(F.lit("row-"), F.xxhash64(F.col("_metadata.file_name"), F.col("question"), F.col("image_path")))
-    rows = rows.withColumns({"sample_id": F.coalesce("sample_id", "id", made), "split": F.coalesce("split", F.lit("test")), "dataset": F.coalesce("dataset", F.lit(dataset or "default"))}).drop("id")
-    return rows.orderBy("sample_id").limit(limit) if limit is not None else rows
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    lines = lines.limit(limit) if limit is not None else lines
+    parse = lambda df: df.withColumn("s", F.from_json("value", SAMPLE, {"mode": "FAILFAST"}))
+    rows = parse(lines).withColumn("line", F.lit(None).cast("bigint"))
+    nameless = F.coalesce("s.sample_id", "s.id").isNull()
+    if not rows.where(nameless).isEmpty():  # only then lines have to be counted
+        numbered = numbered_lines(spark, path).where(F.trim("value") != "")
+        rows = parse(numbered.orderBy("file", "line").limit(limit) if limit is not None else numbered).select("value", "file", "s", "line")
+    flat = rows.select("s.*", "file", "line")
+    return flat.select(
+        F.coalesce("sample_id", "id", F.concat(F.lit("row-"), F.col("line").cast("string"))).alias("sample_id"),
+        F.coalesce("split", F.lit("test")).alias("split"),
+        F.coalesce("dataset", F.lit(dataset or "default")).alias("dataset"),
+        _beside_file("image_path", "file").alias("image_path"), "question", "answer",
+        F.coalesce("options", F.array().cast("array<string>")).alias("options"),
+        _beside_file("counterfactual_image_path", "file").alias("counterfactual_image_path"), "metadata",
+    )
 
 
 def repair_options(rows: DataFrame, dataset: str = "mmstar") -> DataFrame:
@@ -52,20 +95,34 @@ def repair_options(rows: DataFrame, dataset: str = "mmstar") -> DataFrame:
 
 
 def label_free_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples that must not hold answers: a row with a hidden key, or without a required one, stops the scan."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """Samples that must not hold answers: a row with a hidden key, or without a required one, or malformed, stops the scan.
+
+    The split is ``prospective`` unless stated; image paths are from the file's folder.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     keys = F.json_object_keys("value")
     wrong = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in HIDDEN]))
     short = F.size(F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), keys)) > 0
     checked = F.when(wrong, F.raise_error(F.lit("a label-free sample holds a hidden field"))).when(short, F.raise_error(F.lit("a label-free sample lacks a required field"))).otherwise(F.col("value"))
-    parsed = lines.select(F.from_json(checked.cast("string"), "sample_id string, split string, dataset string, image_path string, question string, options array<string>, metadata string").alias("s"))
-    return parsed.select("s.*")
+    fields = "sample_id string, split string, dataset string, image_path string, question string, options array<string>, metadata string"
+    parsed = lines.select(F.from_json(checked.cast("string"), fields, {"mode": "FAILFAST"}).alias("s"), "file").select("s.*", "file")
+    return parsed.withColumns({"split": F.coalesce("split", F.lit("prospective")), "image_path": _beside_file("image_path", "file")}).drop("file")
+
+
+def prepare_benchmark(spark: SparkSession, key: str, source: str, out: str, split: str | None = None, limit: int | None = None, validation: float = 0.2, seed: int = 13) -> str:
+    """A registered benchmark's rows (Parquet that was downloaded before: ``source``/split) as samples in JSON lines; returns where they are."""
+    if key not in REGISTRY:
+        raise ValueError(f"unknown benchmark {key!r}; known: {sorted(REGISTRY)}")
+    rows = spark.read.parquet(f"{source}/{split or REGISTRY[key][2]}")
+    made = benchmark_rows(rows.limit(limit) if limit is not None else rows, key, validation, seed)
+    write_jsonl(made, f"{out}/samples.jsonl")
+    return f"{out}/samples.jsonl"
 
 
 def benchmark_rows(rows: DataFrame, dataset: str, validation: float = 0.2, seed: int = 0) -> DataFrame:
     """Raw benchmark rows as samples. ``rows`` may have: id or question_id, question or query, answer or label, options (array), A to E, image_path, counterfactual_path.
 
-    Options: the array, else the lettered columns, else yes and no for yes-or-no answers, else the letters of the question. Rows
+    Options: the array (or the map's values in order of its keys), else the lettered columns, else yes and no for yes-or-no answers, else the letters of the question. Rows
     without question, answer or image are left out; splits are made by hash.
     """
     have = set(rows.columns)
@@ -75,7 +132,10 @@ def benchmark_rows(rows: DataFrame, dataset: str, validation: float = 0.2, seed:
     none = F.array().cast("array<string>")
     options = F.when(F.size(lettered) > 0, lettered)
     if "options" in have:
-        options = F.coalesce(F.when(F.size("options") > 0, F.col("options")), options)
+        listed = F.col("options")
+        if isinstance(rows.schema["options"].dataType, MapType):  # by letter or number: in order of the keys
+            listed = F.transform(F.array_sort(F.map_entries("options")), lambda e: e["value"].cast("string"))
+        options = F.coalesce(F.when(F.size(listed) > 0, listed), options)
     options = F.coalesce(options, F.when(F.lower(answer).isin("yes", "no"), F.array(F.lit("yes"), F.lit("no"))), option_letters(question), none)
     key = F.coalesce(pick("id", "question_id", "index"), F.sha2(question, 256))
     out = rows.select(

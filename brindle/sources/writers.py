@@ -66,24 +66,32 @@ def markdown_table(df: DataFrame, columns: Sequence[str] | None = None, most: in
     return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
-def frontier_svg(rows: Sequence[dict], title: str, x: str = "mean_latency_ms", y: str = "mean_rr", label: str = "method", size: tuple[int, int] = (900, 540), margin: int = 70) -> str:
-    """A scatter plot of a few points, both axes scaled to their range, y upwards; points without a value are left out."""
+def frontier_svg(rows: Sequence[dict], title: str, x: str = "mean_latency_ms", y: str = "mean_rr", names: tuple[str, str] = ("Mean latency (ms)", "Mean reliance retention"), size: tuple[int, int] = (900, 540), margin: int = 70) -> str:
+    """A scatter plot of a few points (method, budget and two measures): both axes with their ends and names, y upwards, a colour for each method; points without a value are left out."""
     width, height = size
     shown = [r for r in rows if r.get(x) is not None and r.get(y) is not None]
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="{margin}" y="30">{escape(title)}</text>'
+    text = lambda at, down, what, more="": f'<text x="{at:.1f}" y="{down:.1f}" font-family="sans-serif" font-size="12"{more}>{escape(str(what))}</text>'
+    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}">', '<rect width="100%" height="100%" fill="white"/>', text(width / 2, 30, title, ' text-anchor="middle"')]
     if not shown:
-        return head + f'<text x="{margin}" y="{height // 2}">no points</text></svg>'
+        return "".join([*parts, text(width / 2, height / 2, "no points", ' text-anchor="middle"'), "</svg>"])
 
     def scale(name: str, low: float, high: float):
         values = [float(r[name]) for r in shown]
         a, b = min(values), max(values)
-        return lambda v: low + (float(v) - a) / ((b - a) or 1.0) * (high - low)
-
-    at_x, at_y = scale(x, margin, width - margin), scale(y, height - margin, margin)
-    dots = "".join(
-        f'<circle cx="{at_x(r[x]):.1f}" cy="{at_y(r[y]):.1f}" r="5"/><text x="{at_x(r[x]) + 8:.1f}" y="{at_y(r[y]):.1f}">{escape(str(r.get(label, "")))}</text>' for r in shown
-    )
-    return head + dots + "</svg>"
+        return a, b, lambda v: low + (float(v) - a) / ((b - a) or 1.0) * (high - low)
+
+    left, right, at_x = scale(x, margin, width - margin)
+    low, top, at_y = scale(y, height - margin, margin)
+    axis = lambda x1, y1, x2, y2: f'<line x1="{x1}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="black"/>'
+    parts += [axis(margin, height - margin, width - margin, height - margin), axis(margin, margin, margin, height - margin)]
+    parts += [text(width / 2, height - 20, names[0], ' text-anchor="middle"'), text(20, height / 2, names[1], f' text-anchor="middle" transform="rotate(-90 20 {height / 2:.0f})"')]
+    parts += [text(margin, height - margin + 20, f"{left:.2f}"), text(width - margin, height - margin + 20, f"{right:.2f}", ' text-anchor="end"'), text(margin - 8, height - margin, f"{low:.2f}", ' text-anchor="end"'), text(margin - 8, margin, f"{top:.2f}", ' text-anchor="end"')]
+    methods = sorted({str(r.get("method", "")) for r in shown})
+    for r in shown:
+        hue = 360 * methods.index(str(r.get("method", ""))) // len(methods)
+        label = ":".join(str(r[k]) for k in ("method", "budget") if r.get(k) is not None)
+        parts.append(f'<circle cx="{at_x(r[x]):.1f}" cy="{at_y(r[y]):.1f}" r="6" fill="hsl({hue} 60% 45%)"/>' + text(at_x(r[x]) + 9, at_y(r[y]) - 7, label))
+    return "".join([*parts, "</svg>"])
 
 
 def write_report(folder: str, tables: dict[str, DataFrame], title: str) -> list[str]:

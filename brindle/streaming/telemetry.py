@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +26,21 @@ def windowed_power(stream: DataFrame, window: str = "1 minute", late: str = "5 m
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "sample_id") -> StreamingQuery:
-    """Appends rows to a folder of Parquet; the checkpoint makes each batch count once after a restart, and a key is written once."""
-    kept = stream.dropDuplicates([key])
-    return kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Appends rows to a folder of Parquet; a key is written once, whatever is sent again after a restart.
+
+    What is there already is looked up in the folder (of which only the keys are read), so the stream keeps no state; a batch that is run
+    again finds its own rows and adds none.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates([key])
+        try:
+            there = batch.sparkSession.read.parquet(path).select(key)
+        except AnalysisException:  # nothing is there yet
+            there = None
+        (new if there is None else new.join(there, key, "left_anti").select(new.columns)).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
