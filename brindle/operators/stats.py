@@ -81,12 +81,13 @@ def resampled_sums(rows: DataFrame, sums: dict[str, Column], key: str, draws: in
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     names = list(sums)
-    taken = rows.select(*by, F.col(key).cast("bigint").alias("_key"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{n}") for n, c in sums.items()))
+    number = F.pmod(F.xxhash64(key), F.lit(1 << 40)) if kinds[key].simpleString() == "string" else F.col(key).cast("bigint")
+    taken = rows.select(*by, number.alias("_key"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{n}") for n, c in sums.items()))
     steps = np.array(_POISSON)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
-        number = np.arange(draws, dtype=np.int64)
+        draw = np.arange(draws, dtype=np.int64)
         for batch in batches:
             groups = [c.to_pylist() for c in batch.columns[: len(by)]]
             of: dict[tuple, list[int]] = {}
@@ -99,8 +100,8 @@ def resampled_sums(rows: DataFrame, sums: dict[str, Column], key: str, draws: in
                 for start in range(0, len(places), max(1, _WEIGHTS // max(draws, 1))):
                     some = np.array(places[start : start + max(1, _WEIGHTS // max(draws, 1))])
                     row = ids[some].astype(np.int64)[:, None]
-                    x = (np.fmod(row, 1_000_003) * 7_919 + number * 104_729 + seed * 15_485_863) % 1_000_003
-                    u = (x * x + np.fmod(row, 999_983) + number * 31) % 1_000_003 / 1_000_003.0
+                    x = (np.fmod(row, 1_000_003) * 7_919 + draw * 104_729 + seed * 15_485_863) % 1_000_003
+                    u = (x * x + np.fmod(row, 999_983) + draw * 31) % 1_000_003 / 1_000_003.0
                     total[1:] += np.searchsorted(steps, u, "right").astype(float).T @ values[some]
                     total[0] += values[some].sum(axis=0)
         for g, total in totals.items():

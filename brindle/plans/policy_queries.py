@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numbers import r6
-from brindle.operators import policy, summary
+from brindle.operators import policy, reports, summary
 from brindle.sources.adapters import view, with_views
 
 TAU, DENSE_MIN = 0.25, 0.1
@@ -241,6 +241,34 @@ def _dense_first(spark: SparkSession, sf: str) -> DataFrame:
     return calls.select("dataset", "sample_id", "method", "budget", F.row_number().over(w).alias("ordinal"))
 
 
+_NAMES = {
+    "supported": "Cheapest supported budget", "online": "Online cascade", "dense_only": "Dense, all tokens",
+    **{f"{m}_{k}": f"{m} {v}" for m in METHODS for k, v in (("supported", "alone: cheapest supported budget"), ("online", "alone: online cascade"), ("fixed_aggressive", "fixed at 64"), ("fixed_medium", "fixed at 256"), ("accuracy_only", "by accuracy only"), ("cost_only", "by cost only"))},
+}
+
+
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.claims(summary.decision_summary(_all_decisions(spark, sf), "setting"), _audit(spark, sf), "topk_fixed_aggressive", "topk fixed at 64")
+
+
+def _claims_sql() -> str:
+    side = lambda setting, p: f"{p} AS (SELECT * FROM c WHERE setting = '{setting}')"
+    pct, pp = lambda x: f"printf('%.1f%%', 100 * {x})", lambda x: f"printf('%+.1f pp', 100 * ({x}))"
+    return f"""WITH every AS ({_all_sql()}), c AS (SELECT setting, {_SUM_SQL} FROM every GROUP BY setting), {side("supported", "su")}, {side("dense_only", "de")}, {side("topk_fixed_aggressive", "ag")},
+      au AS (SELECT count(*) AS asked, count(*) FILTER (n > 0) AS kept FROM (SELECT sample_id, split, count(*) FILTER (is_correct AND vem >= {max(TAU, DENSE_MIN)}) AS n FROM ({with_views("eval_records")} SELECT * FROM eval_records)
+             WHERE method = 'dense' AND split = 'test' GROUP BY ALL))
+      SELECT {_r("100 * su.mean_token_reduction")} AS token_reduction_vs_dense_pct, {_r("100 * su.dense_avoidance_rate")} AS dense_avoidance_pct,
+        {_r("100 * (su.visually_supported_rate - ag.visually_supported_rate)")} AS visual_support_gain_vs_fixed_aggressive_pp, {_r("100 * (su.accuracy - ag.accuracy)")} AS accuracy_gain_vs_fixed_aggressive_pp,
+        {_r("su.cost_per_visually_supported_answer - ag.cost_per_visually_supported_answer")} AS cost_per_supported_delta_vs_fixed_aggressive,
+        {_r("su.cost_per_visually_supported_answer - de.cost_per_visually_supported_answer")} AS cost_per_supported_delta_vs_dense,
+        {_r("su.measured_energy_per_visually_supported_answer_joule - de.measured_energy_per_visually_supported_answer_joule")} AS measured_energy_per_supported_delta_vs_dense_joule,
+        {_r("100 * (su.visually_supported_rate - de.visually_supported_rate)")} AS visual_support_delta_vs_dense_pp, {_r("100 * (su.accuracy - de.accuracy)")} AS accuracy_delta_vs_dense_pp,
+        'Dense-reliant evaluation keeps ' || kept || ' of ' || asked || ' test queries, on which dense inference is itself supported.' || chr(10) || 'Compressed budgets are taken for ' || {pct("su.dense_avoidance_rate")} || ' of them, and '
+        || {pct("su.visually_supported_rate")} || ' stay supported.' || chr(10) || 'Against dense inference, tokens fall by ' || {pct("su.mean_token_reduction")} || ' on average.' || chr(10) || 'Against topk fixed at 64, support changes by '
+        || {pp("su.visually_supported_rate - ag.visually_supported_rate")} || ' and accuracy by ' || {pp("su.accuracy - ag.accuracy")} || '.' || chr(10) || 'Against dense inference, accuracy changes by ' || {pp("su.accuracy - de.accuracy")} || '.' AS sentences
+      FROM su, de, ag, au"""
+
+
 _CALLS_SQL = f"""{with_views("eval_records")}, calls1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, method, budget ORDER BY intervention) AS rn
     FROM eval_records WHERE split = 'test') WHERE rn = 1)"""
 
@@ -297,6 +325,13 @@ QUERIES = {
         f"{_decisions_sql(_ONE + _BY_METHOD)} SELECT setting, selected_method, selected_budget, count(*) AS n FROM dec GROUP BY ALL",
     ),
     "policy_comparison": (lambda s, sf: summary.decision_summary(_all_decisions(s, sf), "setting"), f"WITH every AS ({_all_sql()}) SELECT setting, {_SUM_SQL} FROM every GROUP BY setting"),
+    "policy_table": (
+        lambda s, sf: reports.comparison_table(summary.decision_summary(_all_decisions(s, sf), "setting"), reports.policy_names(list(METHODS), list(BUDGETS))),
+        f"""WITH every AS ({_all_sql()}), c AS (SELECT setting, {_SUM_SQL} FROM every GROUP BY setting), l AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_NAMES.items()))}) AS t(place, setting, label))
+            SELECT place, c.setting AS policy, label, n, {", ".join(f"{_r(f'100 * {c}')} AS {n}" for n, c in reports.PERCENT.items())}, {", ".join(reports.PLAIN)}, selected_budget_distribution AS selected_budgets,
+                   selected_method_distribution AS selected_methods FROM c JOIN l ON l.setting = c.setting""",
+    ),
+    "policy_claims": (_claims, _claims_sql()),
     "record_summary": (
         lambda s, sf: summary.record_summary(_records(s, sf, None)),
         f"""{with_views("eval_records")} SELECT method, budget, intervention, count(*) AS n, {_r("avg(is_correct::INT)")} AS accuracy, {_r("avg(vem)")} AS mean_vem,
