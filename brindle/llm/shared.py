@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.graph import salted_totals
 from brindle.sources.folders import fresh_folder, shared_folder, written
 
 __all__ = ["bounded_batches", "free_name", "fresh_folder", "held_out", "release", "remembers", "salted_totals", "shared_folder", "table", "working_on", "written"]
@@ -74,15 +75,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted_totals(df: DataFrame, keys: list[str], salt: str, partial: list[Column], final: list[Column]) -> DataFrame:
-    """Aggregates by ``keys``, a row for each (keys, salt) of ``df``: joined by keys and salt, a hot key's rows don't meet in one task.
-
-    ``partial``: the aggregates by keys and salt; ``final``: of those, by keys. Salts must be few.
-    """
-    whole = df.groupBy(*keys, salt).agg(*partial).groupBy(*keys).agg(*final, F.collect_set(salt).alias("_salts"))
-    return whole.withColumn(salt, F.explode("_salts")).drop("_salts")
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for rows kept out of training; a null id is never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
