@@ -88,8 +88,7 @@ class QualityModel:
     prior: float  # the score where there is nothing to compare
 
     def vectorise(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.terms, self.weights) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return of_length_one(weighted(counts, self.terms, self.weights) @ self.axes)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """From 0 to 1. A blank text is of label 0 where there are rows of it; else, and for a text without known terms, the prior."""
@@ -112,13 +111,19 @@ class QualityModel:
 
 def weighted(counts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Logarithms of counts times term weights; shapes and words each of length 1, words then weighted."""
-    x = np.log1p(counts[:, terms]) * weights
-    shape = terms < SHAPES**3 + LAGS
-    for part, weight in ((shape, 1.0), (~shape, WORD_WEIGHT)):
-        x[:, part] *= weight / np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-12)
+    x = counts[:, terms]
+    np.log1p(x, out=x)
+    x *= weights
+    k = int(np.searchsorted(terms, SHAPES**3 + LAGS))
+    for part, weight in ((x[:, :k], 1.0), (x[:, k:], WORD_WEIGHT)):
+        part *= (weight / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-12))[:, None].astype(np.float32)
     return x
 
 
+def of_length_one(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def main_axes(x: np.ndarray, dimensions: int) -> np.ndarray:
     """The main right singular vectors of ``x`` as columns, by subspace iteration from fixed numbers."""
     width = min(dimensions + 16, *x.shape)
@@ -131,17 +136,18 @@ def main_axes(x: np.ndarray, dimensions: int) -> np.ndarray:
 
 def fit(counts: np.ndarray, labels: np.ndarray, share: float) -> QualityModel:
     """A model from term counts of labelled rows; ``share``: of label 1 among all that could be learnt from."""
-    df = (counts > 0).sum(axis=0)
+    df = np.count_nonzero(counts, axis=0)
     terms = np.flatnonzero(df >= 2)
     weights = (np.log((1 + len(counts)) / (1 + df[terms])) + 1).astype(np.float32)
     x = weighted(counts, terms, weights)
+    del counts  # one matrix of rows and terms at a time
     axes = main_axes(x, DIMENSIONS) if x.size else np.zeros((len(terms), 0), np.float32)
     of = np.array([1 - share, share])
     there = np.bincount(labels, minlength=2)
     votes = (of * len(labels) / np.maximum(there, 1))[labels]
     model = QualityModel(terms, weights, axes, np.zeros((0, axes.shape[1]), np.float32), labels, votes, share)
-    if len(counts):
-        model.vectors = model.vectorise(counts)
+    if len(x):
+        model.vectors = of_length_one(x @ axes)
     return model
 
 
@@ -163,25 +169,29 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def terms(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            at, counts = [], []
+            packed = []
             for s in blocks(texts):
                 for row in term_counts(texts[s]):
-                    at.append(np.flatnonzero(row).astype(np.int32))
-                    counts.append(row[at[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "label", "at")), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                ["key", "label", "at", "terms", "counts"],
-            )
+                    at = np.flatnonzero(row)
+                    packed.append(at.astype("<i2").tobytes() + row[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "label", "at")), pa.array(packed, pa.binary())], ["key", "label", "at", "terms"])
 
     kind = docs.schema[key].dataType.simpleString()
-    counted = sample.mapInArrow(terms, f"key {kind}, label int, at bigint, terms array<int>, counts array<float>")
-    # a row of each id: at most 2 * PER_LABEL
-    rows_ = counted.groupBy("key").agg(F.min(F.struct("at", "terms", "counts", "label")).alias("row")).select("key", "row.*").collect()
+    counted = sample.mapInArrow(terms, f"key {kind}, label int, at bigint, terms binary")
+    # a row of each id: at most 2 * PER_LABEL, some kilobytes each
+    rows_ = counted.groupBy("key").agg(F.min(F.struct("at", "terms", "label")).alias("row")).select("key", "row.*").collect()
     rows_.sort(key=lambda r: r["key"])
-    counts = np.zeros((len(rows_), TERMS), np.float32)
-    for i, r in enumerate(rows_):
-        counts[i, r["terms"]] = r["counts"]
-    return fit(counts, np.array([r["label"] for r in rows_], np.int64), ones / rows if rows else 0.5)
+    known_labels = np.array([r["label"] for r in rows_], np.int64)
+    return fit(unpacked([r["terms"] for r in rows_]), known_labels, ones / rows if rows else 0.5)
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Counts of terms, a row each; packed as the numbers of the terms (2 bytes), then their counts (4 bytes)."""
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, raw in enumerate(rows):
+        n = len(raw) // 6
+        counts[i, np.frombuffer(raw, "<i2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return counts
 
 
 def scorer(spark: SparkSession, model: QualityModel, text: str = "text") -> Column:
