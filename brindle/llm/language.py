@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import bounded_batches, free_name, held_out, table, working_on
+from brindle.llm.shared import bounded_batches, free_name, held_out, release, table, working_on
 from brindle.llm.words import chunks
 
 #: Labelled rows of each language that the model may learn from, about; and the characters of a row that it learns from.
@@ -282,7 +282,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # a row that is repeated counts once, so that copies don't crowd the sample or the driver
     for r in known.where(chosen).distinct().orderBy(place, "key", "lang", "text").limit(4 * PER_LANGUAGE * len(there)).collect():
         samples[r["lang"]].append(r["text"])
-    return fit(samples)
+    model = fit(samples)
+    samples.clear()
+    release()  # the driver goes on with other work
+    return model
 
 
 def labeller(spark: SparkSession, model: LanguageModel, text: str = "text") -> Column:

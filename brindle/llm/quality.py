@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import bounded_batches, held_out, table, working_on
+from brindle.llm.shared import bounded_batches, held_out, release, table, working_on
 from brindle.llm.words import LOWER, chunks, hash_words
 
 #: Labelled rows of each label that the model may learn from; those of the smallest id hashes.
@@ -182,7 +182,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows_ = counted.groupBy("key").agg(F.min(F.struct("at", "terms", "label")).alias("row")).select("key", "row.*").collect()
     rows_.sort(key=lambda r: r["key"])
     known_labels = np.array([r["label"] for r in rows_], np.int64)
-    return fit(unpacked([r["terms"] for r in rows_]), known_labels, ones / rows if rows else 0.5)
+    model = fit(unpacked([r["terms"] for r in rows_]), known_labels, ones / rows if rows else 0.5)
+    release()  # the driver goes on with other work
+    return model
 
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
