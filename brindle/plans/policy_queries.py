@@ -126,7 +126,7 @@ _MEASURES_SQL = {
     **{f"mean_{c}": _r(f"avg({c})") for c in ("vem", "latency_ms", "token_count", "escalations", "speedup_vs_dense", "retained_token_ratio", "token_reduction", "measured_energy_joule")},
     "mean_rr": _r("avg(reliance_retention)"),
     "mean_clipped_rr": _r("avg(CASE WHEN reliance_retention IS NOT NULL THEN least(greatest(reliance_retention, 0), 2) END)"),
-    "total_cost": _r("sum(cost)"),
+    "total_cost": "round(sum(cost), 2)",
     "cost_per_accurate_answer": _r(f"sum(cost) / {_RIGHT}"),
     "cost_per_visually_supported_answer": _r(f"sum(cost) / {_ACC}"),
     "total_measured_energy_joule": _r("sum(measured_energy_joule)"),
@@ -336,7 +336,7 @@ QUERIES = {
         lambda s, sf: summary.record_summary(_records(s, sf, None)),
         f"""{with_views("eval_records")} SELECT method, budget, intervention, count(*) AS n, {_r("avg(is_correct::INT)")} AS accuracy, {_r("avg(vem)")} AS mean_vem,
             {_r("avg(reliance_retention)")} AS mean_rr, {_r("avg(delta_vem)")} AS mean_delta_vem, {_r("avg(shortcut_persistence::INT)")} AS shortcut_persistence_rate,
-            {_r("avg(latency_ms)")} AS mean_latency_ms, {_r("avg(token_count)")} AS mean_token_count, {_r("sum(cost)")} AS total_cost,
+            {_r("avg(latency_ms)")} AS mean_latency_ms, {_r("avg(token_count)")} AS mean_token_count, round(sum(cost), 2) AS total_cost,
             {_r("sum(cost) / greatest(count(*) FILTER (is_correct), 1)")} AS cost_per_accurate_answer,
             {_r("sum(cost) / greatest(count(*) FILTER (vem >= 0), 1)")} AS cost_per_visually_supported_answer FROM eval_records GROUP BY ALL""",
     ),
