@@ -392,16 +392,19 @@ def joined_hits(docs: DataFrame, items: DataFrame, text: str, coverage: float) -
 # ---- operators ----------------------------------------------------------------------------------
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE, nameless: bool = False
+) -> DataFrame:
     """(key, item_id, coverage, words, tiles, longest): a row per document and item that it leaks.
 
-    Null and empty texts leak nothing, null and wordless items can't be leaked, items without an id aren't reported. Very long texts
+    Null and empty texts leak nothing, null and wordless items can't be leaked. Items without an id are reported with a null item_id
+    if ``nameless``, each text of them in a row of its own; else they are left out. Very long texts
     are compared whole, by the words that they share with an item. Repeated documents: each has its rows; repeated
     items count once, items of one id and several texts each. Ties of matches: see :func:`tile`. Empty tables: no rows. Ids may be of any
     type; other columns are ignored.
     """
     docs = bounded_batches(docs)
-    items, few = items_of(benchmark, nameless=False)
+    items, few = items_of(benchmark, nameless)
     if few:
         found = docs.select(F.col(key), leaks(docs.sparkSession, items, text, coverage).alias("_hits"))
         return found.select(key, F.inline("_hits"))
@@ -426,5 +429,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: f
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of ``documents`` that leak an item of ``benchmark``, and which."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Documents of ``documents`` that leak an item of ``benchmark``, and which; items without an id as well."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)

@@ -289,6 +289,16 @@ def test_items_without_an_id_are_cleaned(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
 
 
+def test_items_without_an_id_are_reported_on_request(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"x {ITEM} y other item"), (2, "nothing of it"), (3, f"a b c {ITEM}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, ITEM), (None, ITEM), (None, "other item"), (3, "a b c"), (None, None)], "item_id long, text string")
+    for limit in (decontaminate.BLOCK_BYTES, 10):  # sent to the tasks, and partitioned
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        got = decontaminate.contaminated(docs, bench, nameless=True)
+        assert sorted((r.doc_id, str(r.item_id), r.words) for r in got.collect()) == [(1, "None", 2), (1, "None", 20), (3, "3", 3), (3, "None", 20)]
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(3, 3)]
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     rng = random.Random(1)
     items = [(i, " ".join(f"w{rng.randint(0, 200)}" for _ in range(rng.randint(3, 30)))) for i in range(40)]
