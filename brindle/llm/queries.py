@@ -11,6 +11,7 @@ from brindle.llm.fingerprints import op5_fingerprints
 from brindle.llm.jaccard_join import op4_jaccard_join
 from brindle.llm.language import op7_language
 from brindle.llm.licenses import op6_licenses
+from brindle.llm.lm_scores import op11_lm_scores
 from brindle.llm.packing import op8_packing
 from brindle.llm.quality import op2_quality
 from brindle.llm.sql import SQL
@@ -20,7 +21,7 @@ from brindle.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality, op3_token_files, op4_jaccard_join, op5_fingerprints, op6_licenses, op7_language, op8_packing, op9_warc, op10_decontamination]
+    found = [op1_token_counts, op2_quality, op3_token_files, op4_jaccard_join, op5_fingerprints, op6_licenses, op7_language, op8_packing, op9_warc, op10_decontamination, op11_lm_scores]
     return {f.__name__: f for f in found}
 
 

@@ -22,6 +22,41 @@ JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED},
   c AS (SELECT n, min(m) AS root FROM r GROUP BY n)
   SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.root AS component_id FROM s JOIN c ON c.n = s.doc_id"""
 
+#: CRC-32 of a list of bytes: to each byte its bits are shifted out one by one.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform({bytes}, lambda b: [b::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END), 4294967295)"
+)
+_CRC_OF_ID = _CRC32.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))")
+
+
+def _discounts(table: str, n: str) -> str:
+    """d1, d2 and d3 from the numbers of counts 1 to 4."""
+    terms = [f"{k} - {k + 1} * (n1::DOUBLE / (n1 + 2 * n2)) * n{k + 1} / n{k}" for k in (1, 2, 3)]
+    counts = ", ".join(f"count(*) FILTER ({n} = {k}) AS n{k}" for k in (1, 2, 3, 4))
+    inner = f"SELECT *, n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND least({', '.join(terms)}) >= 0 AS usable FROM (SELECT {counts} FROM {table})"
+    return "SELECT " + ", ".join(f"CASE WHEN usable THEN {t} ELSE {f} END AS d{k}" for k, t, f in zip((1, 2, 3), terms, (0.5, 1.0, 1.5), strict=True)) + f" FROM ({inner})"
+
+
+LM = f"""WITH d AS (SELECT doc_id, coalesce({_CRC_OF_ID} % 7 = 2, false) AS held, list_append(regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents),
+  t AS (SELECT doc_id, held, w[i] AS w, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+  u AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w),
+  s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u),
+  b AS (SELECT v, w, count(*) AS n FROM t WHERE NOT held GROUP BY v, w),
+  a AS (SELECT w, count(*) AS a FROM b GROUP BY w),
+  x AS (SELECT v, sum(n) AS t, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n > 2) AS n3 FROM b GROUP BY v),
+  db AS ({_discounts("b", "n")}),
+  da AS ({_discounts("a", "a")}),
+  r AS (SELECT count(*) FILTER (a = 1) * any_value(d1) + count(*) FILTER (a = 2) * any_value(d2) + count(*) FILTER (a > 2) * any_value(d3) AS r, sum(a) AS pairs FROM a, da),
+  p AS (SELECT t.doc_id, t.held, t.w, t.v, s.n AS train, coalesce(u.c, 0) AS c, s.v AS vocabulary, x.t, b.n,
+          greatest(coalesce(a.a, 0) - CASE coalesce(a.a, 0) WHEN 0 THEN 0 WHEN 1 THEN da.d1 WHEN 2 THEN da.d2 ELSE da.d3 END, 0) / r.pairs + r.r / r.pairs / (s.v + 1) AS low,
+          greatest(coalesce(b.n, 0) - CASE coalesce(b.n, 0) WHEN 0 THEN 0 WHEN 1 THEN db.d1 WHEN 2 THEN db.d2 ELSE db.d3 END, 0) AS high,
+          db.d1 * x.n1 + db.d2 * x.n2 + db.d3 * x.n3 AS rest
+        FROM t CROSS JOIN s CROSS JOIN da CROSS JOIN db CROSS JOIN r LEFT JOIN u ON u.w = t.w LEFT JOIN a ON a.w = t.w LEFT JOIN x ON x.v = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w)
+  SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(train) AS train_tokens,
+         round(sum(log10((c + 1) / (train + vocabulary + 1))), 6) AS base_score,
+         round(sum(log10(CASE WHEN t IS NULL THEN low ELSE high / t + rest / t * low END)), 6) AS score FROM p GROUP BY doc_id, held"""
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: 160 bits as 32 characters of 5: from every 5 hexadecimal digits 4 characters.
 _BASE32 = (
@@ -132,4 +167,4 @@ LICENSES = f"""WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS (S
          CASE WHEN bs.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(ms.share, 0.0::DOUBLE) END AS score
   FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN ms USING (doc_id)"""
 
-SQL = {"op4_jaccard_join": JACCARD, "op5_fingerprints": FINGERPRINTS, "op6_licenses": LICENSES, "op9_warc": WARC}
+SQL = {"op4_jaccard_join": JACCARD, "op5_fingerprints": FINGERPRINTS, "op6_licenses": LICENSES, "op9_warc": WARC, "op11_lm_scores": LM}
