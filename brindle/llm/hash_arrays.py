@@ -69,6 +69,16 @@ def write_arrays(folder: str, name: str, keys: np.ndarray, columns: dict[str, np
     return made
 
 
+def write_blob(folder: str, name: str, column: str, values: bytes) -> None:
+    """Writes the bytes that a part's columns point into."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    attempt = f"{root}/_{name}.{column}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(attempt) as out:
+        out.write(values)
+    fs.move(attempt, f"{root}/{name}.{column}")
+
+
 @dataclass
 class Part:
     """One part, opened when it is first asked."""
@@ -105,6 +115,21 @@ class Part:
             f.seek(block * STEP * width)
             return np.frombuffer(f.read(STEP * width), self.dtypes[column])
 
+    def pieces(self, column: str, offsets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Pieces of the bytes of :func:`write_blob`; offsets in ascending order."""
+        fs, path = self._store()
+        if isinstance(fs, pafs.LocalFileSystem):
+            if column not in self._open:
+                self._open[column] = memoryview(np.memmap(f"{path}.{column}", "u1", mode="r"))  # type: ignore[assignment]
+            held = self._open[column]
+            return [bytes(held[o : o + n]) for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+        out = []
+        with fs.open_input_file(f"{path}.{column}") as f:
+            for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
+                f.seek(o)
+                out.append(f.read(n))
+        return out
+
     def look_up(self, keys: np.ndarray, columns: list[str]) -> list[np.ndarray]:
         """The columns' values (64 bits) of ascending ``keys``; 0 where a key isn't there."""
         out = [np.zeros(len(keys), np.int64) for _ in columns]
@@ -152,3 +177,13 @@ class HashTable:
             for o, found in zip(out, self.parts[int(part[a])].look_up(keys[a:b], columns), strict=True):
                 o[order[a:b]] = found
         return out
+
+    def look_up_with(self, keys: np.ndarray, columns: list[str], blob: str) -> tuple[list[np.ndarray], list[bytes]]:
+        """As :meth:`look_up` for ascending keys in parts by ranges of hashes, with each key's piece of the bytes (columns ``at`` and ``size``)."""
+        *values, at, size = self.look_up(keys, [*columns, "at", "size"])
+        part, pieces = part_of(keys, len(self.parts)), []
+        edges = np.searchsorted(part, np.arange(len(self.parts) + 1))
+        for p, a, b in zip(self.parts, edges[:-1], edges[1:], strict=True):
+            if a < b:
+                pieces += p.pieces(blob, at[a:b], size[a:b])
+        return values, pieces

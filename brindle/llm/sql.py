@@ -57,6 +57,25 @@ LM = f"""WITH d AS (SELECT doc_id, coalesce({_CRC_OF_ID} % 7 = 2, false) AS held
          round(sum(log10((c + 1) / (train + vocabulary + 1))), 6) AS base_score,
          round(sum(log10(CASE WHEN t IS NULL THEN low ELSE high / t + rest / t * low END)), 6) AS score FROM p GROUP BY doc_id, held"""
 
+_CRC_OF_RUN = _CRC32.format(
+    bytes="flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))"
+)
+
+SPELLING = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+  g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+  h AS MATERIALIZED (SELECT run, n, {_CRC_OF_RUN} AS h FROM g),
+  x AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+  v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM x WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+  e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+  p AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = e.rest
+    UNION SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = e.rest),
+  f AS (SELECT word, count(*) AS n_near, min({{'less': -near_n, 'near': near}}) AS best FROM p GROUP BY word),
+  o AS MATERIALIZED (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * v.n THEN best.near END AS form, CASE WHEN -best.less >= 2 * v.n THEN -best.less END AS form_n
+        FROM v LEFT JOIN f USING (word)),
+  c AS (SELECT word, word AS at FROM o UNION ALL SELECT c.word, o.form FROM c JOIN o ON o.word = c.at WHERE o.form IS NOT NULL)
+  SELECT o.word, o.form, c.at AS root, o.n, o.n_near, o.form_n FROM o JOIN c ON c.word = o.word JOIN o AS l ON l.word = c.at WHERE l.form IS NULL"""
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: 160 bits as 32 characters of 5: from every 5 hexadecimal digits 4 characters.
 _BASE32 = (
@@ -167,4 +186,4 @@ LICENSES = f"""WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS (S
          CASE WHEN bs.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(ms.share, 0.0::DOUBLE) END AS score
   FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN ms USING (doc_id)"""
 
-SQL = {"op4_jaccard_join": JACCARD, "op5_fingerprints": FINGERPRINTS, "op6_licenses": LICENSES, "op9_warc": WARC, "op11_lm_scores": LM}
+SQL = {"op4_jaccard_join": JACCARD, "op5_fingerprints": FINGERPRINTS, "op6_licenses": LICENSES, "op9_warc": WARC, "op11_lm_scores": LM, "op12_spelling_variants": SPELLING}

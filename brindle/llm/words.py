@@ -117,3 +117,12 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> list[slice]:
     if start < len(texts):
         found.append(slice(start, len(texts)))
     return found
+
+
+def hash_runs(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes ``data[first:last]``, as they stand."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    hashes = (sums[last] - sums[first]) * inverse[first]
+    return mix(hashes ^ ((last - first).astype(np.uint64) << np.uint64(40)))
