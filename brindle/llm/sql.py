@@ -61,7 +61,7 @@ _CRC_OF_RUN = _CRC32.format(
     bytes="flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))"
 )
 
-SPELLING = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+SPELLING = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
   g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
   h AS MATERIALIZED (SELECT run, n, {_CRC_OF_RUN} AS h FROM g),
   x AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
