@@ -5,8 +5,9 @@ wherever lines and paragraphs end. The templates' words are put in one order by
 them, the rarest first. A block that holds at least the threshold t of a template T must hold one of T's first
 |T| - ceil(t |T|) + 1 words (prefix filter), have at least ceil(t |T|) words (length filter), and, from the first common
 word on, still have enough of T before it (positional filter). Windows that pass are counted exactly, so every block that
-reaches the threshold is found. Where found places overlap, the better one stands (:meth:`LicenseScan.standing`), so
-that a license isn't taken for a shorter one that it contains, and two notices in one line are two.
+reaches the threshold is found. Of the windows that end at a word the one most like its template is the place. Places are taken best first, and
+one falls only if most of the words that it matched are matched by better ones that stand (:meth:`LicenseScan.standing`): a license isn't taken for a
+shorter one that it contains or for another version, and of two notices side by side, damaged or not, both stay.
 Templates are a fixed list of a few kilobytes; all tasks have them, and no text is shuffled.
 """
 
@@ -25,6 +26,8 @@ from brindle.llm.words import LOWER, chunks, hash_words
 
 #: Share of a template's words that a block must hold, and words of a block for each of the template.
 CONTAINMENT, WINDOW = 0.8, 1.5
+#: Words that a turn back in the template counts as.
+TURN = 4
 #: Cells of windows, or words of places, that are looked at at once.
 CELLS = 1 << 21
 
@@ -47,8 +50,16 @@ TEMPLATES = (
     ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
     ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
     ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"),
+    ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl-2"),
+    ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3", "gfdl-1.3"),
+    ("You can redistribute it and/or modify it under the terms of the Artistic License 2.0", "artistic-2"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
@@ -164,8 +175,18 @@ class LicenseScan:
         self.sets = [np.sort([order[int(h)] for h in s]) for s in sets]
         self.need = [ceil(containment * len(s) - 1e-9) if i < self.n_templates else len(s) for i, s in enumerate(self.sets)]
         self.window = [ceil(WINDOW * len(t)) for t in texts]
-        #: words that follow one another in a template
-        self.steps = [np.unique([order[int(x)] * len(vocabulary) + order[int(y)] for x, y in zip(t[:-1], t[1:], strict=True)]) for t in texts]
+        #: the first and last place of each word in a template
+        self.span = []
+        for text in texts:
+            places = np.full((len(vocabulary), 2), -1)
+            for i, h in enumerate(text):
+                places[order[int(h)]] = (i if places[order[int(h)], 0] < 0 else places[order[int(h)], 0], i)
+            self.span.append(places)
+        #: words that follow one another in a template, and how often; how often a word stands there
+        self.texts = [np.array([order[int(h)] for h in t], np.int64) for t in texts]
+        self.times = [np.bincount(t, minlength=len(vocabulary)) for t in self.texts]
+        pairs = [np.unique(t[:-1] * len(vocabulary) + t[1:], return_counts=True) for t in self.texts]
+        self.steps, self.step_times = [p for p, _ in pairs], [n for _, n in pairs]
         #: word -> (template, place in it), for the words of prefixes
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         #: templates x words: 1 for a template's word, 2 for one of its prefix
@@ -189,50 +210,94 @@ class LicenseScan:
                     passed[t] = size >= self.need[t] and left >= self.need[t]
         return [t for t, ok in passed.items() if ok and np.isin(self.sets[t], block, assume_unique=True).sum() >= self.need[t]]
 
-    def places(self, t: int, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Rows (first word, last word, hits, breaks): each block that ends at a word of template t and holds enough of it, cut to the words it needs.
+    def places(self, t: int, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, last), hits and likeness of each place of template t; first and last are indexes of ``at``.
 
-        Breaks: its steps from word to word that aren't the template's.
+        A place is the block that ends at a word of t, holds enough of its words and is most like it, of equal ones the shortest. Likeness: twice the common
+        words and, doubled, steps from word to word, each as often as in the template, to those of the template and those of the block. A turn back in the template, to
+        a word that only stands before, counts as ``TURN`` words more: the end of a notice and the begin of the next aren't one.
         """
+        spots = np.flatnonzero(self.member[t, rank])
+        at, rank = at[spots], rank[spots]
         kind = self.member[t, rank]
-        at, rank, kind = at[kind > 0], rank[kind > 0], kind[kind > 0]
         spot = np.arange(len(at))
         low = np.searchsorted(at, at - self.window[t] + 1)
         rare = np.maximum.accumulate(np.where(kind == 2, spot, -1))
         ends = np.flatnonzero((spot - low + 1 >= self.need[t]) & (rare >= low))
-        order = np.lexsort((spot, rank))
-        again = np.full(len(at), len(at))  # where a word comes again
-        same = rank[order][1:] == rank[order][:-1]
-        again[order[:-1][same]] = order[1:][same]
-        step = (at[1:] == at[:-1] + 1) & np.isin(rank[:-1] * self.member.shape[1] + rank[1:], self.steps[t])
-        steps = np.concatenate(([0, 0], np.cumsum(step)))[1:] if len(at) else at
-        found = [np.zeros((0, 4), np.int64)]
+        again, too_often = _recurrence(rank, np.ones(self.member.shape[1], np.int64)), _recurrence(rank, self.times[t])
+        pair = np.append(rank[:-1] * self.member.shape[1] + rank[1:], -1)[: len(at)]
+        step = np.append(at[1:] == at[:-1] + 1, False)[: len(at)] & np.isin(pair, self.steps[t])
+        # steps that aren't the template's are told apart, each its own
+        kinds, kind_of = np.unique(np.where(step, pair, -1 - spot), return_inverse=True)
+        found_at = np.searchsorted(self.steps[t], kinds)
+        step_too_often = _recurrence(kind_of, np.where(kinds >= 0, self.step_times[t][np.minimum(found_at, len(self.steps[t]) - 1)], 1)) if len(self.steps[t]) else again
+        back_to = np.concatenate(([False], self.span[t][rank[1:], 1] <= self.span[t][rank[:-1], 0]))[: len(at)]
+        turns = np.cumsum(back_to)
+        whole = 3 * len(self.texts[t]) - 2
+        found = [(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0))]
         while len(ends):
             n = max(1, CELLS // int((ends - low[ends]).max() + 1))
             now, ends = ends[:n], ends[n:]
             back = now[:, None] - np.arange(int((now - low[now]).max()) + 1)
-            last = (back >= low[now][:, None]) & (again[np.maximum(back, 0)] > now[:, None])
-            hits = last.sum(axis=1)
-            first = back[np.arange(len(now)), last.shape[1] - 1 - last[:, ::-1].argmax(axis=1)]
-            breaks = at[now] - at[first] - (steps[now] - steps[first])
-            found.append(np.stack((at[first], at[now], hits, breaks), axis=1)[hits >= self.need[t]])
-        return np.concatenate(found)
+            inside = back >= low[now][:, None]
+            back = np.maximum(back, 0)
+            hits = np.cumsum(inside & (again[back] > now[:, None]), axis=1)
+            common = np.cumsum((inside & (too_often[back] > now[:, None])) + 2 * (inside & step[back] & (back < now[:, None]) & (step_too_often[back] >= now[:, None])), axis=1)
+            words = at[now][:, None] - at[back] + 1 + TURN * (turns[now][:, None] - turns[back])
+            like = 2 * common / (whole + 3 * words - 2)
+            like[~inside | (hits < self.need[t])] = -1.0
+            best = like.argmax(axis=1)
+            row = np.arange(len(now))
+            enough = like[row, best] >= 0
+            ends_at = np.stack((back[row, best], now), axis=1)[enough]
+            found.append((spots[ends_at], hits[row, best][enough], like[row, best][enough]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))  # type: ignore[return-value]
 
     def standing(self, at: np.ndarray, rank: np.ndarray, templates: list[int]) -> list[tuple[int, float]]:
-        """(template, share) of the places that no better one overlaps.
+        """(template, share) of the places that stand.
 
-        Better is a larger share of its template, then fewer steps that aren't the template's, then a larger template,
-        then one that comes first in the list, then one that ends first. A template's own places are compared first, and those that stand with all
-        others'.
+        They are decided best first: by likeness, then the larger template, then the one that comes first in the list, then the one that ends
+        first. A place falls if at least half of its words that are its template's are words of better places that stand, and theirs, too.
+        Those that no better undecided place overlaps are decided at once, which comes to the same.
         """
-        rows = [np.zeros((0, 6))]
+        of, ends, share, like = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0)], [np.zeros(0)]
         for t in templates:
-            p = self.places(t, at, rank)
-            size = len(self.sets[t])
-            mine = np.column_stack((p[:, 0], p[:, 1], -p[:, 2] / size, p[:, 3], np.full(len(p), -size), np.full(len(p), t)))
-            rows.append(mine[_unbeaten(mine)])
-        all_ = np.concatenate(rows)
-        return [(int(r[5]), -float(r[2])) for r in all_[_unbeaten(all_)]]
+            p, hits, q = self.places(t, at, rank)
+            of.append(np.full(len(p), t))
+            ends.append(p)
+            share.append(hits / len(self.sets[t]))
+            like.append(q)
+        t, p, share_, q = np.concatenate(of), np.concatenate(ends), np.concatenate(share), np.concatenate(like)
+        if not len(t):
+            return []
+        size = np.array([len(s) for s in self.sets])
+        place = np.empty(len(t), np.int64)
+        place[np.lexsort((p[:, 1], t, -size[t], -q))] = np.arange(len(t))
+        mine = {int(x): self.member[x, rank] > 0 for x in np.unique(t)}
+        total = np.empty(len(t), np.int64)
+        taken, stand, open_ = np.zeros(len(at), bool), [], np.arange(len(t))
+
+        def words(marked: np.ndarray, which: np.ndarray) -> np.ndarray:
+            """How many of its template's words with a mark each place has."""
+            out = np.empty(len(which), np.int64)
+            for x, is_word in mine.items():
+                sums = np.concatenate(([0], np.cumsum(is_word & marked)))
+                here = t[which] == x
+                out[here] = sums[p[which[here], 1] + 1] - sums[p[which[here], 0]]
+            return out
+
+        total = words(np.ones(len(at), bool), open_)
+        while len(open_):
+            open_ = open_[2 * words(taken, open_) < total[open_]]
+            best = _unbeaten(np.column_stack((at[p[open_]], place[open_])))
+            now = open_[best]
+            stand += [(int(x), float(y)) for x, y in zip(t[now], share_[now], strict=True)]
+            for x, is_word in mine.items():
+                here = now[t[now] == x]
+                edge = np.bincount(p[here, 0], minlength=len(at) + 1)[: len(at) + 1] - np.bincount(p[here, 1] + 1, minlength=len(at) + 1)[: len(at) + 1]
+                taken |= (np.cumsum(edge)[:-1] > 0) & is_word
+            open_ = open_[~best]
+        return stand
 
     def scan(self, texts: list[bytes]) -> list[Found]:
         out: list[Found] = []
@@ -270,6 +335,18 @@ class LicenseScan:
         return Found(len(words), len(found), *ends, sorted(base), sorted(base | labels), score)
 
 
+def _recurrence(kind: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Where each of a row of kinds has come ``times`` (by kind) times more; the end if it doesn't."""
+    order = np.lexsort((np.arange(len(kind)), kind))
+    sorted_ = kind[order]
+    later = np.arange(len(kind)) + times[sorted_]
+    there = later < len(kind)
+    there[there] = sorted_[later[there]] == sorted_[there]
+    out = np.full(len(kind), len(kind))
+    out[order[there]] = order[later[there]]
+    return out
+
+
 def _unbeaten(rows: np.ndarray) -> np.ndarray:
     """Which (first, last, ...) places no better one overlaps; the columns after the first two, then last, are the order, least first."""
     keep = np.zeros(len(rows), bool)

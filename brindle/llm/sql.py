@@ -147,40 +147,62 @@ def _templates() -> str:
     for i, (text, label) in enumerate(licenses.TEMPLATES):
         words = re.findall("[0-9a-z]+", text.lower())
         distinct = sorted(set(words))
-        rows.append(f"({i}, '{label}', {_list(distinct)}, {ceil(licenses.CONTAINMENT * len(distinct) - 1e-9)}, {ceil(licenses.WINDOW * len(words))})")
+        rows.append(f"({i}, '{label}', {_list(distinct)}, {ceil(licenses.CONTAINMENT * len(distinct) - 1e-9)}, {ceil(licenses.WINDOW * len(words))}, {len(words)})")
     return ", ".join(rows)
 
 
+def _spans() -> str:
+    """Where each word of a template stands first and last in it, and how often."""
+    import re
+
+    texts = [re.findall("[0-9a-z]+", text.lower()) for text, _ in licenses.TEMPLATES]
+    return ", ".join(f"({i}, '{x}', {w.index(x)}, {len(w) - 1 - w[::-1].index(x)}, {w.count(x)})" for i, w in enumerate(texts) for x in sorted(set(w)))
+
+
 def _steps() -> str:
     import re
+    from collections import Counter
 
     texts = [re.findall("[0-9a-z]+", text.lower()) for text, _ in licenses.TEMPLATES]
-    return ", ".join(f"({i}, '{x}', '{y}')" for i, w in enumerate(texts) for x, y in sorted(set(zip(w[:-1], w[1:], strict=True))))
+    return ", ".join(f"({i}, '{x}', '{y}', {n})" for i, w in enumerate(texts) for (x, y), n in sorted(Counter(zip(w[:-1], w[1:], strict=True)).items()))
+
 
+def _spans() -> str:
+    """Where each word of a template stands first and last in it, and how often."""
+    import re
 
-def _unbeaten(table: str, same: str) -> str:
-    better = "(y.share, -y.breaks, y.size, -y.k, -y.e) > (x.share, -x.breaks, x.size, -x.k, -x.e)"
-    return f"SELECT * FROM {table} x WHERE NOT EXISTS (SELECT 1 FROM {table} y WHERE y.doc_id = x.doc_id{same} AND y.s <= x.e AND y.e >= x.s AND {better})"
+    texts = [re.findall("[0-9a-z]+", text.lower()) for text, _ in licenses.TEMPLATES]
+    return ", ".join(f"({i}, '{x}', {w.index(x)}, {len(w) - 1 - w[::-1].index(x)}, {w.count(x)})" for i, w in enumerate(texts) for x in sorted(set(w)))
 
 
-LICENSES = f"""WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS (SELECT doc_id, t, {_WORDS.format(x="t")} AS w FROM d),
+LICENSES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_FOLDED} AS t FROM documents), w AS (SELECT doc_id, t, {_WORDS.format(x="t")} AS w FROM d),
   ph AS (SELECT * FROM (VALUES {", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES)}) AS v(p, label)),
   b AS (SELECT doc_id, label, i - 1 AS place FROM w, ph, unnest(range(1, len(w) + 1)) AS u(i) WHERE list_contains(w, p[2]) AND w[i:i + len(p) - 1] = p),
   bs AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM b GROUP BY doc_id),
-  te AS (SELECT * FROM (VALUES {_templates()}) AS v(k, label, ws, need, win)),
+  te AS (SELECT * FROM (VALUES {_templates()}) AS v(k, label, ws, need, win, n)),
   tw AS (SELECT k, need, unnest(ws) AS word FROM te),
-  ts AS (SELECT * FROM (VALUES {_steps()}) AS v(k, word, after)),
+  ts AS (SELECT * FROM (VALUES {_steps()}) AS v(k, word, after, times)),
   dw AS (SELECT doc_id, unnest(w) AS word, unnest(list_append(w[2:], NULL)) AS after, unnest(range(0, len(w))) AS pos FROM w),
   oc AS (SELECT doc_id, k, need, word, after, pos FROM dw JOIN tw USING (word)),
   en AS MATERIALIZED (SELECT * FROM oc JOIN (SELECT doc_id, k FROM oc GROUP BY doc_id, k, need HAVING count(DISTINCT word) >= need) USING (doc_id, k)),
-  la AS (SELECT x.doc_id, x.k, x.pos AS e, y.word, max(y.pos) AS p FROM en x JOIN te USING (k) JOIN en y ON y.doc_id = x.doc_id AND y.k = x.k AND y.pos BETWEEN x.pos - win + 1 AND x.pos GROUP BY ALL),
-  wi AS (SELECT doc_id, k, e, min(p) AS s, count(*) AS h FROM la GROUP BY ALL),
-  fo AS (SELECT doc_id, k, pos FROM en JOIN ts USING (k, word, after)),
-  fs AS (SELECT wi.doc_id, wi.k, e, count(fo.pos) AS steps FROM wi JOIN te USING (k) LEFT JOIN fo ON fo.doc_id = wi.doc_id AND fo.k = wi.k AND fo.pos BETWEEN s AND e - 1 WHERE h >= need GROUP BY ALL),
-  m AS MATERIALIZED (SELECT doc_id, k, e, s, label, h / len(ws) AS share, e - s - steps AS breaks, len(ws) AS size FROM wi JOIN te USING (k) JOIN fs USING (doc_id, k, e)),
-  own AS MATERIALIZED ({_unbeaten("m", " AND y.k = x.k")}),
-  st AS ({_unbeaten("own", "")}),
-  ms AS (SELECT doc_id, list(label) AS ls, max(share) AS share FROM st GROUP BY doc_id)
+  sp AS (SELECT * FROM (VALUES {_spans()}) AS v(k, word, first_place, last_place, times)),
+  fo AS (SELECT doc_id, k, pos, times FROM en JOIN ts USING (k, word, after)),
+  tu AS (SELECT doc_id, k, pos, times, coalesce(last_place <= lag(first_place) OVER (PARTITION BY doc_id, k ORDER BY pos), false)::INT AS turn FROM en JOIN sp USING (k, word)),
+  pr AS (SELECT x.doc_id, x.k, x.pos AS e, y.pos AS p, row_number() OVER (PARTITION BY x.doc_id, x.k, x.pos, y.word ORDER BY y.pos DESC) AS nth_word, tu.times AS word_times, y.pos < x.pos AND fo.pos IS NOT NULL AS steps,
+           row_number() OVER (PARTITION BY x.doc_id, x.k, x.pos, y.word, y.after, y.pos < x.pos AND fo.pos IS NOT NULL ORDER BY y.pos DESC) AS nth_step, fo.times AS step_times, tu.turn
+         FROM en x JOIN te USING (k) JOIN en y ON y.doc_id = x.doc_id AND y.k = x.k AND y.pos BETWEEN x.pos - win + 1 AND x.pos LEFT JOIN fo ON fo.doc_id = y.doc_id AND fo.k = y.k AND fo.pos = y.pos
+         JOIN tu ON tu.doc_id = y.doc_id AND tu.k = y.k AND tu.pos = y.pos),
+  wi AS (SELECT doc_id, k, e, p AS s, sum((nth_word = 1)::INT) OVER back AS h, sum((nth_word <= word_times)::INT + 2 * (steps AND nth_step <= step_times)::INT) OVER back AS c, sum(turn) OVER back - turn AS turns
+         FROM pr WINDOW back AS (PARTITION BY doc_id, k, e ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  li AS (SELECT doc_id, k, label, e, s, h::DOUBLE / len(ws) AS share, len(ws) AS size, (2 * c)::DOUBLE / (3 * n - 2 + 3 * (e - s + 1 + {licenses.TURN} * turns) - 2) AS q FROM wi JOIN te USING (k) WHERE h >= need),
+  be AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY doc_id, k, e ORDER BY q DESC, s DESC) = 1),
+  pl AS MATERIALIZED (SELECT be.doc_id, be.label, be.share, row_number() OVER (PARTITION BY be.doc_id ORDER BY q DESC, size DESC, be.k, e) AS nth, ps
+         FROM be JOIN (SELECT be.doc_id, be.k, be.e, list(en.pos) AS ps FROM be JOIN en ON en.doc_id = be.doc_id AND en.k = be.k AND en.pos BETWEEN be.s AND be.e GROUP BY ALL) USING (doc_id, k, e)),
+  gr AS (SELECT DISTINCT doc_id, 0::BIGINT AS nth, []::BIGINT[] AS taken, []::VARCHAR[] AS ls, 0.0::DOUBLE AS share FROM pl
+         UNION ALL SELECT doc_id, nth, CASE WHEN stands THEN list_concat(taken, ps) ELSE taken END, CASE WHEN stands THEN list_append(ls, label) ELSE ls END, CASE WHEN stands THEN greatest(share, own) ELSE share END
+         FROM (SELECT gr.doc_id, pl.nth, gr.taken, gr.ls, gr.share, pl.share AS own, pl.label, pl.ps, 2 * len(list_filter(pl.ps, lambda x: list_contains(gr.taken, x))) < len(pl.ps) AS stands
+               FROM gr JOIN pl ON pl.doc_id = gr.doc_id AND pl.nth = gr.nth + 1)),
+  ms AS (SELECT doc_id, ls, share FROM gr QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nth DESC) = 1)
   SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(bs.n_base, 0) AS n_base, bs.first_word, bs.last_word, coalesce(bs.base_labels, '') AS base_labels,
          array_to_string(list_sort(list_distinct(list_concat(coalesce(ms.ls, []), CASE WHEN bs.base_labels IS NULL THEN [] ELSE string_split(bs.base_labels, ',') END))), ',') AS labels,
          CASE WHEN bs.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(ms.share, 0.0::DOUBLE) END AS score

@@ -8,6 +8,7 @@ import re
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -196,27 +197,38 @@ def test_license_scan(spark):
 
 
 def brute_labels(text):
-    """Labels and largest share by the definition: all windows, then those that no better one overlaps."""
+    """Labels and largest share by the definition: all windows, one for each last word, then best first by matched words."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     found = []
-    for k, (t, _) in enumerate(licenses.TEMPLATES):
+    for k, (t, label) in enumerate(licenses.TEMPLATES):
         needed = re.findall(r"[0-9a-z]+", t.lower())
-        size, window, mine = len(set(needed)), math.ceil(licenses.WINDOW * len(needed)), []
-        steps = set(zip(needed, needed[1:], strict=False))
+        size, window = len(set(needed)), math.ceil(licenses.WINDOW * len(needed))
+        pairs = Counter(zip(needed, needed[1:], strict=False))
+        if len(set(words) & set(needed)) < licenses.CONTAINMENT * size - 1e-9:
+            continue
         for e, w in enumerate(words):
-            if w in needed:
-                last = {v: i for i, v in enumerate(words[: e + 1]) if i > e - window and v in needed}
-                if len(last) / size >= licenses.CONTAINMENT - 1e-12:
-                    s = min(last.values())
-                    breaks = sum((words[i], words[i + 1]) not in steps for i in range(s, e))
-                    mine.append((s, e, (len(last) / size, -breaks, size, -k, -e)))
-        found += unbeaten(mine)
-    stand = unbeaten(found)
-    return {licenses.TEMPLATES[-x[2][3]][1] for x in stand}, max((x[2][0] for x in stand), default=0.0)
-
-
-def unbeaten(places):
-    return [x for x in places if not any(y[0] <= x[1] and y[1] >= x[0] and y[2] > x[2] for y in places)]
+            if w not in needed:
+                continue
+            best = None
+            for s in range(e, max(-1, e - window), -1):
+                if words[s] not in needed:
+                    continue
+                hits = len(set(words[s : e + 1]) & set(needed))
+                known = [w for w in words[s : e + 1] if w in needed]
+                turns = sum(len(needed) - 1 - needed[::-1].index(y) <= needed.index(x) for x, y in zip(known, known[1:], strict=False))
+                common = (Counter(known) & Counter(needed)).total() + 2 * (pairs & Counter(zip(words[s:e], words[s + 1 : e + 1], strict=True))).total()
+                like = 2 * common / (3 * len(needed) - 2 + 3 * (e - s + 1 + licenses.TURN * turns) - 2)
+                if hits / size >= licenses.CONTAINMENT - 1e-12 and (best is None or like > best[0]):
+                    best = (like, hits / size, {i for i in range(s, e + 1) if words[i] in needed})
+            if best:
+                found.append(((-best[0], -size, k, e), label, best[1], best[2]))
+    taken, labels, share = set(), set(), 0.0
+    for _, label, mine, spots in sorted(found, key=lambda x: x[0]):
+        if 2 * len(spots & taken) < len(spots):
+            taken |= spots
+            labels.add(label)
+            share = max(share, mine)
+    return labels, share
 
 
 def test_license_join_equals_brute_force(monkeypatch):
@@ -228,11 +240,11 @@ def test_license_join_equals_brute_force(monkeypatch):
         text = rng.choice([" ", "\n", "\n\n"]).join(rng.choice(short) for _ in range(rng.randint(1, 4))).split(" ")
         blocks.append(" ".join(rng.choice(pool) if rng.random() < 0.06 else w for w in text))
     df = {int(w): rng.randint(0, 50) for b in pool for w in licenses.words_of(b)}
+    wanted = [brute_labels(block) for block in blocks]
     for cells in (licenses.CELLS, 40):
         monkeypatch.setattr(licenses, "CELLS", cells)
         scan = licenses.LicenseScan(df)
-        for block, found in zip(blocks, scan.scan([b.encode() for b in blocks]), strict=True):
-            labels, share = brute_labels(block)
+        for block, found, (labels, share) in zip(blocks, scan.scan([b.encode() for b in blocks]), wanted, strict=True):
             assert set(found.labels) == labels | set(found.base_labels), block
             assert found.score == pytest.approx(1.0 if found.n_base else share), block
 
@@ -266,6 +278,34 @@ def test_every_notice_of_a_block(spark):
     assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
 
 
+def test_damaged_notices_side_by_side_keep_their_labels():
+    rng = random.Random(6)
+    short = [t for t, _ in licenses.TEMPLATES if len(t.split()) < 30]
+
+    def damaged(t):
+        w = t.split()
+        del w[rng.randrange(len(w))]
+        return " ".join(w)
+
+    pairs = [(damaged(rng.choice(short)), damaged(rng.choice(short))) for _ in range(3000)]
+    scan = licenses.LicenseScan({})
+    of = lambda texts: [set(f.labels) for f in scan.scan([t.encode() for t in texts])]
+    left, right, both = of([a for a, _ in pairs]), of([b for _, b in pairs]), of([f"{a} {b}" for a, b in pairs])
+    lost = [(p, x | y, z) for p, x, y, z in zip(pairs, left, right, both, strict=True) if not x | y <= z]
+    assert not lost, (len(lost), lost[:5])
+
+
+def test_damaged_notices_over_a_blank_line():
+    mit = "Permission hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    by = "This work is licensed under a Creative Attribution 4.0 International License."
+    affero = "This work is licensed under the GNU Affero General Public License, 3."
+    lesser = "This work licensed under the GNU Lesser General Public License, version 3."
+    scan = licenses.LicenseScan({})
+    for between in (" ", "\n", "\n\n", " other words "):
+        a, b = scan.scan([f"{x}{between}{y}".encode() for x, y in ((mit, by), (affero, lesser))])
+        assert a.labels == ["cc-by", "mit"] and b.labels == ["agpl-3", "lgpl-3"], between
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 ITEM = " ".join(f"word{i}" for i in range(20))
