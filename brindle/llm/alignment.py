@@ -35,7 +35,7 @@ from brindle.llm.words import chunks, hash_runs
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct stretches that a task counts before it passes them on; stretches of a task of the alignment; links of a part of the arrays; pairs of one.
-FLUSH, STRETCHES, PART_LINKS, PART_PAIRS = 400_000, 100_000, 2_000_000, 4_000_000
+FLUSH, STRETCHES, PART_LINKS, PART_PAIRS = 150_000, 100_000, 1_000_000, 4_000_000
 #: Bytes of texts that are looked up at once.
 LOOK_UP = 4 << 20
 
@@ -80,7 +80,7 @@ def _models(a_path: str, b_path: str):
     for piece, i in a.get_vocab(with_added_tokens=True).items():
         a_sizes[i] = len(piece) if all(c in letters for c in piece) else len(piece.encode())
     b_sizes = np.array([1 if b.is_byte(i) else len(b.id_to_piece(i).replace(SPACE, " ").encode()) for i in range(b.get_piece_size())], np.int32)
-    remembers("alignment", _models.cache_clear)
+    remembers("alignment_tokens", _models.cache_clear)
     return a, b, a_sizes, b_sizes
 
 
@@ -149,7 +149,7 @@ def aligned(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     @F.arrow_udf("array<struct<side: int, id: int, size: int>>")
     def tokens(texts: pa.Array) -> pa.Array:
-        working_on("alignment")
+        working_on("alignment_tokens")
         return tokenized(texts.to_pylist(), a_path, b_path)
 
     parts = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() // STRETCHES + 1)

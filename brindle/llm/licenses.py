@@ -208,7 +208,9 @@ class LicenseScan:
                     # the first common word: from here on T has no more than these words left to share
                     left = min(len(self.sets[t]) - place, len(block) - int(np.searchsorted(block, w)))
                     passed[t] = size >= self.need[t] and left >= self.need[t]
-        return [t for t, ok in passed.items() if ok and np.isin(self.sets[t], block, assume_unique=True).sum() >= self.need[t]]
+        held = np.zeros(self.member.shape[1], bool)
+        held[block] = True
+        return [t for t, ok in passed.items() if ok and held[self.sets[t]].sum() >= self.need[t]]
 
     def places(self, t: int, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, last), hits and likeness of each place of template t; first and last are indexes of ``at``.
