@@ -16,7 +16,7 @@ sorted hash arrays that workers map into memory: rows of all occurrences are nev
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,15 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.byte_ids import BYTE_CHARS
-from brindle.llm.hash_arrays import HashTable, write_arrays, write_blob
+from brindle.llm.hash_arrays import HashTable, part_of, write_arrays, write_blob
 from brindle.llm.shared import bounded_batches, free_name, fresh_folder, remembers, table, working_on, written
 from brindle.llm.token_counts import proto_fields
 from brindle.llm.words import chunks, hash_runs
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct stretches that a task counts before it passes them on; stretches of a task of the alignment; links of a part of the arrays; pairs of one.
-FLUSH, STRETCHES, PART_LINKS, PART_PAIRS = 150_000, 100_000, 1_000_000, 4_000_000
+#: Stretches that a task counts before it passes them on; bytes of text for each part of the count; stretches of a task of the alignment; links of a part
+#: of the arrays; pairs of one.
+FLUSH, PART_BYTES, STRETCHES, PART_LINKS, PART_PAIRS = 1_000_000, 16 << 20, 100_000, 1_000_000, 4_000_000
 #: Bytes of texts that are looked up at once.
 LOOK_UP = 4 << 20
 
@@ -59,6 +60,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @cache
 def _models(a_path: str, b_path: str):
     """Both tokenizers, and the bytes of A's characters; refuses those whose texts can't be cut into stretches."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -110,42 +112,69 @@ def usable(text: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & ~F.contains(text, F.lit(SPACE)), F.lit(False))
 
 
-def distinct_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(sid, h, stretch, n): the distinct stretches of all usable texts, their hashes, and how often they occur; written."""
+_PACKED = pa.schema([("part", pa.int64()), ("h", pa.binary()), ("n", pa.binary()), ("size", pa.binary()), ("text", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working_on("alignment")
-        held: Counter[bytes] = Counter()
-        hashes: dict[bytes, int] = {}
-        schema = pa.schema([("h", pa.int64()), ("stretch", pa.string()), ("n", pa.int64())])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(hashes.values(), pa.int64()), pa.array(hashes.keys(), pa.binary()).cast(pa.string()), pa.array([held[k] for k in hashes], pa.int64())], schema=schema)
+def distinct_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(sid, h, stretch, n): the distinct stretches of all usable texts, their hashes, and how often they occur; written.
+
+    A task counts about ``FLUSH`` stretches at a time and packs the distinct ones by ranges of their hashes; a part adds its range up.
+    """
+    rows = bounded_batches(docs).where(usable(F.col(text))).select(F.col(text))
+    parts = (rows.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0) // PART_BYTES + 1
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("alignment")
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n, size, at, whole = _added(held)
+            part = part_of(h, parts).astype(np.int64)
+            edges = np.searchsorted(part, np.unique(part)).tolist() + [len(h)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                shown = b"".join([whole[a : a + s] for a, s in zip(at[i:j].tolist(), size[i:j].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((int(part[i]), h[i:j].tobytes(), n[i:j].tobytes(), size[i:j].tobytes(), shown), _PACKED, strict=True)], schema=_PACKED)
+            held.clear()
+
+        n_held = 0
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for s in chunks(texts):
                 data, first, _ = stretches(texts[s])
                 last = np.append(first[1:], len(data))
                 keys, at, n = np.unique(hash_runs(data, first, last), return_index=True, return_counts=True)
-                whole = data.tobytes()
-                for k, a, b, c in zip(keys.view("<i8").tolist(), first[at].tolist(), last[at].tolist(), n.tolist(), strict=True):
-                    piece = whole[a:b]
-                    held[piece] += c
-                    hashes[piece] = k
-            if len(held) >= FLUSH:
-                yield out()
-                held.clear()
-                hashes.clear()
+                size, whole = (last - first)[at], data.tobytes()
+                held.append((keys, n, size, b"".join([whole[a : a + z] for a, z in zip(first[at].tolist(), size.tolist(), strict=True)])))
+                n_held += len(keys)
+            if n_held >= FLUSH:
+                yield from out()
+                n_held = 0
         if held:
-            yield out()
+            yield from out()
+
+    def add(group: pa.Table) -> pa.Table:
+        flat = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group[c]]
+        h, n, size, at, whole = _added(list(zip(flat("h", "<u8"), flat("n", "<i8"), flat("size", "<i8"), [x.as_py() for x in group["text"]], strict=True)))
+        shown = [whole[a : a + z] for a, z in zip(at.tolist(), size.tolist(), strict=True)]
+        return pa.table({"h": pa.array(h.view("<i8")), "stretch": pa.array(shown, pa.binary()).cast(pa.string()), "n": pa.array(n)})
+
+    packed = rows.mapInArrow(count, "part bigint, h binary, n binary, size binary, text binary")
+    found = packed.groupBy("part").applyInArrow(add, "h bigint, stretch string, n bigint")
+    return written(found.withColumn("sid", F.monotonically_increasing_id()), "stretches")
 
-    rows = bounded_batches(docs).where(usable(F.col(text))).select(F.col(text)).mapInArrow(run, "h bigint, stretch string, n bigint")
-    return written(rows.groupBy("h", "stretch").agg(F.sum("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()), "stretches")
+
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Counts of the distinct hashes of all tables (hash, n, size, texts), with the size of each text and where one lies in all texts."""
+    h, n, size = (np.concatenate([x[i] for x in held]) for i in range(3))
+    at = np.cumsum(size) - size
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n[order], first), size[order[first]], at[order[first]], b"".join([x[3] for x in held])
 
 
 def aligned(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(sid, h, n, links) of :func:`distinct_stretches`: links in order, each with both ids, whether each token ends there, and the number of its group."""
+    """(h, n, links) of :func:`distinct_stretches`: links in order from the last, each with both ids, whether each token ends there, and the number of its group."""
 
     @F.arrow_udf("array<struct<side: int, id: int, size: int>>")
     def tokens(texts: pa.Array) -> pa.Array:
@@ -153,17 +182,48 @@ def aligned(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return tokenized(texts.to_pylist(), a_path, b_path)
 
     parts = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() // STRETCHES + 1)
-    split = bounded_batches(distinct).withColumn("tokens", tokens("stretch")).select("sid", "h", "n", "tokens").repartition(parts, "sid")
-    rows = split.select("sid", "h", "n", F.posexplode("tokens").alias("pos", "t")).select("sid", "h", "n", "pos", "t.side", "t.id", "t.size")
-    ended = rows.withColumn("end", F.sum("size").over(Window.partitionBy("sid", "side").orderBy("pos")))
-    met = ended.groupBy("sid", "h", "n", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("ends_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("ends_b"))
+    split = bounded_batches(distinct).withColumn("tokens", tokens("stretch")).select("sid", "h", "n", F.octet_length("stretch").alias("whole"), "tokens").repartition(parts, "sid")
+    rows = split.select("sid", "h", "n", "whole", F.posexplode("tokens").alias("pos", "t")).select("sid", "h", "n", "whole", "pos", "t.side", "t.id", "t.size")
+    # A's tokens come first and add up to the stretch
+    end = F.sum("size").over(Window.partitionBy("sid").orderBy("pos")) - F.when(F.col("side") == 1, F.col("whole")).otherwise(0)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
+    met = rows.withColumn("end", end).groupBy("sid", "end").agg(of(0).alias("ends_a"), of(1).alias("ends_b"), F.first("h").alias("h"), F.first("n").alias("n"))
     back = Window.partitionBy("sid").orderBy(F.col("end").desc())
+    a_ends, b_ends = F.col("ends_a").isNotNull(), F.col("ends_b").isNotNull()
     named = met.select(
-        "sid", "h", "n", "end", F.last("ends_a", ignorenulls=True).over(back).alias("a"), F.last("ends_b", ignorenulls=True).over(back).alias("b"),
-        F.col("ends_a").isNotNull().alias("a_ends"), F.col("ends_b").isNotNull().alias("b_ends"),
-        F.sum((F.col("ends_a").isNotNull() & F.col("ends_b").isNotNull()).cast("int")).over(back).cast("int").alias("group"),
+        "sid", "h", "n", F.last("ends_a", ignorenulls=True).over(back).alias("a"), F.last("ends_b", ignorenulls=True).over(back).alias("b"),
+        a_ends.alias("a_ends"), b_ends.alias("b_ends"), F.sum((a_ends & b_ends).cast("int")).over(back).cast("int").alias("group"),
     )
-    return named.groupBy("sid", "h", "n").agg(F.sort_array(F.collect_list(F.struct("end", "a", "b", "a_ends", "b_ends", "group"))).alias("links"))
+    return named.mapInArrow(_one_row_a_stretch, f"h bigint, n bigint, links {_LINKS}")
+
+
+_LINKS = "array<struct<a: int, b: int, a_ends: boolean, b_ends: boolean, group: int>>"
+
+
+def _one_row_a_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a stretch, which come one after the other, as one row with a list."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        kept = now.combine_chunks()
+        if not len(kept):
+            continue
+        sid = kept["sid"].to_numpy()
+        at = int(np.searchsorted(sid[::-1] != sid[-1], True))  # rows of the last stretch, of which more may come
+        if at < len(sid):
+            yield _lists(kept.slice(0, len(sid) - at))
+            kept = kept.slice(len(sid) - at)
+    if kept is not None and len(kept):
+        yield _lists(kept)
+
+
+def _lists(rows: pa.Table) -> pa.RecordBatch:
+    sid = rows["sid"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
+    flat = [rows[c].combine_chunks() for c in ("a", "b", "a_ends", "b_ends", "group")]
+    flat = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat]
+    links = pa.ListArray.from_arrays(pa.array(np.append(first, len(sid)).astype(np.int32)), pa.StructArray.from_arrays(flat, ["a", "b", "a_ends", "b_ends", "group"]))
+    return pa.RecordBatch.from_arrays([pa.array(rows["h"].to_numpy()[first]), pa.array(rows["n"].to_numpy()[first]), links], ["h", "n", "links"])
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -216,7 +276,9 @@ def _stretch_arrays(links: DataFrame, folder: str, pairs: list[tuple[str, int, l
         lists = group["links"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
-        a, b, a_ends, b_ends, number = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "a_ends", "b_ends", "group"))
+        # the links of all stretches backwards are each stretch's forwards
+        a, b, a_ends, b_ends, number = (flat.field(c).to_numpy(zero_copy_only=False)[::-1] for c in ("a", "b", "a_ends", "b_ends", "group"))
+        h, offsets = h[::-1], len(flat) - offsets[::-1]
         n, best = HashTable(folder, known.value).look_up(_pair_key(a, b), ["n", "best"], _pair_part(a.astype(np.int64), b, len(known.value)))
         begin = offsets[:-1]
         sums = {c: np.add.reduceat(v.astype(np.int64), begin) for c, v in (("n_a", a_ends), ("n_b", b_ends), ("n_best", best), ("count_sum", n))}

@@ -92,7 +92,7 @@ def texts(n, seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_alignment_equals_whole_texts(spark, monkeypatch, libraries, small):
     if small:
-        for name, value in (("FLUSH", 50), ("STRETCHES", 100), ("PART_LINKS", 300), ("PART_PAIRS", 100), ("LOOK_UP", 200)):
+        for name, value in (("FLUSH", 50), ("PART_BYTES", 5000), ("STRETCHES", 100), ("PART_LINKS", 300), ("PART_PAIRS", 100), ("LOOK_UP", 200)):
             monkeypatch.setattr(alignment, name, value)
     given = [*texts(300, 3), None, "twice the words", "twice the words"]
     df = spark.createDataFrame([(k, t, "n", 1) for k, t in enumerate(given)], "doc_id long, text string, n_a string, links int").repartition(3)
