@@ -1,9 +1,12 @@
 """Language identification: script ranges, then Viterbi over the scores of words.
 
-A word's script leaves as candidates the languages that were learnt with that script. Its score under a language
-is the log probability of its letter trigrams. A text's words are then labelled by the best path over languages, where
+The scripts of a text's words leave as candidates the languages that were learnt with one of them; no other is scored. A word's score under a
+language is the log probability of its letter trigrams. A text's words are then labelled by the best path over the candidates, where
 each switch costs a penalty, so foreign passages become spans and single odd words don't. Texts in which
 no passage can gain more than half a penalty need no path search (see :func:`LanguageModel.label`).
+
+A switch costs the same between any two languages, so a step needs the best total per language, the best of these and a bit per language: whether the path
+stays. Scores are held for a bounded number of words at a time, so a text of any length takes one bit a word and candidate.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from brindle.llm.words import chunks
 #: Labelled rows of each language that the model may learn from, about; and the characters of a row that it learns from.
 PER_LANGUAGE, SAMPLE_CHARS = 1500, 100_000
 SWITCH_PENALTY = 12.0
-#: Words that are followed one after the other; longer texts are followed in several places at once.
-STRETCH = 2048
+#: Words of one text that are scored at once, at most; words times candidates that are held at once; bytes that are cut into words at once.
+STRETCH, CELLS, PIECE = 1 << 16, 1 << 21, 1 << 20
 TABLE_BITS = 16
 #: A script counts as a language's if so much of its letters are of it.
 SCRIPT_SHARE = 0.05
@@ -76,9 +79,15 @@ class Lettered:
     first: np.ndarray
     last: np.ndarray
     at: np.ndarray  # words of text i: at[i] to at[i + 1]
+    _scripts: np.ndarray | None = None
 
     def scripts(self) -> np.ndarray:
         """The script of each word's first letter."""
+        if self._scripts is None:
+            self._scripts = self._read_scripts()
+        return self._scripts
+
+    def _read_scripts(self) -> np.ndarray:
         d = np.concatenate((self.data, np.zeros(3, np.uint8))).astype(np.int64)
         a = d[self.first]
         b, c, e = (d[self.first + i] & 0x3F for i in (1, 2, 3))
@@ -107,16 +116,41 @@ class LanguageModel:
     log_p: np.ndarray  # trigram codes x languages
     scripts: np.ndarray  # scripts x languages: learnt together
 
-    def word_scores(self, x: Lettered) -> np.ndarray:
+    def __post_init__(self):
+        self._narrowed: dict[bytes, LanguageModel] = {}
+
+    def narrowed(self, scripts: np.ndarray) -> LanguageModel:
+        """The model of the languages that have one of these scripts, or of all if none has."""
+        there = self.scripts[np.unique(scripts)].any(axis=0)
+        if there.all() or not there.any():
+            return self
+        key = there.tobytes()
+        if key not in self._narrowed:
+            if len(self._narrowed) * there.sum() > 4 * len(self.languages):
+                self._narrowed.clear()
+            self._narrowed[key] = LanguageModel([x for x, y in zip(self.languages, there, strict=True) if y], np.ascontiguousarray(self.log_p[:, there]), self.scripts[:, there])
+        return self._narrowed[key]
+
+    def word_scores(self, x: Lettered, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Words x languages; languages that a word's script excludes are far below, a word of an unknown script is the same to all."""
-        if not len(x.first):
+        first, last = x.first[start:stop], x.last[start:stop]
+        if not len(first):
             return np.zeros((0, len(self.languages)), np.float32)
-        spots = np.repeat(x.first - np.concatenate(([0], np.cumsum(x.last - x.first)[:-1])), x.last - x.first) + np.arange((x.last - x.first).sum())
-        scores = np.add.reduceat(self.log_p[x.codes[spots]], np.concatenate(([0], np.cumsum(x.last - x.first)[:-1])), axis=0)
-        script = x.scripts()
+        begin = np.concatenate(([0], np.cumsum(last - first)[:-1]))
+        scores = np.zeros((len(first), len(self.languages)), np.float32)
+        spots = np.repeat(first - begin, last - first) + np.arange((last - first).sum())
+        # a long word's trigrams are many: they are added up for so many at a time
+        for w in _runs(last - first, max(1, CELLS // len(self.languages))):
+            lo, hi = begin[w.start], begin[w.stop - 1] + (last - first)[w.stop - 1]
+            if hi - lo <= max(1, CELLS // len(self.languages)):
+                scores[w] = np.add.reduceat(self.log_p[x.codes[spots[lo:hi]]], begin[w] - lo, axis=0)
+            else:
+                codes, times = np.unique(x.codes[spots[lo:hi]], return_counts=True)
+                scores[w] = times.astype(np.float32) @ self.log_p[codes]
+        script = x.scripts()[start:stop]
         if (script > 0).any() or not self.scripts[0].all():
             can = self.scripts[script]
-            scores = np.where(can.any(axis=1, keepdims=True), np.where(can, scores, scores.min(axis=1, keepdims=True) - 50), 0.0)
+            scores = np.where(can.any(axis=1, keepdims=True), np.where(can, scores, scores.min(axis=1, keepdims=True) - 50), np.float32(0))
         return scores
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
@@ -130,37 +164,63 @@ class LanguageModel:
         k = len(self.languages)
         use = [i for i, t in enumerate(texts) if t and has_letter(t)] if k else []
         coded = [texts[i].encode() for i in use]
-        later: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for s in chunks(coded, 1 << 20):
+        later: dict[bytes, tuple[LanguageModel, list]] = {}
+        for s in chunks(coded, min(PIECE, max(1, 2 * CELLS // max(k, 1)))):
+            if len(coded[s]) == 1 and len(coded[s][0]) > min(PIECE, 2 * CELLS // k):
+                out[use[s.start]] = self._whole(coded[s][0])
+                continue
             x = lettered(coded[s])
-            w = self.word_scores(x).astype(np.float64)
             n = np.diff(x.at)
-            of = np.repeat(np.arange(len(n)), n)
-            sums = np.concatenate((np.zeros((1, k)), np.cumsum(w, axis=0)))
-            total = sums[x.at[1:]] - sums[x.at[:-1]]
-            best = total.argmax(axis=1)
-            gain = np.zeros(len(n))
-            if len(w):
-                own = w[np.arange(len(w)), best[of]]
-                some = n > 0
-                for b in range(k):
-                    c = np.cumsum(w[:, b] - own)
-                    drop = of * (float(np.abs(c).max()) * 2 + 1.0)  # below all of the texts before
-                    low = np.minimum.accumulate(np.concatenate(([0.0], c[:-1])) - drop) + drop
-                    gain[some] = np.maximum(gain[some], np.maximum.reduceat(c - low, x.at[:-1][some]))
-            letters = x.last - x.first
+            script = x.scripts()
+            groups: dict[bytes, tuple[LanguageModel, list[int]]] = {}
             for j in range(len(n)):
-                i = use[s.start + j]
-                if gain[j] > SWITCH_PENALTY / 2 and n[j]:
-                    later.append((i, w[x.at[j] : x.at[j + 1]], letters[x.at[j] : x.at[j + 1]]))
+                if n[j] > STRETCH:
+                    out[use[s.start + j]] = self._whole(coded[s][j])
+                elif not n[j]:  # letters that no word of ours has
+                    out[use[s.start + j]] = (self.languages[0], 1.0 / k, [])
+                else:
+                    m = self.narrowed(script[x.at[j] : x.at[j + 1]])
+                    groups.setdefault("\0".join(m.languages).encode(), (m, []))[1].append(j)
+            for key, (m, js) in groups.items():
+                if len(js) == len(n):
+                    own, w = x, m.word_scores(x).astype(np.float64)
                 else:
-                    out[i] = self._result(total[j], np.array([best[j]]), np.array([0]), np.array([n[j]]), letters[x.at[j] : x.at[j + 1]])
-                    if not n[j]:  # letters that no word of ours has
-                        out[i] = (self.languages[int(best[j])], 1.0 / k, [])
-            if sum(len(y[1]) for y in later) > 400_000:
-                self._search(later, out)
-                later = []
-        self._search(later, out)
+                    own = lettered([coded[s][j] for j in js])
+                    w = m.word_scores(own).astype(np.float64)
+                held = later.setdefault(key, (m, []))[1]
+                for j, found in zip(js, m._stay(own, w), strict=True):
+                    if isinstance(found, tuple):
+                        out[use[s.start + j]] = found
+                    else:
+                        held.append((use[s.start + j], *found))
+                if sum(x[1].size for x in held) > CELLS:
+                    m._search(held, out)
+                    held.clear()
+        for m, held in later.values():
+            m._search(held, out)
+        return out
+
+    def _stay(self, x: Lettered, w: np.ndarray) -> list:
+        """Per text the result if it stays in one language, else [its scores, letters of its words] for the search."""
+        n, k = np.diff(x.at), len(self.languages)
+        of = np.repeat(np.arange(len(n)), n)
+        sums = np.concatenate((np.zeros((1, k)), np.cumsum(w, axis=0)))
+        total = sums[x.at[1:]] - sums[x.at[:-1]]
+        best = total.argmax(axis=1)
+        gain = np.zeros(len(n))
+        own = w[np.arange(len(w)), best[of]]
+        for b in range(k):
+            c = np.cumsum(w[:, b] - own)
+            drop = of * (float(np.abs(c).max()) * 2 + 1.0)  # below all of the texts before
+            low = np.minimum.accumulate(np.concatenate(([0.0], c[:-1])) - drop) + drop
+            gain = np.maximum(gain, np.maximum.reduceat(c - low, x.at[:-1]))
+        letters = x.last - x.first
+        out: list = []
+        for j, (a, b) in enumerate(zip(x.at[:-1], x.at[1:], strict=True)):
+            if gain[j] > SWITCH_PENALTY / 2:
+                out.append([w[a:b].astype(np.float32), letters[a:b]])
+            else:
+                out.append(self._result(w[a:b].sum(axis=0), np.array([best[j]]), np.array([0]), np.array([n[j]]), letters[a:b]))
         return out
 
     def _result(self, total: np.ndarray, langs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, letters: np.ndarray):
@@ -172,100 +232,146 @@ class LanguageModel:
         score = float(part * (1.0 if len(langs) > 1 else 1.0 / odds.sum()))
         return self.languages[lang], min(max(score, 0.0), 1.0), [(self.languages[a], int(b), int(c)) for a, b, c in zip(langs, starts, sizes, strict=True)]
 
-    def _search(self, todo: list[tuple[int, np.ndarray, np.ndarray]], out: list) -> None:
-        """Best paths of many texts, word by word over all stretches that are as long.
+    def _spans(self, total: np.ndarray, path: np.ndarray, letters: np.ndarray):
+        starts = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        return self._result(total, path[starts], starts, np.diff(np.append(starts, len(path))), letters)
 
-        A text is cut into stretches of :data:`STRETCH` words, and each stretch is followed from every language that the word before may
-        have at once; then the texts' stretches are tied together, the best last word is taken, and paths are read backwards. So
-        a step serves all texts and stretches, and there are no more steps than a stretch has words and a text has stretches.
-        """
+    def _search(self, todo: list[tuple[int, np.ndarray, np.ndarray]], out: list) -> None:
+        """Best paths of many texts, word by word over all texts that are as long: a step serves them all."""
         if not todo:
             return
-        k = len(self.languages)
         size = np.array([len(x[1]) for x in todo])
-        cuts = [np.arange(0, n, STRETCH) for n in size]
-        base = np.concatenate(([0], np.cumsum(size)[:-1]))
-        begin = np.concatenate([c + b for c, b in zip(cuts, base, strict=True)])
-        long = np.diff(np.append(begin, size.sum()))
-        first_of = np.concatenate(([0], np.cumsum([len(c) for c in cuts])[:-1]))  # the first stretch of each text
+        order = np.argsort(-size, kind="stable")
+        begin, long = (np.cumsum(size) - size)[order], size[order]
         w = np.concatenate([x[1] for x in todo])
-        order = np.argsort(-long, kind="stable")
-        begin_o, long_o = begin[order], long[order]
-        penalty = np.where(np.eye(k, dtype=bool), 0.0, -SWITCH_PENALTY)
-        # v[s, i, j]: the best path of stretch s that comes from language i and ends in j
-        v = penalty[None] + w[begin_o][:, None, :]
-        came = np.zeros((len(w), k, k), np.uint8 if k < 256 else np.int16)
-        own = np.arange(k)
-        for t in range(1, int(long_o[0])):
-            m = int(np.searchsorted(-long_o, -t, "left"))
-            top = v[:m].argmax(axis=2)
-            switch = np.take_along_axis(v[:m], top[:, :, None], 2) - SWITCH_PENALTY
-            stay = v[:m] >= switch
-            came[begin_o[:m] + t] = np.where(stay, own, top[:, :, None])
-            v[:m] = np.where(stay, v[:m], switch) + w[begin_o[:m] + t][:, None, :]
-        through = np.empty_like(v)
-        through[order] = v
-        # from text to text: the best total up to the end of each stretch, and the language before it
-        before = np.zeros((len(begin), k), np.int64)
-        best = np.empty((len(begin), k))
-        many = np.array([len(c) for c in cuts])
-        texts = np.argsort(-many, kind="stable")
-        now = np.full((len(todo), k), 0.0)
-        for j in range(int(many.max())):
-            m = int(np.searchsorted(-many[texts], -j, "left"))
-            s = first_of[texts[:m]] + j
-            if j == 0:
-                # a text's first word has nothing before it: the path from its own language has no switch
-                total = through[s].max(axis=1)
-                before[s] = through[s].argmax(axis=1)
-            else:
-                total = (now[:m, :, None] + through[s]).max(axis=1)
-                before[s] = (now[:m, :, None] + through[s]).argmax(axis=1)
-            now[:m] = total
-            best[s] = total
-        last = np.zeros(len(begin), np.int64)  # the language of each stretch's last word
-        entry = np.zeros(len(begin), np.int64)  # and of the word before it
-        for j in range(int(many.max()) - 1, -1, -1):
-            m = int(np.searchsorted(-many[texts], -j, "left"))
-            s = first_of[texts[:m]] + j
-            ends = many[texts[:m]] == j + 1
-            last[s[ends]] = best[s[ends]].argmax(axis=1)
-            last[s[~ends]] = entry[s[~ends] + 1]
-            entry[s] = before[s, last[s]]
-        path = np.empty(len(w), np.int16)
-        lang, enter = last[order], entry[order]
-        for t in range(int(long_o[0]) - 1, -1, -1):
-            m = int(np.searchsorted(-long_o, -t, "left"))
-            path[begin_o[:m] + t] = lang[:m]
-            if t:
-                lang[:m] = came[begin_o[:m] + t, enter[:m], lang[:m]]
-        for (i, scores, letters), a, n in zip(todo, base, size, strict=True):
-            p = path[a : a + n]
-            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            out[i] = self._result(scores.sum(axis=0), p[starts], starts, np.diff(np.append(starts, n)), letters)
+        v = w[begin].astype(np.float64)
+        stays, top = np.ones(w.shape, bool), np.zeros(len(w), np.int16)
+        for t in range(1, int(long[0])):
+            m = int(np.searchsorted(-long, -t, "left"))
+            now, at = v[:m], begin[:m] + t
+            best = now.argmax(axis=1)
+            switch = now[np.arange(m), best][:, None] - SWITCH_PENALTY
+            stays[at], top[at] = now >= switch, best
+            v[:m] = np.maximum(now, switch) + w[at]
+        path, lang = np.empty(len(w), np.int16), v.argmax(axis=1)
+        for t in range(int(long[0]) - 1, -1, -1):
+            m = int(np.searchsorted(-long, -t, "left"))
+            at = begin[:m] + t
+            path[at] = lang[:m]
+            lang[:m] = np.where(stays[at, lang[:m]], lang[:m], top[at])
+        for (i, scores, letters), a, n in zip(todo, np.cumsum(size) - size, size, strict=True):
+            out[i] = self._spans(scores.sum(axis=0, dtype=np.float64), path[a : a + n], letters)
+
+    def _whole(self, raw: bytes):
+        """The result of one long text, whose scores are never held for more than a stretch: totals, gains, then the path."""
+        pieces = list(_pieces(raw))
+        seen = np.unique(np.concatenate([np.unique(lettered([raw[a:b]]).scripts()) for a, b in pieces]))
+        m = self.narrowed(seen)
+        k = len(m.languages)
+        block = max(1, min(1 << 14, CELLS // k))
+
+        def scored():
+            for a, b in pieces:
+                x = lettered([raw[a:b]])
+                for at in range(0, len(x.first), block):
+                    w, long = m.word_scores(x, at, at + block).astype(np.float64), (x.last - x.first)[at : at + block]
+                    yield from ((w[i : i + STRETCH], long[i : i + STRETCH]) for i in range(0, len(w), STRETCH))
+
+        total, letters = np.zeros(k), []
+        for w, long in scored():
+            total += w.sum(axis=0)
+            letters.append(long)
+        best, letters = int(total.argmax()), np.concatenate(letters) if letters else np.zeros(0, np.int64)
+        if not len(letters):
+            return self.languages[0], 1.0 / len(self.languages), []
+        reached, low, gain = np.zeros(k), np.zeros(k), 0.0
+        for w, _ in scored():
+            c = reached + np.cumsum(w - w[:, [best]], axis=0)
+            lowest = np.minimum(low, np.minimum.accumulate(np.concatenate((reached[None], c[:-1])), axis=0))
+            gain = max(gain, float((c - lowest).max()))
+            reached, low = c[-1], np.minimum(lowest[-1], c[-1])
+        if gain <= SWITCH_PENALTY / 2:
+            return m._result(total, np.array([best]), np.array([0]), np.array([len(letters)]), letters)
+        v, bits, top, first = np.zeros(k), [], [], True
+        for w, _ in scored():
+            stays, tops = np.ones(w.shape, bool), np.zeros(len(w), np.int16)
+            for t, row in enumerate(w):
+                if first:
+                    v, first = row.copy(), False
+                    continue
+                tops[t] = best = v.argmax()
+                switch = v[best] - SWITCH_PENALTY
+                np.greater_equal(v, switch, out=stays[t])
+                v = np.maximum(v, switch) + row
+            bits.append((len(w), np.packbits(stays, axis=1)))
+            top.append(tops)
+        lang, path = int(v.argmax()), []
+        for (n, packed), tops in zip(reversed(bits), reversed(top), strict=True):
+            stays, tops, here = np.unpackbits(packed, axis=1, count=k), tops.tolist(), np.empty(n, np.int16)
+            for t in range(n - 1, -1, -1):
+                here[t] = lang
+                if not stays[t, lang]:
+                    lang = tops[t]
+            path.append(here)
+        return m._spans(total, np.concatenate(path[::-1]), letters)
+
+
+def _runs(sizes: np.ndarray, most: int) -> list[slice]:
+    """Slices of as many sizes as add up to ``most``, one at least."""
+    ends, out, a = np.cumsum(sizes), [], 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        out.append(slice(a, b))
+        a = b
+    return out
+
+
+def _pieces(raw: bytes):
+    """(first, last) of pieces of about ``PIECE`` bytes that end between words."""
+    a = 0
+    while a < len(raw):
+        b = min(a + PIECE, len(raw))
+        while b < len(raw):
+            ends = np.flatnonzero(_FOLD[np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - b), b)] == 0x20)
+            if len(ends):
+                b += int(ends[0]) + 1
+                break
+            b = min(b + PIECE, len(raw))
+        yield a, b
+        a = b
+
+
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each trigram code stands in texts, and how many letters of each script their words have."""
+    counts, scripts = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(len(SCRIPTS))
+    for s in chunks(texts, 1 << 20):
+        x = lettered(texts[s])
+        counts += np.bincount(x.codes[x.data != 0x20], minlength=1 << TABLE_BITS)
+        scripts += np.bincount(x.scripts(), x.last - x.first, len(SCRIPTS)) if len(x.first) else 0
+    return counts, scripts
+
+
+def _model(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+    """A model from the counts of each language."""
+    languages = sorted(counted)
+    log_p, can = np.zeros((1 << TABLE_BITS, len(languages)), np.float32), np.zeros((len(SCRIPTS), len(languages)), bool)
+    for i, lang in enumerate(languages):
+        counts, scripts = counted[lang]
+        log_p[:, i] = np.log(counts + 0.5) - np.log((counts + 0.5).sum())
+        can[:, i] = scripts >= SCRIPT_SHARE * max(scripts.sum(), 1)
+    return LanguageModel(languages, log_p, can)
 
 
 def fit(samples: dict[str, list[str]]) -> LanguageModel:
     """A model from texts of each language."""
-    languages = sorted(samples)
-    counts = np.zeros((1 << TABLE_BITS, len(languages)))
-    scripts = np.zeros((len(SCRIPTS), len(languages)))
-    for i, lang in enumerate(languages):
-        texts = [t.encode() for t in samples[lang]]
-        for s in chunks(texts, 1 << 20):
-            x = lettered(texts[s])
-            inside = x.data != 0x20
-            counts[:, i] += np.bincount(x.codes[inside], minlength=1 << TABLE_BITS)
-            scripts[:, i] += np.bincount(x.scripts(), x.last - x.first, len(SCRIPTS)) if len(x.first) else 0
-    log_p = np.log(counts + 0.5) - np.log((counts + 0.5).sum(axis=0))
-    return LanguageModel(languages, log_p.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+    return _model({lang: _counts([t.encode() for t in texts]) for lang, texts in samples.items()})
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from text and language of rows that aren't held out.
 
     The sample is bounded: of each language about ``PER_LANGUAGE`` rows, chosen by hash, and of a longer text ``SAMPLE_CHARS`` characters
-    from a place chosen by hash.
+    from a place chosen by hash. Tasks count trigrams; the driver gets the sums of each language, no text.
     """
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)
     over = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1
@@ -278,12 +384,32 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # hashed with the text, so that rows of one id don't all come or stay away
     place = F.xxhash64("key", "text")
     chosen = F.pmod(place, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    samples: dict[str, list[str]] = {k: [] for k in there}
-    # a row that is repeated counts once, so that copies don't crowd the sample or the driver
-    for r in known.where(chosen).distinct().orderBy(place, "key", "lang", "text").limit(4 * PER_LANGUAGE * len(there)).collect():
-        samples[r["lang"]].append(r["text"])
-    model = fit(samples)
-    samples.clear()
+    # a row that is repeated counts once, so that copies don't crowd the sample; texts are counted where they are
+    rows = bounded_batches(known.where(chosen).distinct().select("lang", "text"))
+
+    def count(batches):
+        working_on("language")
+        found: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for lang in dict.fromkeys(langs):
+                got = _counts([t.encode() for x, t in zip(langs, batch.column(1).to_pylist(), strict=True) if x == lang])
+                old = found.setdefault(lang, [np.zeros(1 << TABLE_BITS, np.int64), np.zeros(len(SCRIPTS))])
+                found[lang] = [a + b for a, b in zip(old, got, strict=True)]
+        for lang, (counts, scripts) in found.items():
+            yield packed(lang, counts, scripts)
+
+    def packed(lang, counts, scripts):
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([scripts.astype("<f8").tobytes()], pa.binary())], ["lang", "counts", "scripts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x.as_py(), "<i8") for x in group["counts"])
+        scripts = sum(np.frombuffer(x.as_py(), "<f8") for x in group["scripts"])
+        return pa.Table.from_batches([packed(group["lang"][0].as_py(), counts, scripts)])
+
+    table_ = "lang string, counts binary, scripts binary"
+    added = rows.mapInArrow(count, table_).groupBy("lang").applyInArrow(add, table_).collect()  # a table of half a megabyte a language
+    model = _model({r["lang"]: (np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["scripts"], "<f8")) for r in added})
     release()  # the driver goes on with other work
     return model
 

@@ -511,6 +511,27 @@ def test_many_texts_are_searched_at_once(monkeypatch):
     assert time.time() - began < 20
 
 
+def test_many_languages_and_words_take_bounded_memory(monkeypatch):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    samples = {f"l{i:02}": [" ".join("".join(rng.choices(letters[i % 13 : i % 13 + 14], k=6)) for _ in range(200))] for i in range(60)}
+    model = language.fit(samples)
+    text = " ".join(w for i in range(300) for w in samples[f"l{i % 60:02}"][0].split())  # 60,000 words
+    monkeypatch.setattr(language, "CELLS", 1 << 18)
+    tracemalloc.start()
+    (_, _, spans), = model.label([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) > 250 and peak < 40 << 20  # words x languages alone would be 29 MB of doubles, words x languages x languages 216 MB of bytes
+
+
+def test_only_languages_of_the_scripts_are_scored():
+    rng = random.Random(14)
+    model = language.fit({k: [prose(rng, k, 400)] for k in LANGS})
+    of = lambda text: model.narrowed(language.lettered([text.encode()]).scripts()).languages
+    assert of("the avec") == ["xx", "yy"] and of("это дом") == ["zz"] and of("the дом") == ["xx", "yy", "zz"] and of("漢字") == ["xx", "yy", "zz"]
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = lambda: ". ".join(prose(rng, "xx", 12).capitalize() for _ in range(rng.randint(1, 8)))
