@@ -206,21 +206,65 @@ def fixed_budget(records: DataFrame, table: DataFrame) -> DataFrame:
     return _decisions(_online(rows.withColumns({"escalations": F.lit(0), "reason": F.lit("fixed_budget")}), cascade=False))
 
 
+def by_sample(records: DataFrame) -> DataFrame:
+    """(sample_id, split, cells, dense_cells): the records of a sample as arrays, one entry a method and budget, with one entry an intervention.
+
+    A sample has a handful of cells. One shuffle by sample, whatever is asked of the arrays afterwards.
+    """
+    entry = F.struct("intervention", "vem", "dense_vem", "reliance_retention", "is_correct", "cost")
+    placed = records.repartition("sample_id", "split")
+    cells = placed.groupBy("sample_id", "split", "method", "budget").agg(F.first("budget_ord").alias("budget_ord"), F.collect_list(entry).alias("entries"))
+    rows = cells.groupBy("sample_id", "split").agg(F.collect_list(F.struct("budget_ord", "method", "entries")).alias("all"))
+    dense = lambda c: c["method"] == "dense"
+    return rows.select("sample_id", "split", F.filter("all", lambda c: ~dense(c)).alias("cells"), F.filter("all", dense).alias("dense_cells"))
+
+
+def _decided(tau: Column, rho: Column, dense_vem_min: Column, reliance: Column, methods: Column, interventions: Column) -> Column:
+    """struct(accepted, is_correct, cost) of the decision of one setting over the arrays of :func:`by_sample`; null if there is none."""
+    bound = F.greatest(dense_vem_min, tau)
+    allowed = lambda e: interventions.isNull() | F.array_contains(interventions, e["intervention"])
+    entries = lambda cells: F.filter(F.flatten(F.transform(cells, lambda c: c["entries"])), allowed)
+    reaches = lambda e: ~reliance | (e["is_correct"] & (e["vem"] >= bound))
+    of_dense = entries(F.col("dense_cells"))
+    from_dense = F.transform(F.filter(of_dense, lambda e: F.coalesce(reaches(e), F.lit(False))), lambda e: e["intervention"])
+    from_all = F.transform(F.filter(entries(F.col("cells")), lambda e: e["dense_vem"].isNull() | (e["dense_vem"] >= bound)), lambda e: e["intervention"])
+    eligible = F.array_distinct(F.when(F.size(of_dense) > 0, from_dense).otherwise(from_all))
+
+    def summed(cell: Column, eligible: Column) -> Column:
+        mine = F.filter(cell["entries"], lambda e: F.array_contains(eligible, e["intervention"]))
+        return F.struct(
+            cell["budget_ord"].alias("budget_ord"), F.aggregate(mine, F.lit(0.0).cast("double"), lambda x, e: x + e["cost"]).alias("cost"), cell["method"].alias("method"),
+            F.forall(mine, lambda e: passes(e["vem"], e["reliance_retention"], tau, rho)).alias("passes"), F.forall(mine, lambda e: e["is_correct"]).alias("is_correct"),
+            F.size(F.array_distinct(F.transform(mine, lambda e: e["intervention"]))).alias("n"),
+        )
+
+    def chosen(eligible: Column) -> Column:
+        there = lambda cells: F.filter(F.transform(cells, lambda c: summed(c, eligible)), lambda c: c["n"] > 0)
+        fits = lambda c: (c["n"] == F.size(eligible)) & c["passes"] & (methods.isNull() | F.array_contains(methods, c["method"]))
+        best = F.array_min(F.filter(there(F.col("cells")), fits))
+        return F.coalesce(best, F.array_min(there(F.col("dense_cells"))))
+
+    # the eligible interventions are worked out once: as the one element of an array they are a variable
+    found = F.element_at(F.transform(F.array(eligible), chosen), 1)
+    return F.when(found.isNotNull(), F.struct(found["passes"].alias("accepted"), found["is_correct"].alias("is_correct"), found["cost"].alias("cost")))
+
+
 def calibration(records: DataFrame, table: DataFrame) -> DataFrame:
     """Per setting over the validation split: coverage, supported rate, accuracy, mean cost; and chosen for the best setting.
 
-    Best: largest coverage, then supported rate, then accuracy, then smallest cost; ties go to the first name.
+    Best: largest coverage, then supported rate, then accuracy, then smallest cost; ties go to the first name. Records are shuffled once, by sample, and
+    every setting is decided on a sample's arrays; what is shuffled per setting are sums of tasks. So a larger grid moves no more records.
     """
     validation = records.where(F.col("split") == "validation")
-    dense = F.count_distinct(F.when(F.col("method") == "dense", F.struct("sample_id", "split")))
-    samples = validation.agg(F.coalesce(F.nullif(dense, F.lit(0)), F.count_distinct("sample_id", "split")).alias("samples"))
-    scores = cheapest_supported(validation, table).groupBy("setting").agg(
-        F.count("*").alias("n"),
-        F.avg(F.col("accepted").cast("int")).alias("supported_rate"),
-        F.avg(F.col("is_correct").cast("int")).alias("accuracy"),
-        F.avg("cost").alias("mean_cost"),
-    )
-    scores = scores.crossJoin(F.broadcast(samples)).withColumn("coverage", F.col("n") / F.greatest("samples", F.lit(1)))  # one row
+    samples = by_sample(validation)
+    rows = samples.crossJoin(F.broadcast(table))  # the table's size is checked where it is made
+    rows = rows.withColumn("decision", _decided(*(F.col(c) for c in ("tau", "rho", "dense_vem_min", "require_reliance", "methods", "interventions"))))
+    has_dense = F.size("dense_cells") > 0
+    sums = rows.groupBy("setting").agg(
+        F.count("decision").alias("n"), F.avg(F.col("decision.accepted").cast("int")).alias("supported_rate"), F.avg(F.col("decision.is_correct").cast("int")).alias("accuracy"),
+        F.avg("decision.cost").alias("mean_cost"), F.coalesce(F.nullif(F.count_if(has_dense), F.lit(0)), F.count("*")).alias("samples"),
+    )
+    scores = sums.where("n > 0").withColumn("coverage", F.col("n") / F.greatest("samples", F.lit(1)))
     # the mean is rounded, so that the order doesn't hang on how a sum was added up
     best = Window.orderBy(F.desc("coverage"), F.desc("supported_rate"), F.desc("accuracy"), F.round("mean_cost", 6), "setting")
     return scores.drop("samples").withColumn("chosen", F.row_number().over(best) == 1)

@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions.numbers import r6
 from brindle.operators import integrity, selection
+from brindle.plans import resumable
+from brindle.sources import store
 from brindle.sources.adapters import view, with_views
+from brindle.sources.folders import fresh_folder, written
+from brindle.sources.readers import RECORD_KEY
 
 _R, _S, _C = with_views("eval_records"), with_views("samples"), with_views("calls")
 GRID = {"dense": ["full"], "topk": ["64", "128"], "cover": ["64", "128"]}
@@ -37,6 +41,31 @@ _CENTERS_SQL = """WITH t AS (SELECT * FROM (VALUES (16, 4), (16, 1), (576, 64),
   SELECT n, keep, string_agg(i, ',' ORDER BY i) AS kept FROM r WHERE k <= keep GROUP BY n, keep"""
 
 
+def _resumed(s, sf):
+    """A run that is stopped after three cells and goes on: its log, with what the cells hold."""
+    records = written(view(s, sf, "eval_records").select(*RECORD_KEY, "vem"), "resumable-records")
+
+    def evaluate(cell, dense):
+        mine = records.where((F.col("method") == cell.method) & (F.col("budget") == cell.budget))
+        if dense is None:
+            return mine.withColumn("dense_vem", F.col("vem"))
+        return mine.join(dense.select("sample_id", "intervention", F.col("vem").alias("dense_vem")), ["sample_id", "intervention"], "left")
+
+    root, planned = store.join(fresh_folder(s, "resumable"), "run"), resumable.cells(*RESUMED)
+    resumable.run_grid(s, root, {"cells": RESUMED}, planned, evaluate, at_most=3)
+    run = resumable.run_grid(s, root, {"cells": RESUMED}, planned, evaluate)
+    log = s.createDataFrame([(e["method"], e["budget"], e["started"], e["n"]) for e in run.log().values()], "method string, budget string, started int, n bigint")
+    held = run.records().groupBy("method", "budget").agg(F.count_distinct("sample_id").alias("samples"), F.count("dense_vem").alias("n_dense"), r6(F.sum("vem")).alias("vem"), r6(F.sum("dense_vem")).alias("dense_vem"))
+    return log.join(held, ["method", "budget"], "left")
+
+
+RESUMED = (["topk", "cover"], ["64", "128"])
+_RESUMED_SQL = f"""{with_views("eval_records")}, d AS (SELECT sample_id, intervention, vem AS dense_vem FROM eval_records WHERE method = 'dense')
+  SELECT r.method, r.budget, CASE WHEN r.method IN ('dense', 'topk') THEN 1 ELSE 2 END::INT AS started, count(*) AS n, count(DISTINCT r.sample_id) AS samples, count(d.dense_vem) AS n_dense,
+         round(sum(r.vem) + 1e-9, 6) AS vem, round(sum(d.dense_vem) + 1e-9, 6) AS dense_vem
+  FROM (SELECT sample_id, method, budget, intervention, vem FROM eval_records WHERE method = 'dense' OR budget IN ('64', '128')) r LEFT JOIN d USING (sample_id, intervention) GROUP BY ALL"""
+
+
 def _scores(s, sf):
     rows = view(s, sf, "samples").select("sample_id", F.array(F.lit("yes"), F.lit("no")).alias("options"), F.when(F.col("sample_id") % 2 == 0, "yes").otherwise("no").alias("answer"), F.lit("topk").alias("method"), F.lit("64").alias("budget"), F.lit("blur").alias("intervention"), (F.col("sample_id") % 10 / 40.0).alias("signal"))
     return selection.synthetic_scores(rows).select("sample_id", "answer_given", r6("logprob").alias("logprob"), r6("confidence").alias("confidence"), r6("latency_ms").alias("latency_ms"))
@@ -49,6 +78,7 @@ _SCORES_SQL = f"""{_S}, x AS (SELECT sample_id, o.i AS i, o.t AS t, CASE WHEN sa
   SELECT sample_id, answer_given, round(lp + 1e-9, 6) AS logprob, round(exp(lp) + 1e-9, 6) AS confidence, round(2.0 + 0.08 * 64 + 1e-9, 6) AS latency_ms FROM l"""
 
 QUERIES = {
+    "resumed_run": (_resumed, _RESUMED_SQL),
     "grid_completeness": (
         lambda s, sf: integrity.grid_gaps(view(s, sf, "eval_records"), GRID),
         f"""{_R} SELECT sample_id, count(DISTINCT intervention) AS interventions, count(DISTINCT (method, budget, intervention)) AS present, count(DISTINCT intervention) * 5 AS expected FROM eval_records

@@ -45,7 +45,8 @@ def _settings_sql(rows: list[dict]) -> str:
 
 def _candidates_sql(rows: list[dict], where: str) -> str:
     """CTEs up to ``ag``: a row per setting, sample, method and budget over eligible interventions."""
-    return f"""{with_views("eval_records")}, settings AS ({_settings_sql(rows)}),
+    records = with_views("eval_records").replace("_records AS (", "_records AS MATERIALIZED (")
+    return f"""{records}, settings AS ({_settings_sql(rows)}),
     e AS MATERIALIZED (SELECT s.*, r.* FROM eval_records r CROSS JOIN settings s
           WHERE ({where}) AND (s.interventions IS NULL OR list_contains(s.interventions, r.intervention))),
     hd AS (SELECT setting, sample_id, split, bool_or(method = 'dense') AS has_dense FROM e GROUP BY ALL),
@@ -62,8 +63,8 @@ def _candidates_sql(rows: list[dict], where: str) -> str:
                   arg_min(answer, intervention) AS answer, arg_min(gold_answer, intervention) AS gold_answer, arg_min(token_count, intervention) AS token_count
            FROM e JOIN el USING (setting, sample_id, split, intervention) JOIN ne USING (setting, sample_id, split)
            GROUP BY setting, sample_id, split, method, budget),
-    dn AS (SELECT * FROM ag WHERE method = 'dense'),
-    cand AS (SELECT * FROM ag WHERE method <> 'dense' AND covers AND (methods IS NULL OR list_contains(methods, method)))"""
+    dn AS MATERIALIZED (SELECT * FROM ag WHERE method = 'dense'),
+    cand AS MATERIALIZED (SELECT * FROM ag WHERE method <> 'dense' AND covers AND (methods IS NULL OR list_contains(methods, method)))"""
 
 
 _SELECT_DECISION = """SELECT c.setting, c.sample_id, c.split, c.dataset, c.method AS selected_method, c.budget AS selected_budget, c.passes AS accepted,
@@ -84,7 +85,7 @@ def _decisions_sql(rows: list[dict], kind: str = "cheapest", where: str = "r.spl
     decision = _SELECT_DECISION.format(online=", ".join(f"{x} AS {policy.ONLINE[c]}" for c, x in ends.items()))
     if kind == "fixed":
         chosen = f"SELECT {names} FROM (SELECT *, 0::BIGINT AS escalations, 'fixed_budget' AS reason FROM ag WHERE covers AND method = fixed_method AND budget = fixed_budget)"
-        return f"{head}, chosen AS ({chosen}), dec AS ({decision})"
+        return f"{head}, chosen AS MATERIALIZED ({chosen}), dec AS ({decision})"
     key = "c.setting = o.setting AND c.sample_id = o.sample_id AND c.split = o.split"
     if kind == "cheapest":
         head += f""", acc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, sample_id, split ORDER BY budget_ord, cost, method) AS rn
