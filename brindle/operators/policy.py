@@ -209,12 +209,13 @@ def fixed_budget(records: DataFrame, table: DataFrame) -> DataFrame:
 def by_sample(records: DataFrame) -> DataFrame:
     """(sample_id, split, cells, dense_cells): the records of a sample as arrays, one entry a method and budget, with one entry an intervention.
 
-    A sample has a handful of cells. One shuffle by sample, whatever is asked of the arrays afterwards.
+    A sample has a handful of cells. One shuffle by sample at most (none if the records lie by sample), whatever is asked of the arrays afterwards.
     """
-    entry = F.struct("intervention", "vem", "dense_vem", "reliance_retention", "is_correct", "cost")
-    placed = records.repartition("sample_id", "split")
-    cells = placed.groupBy("sample_id", "split", "method", "budget").agg(F.first("budget_ord").alias("budget_ord"), F.collect_list(entry).alias("entries"))
-    rows = cells.groupBy("sample_id", "split").agg(F.collect_list(F.struct("budget_ord", "method", "entries")).alias("all"))
+    names = ("method", "budget", "budget_ord", "intervention", "vem", "dense_vem", "reliance_retention", "is_correct", "cost")
+    rows = records.groupBy("sample_id", "split").agg(F.collect_list(F.struct(*names)).alias("entries"))
+    kinds = F.array_distinct(F.transform("entries", lambda e: F.struct(e["budget_ord"].alias("budget_ord"), e["method"].alias("method"), e["budget"].alias("budget"))))
+    of = lambda k: F.filter("entries", lambda e: (e["method"] == k["method"]) & (e["budget"] == k["budget"]))
+    rows = rows.withColumn("all", F.transform(kinds, lambda k: F.struct(k["budget_ord"].alias("budget_ord"), k["method"].alias("method"), of(k).alias("entries"))))
     dense = lambda c: c["method"] == "dense"
     return rows.select("sample_id", "split", F.filter("all", lambda c: ~dense(c)).alias("cells"), F.filter("all", dense).alias("dense_cells"))
 

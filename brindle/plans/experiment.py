@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from brindle.functions.answers import stable_seed
 from brindle.functions.numbers import budget_order
 from brindle.operators import policy, records, reports, safety, selection, stats, summary
-from brindle.sources import readers, writers
+from brindle.plans import resumable
+from brindle.sources import readers, store, writers
 from brindle.sources.folders import written
 
 DRAWS = 500
@@ -33,8 +33,11 @@ def _rows(df: DataFrame, most: int = 10_000) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
-def score_grid(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
-    """Records of a run with the synthetic scorer: every sample, intervention, method and budget, on the original and the changed input."""
+def score_grid(spark: SparkSession, config: dict[str, Any], cell: resumable.Cell | None = None, known_dense: DataFrame | None = None) -> DataFrame:
+    """Records of a run with the synthetic scorer: every sample, intervention, method and budget, on the original and the changed input.
+
+    ``cell``: of this one alone; a pruned cell takes its dense margins from ``known_dense``, the records of the dense one.
+    """
     spec, pruning, cost = config["dataset"], config["pruning"], config.get("cost", {})
     samples = readers.repair_options(readers.samples(spark, readers.resolve_path(config, spec["path"]), spec["name"], spec.get("limit")))
     if samples.isEmpty():
@@ -43,6 +46,7 @@ def score_grid(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     interventions = spark.createDataFrame([(s["name"], s["type"], s["applies_to"]) for s in specs], "intervention string, kind string, applies_to array<string>")
     dense = str(pruning.get("dense_budget", "full"))
     cells = [("dense", dense)] + [(m, str(b)) for m in pruning.get("methods", []) for b in pruning["budget_schedule"]]
+    cells = [(cell.method, cell.budget)] if cell else cells
     grid = selection.run_grid(samples, interventions, spark.createDataFrame(cells, "method string, budget string"))
     grid = grid.where((F.col("kind") != "counterfactual") | F.col("counterfactual_image_path").isNotNull()).drop("kind")
     tokens, seed = int(cost.get("dense_token_count") or 64), int(config.get("seed", 0))
@@ -58,7 +62,11 @@ def score_grid(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     if cost.get("base_ms") is not None:  # a run may state what calls take
         ms = float(cost["base_ms"]) + float(cost.get("per_token_ms", 1.0)) * F.col("token_count")
         pairs = pairs.withColumns({"original_latency_ms": ms, "intervened_latency_ms": F.lit(0.0)})
-    made = records.with_dense(records.evaluate(pairs, float(cost.get("dollar_per_1k_ms", 0.0)), float(cost.get("energy_joule_per_ms", 0.0))))
+    scored = records.evaluate(pairs, float(cost.get("dollar_per_1k_ms", 0.0)), float(cost.get("energy_joule_per_ms", 0.0)))
+    if known_dense is not None:
+        scored = scored.unionByName(known_dense.select("sample_id", "method", "budget", "intervention", "vem"), allowMissingColumns=True)
+    made = records.with_dense(scored)
+    made = made.where(F.col("method") == cell.method) if cell else made
     return made.select(
         "sample_id", "split", "dataset", "method", "budget", "intervention", F.col("original_answer").alias("answer"), "gold_answer", "is_correct", F.col("original_logprob").alias("logprob_original"),
         F.col("intervened_logprob").alias("logprob_intervened"), F.col("original_confidence").alias("confidence"), "vem", "dense_vem", "reliance_retention", "delta_vem", "shortcut_persistence", "latency_ms",
@@ -81,9 +89,7 @@ def analyze(spark: SparkSession, config: dict[str, Any], recs: DataFrame, out_di
 
     Tables of a row per record or decision are written by Spark; reports have a row per policy, dataset or budget.
     """
-    root = Path(out_dir)
-    root.mkdir(parents=True, exist_ok=True)
-    paths = {k: str(root / v) for k, v in ARTIFACTS.items()}
+    paths = {k: store.join(out_dir, v) for k, v in ARTIFACTS.items()}
     pruning, test_split = config["pruning"], config["dataset"].get("test_split", "test")
     methods, schedule = [str(m) for m in pruning.get("methods", [])], [str(b) for b in pruning.get("budget_schedule") or [pruning.get("dense_budget", "full")]]
     known = written(recs.withColumns({"budget_ord": budget_order(F.col("budget")), "split": F.when(F.col("split") == test_split, "test").otherwise(F.col("split"))}), "run-records")
@@ -126,23 +132,34 @@ def analyze(spark: SparkSession, config: dict[str, Any], recs: DataFrame, out_di
     compared = {r["setting"]: {k: v for k, v in r.items() if k != "setting"} for r in _rows(comparison)}
     (claimed,) = _rows(reports.claims(comparison, audit, aggressive, policies.get(aggressive, "")))
     sentences = claimed.pop("sentences").split("\n")
-    writers.write_json({"run_name": config["run_name"], "thresholds": at, "policy": compared.get(main, {}), "baselines": compared}, paths["decision_summary_json"])
-    writers.write_json({"policy": compared.get(main, {}), "dense_only": compared.get("dense_only", {}), "fixed_aggressive_reference_key": aggressive, "fixed_aggressive_reference": compared.get(aggressive, {}), "claim_deltas": claimed}, paths["resource_summary_json"])
-    writers.write_json({"run_name": config["run_name"], "thresholds": at, "claim_deltas": claimed, "claim_sentences": sentences, "dense_reliance_audit": _rows(audit.where("dataset = '_all'"))}, paths["claims_json"])
-    writers.write_json(_rows(summary.qualitative_top(known)), paths["qualitative_json"])
+    writers.put_json(spark, {"run_name": config["run_name"], "thresholds": at, "policy": compared.get(main, {}), "baselines": compared}, paths["decision_summary_json"])
+    writers.put_json(spark, {"policy": compared.get(main, {}), "dense_only": compared.get("dense_only", {}), "fixed_aggressive_reference_key": aggressive, "fixed_aggressive_reference": compared.get(aggressive, {}), "claim_deltas": claimed}, paths["resource_summary_json"])
+    writers.put_json(spark, {"run_name": config["run_name"], "thresholds": at, "claim_deltas": claimed, "claim_sentences": sentences, "dense_reliance_audit": _rows(audit.where("dataset = '_all'"))}, paths["claims_json"])
+    writers.put_json(spark, _rows(summary.qualitative_top(known)), paths["qualitative_json"])
     first = config["interventions"][0]["name"]
-    Path(paths["frontier_svg"]).write_text(writers.frontier_svg(_rows(by_cell.where(F.col("intervention") == first)), f"{config['run_name']}: latency and retention"), encoding="utf-8")
+    store.write_bytes(spark, paths["frontier_svg"], writers.frontier_svg(_rows(by_cell.where(F.col("intervention") == first)), f"{config['run_name']}: latency and retention").encode())
     table = writers.markdown_table(reports.comparison_table(comparison, policies).orderBy("place", "policy"), ["label", "n", *reports.PERCENT, "mean_token_count"])
-    Path(paths["report_md"]).write_text(f"# {config['run_name']}\n\n" + "\n".join(f"* {s}" for s in sentences) + f"\n\n{table}\n", encoding="utf-8")
+    store.write_bytes(spark, paths["report_md"], (f"# {config['run_name']}\n\n" + "\n".join(f"* {s}" for s in sentences) + f"\n\n{table}\n").encode())
     return {"n_decisions": decisions.count(), "thresholds": at, "decision_summary": compared.get(main, {}), "artifacts": paths}
 
 
-def run(spark: SparkSession, config: dict[str, Any]) -> dict[str, Any]:
-    """Scores a run's grid and analyses its records. Only the synthetic scorer is built in; others make records of their own for :func:`analyze`."""
+def resumed_scores(spark: SparkSession, config: dict[str, Any], folder: str, at_most: int | None = None) -> resumable.Run:
+    """Scores a run's grid cell by cell in a folder that says which cells are finished; after a stop it goes on where it was."""
+    pruning = config["pruning"]
+    planned = resumable.cells(pruning.get("methods", []), pruning.get("budget_schedule", []), str(pruning.get("dense_budget", "full")))
+    plan = {k: v for k, v in config.items() if not k.startswith("_") and k not in ("analysis", "outputs", "policy")}
+    return resumable.run_grid(spark, folder, plan, planned, lambda cell, dense: score_grid(spark, config, cell, dense), at_most)
+
+
+def run(spark: SparkSession, config: dict[str, Any], resume: bool = False) -> dict[str, Any]:
+    """Scores a run's grid and analyses its records. Only the synthetic scorer is built in; others make records of their own for :func:`analyze`.
+
+    ``resume``: the grid is scored cell by cell beside the artifacts, and cells that are finished there are taken as they are.
+    """
     if (name := config["backend"]["name"]) != "deterministic":
         raise ValueError(f"the scorer {name!r} isn't built in; write records with it and analyse those")
     out = readers.resolve_path(config, config["outputs"]["dir"])
-    recs = written(score_grid(spark, config), "run-scores")
+    recs = resumed_scores(spark, config, store.join(out, "grid")).records() if resume else written(score_grid(spark, config), "run-scores")
     return {"run_name": config["run_name"], "output_dir": out, "n_records": recs.count(), **analyze(spark, config, recs, out)}
 
 

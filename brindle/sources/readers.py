@@ -13,6 +13,7 @@ from pyspark.sql.types import MapType
 from brindle.functions.answers import first_text, hash_split, lettered_options, literal_first, option_letters, repaired_options
 from brindle.operators.controller import FORBIDDEN
 from brindle.operators.integrity import demand_empty, duplicates
+from brindle.sources import store
 from brindle.sources.writers import write_jsonl
 
 SAMPLE = "sample_id string, id string, split string, dataset string, image_path string, question string, answer string, options array<string>, counterfactual_image_path string, metadata string"
@@ -221,12 +222,15 @@ def source_groups(rows: DataFrame, content: str = "sha256") -> DataFrame:
     return rows.withColumn("source_group", F.concat_ws("::", "dataset", content))
 
 
-def load_config(path: str) -> dict[str, Any]:
-    """A run's configuration, with where it came from and the folder that its paths start at."""
+def load_config(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A run's configuration, with where it came from and the folder that its paths start at; from a store by its URI if ``spark`` is given."""
+    if spark is not None and "://" in path:
+        folder = path.rsplit("/", 2)[0]
+        return json.loads(store.read_bytes(spark, path)) | {"_config_path": path, "_root_dir": folder}
     file = Path(path).resolve()
     return json.loads(file.read_text(encoding="utf-8")) | {"_config_path": str(file), "_root_dir": str(file.parent.parent)}
 
 
 def resolve_path(config: dict[str, Any], path: str) -> str:
-    return path if Path(path).is_absolute() else str(Path(config["_root_dir"]) / path)
-
+    """A path of a configuration: URIs and absolute ones as they are, others below its root, which may be a URI."""
+    return path if store.is_absolute(path) else store.join(config["_root_dir"], path)

@@ -9,9 +9,11 @@ from pathlib import Path
 from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources import store
+
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines with sorted fields; nulls are kept. An existing folder is an error unless it is to be overwritten."""
@@ -41,6 +43,13 @@ def write_json(value: Any, path: str, sidecar: bool = False) -> str:
     return digest
 
 
+def put_json(spark: SparkSession, value: Any, path: str) -> str:
+    """As :func:`write_json`, to any store that Spark reaches."""
+    raw = canonical_json(value)
+    store.write_bytes(spark, path, raw)
+    return hashlib.sha256(raw).hexdigest()
+
+
 def fresh_directory(path: str) -> Path:
     """A new folder; one that exists is never written over."""
     made = Path(path)
