@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.answers import DATASETS, KEYWORDS
 from brindle.functions.numbers import dot, sigmoid, standardize
 from brindle.operators.stats import grid_threshold, ranking_quality
+from brindle.sources.folders import written
 
 #: Names of the features, in order, and the rule of choice.
 FEATURE_NAMES = (
@@ -29,8 +32,8 @@ FORBIDDEN = frozenset(
     }
 )
 STEPS, RATE, PENALTY, FLOOR = 1600, 0.08, 0.03, 1e-8
-#: Most training rows of a cell: a fit holds its cell in one task.
-MOST_ROWS = 2_000_000
+#: Distinct training rows up to which a cell is fitted in one task; tasks share the steps of larger ones.
+MOST_ROWS = 500_000
 
 
 def check_artifact(artifact: dict) -> dict:
@@ -102,15 +105,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float =
 def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY) -> DataFrame:
     """Per cell: weights, means, scales (sample deviation, at least 1e-8) of a logistic model of ``safe`` by ``features``.
 
-    One label alone gives the smoothed prior as the intercept. Rows of equal features and label are counted before they move, so
-    a cell's task holds its distinct rows only: features are counts and flags, of which there are few. Above
-    ``MOST_ROWS`` distinct rows the fit stops with an error instead of dropping any.
+    One label alone gives the smoothed prior as the intercept. Rows of equal features and label are counted before they move: features are counts and
+    flags, of which there are few. A cell of up to ``MOST_ROWS`` distinct rows is fitted in one task; of larger ones each task works out
+    the gradient over its own rows in every step, for all these cells at once, and the sums come to the driver (:func:`shared_descent`). The result is the same.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"a cell of {len(pdf)} distinct rows; at most {MOST_ROWS} are fitted at once")
         x, y, times = np.array([list(f) for f in pdf["features"]], float).reshape(len(pdf), -1), pdf["safe"].to_numpy().astype(float), pdf["times"].to_numpy().astype(float)
         # the order of rows must not decide the last digits
         order = np.lexsort((y, *x.T))
@@ -126,8 +127,73 @@ def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PE
         return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [int(n)], "weights": [w], "means": [means], "scales": [scales]})
 
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n bigint, weights array<double>, means array<double>, scales array<double>"
-    counted = rows.groupBy(*by, "features", F.col("safe").cast("int").alias("safe")).agg(F.count("*").alias("times"))
-    return counted.groupBy(*by).applyInPandas(fit, schema)
+    counted = written(rows.groupBy(*by, "features", F.col("safe").cast("int").alias("safe")).agg(F.count("*").alias("times")), "descent-rows")
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("distinct"))
+    large = [tuple(r[b] for b in by) for r in sizes.where(F.col("distinct") > MOST_ROWS).collect()]  # cells are few, large ones fewer
+    if not large:
+        return counted.groupBy(*by).applyInPandas(fit, schema)
+    of = F.lit(None).cast("int")
+    for i, key in enumerate(large):
+        here = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.lit(v)) for b, v in zip(by, key, strict=True)], F.lit(True))
+        of = F.when(here, i).otherwise(of)
+    marked = counted.withColumn("_large", of)
+    small = marked.where("_large is null").drop("_large").groupBy(*by).applyInPandas(fit, schema)
+    fitted = shared_descent(marked.where("_large is not null").select(F.col("_large").alias("cell"), "features", "safe", "times"), len(large), steps, penalty=penalty)
+    made = [(*key, int(n), *(v.tolist() for v in vectors)) for key, (n, *vectors) in zip(large, fitted, strict=True)]
+    return small.unionByName(rows.sparkSession.createDataFrame(made, schema))
+
+
+def shared_descent(rows: DataFrame, cells: int, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, weights, means, scales) of cells 0 to ``cells`` - 1 of a table (cell, features, safe, times), by as many steps as :func:`fit_logistic` takes.
+
+    A step is one narrow pass over the cached rows: a task sends a vector of sums for each cell that it holds rows of, these are added up, and the driver gets
+    one vector a cell. A lost executor's rows are read again from their table.
+    """
+    width = rows.select(F.size("features")).first()[0]
+    held = rows.persist()
+
+    def total(vectors) -> np.ndarray:
+        """The sum over rows, by cell, of ``vectors(cell, features, safe, times)``: an array rows x any width."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cell, safe, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, width)
+                for c in np.unique(cell):
+                    mine = cell == c
+                    sums[int(c)] = sums.get(int(c), 0.0) + vectors(int(c), x[mine], safe[mine].astype(float), times[mine].astype(float)).sum(axis=0)
+            for c, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(v), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v, pa.float64())], ["cell", "place", "value"])
+
+        found = held.mapInArrow(run, "cell int, place int, value double").groupBy("cell", "place").agg(F.sum("value").alias("value")).collect()
+        out = np.zeros((cells, max(r["place"] for r in found) + 1))
+        for r in found:
+            out[r["cell"], r["place"]] = r["value"]
+        return out
+
+    one = total(lambda c, x, y, t: np.column_stack((t, y * t, x * t[:, None])))
+    n, positive, means = one[:, 0], one[:, 1], one[:, 2:] / one[:, [0]]
+    scales = np.maximum(np.sqrt(total(lambda c, x, y, t: np.column_stack((t, (x - means[c]) ** 2 * t[:, None])))[:, 1:] / np.maximum(1.0, n - 1)[:, None]), FLOOR)
+    w = np.zeros((cells, width + 1))
+
+    def gradient(c: int, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+        x = (x - means[c]) / scales[c]
+        z = w[c, 0] + x @ w[c, 1:]
+        e = np.exp(-np.abs(z))
+        error = (np.where(z >= 0, 1 / (1 + e), e / (1 + e)) - y) * t / n[c]
+        return np.column_stack((error, error[:, None] * x))
+
+    for _ in range(steps):
+        w = w - rate * (total(gradient) + penalty * np.concatenate((np.zeros((cells, 1)), w[:, 1:]), axis=1))
+    held.unpersist()
+    prior = (positive + 1) / (n + 2)
+    alone = (positive == 0) | (positive == n)  # one label: the prior
+    w[alone] = 0.0
+    w[alone, 0] = np.log(prior[alone] / (1 - prior[alone]))
+    return [(n[c], w[c], means[c], scales[c]) for c in range(cells)]
 
 
 def models_to_artifact(rows: Iterator, threshold: float) -> dict:

@@ -282,3 +282,19 @@ def test_generation_summary(spark):
     assert got.first_margin == pytest.approx(1.0) and got.first_entropy == pytest.approx(-(np.exp(lp[0]) * lp[0]).sum())
     empty = one(spark, selection.generation_summary(F.array().cast("array<array<double>>"), F.array().cast("array<int>")))
     assert empty.tokens == 0 and empty.mean_logprob is None and empty.first_margin is None
+
+
+def test_tasks_that_share_the_steps_fit_the_same_model(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells = {"a": 60, "b": 50, "c": 4}
+    rows = [(c, [float(v) for v in rng.integers(0, 9, 3)], bool(rng.random() < 0.6)) for c, n in cells.items() for _ in range(n)]
+    rows += [("only", [float(i), 1.0, 0.0], True) for i in range(40)] + [(None, [float(i), 1.0, 2.0], i % 3 == 0) for i in range(40)] + rows[:7]
+    df = spark.createDataFrame(rows, "cell string, features array<double>, safe boolean").repartition(5)
+    want = {r.cell: r for r in controller.fit_cells(df, "cell", steps=12).collect()}
+    monkeypatch.setattr(controller, "MOST_ROWS", 20)
+    got = {r.cell: r for r in controller.fit_cells(df, "cell", steps=12).collect()}
+    assert got.keys() == want.keys() == {"a", "b", "c", "only", None}
+    for cell, r in want.items():
+        assert got[cell].n == r.n
+        for name in ("weights", "means", "scales"):
+            assert got[cell][name] == pytest.approx(r[name], abs=1e-9), (cell, name)
