@@ -30,11 +30,13 @@ def _grid(s, sf):
 
 
 def _centers(s, sf):
-    rows = s.createDataFrame([(16, 4), (16, 1), (576, 64), (10, 4), (9, 9)], "n int, keep int")
+    # of square grids and of rows of tokens, as many as a part's key says
+    n = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") * F.col("p_size")).otherwise(F.col("p_size")).cast("int")
+    rows = view(s, sf, "part").select(n.alias("n"), F.least(n, (1 + F.col("p_partkey") % 40).cast("int")).alias("keep")).distinct()
     return rows.select("n", "keep", F.array_join(F.transform(selection.center_indices(F.col("n"), F.col("keep")), lambda i: i.cast("string")), ",").alias("kept"))
 
 
-_CENTERS_SQL = """WITH t AS (SELECT * FROM (VALUES (16, 4), (16, 1), (576, 64), (10, 4), (9, 9)) AS v(n, keep)),
+_CENTERS_SQL = """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size * p_size ELSE p_size END::INT AS n FROM part), t AS (SELECT DISTINCT n, least(n, (1 + p_partkey % 40)::INT) AS keep FROM p),
   c AS (SELECT n, keep, i, round(sqrt(n))::INT AS g FROM t, unnest(range(n)) AS u(i)),
   r AS (SELECT *, row_number() OVER (PARTITION BY n, keep ORDER BY CASE WHEN g * g = n THEN pow(i // g - (g - 1) / 2, 2) + pow(i % g - (g - 1) / 2, 2)
         ELSE CASE WHEN i >= (n - keep) // 2 THEN i ELSE i + n END END, i) AS k FROM c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions.answers import question_key, stable_hash, stable_seed
+from brindle.functions.answers import hash_split, question_key, stable_hash, stable_seed
 from brindle.operators import groups, summary
 from brindle.sources.adapters import view, with_views
 
@@ -76,7 +76,7 @@ QUERIES = {
         f"{_S} SELECT sample_id, dataset, category FROM (SELECT *, row_number() OVER (PARTITION BY dataset, category ORDER BY {_hash(f'{SEED}', 'dataset', 'category', 'sample_id')}, sample_id) AS r FROM samples) WHERE r <= 5",
     ),
     "split_by_hash": (
-        lambda s, sf: _samples(s, sf).select("sample_id", stable_seed(F.lit(SEED), F.col("sample_id")).alias("seed")).withColumn("split", F.when(F.col("seed") / F.lit(4294967295.0) < 0.2, "validation").otherwise("test")),
+        lambda s, sf: _samples(s, sf).select("sample_id", stable_seed(F.lit(SEED), F.col("sample_id")).alias("seed")).withColumn("split", hash_split(0.2, F.lit(SEED), F.col("sample_id"))),
         f"{_S} SELECT sample_id, seed, CASE WHEN seed / 4294967295.0 < 0.2 THEN 'validation' ELSE 'test' END AS split FROM (SELECT sample_id, ('0x' || substr({_hash(f'{SEED}', 'sample_id')}, 1, 8))::BIGINT AS seed FROM samples)",
     ),
     "round_robin_strata": (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,7 +33,9 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "sampl
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates([key])
+        # of rows of one key in a batch the first by all its columns stays, whatever order they came in
+        first = Window.partitionBy(key).orderBy(*(F.to_json(F.struct(c)) for c in sorted(batch.columns)))
+        new = batch.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
         try:
             there = batch.sparkSession.read.parquet(path).select(key)
         except AnalysisException:  # nothing is there yet
