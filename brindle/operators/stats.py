@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions.numbers import r6, ratio, wilson_upper
+from brindle.operators.prefixes import before, exact_quantiles
 from brindle.sources.folders import written
 
 
@@ -36,7 +37,7 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def ranking_quality(rows: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """AUROC with average ranks for ties (null for one class), Brier score, log loss (clipped at 1e-15).
 
-    Ties are counted per score first, so ranks come from running sums over distinct scores.
+    Ties are counted per score first, so ranks come from sums over the distinct scores before; those of a group lie over as many ranges as they need.
     """
     y, p = F.col(label).cast("double"), F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = rows.groupBy(*by).agg(
@@ -44,8 +45,8 @@ def ranking_quality(rows: DataFrame, label: str, score: str, *by: str) -> DataFr
         r6(-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
     )
     ties = rows.groupBy(*by, score).agg(F.count("*").alias("t"), F.sum(y).alias("k"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    placed = before(ties, list(by), [F.col(score)], lower=("sum", "t"))
+    ranked = placed.withColumn("rank", F.coalesce("lower", F.lit(0)) + (F.col("t") + 1) / 2)
     ranks = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("k")).alias("ranks"))
     both = loss.join(ranks, list(by)) if by else loss.crossJoin(F.broadcast(ranks))  # one row each
     k, m = F.col("ones"), F.col("n") - F.col("ones")
@@ -200,10 +201,7 @@ def reduction_bootstrap(pairs: DataFrame, spent: str, reference: str, key: str,
 
 def lower_quantile(values: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """(by, lower): the entry at place int(q (n - 1)) of a group's sorted values, from counts of distinct values and running sums."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"_to": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy(*by))})
-    return placed.where(F.col("_to") > F.floor(F.lit(q) * (F.col("_all") - 1))).groupBy(*by).agg(F.min(value).alias("lower"))
+    return exact_quantiles(values, value, {"lower": q}, *by, lower=("lower",))
 
 
 def running_sums(rows: DataFrame, order: Column, value: str, columns: tuple[str, ...]) -> DataFrame:
@@ -271,12 +269,11 @@ def risk_bounded_threshold(rows: DataFrame, budgets: tuple[int, ...], dense_toke
 def pareto_front(points: DataFrame, gain: str, cost: str, *by: str) -> DataFrame:
     """Points with ``efficient``: no other has at least the gain for at most the cost and is better in one.
 
-    By order of cost with a running maximum, instead of a join of all with all.
+    By order of cost with the maximum before, carried from range to range, instead of a join of all with all.
     """
     # a row per distinct cost of a group, whatever the table's size
     best = points.groupBy(*by, cost).agg(F.max(gain).alias("_best"))
-    cheaper = Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_before", F.max("_best").over(cheaper))
+    best = before(best, list(by), [F.col(cost)], _before=("max", "_best"))
     joined = points.join(best, [*by, cost])
     return joined.withColumn("efficient", (F.col(gain) == F.col("_best")) & (F.col("_before").isNull() | (F.col(gain) > F.col("_before")))).drop("_best", "_before")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import answers as A
 from brindle.functions.numbers import r6, wilson_interval, wilson_upper
 from brindle.operators import controller, safety, stats
+from brindle.operators.prefixes import exact_quantiles
 from brindle.sources.adapters import view, with_views
 
 _R, _L, _S = with_views("eval_records"), with_views("labels_by_budget"), with_views("samples")
@@ -166,7 +167,8 @@ def _pareto(s, sf):
 
 
 def _quantiles(s, sf):
-    return view(s, sf, "eval_records").groupBy("method", "budget").agg(r6(F.percentile("cost", 0.9)).alias("linear"), r6(F.median("cost")).alias("middle")).join(stats.lower_quantile(view(s, sf, "eval_records"), "cost", 0.9, "method", "budget").withColumn("lower", r6("lower")), ["method", "budget"])
+    found = exact_quantiles(view(s, sf, "eval_records"), "cost", {"linear": 0.9, "lower": 0.9, "middle": 0.5}, "method", "budget", lower=("lower",))
+    return found.select("method", "budget", *(r6(c).alias(c) for c in ("linear", "lower", "middle")))
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import answers as A
 from brindle.functions import numbers as N
-from brindle.operators import controller, energy, graph, groups, integrity, ledger, safety, selection, stats
+from brindle.operators import controller, energy, graph, groups, integrity, ledger, prefixes, safety, selection, stats
 
 
 def one(spark, column):
@@ -298,3 +298,29 @@ def test_tasks_that_share_the_steps_fit_the_same_model(spark, monkeypatch):
         assert got[cell].n == r.n
         for name in ("weights", "means", "scales"):
             assert got[cell][name] == pytest.approx(r[name], abs=1e-9), (cell, name)
+
+
+def test_prefixes_are_carried_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    # one group holds most rows, one is null, one has a single row
+    given = [(g, float(v), int(w)) for g, n in (("hot", 400), (None, 30), ("one", 1)) for v, w in zip(rng.permutation(n), rng.integers(-5, 9, n), strict=True)]
+    df = spark.createDataFrame(given, "g string, v double, w int")
+    got = {(r.g, r.v): (r.total, r.most, r.least) for r in prefixes.before(df, ["g"], [F.col("v")], ranges=7, total=("sum", "w"), most=("max", "w"), least=("min", "w")).collect()}
+    assert len(got) == len(given)
+    for g in ("hot", None, "one"):
+        mine = sorted((v, w) for x, v, w in given if x == g)
+        for i, (v, _) in enumerate(mine):
+            past = [w for _, w in mine[:i]]
+            assert got[g, v] == ((sum(past), max(past), min(past)) if past else (None, None, None))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    groups_ = {"a": rng.integers(0, 20, 301).astype(float), "b": rng.random(50), "c": np.array([2.5])}
+    rows = [(g, float(v)) for g, vs in groups_.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r for r in prefixes.exact_quantiles(df, "v", {"x": 0.9, "m": 0.5, "low": 0.9}, "g", lower=("low",)).collect()}
+    assert got.keys() == groups_.keys()
+    for g, vs in groups_.items():
+        assert got[g].x == pytest.approx(np.quantile(vs, 0.9)) and got[g].m == pytest.approx(np.median(vs)) and got[g].low == np.sort(vs)[int(0.9 * (len(vs) - 1))]
+    assert prefixes.exact_quantiles(df, "v", {"m": 0.5}).first().m == pytest.approx(np.median(np.concatenate(list(groups_.values()))))
