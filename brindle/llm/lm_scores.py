@@ -27,7 +27,7 @@ from brindle.llm.words import Words, chunks, hash_words
 #: Rows whose crc32(doc_id as text) leaves this remainder modulo 7 are not learnt from.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text for each part of the model, about; tokens that a task counts before it passes them on; occurrences that make a first word hot.
-PART_BYTES, FLUSH, HOT = 16 << 20, 3_000_000, 500_000
+PART_BYTES, FLUSH, HOT = 12 << 20, 2_000_000, 500_000
 #: Stand for the begin of a text (only ever before a token) and for its end (only ever after one).
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Discounts of counts 1, 2 and more where too few counts occur to estimate them.
