@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.answers import stable_hash
 from brindle.operators.graph import SALTS, components, salted_totals
+from brindle.operators.prefixes import before
 from brindle.sources.folders import written
 
 
@@ -77,19 +78,32 @@ def balanced_allocation(capacity: dict[str, int], target: int) -> dict[str, int]
     return taken
 
 
-def allocate(rows: DataFrame, stratum: str, target: int) -> dict[str, int]:
-    """Balanced allocation over a table: its strata are counted there, one row each comes to the driver."""
-    return balanced_allocation({r[0]: r[1] for r in rows.groupBy(stratum).agg(F.count("*")).collect()}, target)
+def allocate(rows: DataFrame, stratum: str, target: int) -> DataFrame:
+    """(stratum, n): :func:`balanced_allocation` over a table with any number of strata.
 
-
-def stratified_take(rows: DataFrame, quota: dict[str, int], seed: int, key: str, stratum: str) -> DataFrame:
-    """Of each stratum as many rows as its quota, in hash order."""
-    if not quota:
-        return rows.limit(0)
-    allowed = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
+    A level is sought to which all strata are filled: by capacity in order, with the sum of those before, it is the first even share of what is left that the
+    stratum exceeds. Two numbers come to the driver, no stratum does.
+    """
+    caps = written(rows.groupBy(stratum).agg(F.count("*").alias("cap")), "capacities")
+    total, strata = caps.agg(F.coalesce(F.sum("cap"), F.lit(0)), F.count("*")).first()
+    if total < target:
+        raise ValueError(f"{target} rows are asked for, {total} are there")
+    placed = before(caps.withColumn("one", F.lit(1)), [], [F.col("cap"), F.col(stratum)], smaller=("sum", "cap"), nth=("sum", "one"))
+    share = F.floor((F.lit(target) - F.coalesce("smaller", F.lit(0))) / (F.lit(strata) - F.coalesce("nth", F.lit(0))))
+    level = placed.withColumn("share", share).where(F.col("cap") > F.col("share")).agg(F.min_by("share", F.coalesce("nth", F.lit(0)))).first()[0]
+    if level is None:  # all there is
+        return caps.select(stratum, F.col("cap").alias("n"))
+    filled = F.least(F.col("cap"), F.lit(level))
+    rest = target - caps.agg(F.sum(filled)).first()[0]
+    more = caps.where(F.col("cap") > level).orderBy(stratum).limit(rest).select(F.col(stratum).alias("_more"))
+    return caps.join(more, F.col(stratum).eqNullSafe(F.col("_more")) & F.col("_more").isNotNull(), "left").select(stratum, (filled + F.col("_more").isNotNull().cast("int")).alias("n"))
+
+
+def stratified_take(rows: DataFrame, quota: DataFrame, seed: int, key: str, stratum: str) -> DataFrame:
+    """Of each stratum as many rows as its quota (stratum, n), in hash order."""
     w = Window.partitionBy(stratum).orderBy(stable_hash(F.lit(seed), F.col(stratum), F.col(key)), key)
     ranked = rows.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= F.coalesce(F.try_element_at(allowed, F.col(stratum)), F.lit(0))).drop("rank")
+    return ranked.join(quota.select(stratum, F.col("n").alias("_quota")), stratum).where(F.col("rank") <= F.col("_quota")).drop("rank", "_quota")
 
 
 def fold_packing(sizes: dict[str, int], folds: int = 5) -> dict[str, int]:

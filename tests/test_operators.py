@@ -324,3 +324,14 @@ def test_exact_quantiles(spark):
     for g, vs in groups_.items():
         assert got[g].x == pytest.approx(np.quantile(vs, 0.9)) and got[g].m == pytest.approx(np.median(vs)) and got[g].low == np.sort(vs)[int(0.9 * (len(vs) - 1))]
     assert prefixes.exact_quantiles(df, "v", {"m": 0.5}).first().m == pytest.approx(np.median(np.concatenate(list(groups_.values()))))
+
+
+@pytest.mark.parametrize("caps", [{"a": 1, "b": 9, "c": 9}, {f"c{i:02}": 10 for i in range(18)}, {"x": 5, "y": 2, "z": 30, "w": 2, "v": 7}])
+def test_allocation_over_a_table_equals_the_plain_one(spark, caps):
+    df = spark.createDataFrame([(k, i) for k, n in caps.items() for i in range(n)], "s string, id int")
+    for target in {0, sum(caps.values()) // 2, sum(caps.values())}:
+        assert {r.s: r.n for r in groups.allocate(df, "s", target).collect()} == groups.balanced_allocation(caps, target), target
+    with pytest.raises(ValueError):
+        groups.allocate(df, "s", sum(caps.values()) + 1)
+    quota = groups.allocate(df, "s", 3)
+    assert groups.stratified_take(df, quota, 1, "id", "s").count() == 3
