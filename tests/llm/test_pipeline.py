@@ -56,7 +56,7 @@ def test_near_duplicates_without_an_id(spark):
 
 def test_registered_queries(spark):
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert not set(queries.oracle_sql()) - set(names)
 
 
