@@ -67,8 +67,10 @@ def check_columns(df: DataFrame, required: tuple[str, ...] = (), forbidden: froz
 def probability(features: Column, model: dict) -> Column:
     """The logistic of a model (weights with the intercept first, means, scales) over standardised features."""
     lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    z = dot(standardize(features, lit(model["means"]), lit(model["scales"])), lit(model["weights"][1:]))
-    return sigmoid(F.lit(float(model["weights"][0])) + z)
+    parts = F.zip_with(standardize(features, lit(model["means"]), lit(model["scales"])), lit(model["weights"][1:]), lambda x, w: x * w)
+    # summed from the intercept on, in one form for both signs, as the SQL does: a sum that is 0 but for its last digit gives the same side of a threshold
+    z = F.aggregate(parts, F.lit(float(model["weights"][0])), lambda s, x: s + x)
+    return 1 / (1 + F.exp(-z))
 
 
 def decide(df: DataFrame, artifact: dict, features: str = "features") -> DataFrame:
