@@ -31,7 +31,8 @@ def running_power(samples: DataFrame, points: DataFrame) -> DataFrame:
     rows = s.unionByName(p).withColumn("bucket", _bucket(F.col("at")))
     order = Window.partitionBy("bucket").orderBy("at", "kind", "power_w")
     past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # what lies ahead comes from the reverse order: a frame that ends at the last row is worked out anew for each row
+    ahead = Window.partitionBy("bucket").orderBy(F.desc("at"), F.desc("kind"), F.desc("power_w")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sample = F.when(F.col("kind") == 1, F.struct(F.col("at").alias("epoch"), "power_w"))
     before = F.last(sample, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     step = F.when(F.col("kind") == 1, (F.col("at") - before["epoch"]) * (F.col("power_w") + before["power_w"]) / 2)
@@ -39,7 +40,7 @@ def running_power(samples: DataFrame, points: DataFrame) -> DataFrame:
     inside = rows.select(
         "bucket", "id", "at", "kind",
         F.count("power_w").over(past).alias("n_"), F.coalesce(F.sum("power_w").over(past), F.lit(0.0)).alias("sum_"), F.sum("step").over(past).alias("area_"),
-        F.last(sample, ignorenulls=True).over(past).alias("last_"), F.first(sample, ignorenulls=True).over(ahead).alias("next_"),
+        F.last(sample, ignorenulls=True).over(past).alias("last_"), F.last(sample, ignorenulls=True).over(ahead).alias("next_"),
     )
     # a row per bucket: whole sums, first and last sample
     whole = rows.groupBy("bucket").agg(
@@ -47,7 +48,7 @@ def running_power(samples: DataFrame, points: DataFrame) -> DataFrame:
         F.min(sample).alias("first"), F.max(sample).alias("last"),
     )
     along = Window.orderBy("bucket")
-    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     carried = F.last("last", ignorenulls=True).over(earlier)
     tie = F.coalesce((F.col("first.epoch") - carried["epoch"]) * (F.col("first.power_w") + carried["power_w"]) / 2, F.lit(0.0))
     whole = whole.withColumn("tie", tie)  # the trapezoid that leads into a bucket
@@ -55,7 +56,7 @@ def running_power(samples: DataFrame, points: DataFrame) -> DataFrame:
     base = whole.select(
         "bucket", "tie",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_b"), F.coalesce(F.sum("sum").over(earlier), none).alias("sum_b"),
-        F.coalesce(F.sum(F.col("area") + F.col("tie")).over(earlier), none).alias("area_b"), carried.alias("last_b"), F.first("first", ignorenulls=True).over(later).alias("next_b"),
+        F.coalesce(F.sum(F.col("area") + F.col("tie")).over(earlier), none).alias("area_b"), carried.alias("last_b"), F.last("first", ignorenulls=True).over(later).alias("next_b"),
     )
     got = inside.where("kind <> 1").join(base, "bucket")
     return got.select(

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from brindle.operators import energy
 from brindle.plans import catalog
 
 
@@ -33,3 +34,21 @@ def test_decisions_on_the_threshold(spark, tmp_path):
     tables(spark, tmp_path, documents=f"SELECT row_number() OVER (ORDER BY w, c) AS doc_id, {text} AS text, 'en' AS lang, 's' AS source FROM range(1, 41) t(w), range(84, 500) u(c)")
     got = same(spark, tmp_path, "controller_decide")
     assert len(got) == 40 * 416 and any(r[1] == "128" and r[3] == 0.5 for r in got)
+
+
+def test_no_frame_is_worked_out_anew_for_each_row(spark):
+    # frames up to the last row cost the square of a bucket's rows (and of the number of buckets)
+    samples = spark.createDataFrame([(1.0, 5.0)], "epoch double, power_w double")
+    calls = spark.createDataFrame([(1, 0.0, 2.0)], "call_id long, start_epoch double, end_epoch double")
+    for df in (energy.trapezoid(calls, samples), energy.attribute(calls, samples)):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_energy_of_calls_with_equal_times_and_empty_buckets(spark, tmp_path):
+    at = lambda s: f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * ({s})"
+    views = f"SELECT i AS event_id, {at('CASE WHEN i % 3 = 0 THEN i * 40 ELSE i * 40 + 7200 * (i % 2) END')} AS ts, i % 90 AS user_id, 'view' AS event_type, (i * 7 % 50)::DOUBLE AS value FROM range(400) t(i)"
+    buys = f"SELECT 1000 + i, {at('i * 120 - 3000')}, i % 90, 'purchase', CASE WHEN i % 5 = 0 THEN 0 WHEN i % 7 = 0 THEN 700 ELSE i % 13 END FROM range(200) t(i)"
+    # of samples at one time one is kept: which of two the SQL takes isn't said
+    tables(spark, tmp_path, events=f"SELECT event_id, ts, user_id, event_type, value::DOUBLE AS value, '' AS props FROM (SELECT DISTINCT ON (ts) * FROM ({views}) ORDER BY ts, event_id) UNION ALL SELECT *, '' FROM ({buys})")
+    for name in ("energy_trapezoid", "energy_window_mean", "energy_nearest", "energy_nearest_earlier", "energy_by_method_budget", "energy_enriched_records"):
+        same(spark, tmp_path, name)
