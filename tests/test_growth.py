@@ -2,8 +2,9 @@
 
 import duckdb
 
-from brindle.operators import energy
+from brindle.operators import energy, policy, stats
 from brindle.plans import catalog
+from tests.test_policy import DENSE, RECORD
 
 
 def tables(spark, folder, **made):
@@ -52,3 +53,13 @@ def test_energy_of_calls_with_equal_times_and_empty_buckets(spark, tmp_path):
     tables(spark, tmp_path, events=f"SELECT event_id, ts, user_id, event_type, value::DOUBLE AS value, '' AS props FROM (SELECT DISTINCT ON (ts) * FROM ({views}) ORDER BY ts, event_id) UNION ALL SELECT *, '' FROM ({buys})")
     for name in ("energy_trapezoid", "energy_window_mean", "energy_nearest", "energy_nearest_earlier", "energy_by_method_budget", "energy_enriched_records"):
         same(spark, tmp_path, name)
+
+
+def test_policies_read_and_shuffle_the_records_once(spark, tmp_path):
+    # policies that judge records alike share their candidates, whatever they choose
+    spark.createDataFrame(DENSE, RECORD).write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    sets = policy.decision_sets(rows, ("topk", "cover"), ["64", "128"], 0.25)
+    paired = stats.paired_bootstrap(sets, ["dense_only", "supported"], 3, 5)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (sets, paired)]
+    assert [p.count("FileScan") for p in plans] == [1, 1] and plans[0].count("Exchange hashpartitioning") == 1
