@@ -38,7 +38,8 @@ def strict_labels(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
         F.first("n_eligible").alias("n_eligible"),
         F.min_by("answer", "intervention").alias("answer"),
         F.min_by("is_correct", "intervention").alias("is_correct"),
-        F.count_distinct(F.when(eligible, F.col("intervention"))).alias("n_covered"),
+        # a handful a sample: a distinct count would group the records by intervention again, in two more steps that each hold memory
+        F.size(F.collect_set(F.when(eligible, F.col("intervention")))).cast("bigint").alias("n_covered"),
         F.coalesce(F.every(F.when(eligible, same)), F.lit(True)).alias("same_changes"),
         F.coalesce(F.every(F.when(eligible, F.col("vem") >= threshold)), F.lit(True)).alias("all_pass"),
     )

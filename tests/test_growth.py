@@ -2,7 +2,7 @@
 
 import duckdb
 
-from brindle.operators import energy, policy, stats
+from brindle.operators import energy, policy, safety, stats
 from brindle.plans import catalog
 from tests.test_policy import DENSE, RECORD
 
@@ -63,3 +63,9 @@ def test_policies_read_and_shuffle_the_records_once(spark, tmp_path):
     paired = stats.paired_bootstrap(sets, ["dense_only", "supported"], 3, 5)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (sets, paired)]
     assert [p.count("FileScan") for p in plans] == [1, 1] and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_labels_group_the_records_once(spark):
+    records = spark.createDataFrame(DENSE, RECORD)
+    plan = safety.strict_labels(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate(keys=") == 2  # of partitions, then of all
