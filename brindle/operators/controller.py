@@ -104,12 +104,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float =
     return w
 
 
-def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY) -> DataFrame:
-    """Per cell: weights, means, scales (sample deviation, at least 1e-8) of a logistic model of ``safe`` by ``features``.
+def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY, times: str | None = None) -> DataFrame:
+    """Per cell: weights, means, scales (sample deviation, at least 1e-8) of a logistic model of ``safe`` by ``features``; written, so that nothing is fitted twice.
 
     One label alone gives the smoothed prior as the intercept. Rows of equal features and label are counted before they move: features are counts and
     flags, of which there are few. A cell of up to ``MOST_ROWS`` distinct rows is fitted in one task; of larger ones each task works out
     the gradient over its own rows in every step, for all these cells at once, and the sums come to the driver (:func:`shared_descent`). The result is the same.
+    ``times``: a column that says how often a row occurs, for rows that are counted already.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
@@ -129,11 +130,11 @@ def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PE
         return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "n": [int(n)], "weights": [w], "means": [means], "scales": [scales]})
 
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n bigint, weights array<double>, means array<double>, scales array<double>"
-    counted = written(rows.groupBy(*by, "features", F.col("safe").cast("int").alias("safe")).agg(F.count("*").alias("times")), "descent-rows")
+    counted = written(rows.groupBy(*by, "features", F.col("safe").cast("int").alias("safe")).agg((F.sum(times) if times else F.count("*")).alias("times")), "descent-rows")
     sizes = counted.groupBy(*by).agg(F.count("*").alias("distinct"))
     large = [tuple(r[b] for b in by) for r in sizes.where(F.col("distinct") > MOST_ROWS).collect()]  # cells are few, large ones fewer
     if not large:
-        return counted.groupBy(*by).applyInPandas(fit, schema)
+        return written(counted.groupBy(*by).applyInPandas(fit, schema), "models")
     of = F.lit(None).cast("int")
     for i, key in enumerate(large):
         here = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.lit(v)) for b, v in zip(by, key, strict=True)], F.lit(True))
@@ -142,7 +143,7 @@ def fit_cells(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PE
     small = marked.where("_large is null").drop("_large").groupBy(*by).applyInPandas(fit, schema)
     fitted = shared_descent(marked.where("_large is not null").select(F.col("_large").alias("cell"), "features", "safe", "times"), len(large), steps, penalty=penalty)
     made = [(*key, int(n), *(v.tolist() for v in vectors)) for key, (n, *vectors) in zip(large, fitted, strict=True)]
-    return small.unionByName(rows.sparkSession.createDataFrame(made, schema))
+    return written(small.unionByName(rows.sparkSession.createDataFrame(made, schema)), "models")
 
 
 def shared_descent(rows: DataFrame, cells: int, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
@@ -209,19 +210,29 @@ def select_features(features: Column, places: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(p) for p in places]), lambda i: F.get(features, i))
 
 
+def models_without(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY, times: str | None = None) -> DataFrame:
+    """(by, budget, without, weights, means, scales): the model of each group and budget that was fitted without each fold."""
+    folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
+    train = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds]))).where("without <> fold")
+    return fit_cells(train, *by, "budget", "without", steps=steps, penalty=penalty, times=times).drop("n")
+
+
+def with_scores(rows: DataFrame, models: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with score, the probability by their model."""
+    scored = rows.join(F.broadcast(models), list(on))  # a model a cell; a shuffle by cell would put the rows into as many tasks as there are cells
+    z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
+    return scored.withColumn("score", sigmoid(F.element_at("weights", 1) + z)).drop("weights", "means", "scales")
+
+
 def out_of_fold(rows: DataFrame, *by: str, steps: int = STEPS, penalty: float = PENALTY, places: list[int] | None = None) -> DataFrame:
     """(by, key, fold, budget, safe, score): each row scored by the model of its group and budget that was fitted without its fold.
 
-    ``rows``: key, fold, budget, features, safe. ``places``: the features to use, by place, for ablations of feature groups.
+    ``rows``: key, fold, budget, features, safe. ``places``: the features to use, by place. The rows are written: their texts are read for features once.
     """
-    if places is not None:
-        rows = rows.withColumn("features", select_features(F.col("features"), places))
-    folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
-    train = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds]))).where("without <> fold")
-    models = fit_cells(train, *by, "budget", "without", steps=steps, penalty=penalty).drop("n").withColumnRenamed("without", "fold")
-    scored = rows.join(models, [*by, "budget", "fold"])
-    z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
-    return scored.select(*by, "key", "fold", "budget", "safe", sigmoid(F.element_at("weights", 1) + z).alias("score"))
+    features = F.col("features") if places is None else select_features(F.col("features"), places)
+    rows = written(rows.select(*by, "key", "fold", "budget", features.alias("features"), "safe"), "fold-rows")
+    models = models_without(rows, *by, steps=steps, penalty=penalty).withColumnRenamed("without", "fold")
+    return with_scores(rows, models, *by, "budget", "fold").select(*by, "key", "fold", "budget", "safe", "score")
 
 
 def scored_rows(scores: DataFrame) -> DataFrame:
@@ -256,14 +267,22 @@ CONFIGURATIONS = {
 
 
 def ablation(rows: DataFrame, cell: str = "cell", steps: int = STEPS, configurations: dict[str, tuple[str, ...]] = CONFIGURATIONS) -> DataFrame:
-    """(configuration, cell, budget, n, brier, log_loss, auroc): every configuration of feature groups in every cell, scored out of fold."""
-    out = None
-    for name, groups in configurations.items():
-        places = [p for g in groups for p in FEATURE_GROUPS[g]]
-        scored = out_of_fold(rows, cell, steps=steps, places=places).withColumn("y", F.col("safe").cast("int"))
-        got = ranking_quality(scored, "y", "score", cell, "budget").withColumn("configuration", F.lit(name))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """(configuration, cell, budget, n, brier, log_loss, auroc): every configuration of feature groups in every cell, scored out of fold.
+
+    A score depends on nothing but cell, fold, budget and features, so rows that are alike in these and their label are counted, once for all configurations;
+    these are fitted, scored and ranked together on the counts.
+    """
+    known = (cell, "fold", "budget", "features")
+    counted = written(rows.groupBy(*known, F.col("safe").cast("int").alias("safe")).agg(F.count("*").alias("times")), "fold-counts")
+    places = {name: [p for g in groups for p in FEATURE_GROUPS[g]] for name, groups in configurations.items()}
+    every = F.array(*[F.struct(F.lit(name).alias("configuration"), select_features(F.col("features"), some).alias("features")) for name, some in places.items()])
+    each = counted.select(cell, "fold", "budget", "safe", "times", F.explode(every).alias("_of")).select("_of.*", cell, "fold", "budget", "safe", "times")
+    # of equal features of a configuration, too
+    each = written(each.groupBy("configuration", *known, "safe").agg(F.sum("times").alias("times")), "fold-counts")
+    models = models_without(each, "configuration", cell, steps=steps, times="times").withColumnRenamed("without", "fold")
+    scored = with_scores(each, models, "configuration", cell, "budget", "fold")
+    got = ranking_quality(scored, "safe", "score", "configuration", cell, "budget", times="times")
+    return got.select(cell, "budget", "n", "brier", "log_loss", "auroc", "configuration")
 
 
 def _arrays(scored: DataFrame, budgets: tuple[int, ...], *by: str) -> DataFrame:
@@ -313,12 +332,11 @@ def cross_fit_replay(rows: DataFrame, budgets: tuple[int, ...], risks: tuple[flo
     ``rows``: key, fold, budget, features, safe, energy_joule, dense_energy_joule. The models of a fold are fitted without it and score the other folds, on
     which the threshold is chosen, and the fold itself, which it decides.
     """
-    folds = [r[0] for r in rows.select("fold").distinct().collect()]  # a handful by definition
-    every = rows.withColumn("without", F.explode(F.array(*[F.lit(f) for f in folds])))
-    models = fit_cells(every.where("without <> fold"), "budget", "without", steps=steps, penalty=penalty).drop("n")
-    scored = every.join(models, ["budget", "without"])
-    z = dot(standardize(F.col("features"), F.col("means"), F.col("scales")), F.slice("weights", F.lit(2), F.size("weights") - 1))
-    scored = _arrays(scored.withColumn("score", sigmoid(F.element_at("weights", 1) + z)), budgets, "key", "fold", "without")
+    # texts are read for features once, and nothing is scored once a risk
+    rows = written(rows.select("key", "fold", "budget", "features", "safe", "energy_joule", "dense_energy_joule"), "fold-rows")
+    models = models_without(rows, steps=steps, penalty=penalty)
+    every = with_scores(rows, models, "budget")  # a row for each model of its budget
+    scored = written(_arrays(every, budgets, "key", "fold", "without"), "fold-scores")
     decisions = thresholds = None
     for risk in risks:
         at = grid_threshold(scored.where("without <> fold"), risk, "without", budgets=budgets).select(F.lit(risk).alias("risk"), F.col("without").alias("fold"), "threshold")

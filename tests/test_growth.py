@@ -1,9 +1,11 @@
 """Queries on odd or larger tables against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
-from brindle.operators import energy, policy, safety, stats
+from brindle.operators import controller, energy, policy, safety, stats
 from brindle.plans import catalog
+from tests.test_audits import fold_rows
 from tests.test_policy import DENSE, RECORD
 
 
@@ -69,3 +71,24 @@ def test_labels_group_the_records_once(spark):
     records = spark.createDataFrame(DENSE, RECORD)
     plan = safety.strict_labels(records)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Aggregate(keys=") == 2  # of partitions, then of all
+
+
+def test_ablation_reads_the_rows_once_and_fits_all_configurations_together(spark, tmp_path, monkeypatch):
+    fold_rows(spark)[0].withColumn("cell", F.when(F.col("key") % 2 == 0, "one").otherwise("two")).write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    fits, fit = [], controller.fit_cells
+    monkeypatch.setattr(controller, "fit_cells", lambda *a, **k: fits.append(a) or fit(*a, **k))
+    got = controller.ablation(rows, steps=20)
+    assert len(fits) == 1 and not any(str(tmp_path) in f for f in got.inputFiles())
+    # the same as a configuration at a time
+    for name in ("A0_full", "A3_keywords_only", "A6_intercept_only"):
+        places = [p for g in controller.CONFIGURATIONS[name] for p in controller.FEATURE_GROUPS[g]]
+        alone = stats.ranking_quality(controller.out_of_fold(rows, "cell", steps=20, places=places).withColumn("y", F.col("safe").cast("int")), "y", "score", "cell", "budget")
+        assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, got.where(F.col("configuration") == name).select(alone.columns).collect()))
+
+
+def test_ranking_of_counted_rows_and_of_unknown_labels(spark):
+    rows = spark.createDataFrame([("a", 1, 0.9, 3), ("a", 0, 0.9, 2), ("a", 0, 0.2, 4), ("a", None, 0.4, 2), (None, 1, 0.7, 1), (None, 0, 0.1, 2)], "g string, y int, s double, times long")
+    counted = stats.ranking_quality(rows, "y", "s", "g", times="times").collect()
+    repeated = stats.ranking_quality(rows.withColumn("i", F.explode(F.sequence(F.lit(1), "times"))), "y", "s", "g").collect()
+    assert {r.g: r for r in counted} == {r.g: r for r in repeated} and {r.g: r.n for r in counted} == {"a": 11, None: 3}
