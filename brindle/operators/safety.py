@@ -11,12 +11,13 @@ from brindle.functions.numbers import r6
 RELIANT = 1.0
 
 
-def strict_labels(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
+def strict_labels(records: DataFrame, threshold: float = RELIANT, calls: tuple[str, ...] = ()) -> DataFrame:
     """Per sample, method and budget (dense itself included): covers, answer_fidelity, intervention_fidelity, intervention_pass, reference_safe, gold_safe.
 
     Eligible are interventions under which dense's margin reaches the threshold, right or not; without any, covering and
     fidelity hold trivially. gold_safe is null unless dense is right and something is eligible. Samples without
-    dense records have no row. The first record of a sample is that of its first intervention.
+    dense records have no row. The first record of a sample is that of its first intervention. ``calls``: columns of the original call, that of the first
+    intervention, which come as a struct ``call`` with the intervention before them.
     """
     dense = F.col("method") == "dense"
     here, sample = Window.partitionBy("sample_id", "intervention"), Window.partitionBy("sample_id")
@@ -42,6 +43,7 @@ def strict_labels(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
         F.size(F.collect_set(F.when(eligible, F.col("intervention")))).cast("bigint").alias("n_covered"),
         F.coalesce(F.every(F.when(eligible, same)), F.lit(True)).alias("same_changes"),
         F.coalesce(F.every(F.when(eligible, F.col("vem") >= threshold)), F.lit(True)).alias("all_pass"),
+        *([F.min_by(F.struct("intervention", *calls), "intervention").alias("call")] if calls else []),
     )
     actions = actions.withColumn("covers", F.col("n_covered") == F.col("n_eligible"))
     fidelity = F.col("covers") & F.col("same_changes")
@@ -51,6 +53,7 @@ def strict_labels(records: DataFrame, threshold: float = RELIANT) -> DataFrame:
         answer.alias("answer_fidelity"), fidelity.alias("intervention_fidelity"), (F.col("covers") & F.col("all_pass")).alias("intervention_pass"),
         (answer & fidelity).alias("reference_safe"),
         F.when(F.col("dense_correct") & (F.col("n_eligible") > 0), F.col("is_correct") & fidelity).alias("gold_safe"),
+        *(["call"] if calls else []),
     )
 
 
@@ -139,18 +142,14 @@ def agreement_rates(agreement: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(actions: DataFrame, calls: DataFrame, labels: DataFrame, dense_tokens: int = 576) -> DataFrame:
-    """``actions`` (sample_id, method, selected_budget, ...) with what they cost and whether they were right to take.
+#: What :func:`outcomes` takes of a label, and of an original call.
+OF_LABEL = ("reference_safe", "gold_safe", "dense_correct", "n_eligible", "answer_fidelity", "intervention_fidelity", "intervention_pass")
+OF_CALL = ("is_correct", "energy_joule", "latency_ms", "token_count")
 
-    ``calls``: one original call per sample, method and budget; ``labels``: strict labels. ``dense`` as a budget stands for the full call. Given: task_correct,
-    unsafe_acceptance (dense avoided though it wasn't safe), supported_correct, selected_tokens, energy_joule, latency_ms, dense_energy_joule, dense_latency_ms.
-    """
+
+def _judged(rows: DataFrame, dense_tokens: int) -> DataFrame:
+    """``rows`` of actions, joined with calls and labels, with what follows for them."""
     avoided = F.col("selected_budget") != "dense"
-    keyed = actions.withColumns({"_m": F.when(avoided, F.col("method")).otherwise("dense"), "_b": F.when(avoided, F.col("selected_budget")).otherwise("full")})
-    call = calls.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), F.col("is_correct").alias("task_correct"), "energy_joule", "latency_ms", "token_count")
-    full = calls.where("method = 'dense'").select("sample_id", F.col("energy_joule").alias("dense_energy_joule"), F.col("latency_ms").alias("dense_latency_ms"))
-    label = labels.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), "reference_safe", "gold_safe", "dense_correct", "n_eligible", "answer_fidelity", "intervention_fidelity", "intervention_pass")
-    rows = keyed.join(call, ["sample_id", "_m", "_b"]).join(full, "sample_id").join(label, ["sample_id", "_m", "_b"])
     right_dense = F.col("dense_correct") & (F.col("n_eligible") > 0)
     return rows.withColumns(
         {
@@ -160,3 +159,40 @@ def outcomes(actions: DataFrame, calls: DataFrame, labels: DataFrame, dense_toke
             "selected_tokens": F.when(avoided, F.col("token_count")).otherwise(dense_tokens),
         }
     ).drop("_m", "_b", "token_count")
+
+
+def chosen_outcomes(records: DataFrame, chosen: Column, threshold: float = RELIANT, dense_tokens: int = 576) -> DataFrame:
+    """:func:`outcomes` of one action for every sample and method but dense of ``records``: the budget that ``chosen`` says of sample_id and method.
+
+    Labels and calls come from one aggregate and meet within their sample (a handful of rows), so the records are read, shuffled and sorted once; the
+    general form joins five times.
+    """
+    labels = strict_labels(records, threshold, OF_CALL)
+    of = labels.groupBy("sample_id").agg(F.collect_list(F.struct("method", "budget", *OF_LABEL, "call")).alias("_rows"))
+    methods = F.array_distinct(F.transform("_rows", lambda r: r["method"]))
+    acts = of.select("sample_id", "_rows", F.explode(F.filter(methods, lambda m: m != "dense")).alias("method")).withColumn("selected_budget", chosen)
+    avoided = F.col("selected_budget") != "dense"
+    acts = acts.withColumns({"_m": F.when(avoided, F.col("method")).otherwise("dense"), "_b": F.when(avoided, F.col("selected_budget")).otherwise("full")})
+    taken = F.filter("_rows", lambda r: (r["method"] == F.col("_m")) & (r["budget"] == F.col("_b")))
+    first = lambda rows: F.array_min(F.transform(rows, lambda r: r["call"]))  # noqa: E731  of several that differ in split or dataset: the first intervention's
+    acts = acts.select("sample_id", "method", "selected_budget", taken.alias("_taken"), F.filter("_rows", lambda r: r["method"] == "dense").alias("_dense"))
+    acts = acts.select("sample_id", "method", "selected_budget", first(F.col("_taken")).alias("_call"), first(F.col("_dense")).alias("_full"), F.explode("_taken").alias("_label"))
+    rows = acts.select(
+        "sample_id", "method", "selected_budget", F.col("_call.is_correct").alias("task_correct"), "_call.energy_joule", "_call.latency_ms", "_call.token_count",
+        F.col("_full.energy_joule").alias("dense_energy_joule"), F.col("_full.latency_ms").alias("dense_latency_ms"), *(f"_label.{c}" for c in OF_LABEL),
+    )
+    return _judged(rows, dense_tokens)
+
+
+def outcomes(actions: DataFrame, calls: DataFrame, labels: DataFrame, dense_tokens: int = 576) -> DataFrame:
+    """``actions`` (sample_id, method, selected_budget, ...) with what they cost and whether they were right to take.
+
+    ``calls``: one original call per sample, method and budget; ``labels``: strict labels. ``dense`` as a budget stands for the full call. Given: task_correct,
+    unsafe_acceptance (dense avoided though it wasn't safe), supported_correct, selected_tokens, energy_joule, latency_ms, dense_energy_joule, dense_latency_ms.
+    """
+    avoided = F.col("selected_budget") != "dense"
+    keyed = actions.withColumns({"_m": F.when(avoided, F.col("method")).otherwise("dense"), "_b": F.when(avoided, F.col("selected_budget")).otherwise("full")})
+    call = calls.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), F.col("is_correct").alias("task_correct"), "energy_joule", "latency_ms", "token_count")
+    full = calls.where("method = 'dense'").select("sample_id", F.col("energy_joule").alias("dense_energy_joule"), F.col("latency_ms").alias("dense_latency_ms"))
+    label = labels.select("sample_id", F.col("method").alias("_m"), F.col("budget").alias("_b"), *OF_LABEL)
+    return _judged(keyed.join(call, ["sample_id", "_m", "_b"]).join(full, "sample_id").join(label, ["sample_id", "_m", "_b"]), dense_tokens)

@@ -92,3 +92,16 @@ def test_ranking_of_counted_rows_and_of_unknown_labels(spark):
     counted = stats.ranking_quality(rows, "y", "s", "g", times="times").collect()
     repeated = stats.ranking_quality(rows.withColumn("i", F.explode(F.sequence(F.lit(1), "times"))), "y", "s", "g").collect()
     assert {r.g: r for r in counted} == {r.g: r for r in repeated} and {r.g: r.n for r in counted} == {"a": 11, None: 3}
+
+
+def test_outcomes_read_the_tables_once_and_equal_their_sql(spark, tmp_path):
+    # samples of one line and of many, without dense, with repeated records, a call without energy, keys below zero
+    lines = """SELECT (i * 7919 % 97) - 20 AS l_orderkey, i AS l_linenumber, i * 31 % 101 AS l_partkey, i * 17 % 23 AS l_suppkey, DATE '1995-01-01' + (i % 50)::INT AS l_shipdate,
+      CASE WHEN i % 37 <> 0 THEN (100 + i * 13 % 900)::DOUBLE END AS l_extendedprice, (1 + i % 50)::DOUBLE AS l_quantity, (i % 11) / 100.0::DOUBLE AS l_discount, (i % 9) / 100.0::DOUBLE AS l_tax,
+      CASE WHEN i % 97 IN (3, 5) THEN 'A' ELSE (['N', 'A', 'R', 'N'])[1 + (i // 2 % 4)] END AS l_returnflag, CASE WHEN i % 5 < 3 THEN 'O' ELSE 'F' END AS l_linestatus FROM range(1500) t(i)"""
+    orders = "SELECT i - 20 AS o_orderkey, 1 AS o_custkey, 'O' AS o_orderstatus, 10.0::DOUBLE AS o_totalprice, '1-URGENT' AS o_orderpriority FROM range(95) t(i)"
+    tables(spark, tmp_path, lineitem=lines, orders=orders)
+    for name in ("action_outcomes", "policy_outcomes", "controller_summary", "energy_reduction_bootstrap"):
+        assert same(spark, tmp_path, name)
+    plan = catalog.queries()["action_outcomes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 2
