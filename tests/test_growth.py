@@ -1,10 +1,12 @@
 """Queries on odd or larger tables against their SQL."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import controller, energy, policy, safety, stats
-from brindle.plans import catalog
+from brindle.plans import audit_queries, catalog
 from tests.test_audits import fold_rows
 from tests.test_policy import DENSE, RECORD
 
@@ -87,6 +89,32 @@ def test_ablation_reads_the_rows_once_and_fits_all_configurations_together(spark
         assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, got.where(F.col("configuration") == name).select(alone.columns).collect()))
 
 
+def test_ablation_query_takes_every_step_of_every_fit(spark, tmp_path):
+    # the reference's descent, written out: 1,600 steps at a rate of 0.08, penalty 0.03
+    words = "repeat('word ', i * 7 % 40) || CASE WHEN i % 5 = 0 THEN 'how many' WHEN i % 7 < 3 THEN 'left of the color' ELSE 'x' END"
+    tables(spark, tmp_path, documents=f"SELECT i AS doc_id, {words} AS text, 'en' AS lang, 's' AS source FROM range(180) t(i)", labels="SELECT i AS doc_id, ((i * 7 % 40 > 18 OR i % 5 = 0) AND i % 11 > 1)::INT AS quality FROM range(180) t(i)")
+    got = {(r.configuration, r.cell, r.budget): r for r in catalog.queries()["controller_ablation"](spark, str(tmp_path)).collect()}
+    assert len(got) == 7 * 2 * 4
+    rows = audit_queries._fold_rows(spark, str(tmp_path)).collect()
+    for name in ("A0_full", "A3_keywords_only"):
+        places = [p for g in controller.CONFIGURATIONS[name] for p in controller.FEATURE_GROUPS[g]]
+        for cell, budget in ((c, b) for c in ("one", "two") for b in (64, 448)):
+            mine = [r for r in rows if r.budget == budget and (r.key % 2 == 0) == (cell == "one")]
+            x, y, fold = np.array([[r.features[p] for p in places] for r in mine]), np.array([float(r.safe) for r in mine]), np.array([r.fold for r in mine])
+            score = np.zeros(len(mine))
+            for f in set(fold):
+                mean, scale = x[fold != f].mean(axis=0), np.maximum(x[fold != f].std(axis=0, ddof=1), 1e-8)
+                z, w = (x - mean) / scale, np.zeros(len(places) + 1)
+                train, known = z[fold != f], y[fold != f]
+                for _ in range(1600):
+                    error = 1 / (1 + np.exp(-(w[0] + train @ w[1:]))) - known
+                    w -= 0.08 * np.concatenate(([error.mean()], train.T @ error / len(train) + 0.03 * w[1:]))
+                score[fold == f] = 1 / (1 + np.exp(-(w[0] + z[fold == f] @ w[1:])))
+            r = got[name, cell, budget]
+            assert r.n == len(mine) and r.brier == pytest.approx(((score - y) ** 2).mean(), abs=2e-6)
+            assert r.log_loss == pytest.approx(-(y * np.log(score) + (1 - y) * np.log(1 - score)).mean(), abs=2e-6)
+
+
 def test_ranking_of_counted_rows_and_of_unknown_labels(spark):
     rows = spark.createDataFrame([("a", 1, 0.9, 3), ("a", 0, 0.9, 2), ("a", 0, 0.2, 4), ("a", None, 0.4, 2), (None, 1, 0.7, 1), (None, 0, 0.1, 2)], "g string, y int, s double, times long")
     counted = stats.ranking_quality(rows, "y", "s", "g", times="times").collect()
